@@ -7,7 +7,10 @@ from importlib import import_module
 _HOMES = {
     "op2_sharding": "sharding",
     "op6_bpe": "bpe",
+    "op8_pii": "pii",
+    "op10_lines": "lines",
 }
+_WITH_SQL = {"op10_lines": "lines"}
 
 
 def queries() -> dict:
@@ -15,4 +18,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Each module's ORACLE; queries that SQL can't express, or only too slowly, are tested against brute force."""
+    return {name: import_module(f"graphstrata.llm.{home}").ORACLE for name, home in _WITH_SQL.items()}
