@@ -87,8 +87,10 @@ def kept_lines(text: str | None, keep: bytes | None) -> tuple[str, int, int]:
 
 def _joined(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     b = bitmaps.select(F.col("doc_id").alias("_b_doc"), F.col("row_key").alias("_b_row"), F.col("keep").alias("_b_keep"))
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col("text").cast("string")))
-    return keyed.join(b.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_b_doc")) & (F.col("_row_key") == F.col("_b_row")), "left").drop("_b_doc", "_b_row", "_row_key")
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(text).alias("_row_key"))
+    both = keyed.join(b.hint("shuffle_hash"), F.col("_doc").eqNullSafe(F.col("_b_doc")) & (F.col("_row_key") == F.col("_b_row")), "left")
+    return both.select("_row", "_b_keep")
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +108,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_summaries(docs: DataFrame, min_docs: int | None = 10) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 for each row of ``docs``."""
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    both = _joined(slim, keep_bitmaps(slim, min_docs)).select("doc_id", "text", "_b_keep")
+    both = _joined(slim, keep_bitmaps(slim, min_docs)).select("_row.doc_id", "_row.text", "_b_keep")
     return both.mapInArrow(_summaries, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
@@ -118,11 +120,12 @@ def drop_lines(docs: DataFrame, min_docs: int | None = 10) -> DataFrame:
         return text.combine(keep, lambda t, k: kept_lines(t, k)[0])
 
     both = _joined(docs, keep_bitmaps(docs, min_docs))
-    text = F.when(F.col("_b_keep").isNull(), F.col("text")).otherwise(kept("text", "_b_keep"))
-    out = both.withColumn("text", text)
+    same = F.col("_b_keep").isNull()
+    new = {"text": F.when(same, F.col("_row.text")).otherwise(kept("_row.text", "_b_keep"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_b_keep").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(same, F.col("_row.n_chars")).otherwise(F.length("text").cast("long"))
+    both = both.withColumn("text", new["text"])
+    return both.select(*[F.col("text") if c == "text" else new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

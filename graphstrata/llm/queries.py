@@ -6,11 +6,12 @@ from importlib import import_module
 
 _HOMES = {
     "op2_sharding": "sharding",
+    "op3_host_rules": "quality",
     "op6_bpe": "bpe",
     "op8_pii": "pii",
     "op10_lines": "lines",
 }
-_WITH_SQL = {"op10_lines": "lines"}
+_WITH_SQL = {"op3_host_rules": "quality", "op10_lines": "lines"}
 
 
 def queries() -> dict:
