@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _HOMES = {
+    "op1_html": "html",
     "op2_sharding": "sharding",
     "op3_host_rules": "quality",
     "op6_bpe": "bpe",
