@@ -10,6 +10,7 @@ _HOMES = {
     "op3_host_rules": "quality",
     "op6_bpe": "bpe",
     "op8_pii": "pii",
+    "op9_neighbours": "neighbours",
     "op10_lines": "lines",
 }
 _WITH_SQL = {"op3_host_rules": "quality", "op10_lines": "lines"}
