@@ -8,6 +8,7 @@ _HOMES = {
     "op1_html": "html",
     "op2_sharding": "sharding",
     "op3_host_rules": "quality",
+    "op4_mixing": "mixing",
     "op6_bpe": "bpe",
     "op8_pii": "pii",
     "op9_neighbours": "neighbours",
