@@ -9,12 +9,13 @@ _HOMES = {
     "op2_sharding": "sharding",
     "op3_host_rules": "quality",
     "op4_mixing": "mixing",
+    "op5_near_duplicates": "jaccard",
     "op6_bpe": "bpe",
     "op8_pii": "pii",
     "op9_neighbours": "neighbours",
     "op10_lines": "lines",
 }
-_WITH_SQL = {"op3_host_rules": "quality", "op10_lines": "lines"}
+_WITH_SQL = {"op3_host_rules": "quality", "op5_near_duplicates": "jaccard", "op10_lines": "lines"}
 
 
 def queries() -> dict:
