@@ -11,6 +11,7 @@ _HOMES = {
     "op4_mixing": "mixing",
     "op5_near_duplicates": "jaccard",
     "op6_bpe": "bpe",
+    "op7_chunks": "chunks",
     "op8_pii": "pii",
     "op9_neighbours": "neighbours",
     "op10_lines": "lines",
