@@ -34,11 +34,11 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_LEAST_BITS, _MOST_BITS = 256, 1 << 16
+_LEAST_BITS, _MOST_BITS = 256, 1 << 14
 #: A shingle is common when in so large a share of documents; it then stands last in every class's order.
 _COMMON_SHARE, _COMMON_LEAST, _COMMON_IN_BLOCK = 1 / 1000, 64, 3
 _BEFORE = 32
-_CHUNK_ROWS, _CHUNK_PAIRS = 40_000, 400_000
+_CHUNK_BYTES, _CHUNK_PAIRS, _XOR_BYTES = 8 << 20, 200_000, 8 << 20
 _FILTER_BITS = 23
 
 
@@ -160,24 +160,23 @@ def _reach(n: np.ndarray) -> np.ndarray:
 def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches anew, cut between shingles."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        if rows >= _CHUNK_ROWS:
+        if size >= _CHUNK_BYTES:
             last = held[-1].column("shingle")[held[-1].num_rows - 1].as_py()
             shingles = batch.column("shingle").to_numpy()
             other = np.flatnonzero(shingles != last)
             cut = int(other[0]) if len(other) else batch.num_rows
             held.append(batch.slice(0, cut))
-            rows += cut
             if cut == batch.num_rows:
                 continue
             yield _one(held)
-            held, rows = [batch.slice(cut)], batch.num_rows - cut
-            continue
+            batch = batch.slice(cut)
+            held, size = [], 0
         held.append(batch)
-        rows += batch.num_rows
+        size += batch.nbytes
     if held:
         yield _one(held)
 
@@ -222,8 +221,10 @@ class _Bitmaps:
         level = np.minimum(self.level[a], self.level[b])
         for size in np.unique(level):
             pick = np.flatnonzero(level == size)
-            m, row = self.matrix[size], self.row[size]
-            out[pick] = np.bitwise_count(m[row[a[pick]]] ^ m[row[b[pick]]]).sum(axis=1)
+            m, row, step = self.matrix[size], self.row[size], max(1, _XOR_BYTES // int(size))
+            for at in range(0, len(pick), step):
+                some = pick[at : at + step]
+                out[some] = np.bitwise_count(m[row[a[some]]] ^ m[row[b[some]]]).sum(axis=1)
         return out
 
 
