@@ -78,9 +78,8 @@ def block_chunks(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").to_pylist()
         doc_ids, row_keys = batch.column("doc_id"), batch.column("row_key")
-        for block in blocks(texts, b"\0"):
+        for block in blocks(batch.column("text"), b"\0"):
             text, begin, end, digest = block_chunks(block)
             if not len(text):
                 continue

@@ -11,12 +11,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LENGTH = np.uint64(0x9E3779B97F4A7C15)
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 PAD = 32
 
 _tables: list[np.ndarray] = []
@@ -48,7 +49,15 @@ class Block(NamedTuple):
     end: np.ndarray
 
 
-def blocks(texts: list[str | None], pad: bytes) -> Iterator[Block]:
+def _raw(texts: list[str | None] | pa.Array) -> Iterator[bytes]:
+    """UTF-8, one text at a time: a batch is never held a second time as objects."""
+    if isinstance(texts, pa.Array):
+        yield from (t.as_py() or b"" for t in texts.cast(pa.binary()))
+    else:
+        yield from ((t or "").encode("utf-8", "surrogatepass") for t in texts)
+
+
+def blocks(texts: list[str | None] | pa.Array, pad: bytes) -> Iterator[Block]:
     """The texts as UTF-8, in blocks that hold one text at least; a longer text is a block of its own."""
     parts: list[bytes] = []
     size = first = 0
@@ -59,8 +68,7 @@ def blocks(texts: list[str | None], pad: bytes) -> Iterator[Block]:
         gap = pad * PAD
         return Block(first, np.frombuffer(gap + gap.join(parts) + gap, np.uint8), begin, begin + lengths)
 
-    for i, text in enumerate(texts):
-        raw = (text or "").encode("utf-8", "surrogatepass")
+    for i, raw in enumerate(_raw(texts)):
         if parts and size + len(raw) > BLOCK_BYTES:
             yield cut()
             parts, size, first = [], 0, i

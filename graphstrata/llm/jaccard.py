@@ -107,7 +107,7 @@ def _digests(sets: list[np.ndarray]) -> np.ndarray:
 
 def _common_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block in blocks(batch.column("text").to_pylist(), b" "):
+        for block in blocks(batch.column("text"), b" "):
             sets = list(_block_sets(block))
             found, n = np.unique(np.concatenate(sets), return_counts=True)
             often = n >= _COMMON_IN_BLOCK
@@ -134,7 +134,7 @@ def _described(common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for block in blocks(batch.column("text").to_pylist(), b" "):
+            for block in blocks(batch.column("text"), b" "):
                 sets = list(_block_sets(block))
                 halves = _digests(sets)
                 yield pa.RecordBatch.from_arrays(
@@ -332,38 +332,39 @@ def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
     """A Bloom filter of fixed size over the ids, as longs of bits; it only spares work, an exact join follows."""
-    places = ids.select(F.explode(F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(k), "doc_id"), 64 - _FILTER_BITS) for k in range(2)])).alias("p"))
+    places = ids.select(F.explode(F.array(*_places())).alias("p"))
     words = places.groupBy(F.shiftrightunsigned("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toPandas()
     out = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
     out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return out
 
 
-def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        done = 0
-        for block in blocks(batch.column("text").to_pylist(), b" "):
-            sets = list(_block_sets(block))
-            halves = _digests(sets)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(sets)), pa.array(halves[:, 0]), pa.array(halves[:, 1]), _longs(sets)], names=["doc_id", "d1", "d2", "shingles"])
-            done += len(sets)
+def _arrays(bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = np.ones(batch.num_rows, bool)
+            for c in ("p0", "p1"):
+                p = batch.column(c).to_numpy()
+                held &= (bits.value[p >> 6] >> (p & 63)) & 1 == 1
+            some, done = batch.filter(pa.array(held)), 0
+            for block in blocks(some.column("text"), b" "):
+                sets = list(_block_sets(block))
+                halves = _digests(sets)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").slice(done, len(sets)), pa.array(halves[:, 0]), pa.array(halves[:, 1]), _longs(sets)], names=["doc_id", "d1", "d2", "shingles"])
+                done += len(sets)
 
+    return run
 
-def _wanted_arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, shingles of the wanted classes (cls, doc_id, d1, d2), from a second reading of the text."""
-    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted))
 
-    @F.pandas_udf("boolean")
-    def maybe(first, second):
-        import pandas as pd
+def _places() -> list[F.Column]:
+    return [F.shiftrightunsigned(F.xxhash64(F.lit(k), "doc_id"), 64 - _FILTER_BITS) for k in range(2)]
 
-        held = np.ones(len(first), bool)
-        for p in (first.to_numpy(np.int64), second.to_numpy(np.int64)):
-            held &= (bits.value[p >> 6] >> (p & 63)) & 1 == 1
-        return pd.Series(held)
 
-    places = [F.shiftrightunsigned(F.xxhash64(F.lit(k), "doc_id"), 64 - _FILTER_BITS) for k in range(2)]
-    read = docs.filter(maybe(*places)).mapInArrow(_arrays, "doc_id long, d1 long, d2 long, shingles array<long>")
+def _wanted_arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls, shingles of the wanted classes (cls, doc_id, d1, d2), from another reading of the text."""
+    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted))
+    p0, p1 = _places()
+    read = docs.select("doc_id", "text", p0.alias("p0"), p1.alias("p1")).mapInArrow(_arrays(bits), "doc_id long, d1 long, d2 long, shingles array<long>")
     once = read.join(wanted, (read["doc_id"].eqNullSafe(wanted["doc_id"])) & (read["d1"] == wanted["d1"]) & (read["d2"] == wanted["d2"]), "inner").select("cls", "shingles")
     return materialize(once.groupBy("cls").agg(F.any_value("shingles").alias("shingles")))
 
