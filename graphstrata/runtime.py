@@ -38,6 +38,15 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` returned and that nothing reads any more."""
+    spark = df.sparkSession
+    fs_of = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(fs_of).delete(path, True)
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Delete what ``materialize`` wrote for this session's shared folder."""
     jvm = spark.sparkContext._jvm
