@@ -7,9 +7,9 @@ reach the limit. Bitmaps of shingle parities, longer for larger sets, bound the
 from above by a bit count; only pairs that pass are put to the exact intersection of
 sorted arrays.
 
-Links are gathered in two rounds, so that a group of n copies costs n pairs and not n
-squared: first each class is tried with the nearest of a few before it, then only pairs
-whose components still differ, all of them.
+Links are gathered in three rounds, so that a group of n copies costs n pairs and not n
+squared: first each class is tried with the nearest before it, then with the nearest of
+another component, and at last all pairs are that pass and whose components still differ.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from graphstrata.llm.hashing import Block, Sums, blocks, mix
 from graphstrata.operators.components import connected_components
-from graphstrata.runtime import materialize
+from graphstrata.runtime import discard, materialize
 
 WORDS = 5
 #: Two sets link when LINK_OVER * intersection >= LINK_UNDER * union.
@@ -35,9 +35,11 @@ _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _LEAST_BITS, _MOST_BITS = 256, 1 << 14
+#: Bits of the second bitmap, which is asked about fewer pairs, for each of the first.
+_FINER = 2
+_LEAST_FINE_BITS = 1024
 #: A shingle is common when in so large a share of documents; it then stands last in every class's order.
 _COMMON_SHARE, _COMMON_LEAST, _COMMON_IN_BLOCK = 1 / 1000, 64, 3
-_BEFORE = 32
 _CHUNK_BYTES, _CHUNK_PAIRS, _XOR_BYTES = 8 << 20, 200_000, 8 << 20
 _FILTER_BITS = 23
 
@@ -87,9 +89,8 @@ def bits_of(n: int) -> int:
     return min(max(_LEAST_BITS, 1 << int(n - 1).bit_length()), _MOST_BITS)
 
 
-def bitmap_of(found: np.ndarray) -> bytes:
+def bitmap_of(found: np.ndarray, bits: int) -> bytes:
     """A bit for each residue: whether an odd number of shingles fall on it. Half the length is the two halves' exclusive or."""
-    bits = bits_of(len(found))
     odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -129,7 +130,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def _described(common: np.ndarray):
-    names = ["doc_id", "n", "d1", "d2", "prefix", "bitmap"]
+    names = ["doc_id", "n", "d1", "d2", "prefix", "bitmap", "fine"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +141,8 @@ def _described(common: np.ndarray):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(done, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
-                        _longs([prefix_of(s, common) if len(s) else s for s in sets]), pa.array([bitmap_of(s) if len(s) else b"" for s in sets], pa.binary()),
+                        _longs([prefix_of(s, common) if len(s) else s for s in sets]), pa.array([bitmap_of(s, bits_of(len(s))) if len(s) else b"" for s in sets], pa.binary()),
+                        pa.array([bitmap_of(s, max(_LEAST_FINE_BITS, _FINER * bits_of(len(s)))) if len(s) else b"" for s in sets], pa.binary()),
                     ],
                     names=names,
                 )
@@ -240,11 +242,11 @@ class _Chunk:
         self.tile = tile
         self.bitmaps = _Bitmaps(batch.column("bitmap").to_pylist())
 
-    def passing(self, low: np.ndarray, high: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Earlier row, later row and differing bits of the pairs (low[j] <= i < j) that the bitmaps let pass, a bounded number at a time."""
-        rows = np.arange(len(self.n)) if high is None else high
-        count = rows - low
-        rows, low, count = rows[count > 0], low[count > 0], count[count > 0]
+    def passing(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Earlier row, later row and differing bits of the pairs in reach that the bitmaps let pass, a bounded number at a time."""
+        rows = np.arange(len(self.n))
+        count = rows - self.low
+        rows, low, count = rows[count > 0], self.low[count > 0], count[count > 0]
         cut = np.flatnonzero(np.diff(np.cumsum(count) // _CHUNK_PAIRS)) + 1
         for r, lo, c in zip(np.split(rows, cut), np.split(low, cut), np.split(count, cut), strict=True):
             if not len(r):
@@ -263,31 +265,53 @@ class _Chunk:
         return a[ok], b[ok], differ[ok]
 
 
+def _best_of(cls: np.ndarray, other: np.ndarray, differ: np.ndarray) -> pa.RecordBatch:
+    """The pair of the fewest differing bits for each class."""
+    order = np.lexsort((other, differ, cls))
+    order = order[np.concatenate([[True], cls[order][1:] != cls[order][:-1]])] if len(order) else order
+    return pa.RecordBatch.from_arrays([pa.array(cls[order]), pa.array(other[order]), pa.array(differ[order])], names=["cls", "other", "differ"])
+
+
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each class with a pair that passes: the nearest of the few before it, if any of them passes."""
+    """For each class the nearest one before it that passes (with differ), and the tiles in which a pair of it passes (with shingle)."""
     for batch in _whole_tiles(batches):
         chunk = _Chunk(batch)
+        alive = np.zeros(len(chunk.n), bool)
         found = [(np.zeros(0, np.int64),) * 3]
-        for a, b, differ in chunk.passing(np.maximum(chunk.low, np.arange(len(chunk.n)) - _BEFORE)):
-            found.append((chunk.cls[b], chunk.cls[a], differ))
-        cls, other, differ = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((other, differ, cls))
-        order = order[np.concatenate([[True], cls[order][1:] != cls[order][:-1]])] if len(order) else order
-        yield pa.RecordBatch.from_arrays([pa.array(cls[order]), pa.array(other[order]), pa.array(differ[order])], names=["cls", "other", "differ"])
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs that pass and whose components differ."""
+        for a, b, differ in chunk.passing():
+            alive[a] = alive[b] = True
+            best = _best_of(chunk.cls[b], chunk.cls[a], differ)
+            found.append(tuple(c.to_numpy() for c in best.columns))
+        best = _best_of(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        yield pa.RecordBatch.from_arrays([*best.columns, pa.nulls(best.num_rows, pa.int64())], names=["cls", "other", "differ", "shingle"])
+        none = pa.nulls(int(alive.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(chunk.cls[alive]), none, none, batch.column("shingle").filter(pa.array(alive))], names=["cls", "other", "differ", "shingle"])
+
+
+def _mixed_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Chunk, np.ndarray]]:
+    """Tiles that hold more than one component, and their rows' components."""
     for batch in _whole_tiles(batches):
         component, shingle = batch.column("component").to_numpy(), batch.column("shingle").to_numpy()
         new = np.concatenate([[True], shingle[1:] != shingle[:-1]])
-        tile = np.cumsum(new) - 1
         start = np.flatnonzero(new)
-        mixed = (np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start))[tile]
-        if not mixed.any():
-            continue
-        batch = batch.filter(pa.array(mixed))
-        chunk, component = _Chunk(batch), component[mixed]
+        mixed = (np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start))[np.cumsum(new) - 1]
+        if mixed.any():
+            yield _Chunk(batch.filter(pa.array(mixed))), component[mixed]
+
+
+def _nearest_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each class outside its tile's largest component, the nearest of another component that passes."""
+    for chunk, component in _mixed_chunks(batches):
+        found = [(np.zeros(0, np.int64),) * 3]
+        for a, b, differ in _cross_pairs(chunk, component):
+            best = _best_of(chunk.cls[b], chunk.cls[a], differ)
+            found.append(tuple(c.to_numpy() for c in best.columns))
+        yield _best_of(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs that pass and whose components differ."""
+    for chunk, component in _mixed_chunks(batches):
         pairs = set()
         for a, b, _ in _cross_pairs(chunk, component):
             x, y = chunk.cls[a], chunk.cls[b]
@@ -416,31 +440,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common = common_shingles(slim)
-    described = materialize(slim.mapInArrow(_described(common), "doc_id long, n long, d1 long, d2 long, prefix array<long>, bitmap binary"))
-    some = described.filter(F.col("n") > 0)
-    first = [F.any_value(c).alias(c) for c in ("n", "prefix", "bitmap")]
-    classes = materialize(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), *first).withColumn("cls", F.monotonically_increasing_id()))
+    whole = materialize(slim.mapInArrow(_described(common), "doc_id long, n long, d1 long, d2 long, prefix array<long>, bitmap binary, fine binary"))
+    described = materialize(whole.select("doc_id", "n", "d1", "d2"))
+    first = [F.any_value(c).alias(c) for c in ("n", "prefix", "bitmap", "fine")]
+    classes = materialize(whole.filter(F.col("n") > 0).groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), *first).withColumn("cls", F.monotonically_increasing_id()))
+    discard(whole)
 
     rows = classes.select(F.explode("prefix").alias("shingle"), "n", "cls")
     met = materialize(rows.repartition("shingle").sortWithinPartitions("shingle", "n", "cls").mapInArrow(_meetings, "shingle long, cls long"))
-    tiles = met.join(classes.select("cls", "n", "bitmap"), "cls")
 
     def in_tiles(df: DataFrame, run, schema: str) -> DataFrame:
         return df.repartition("shingle").sortWithinPartitions("shingle", "n", "cls").mapInArrow(run, schema)
 
-    near = in_tiles(tiles, _nearest, "cls long, other long, differ long").groupBy("cls").agg(F.min_by("other", F.struct("differ", "other")).alias("other"))
-    tried = materialize(near.select(F.col("other").alias("x"), F.col("cls").alias("y")))
-    wanted = tried.select(F.col("x").alias("cls")).unionByName(tried.select(F.col("y").alias("cls"))).distinct()
-    arrays = _wanted_arrays(slim, materialize(wanted.join(classes.select("cls", "doc_id", "d1", "d2"), "cls")))
-    links = _verified(tried, arrays)
-
-    parts = connected_components(links, "x", "y").withColumnsRenamed({"node": "cls", "component": "component"})
-    placed = tiles.join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    late = materialize(in_tiles(placed, _across, "x long, y long").distinct())
-    missing = late.select(F.col("x").alias("cls")).unionByName(late.select(F.col("y").alias("cls"))).distinct().join(arrays.select("cls"), "cls", "left_anti")
-    more = materialize(missing.join(classes.select("cls", "doc_id", "d1", "d2"), "cls"))
-    if more.limit(1).count():
-        arrays = arrays.unionByName(_wanted_arrays(slim, more))
+    near = materialize(in_tiles(met.join(classes.select("cls", "n", "bitmap"), "cls"), _nearest, "cls long, other long, differ long, shingle long"))
+    alive = materialize(near.filter(F.col("shingle").isNotNull()).select("shingle", "cls").join(classes.select("cls", "n", F.col("fine").alias("bitmap")), "cls"))
+    wanted = alive.select("cls").distinct().join(classes.select("cls", "doc_id", "d1", "d2"), "cls")
+    arrays = _wanted_arrays(slim, materialize(wanted))
+
+    def best(df: DataFrame) -> DataFrame:
+        chosen = df.groupBy("cls").agg(F.min_by("other", F.struct("differ", "other")).alias("other"))
+        return materialize(chosen.select(F.col("other").alias("x"), F.col("cls").alias("y")))
+
+    def placed(links: DataFrame) -> DataFrame:
+        parts = connected_components(links, "x", "y").withColumnRenamed("node", "cls")
+        return alive.join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+    links = _verified(best(near.filter(F.col("differ").isNotNull())), arrays)
+    across = in_tiles(placed(links), _nearest_across, "cls long, other long, differ long")
+    links = materialize(links.unionByName(_verified(best(across), arrays)))
+    late = materialize(in_tiles(placed(links), _across, "x long, y long").distinct())
     links = materialize(links.unionByName(_verified(late, arrays)))
 
     joined = connected_components(links, "x", "y")
