@@ -19,7 +19,7 @@ from graphstrata.operators.graph import Graph
 from graphstrata.operators.indexing import dense_index
 from graphstrata.runtime import materialize
 
-KERNEL_NODES, KERNEL_ROWS = 20_000, 400_000
+KERNEL_NODES, KERNEL_ROWS = 100_000, 1_500_000
 _ROUNDS, _PATIENCE, _LEVELS = 64, 2, 32
 _GAIN = 1e-12
 _WORD = (1 << 63) - 1
