@@ -40,7 +40,11 @@ def _byte_letters() -> list[str]:
 
 
 class WordBPE:
-    """Reads the vocabulary file; ``encode`` and ``decode`` follow its normaliser, splitter and merges."""
+    """Reads the vocabulary file; ``encode`` and ``decode`` follow its normaliser, splitter and merges.
+
+    Letters and numbers are those of the installed Unicode tables; characters added to
+    Unicode after version 15.1 may be split otherwise than by other libraries.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
