@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphstrata.operators.indexing import dense_index
 from graphstrata.runtime import materialize
 
 
@@ -68,33 +69,46 @@ def hub_graph(adj: DataFrame, hubs: DataFrame, k: int) -> DataFrame:
 _DRIVER_CLUSTERS, _DRIVER_EDGES = 10_000, 200_000
 
 
-def cluster_corridor(cluster_adj: DataFrame, clusters: DataFrame, a: int, b: int) -> list[int] | None:
-    """The clusters on a shortest path from a to b, ends included; None if there is none, or an end is not among ``clusters`` (cluster).
+def cluster_corridors(cluster_adj: DataFrame, clusters: DataFrame, pairs: list[tuple[int, int]]) -> dict[tuple[int, int], list[int] | None]:
+    """For each pair the clusters on a shortest path, ends included; None if there is none, or an end is not among ``clusters`` (cluster).
 
     Of equal paths, the one found first by a search that takes neighbours in ascending
     order: within a depth, nodes stand in the order of their predecessor, then of their
     id, and keep the first predecessor. A super-graph of a counted small size is walked
-    on the driver.
+    on the driver, a larger one by joins.
     """
-    if clusters.filter(F.col("cluster").isin(a, b)).select("cluster").distinct().count() != len({a, b}):
-        return None
-    if a == b:
-        return [a]
+    asked = sorted({c for p in pairs for c in p})
+    known = {r["cluster"] for r in clusters.filter(F.col("cluster").isin(asked)).select("cluster").distinct().collect()}
     near = simple(cluster_adj)
+    table = None
     if clusters.limit(_DRIVER_CLUSTERS + 1).count() <= _DRIVER_CLUSTERS and near.limit(_DRIVER_EDGES + 1).count() <= _DRIVER_EDGES:
-        table: dict[int, list[int]] = {}
+        table = {}
         for row in near.orderBy("src", "dst").collect():
             table.setdefault(row["src"], []).append(row["dst"])
-        return _walk(table, a, b)
-    spark = cluster_adj.sparkSession
-    reached = materialize(spark.createDataFrame([(a, None, 0, 0)], "node long, pred long, place long, depth int"))
+    out: dict[tuple[int, int], list[int] | None] = {}
+    for a, b in pairs:
+        if a not in known or b not in known:
+            out[a, b] = None
+        elif table is not None:
+            out[a, b] = _walk(table, a, b)
+        else:
+            out[a, b] = _joined_walk(near, a, b)
+    return out
+
+
+def cluster_corridor(cluster_adj: DataFrame, clusters: DataFrame, a: int, b: int) -> list[int] | None:
+    return cluster_corridors(cluster_adj, clusters, [(a, b)])[a, b]
+
+
+def _joined_walk(near: DataFrame, a: int, b: int) -> list[int] | None:
+    if a == b:
+        return [a]
+    reached = materialize(near.sparkSession.createDataFrame([(a, None, 0, 0)], "node long, pred long, place long, depth int"))
     frontier, depth = reached, 0
     while True:
         depth += 1
         offers = frontier.join(near, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("place", F.col("src").alias("pred"))).alias("best"))
         fresh = offers.join(reached, "node", "left_anti").select("node", F.col("best.pred").alias("pred"), F.col("best.place").alias("up"))
-        from graphstrata.operators.indexing import dense_index
-
         frontier = materialize(dense_index(fresh, "up", "node", name="place").select("node", "pred", "place", F.lit(depth).alias("depth")))
         if not frontier.limit(1).count():
             return None
@@ -108,6 +122,8 @@ def cluster_corridor(cluster_adj: DataFrame, clusters: DataFrame, a: int, b: int
 
 
 def _walk(table: dict[int, list[int]], a: int, b: int) -> list[int] | None:
+    if a == b:
+        return [a]
     back, queue = {a: a}, [a]
     for node in queue:
         for other in table.get(node, []):

@@ -335,7 +335,8 @@ def cluster_corridor(spark, d):
     near, names = materialize(community.cluster_adjacency(g.adj, part)), materialize(part.select(F.col("community").alias("cluster")).distinct())
     n = tables.table(spark, d, "nation").filter("n_regionkey = 1").orderBy("n_nationkey").limit(25)
     keys = [r["n_nationkey"] + 5 for r in n.collect()]
-    out = [(a, b, i, c) for k, a in enumerate(keys) for b in keys[k + 1 :] for i, c in enumerate(paths.cluster_corridor(near, names, a, b))]
+    found = paths.cluster_corridors(near, names, [(a, b) for k, a in enumerate(keys) for b in keys[k + 1 :]])
+    out = [(a, b, i, c) for (a, b), path in found.items() for i, c in enumerate(path)]
     return spark.createDataFrame(out, "a int, b int, step int, cluster int")
 
 
