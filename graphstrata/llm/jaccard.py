@@ -288,15 +288,25 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(chunk.cls[alive]), none, none, batch.column("shingle").filter(pa.array(alive))], names=["cls", "other", "differ", "shingle"])
 
 
-def _mixed_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Chunk, np.ndarray]]:
-    """Tiles that hold more than one component, and their rows' components."""
+def _mixed(batch: pa.RecordBatch) -> np.ndarray:
+    """Which rows' tiles hold more than one component."""
+    component, shingle = batch.column("component").to_numpy(), batch.column("shingle").to_numpy()
+    new = np.concatenate([[True], shingle[1:] != shingle[:-1]])
+    start = np.flatnonzero(new)
+    return (np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start))[np.cumsum(new) - 1]
+
+
+def _open_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of tiles that hold more than one component."""
     for batch in _whole_tiles(batches):
-        component, shingle = batch.column("component").to_numpy(), batch.column("shingle").to_numpy()
-        new = np.concatenate([[True], shingle[1:] != shingle[:-1]])
-        start = np.flatnonzero(new)
-        mixed = (np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start))[np.cumsum(new) - 1]
+        mixed = _mixed(batch)
         if mixed.any():
-            yield _Chunk(batch.filter(pa.array(mixed))), component[mixed]
+            yield batch.filter(pa.array(mixed))
+
+
+def _mixed_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Chunk, np.ndarray]]:
+    for batch in _whole_tiles(batches):
+        yield _Chunk(batch), batch.column("component").to_numpy()
 
 
 def _nearest_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,7 +463,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return df.repartition("shingle").sortWithinPartitions("shingle", "n", "cls").mapInArrow(run, schema)
 
     near = materialize(in_tiles(met.join(classes.select("cls", "n", "bitmap"), "cls"), _nearest, "cls long, other long, differ long, shingle long"))
-    alive = materialize(near.filter(F.col("shingle").isNotNull()).select("shingle", "cls").join(classes.select("cls", "n", F.col("fine").alias("bitmap")), "cls"))
+    alive = near.filter(F.col("shingle").isNotNull()).select("shingle", "cls")
     wanted = alive.select("cls").distinct().join(classes.select("cls", "doc_id", "d1", "d2"), "cls")
     arrays = _wanted_arrays(slim, materialize(wanted))
 
@@ -461,14 +471,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         chosen = df.groupBy("cls").agg(F.min_by("other", F.struct("differ", "other")).alias("other"))
         return materialize(chosen.select(F.col("other").alias("x"), F.col("cls").alias("y")))
 
-    def placed(links: DataFrame) -> DataFrame:
+    def still_open(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """Rows of tiles in which components meet: narrow ones, before any bitmap is sent."""
         parts = connected_components(links, "x", "y").withColumnRenamed("node", "cls")
-        return alive.join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        placed = rows.select("shingle", "cls").join(parts, "cls", "left").select("shingle", "cls", F.coalesce("component", "cls").alias("component"))
+        return materialize(placed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_open_tiles, "shingle long, cls long, component long"))
+
+    def with_bitmaps(rows: DataFrame) -> DataFrame:
+        return rows.join(classes.select("cls", "n", F.col("fine").alias("bitmap")), "cls")
 
     links = _verified(best(near.filter(F.col("differ").isNotNull())), arrays)
-    across = in_tiles(placed(links), _nearest_across, "cls long, other long, differ long")
+    rows = still_open(alive, links)
+    across = in_tiles(with_bitmaps(rows), _nearest_across, "cls long, other long, differ long")
     links = materialize(links.unionByName(_verified(best(across), arrays)))
-    late = materialize(in_tiles(placed(links), _across, "x long, y long").distinct())
+    rows = still_open(rows, links)
+    late = materialize(in_tiles(with_bitmaps(rows), _across, "x long, y long").distinct())
     links = materialize(links.unionByName(_verified(late, arrays)))
 
     joined = connected_components(links, "x", "y")
