@@ -89,8 +89,10 @@ _AT_WORD, _DOT_WORD = r"(?:at|arroba|arobase|klammeraffe|@)", r"(?:dot|punkt|pun
 _OPEN, _CLOSE = r"[\[({<]{1,2}\s{0,3}", r"\s{0,3}[\])}>]{1,2}"
 _BRACKETED = re.compile(rf"(?i)\s{{0,3}}{_OPEN}(?:(?P<at>{_AT_WORD})|(?P<dot>{_DOT_WORD})){_CLOSE}\s{{0,3}}")
 _PART = r"[A-Za-z0-9_%+-]+"
+# Ends of domains that are no common words, which an address written out in words must have.
+_ENDS = "com|net|org|edu|gov|mil|int|info|biz|io|co|uk|de|fr|es|eu|ch|nl|pl|ru|jp|cn|br|au|ca|dev|app|ai|xyz|online|site|tech"
 _WRITTEN = re.compile(
-    rf"(?i)(?<![\w.%+-]){_PART}(?:(?:\.|\s+{_DOT_WORD}\s+){_PART})*(?:\s*@\s*|\s+at\s+)[A-Za-z0-9-]+(?:(?:\.|\s+{_DOT_WORD}\s+)[A-Za-z0-9-]+)*\s+{_DOT_WORD}\s+[A-Za-z]{{2,}}(?!\w)"
+    rf"(?i)(?<![\w.%+-]){_PART}(?:(?:\.|\s+{_DOT_WORD}\s+){_PART})*(?:\s*@\s*|\s+at\s+)[A-Za-z0-9-]+(?:(?:\.|\s+{_DOT_WORD}\s+)[A-Za-z0-9-]+)*\s+{_DOT_WORD}\s+(?:{_ENDS})(?!\w)"
 )
 _SEPARATOR = re.compile(rf"(?i)(?P<at>\s*@\s*|\s+at\s+)|(?P<dot>\s+{_DOT_WORD}\s+)")
 _DIGIT_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
