@@ -438,17 +438,12 @@ def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class_id, n_links, component_id for each row of ``docs``.
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    class_id is the smallest id of the documents of the same shingle set, n_links how
-    many linked pairs of its class were written down to connect it (enough for the
-    components, not all), component_id the smallest id that links lead to. Null and
-    empty texts have an empty set, no class but their own id, and no links. Repeated
-    rows are documents of one class. A null id is never the smallest of its class
-    unless all are null. An empty table gives an empty result; other columns are not read.
-    """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+def _joined(slim: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, d1, d2), classes (cls, d1, d2, doc_id of the smallest id, and more), and links (x, y) enough to connect them."""
     common = common_shingles(slim)
     whole = materialize(slim.mapInArrow(_described(common), "doc_id long, n long, d1 long, d2 long, prefix array<long>, bitmap binary, fine binary"))
     described = materialize(whole.select("doc_id", "n", "d1", "d2"))
@@ -486,8 +481,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(links.unionByName(_verified(best(across), arrays)))
     rows = still_open(rows, links)
     late = materialize(in_tiles(with_bitmaps(rows), _across, "x long, y long").distinct())
-    links = materialize(links.unionByName(_verified(late, arrays)))
+    return described, classes, materialize(links.unionByName(_verified(late, arrays)))
+
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class_id, n_links, component_id for each row of ``docs``.
+
+    class_id is the smallest id of the documents of the same shingle set, n_links how
+    many linked pairs of its class were written down to connect it (enough for the
+    components, not all), component_id the smallest id that links lead to. Null and
+    empty texts have an empty set, no class but their own id, and no links. Repeated
+    rows are documents of one class. A null id is never the smallest of its class
+    unless all are null. An empty table gives an empty result; other columns are not read.
+    """
+    described, classes, links = _joined(_slim(docs))
     joined = connected_components(links, "x", "y")
     ends = links.select(F.explode(F.array("x", "y")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     named = classes.select("cls", "d1", "d2", "doc_id").join(joined.withColumnRenamed("node", "cls"), "cls").join(ends, "cls", "left")
@@ -498,17 +505,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return linked.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _digest_of(text: pa.Array) -> pa.Array:
+    halves = np.concatenate([np.zeros((0, 2), np.int64), *(_digests(list(_block_sets(block))) for block in blocks(text, b" "))])
+    return pa.StructArray.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["d1", "d2"])
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, one row for each, with their columns as they were.
+    """One row of ``docs`` for each component, that of the smallest id, with its columns as they were.
 
-    Rows that repeat an id stay only if their texts differ and each is the smallest of
-    its own component; exact repeats leave one. Documents without words all stay, as
-    they link with nothing.
+    Rows are told apart by id and shingle set, so that of rows that repeat an id each
+    stays that is the smallest of its own component; of rows alike in both one stays.
+    A null id is the smallest only where all are null. Documents without words all stay,
+    as they link with nothing.
     """
-    marked = near_duplicates(docs)
-    gone = marked.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    stay = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"))
-    return stay.join(gone, F.col("_doc") == F.col("_gone"), "left_anti").select("_row.*")
+    described, classes, links = _joined(_slim(docs))
+    parts = connected_components(links, "x", "y").withColumnRenamed("node", "cls")
+    placed = classes.select("cls", "doc_id", "d1", "d2").join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "d1", "d2")).alias("first"))
+    stays = first.select(F.col("first.doc_id").alias("_id"), F.col("first.d1").alias("_f1"), F.col("first.d2").alias("_f2"), F.lit(True).alias("_one"))
+    rows = described.filter(F.col("n") > 0).groupBy("doc_id", "d1", "d2").agg(F.count(F.lit(1)).alias("copies"))
+    told = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("d1") == F.col("_f1")) & (F.col("d2") == F.col("_f2")), "left").filter("_one IS NULL OR copies > 1")
+    # the rows to drop (_one is false) and those of which one stays: few beside the documents
+    told = materialize(told.select(F.col("doc_id").alias("_id"), F.col("d1").alias("_t1"), F.col("d2").alias("_t2"), F.coalesce("_one", F.lit(False)).alias("_one")))
+    shared = materialize(described.groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id"))
+    read = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"))
+    by_id = F.col("_doc").eqNullSafe(F.col("_id"))
+    if shared.isEmpty():
+        return read.join(told.select("_id"), by_id, "left_anti").select("_row.*")
+    # only rows that share their id are read for their sets once more
+    digest = F.arrow_udf(_digest_of, "struct<d1:long,d2:long>")(F.col("_row.text").cast("string"))
+    many = read.join(shared, by_id, "left_semi").withColumn("_key", digest)
+    same = by_id & (F.col("_key.d1") == F.col("_t1")) & (F.col("_key.d2") == F.col("_t2"))
+    alone = read.join(told.select("_id").union(shared).distinct(), by_id, "left_anti").select("_row")
+    one = many.join(told.filter("_one"), same).dropDuplicates(["_id", "_t1", "_t2"]).select("_row")
+    return alone.unionByName(many.join(told, same, "left_anti").select("_row")).unionByName(one).select("_row.*")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

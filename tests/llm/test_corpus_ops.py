@@ -60,6 +60,21 @@ def test_keep_one(spark):
     assert jaccard.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_tells_rows_apart_that_share_an_id(spark):
+    a, b, c, d = "one two three four five six", "sun moon star sky rain snow", "red green blue grey pink teal", "cat dog fox hen cow pig"
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [
+        (3, b), (5, b), (5, a),  # 5 is a copy of 3 in one row only
+        (1, c), (1, c), (None, c), (None, d), (None, d),  # exact repeats, and null ids with and without a smaller one
+        (7, near), (7, near + " end"), (8, near),  # near copies of one id
+        (9, None), (9, None), (None, ""),
+    ]
+    out = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert [r for r in got if r[0] != 7] == sorted([(3, b), (5, a), (1, c), (None, d), (9, None), (9, None), (None, "")], key=str)
+    assert len([r for r in got if r[0] == 7]) == 1
+
+
 def test_bitmaps_never_hide_an_overlap():
     rng = np.random.default_rng(5)
     for _ in range(200):
