@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphstrata.llm.domains import ENDS
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, str]
 
@@ -89,16 +91,24 @@ _AT_WORD, _DOT_WORD = r"(?:at|arroba|arobase|klammeraffe|@)", r"(?:dot|punkt|pun
 _OPEN, _CLOSE = r"[\[({<]{1,2}\s{0,3}", r"\s{0,3}[\])}>]{1,2}"
 _BRACKETED = re.compile(rf"(?i)\s{{0,3}}{_OPEN}(?:(?P<at>{_AT_WORD})|(?P<dot>{_DOT_WORD})){_CLOSE}\s{{0,3}}")
 _PART = r"[A-Za-z0-9_%+-]+"
-# Ends of domains that are no common words, which an address written out in words must have.
-_ENDS = "com|net|org|edu|gov|mil|int|info|biz|io|co|uk|de|fr|es|eu|ch|nl|pl|ru|jp|cn|br|au|ca|dev|app|ai|xyz|online|site|tech"
+# Endings that prose can't be taken for, those that are common words, which never follow a "point" without another
+# sign, and words before a "dot" in prose.
+_SURE_ENDS = frozenset("com net org edu gov mil int info biz io co uk de fr es eu ch nl pl ru jp cn br au ca dev app ai xyz online site tech".split())
+_COMMON_ENDS = frozenset("am as at be call can dad day do fan fast free fun gold go got help here how in is it like living man me my new next no now one open organic play rest room safe save se show so study tips to today top us watch we win work works world yes you zero".split())
+_ARTICLES = frozenset("the a an this that each every any some which what one my your his her our their its no dot".split())
 _WRITTEN = re.compile(
-    rf"(?i)(?<![\w.%+-]){_PART}(?:(?:\.|\s+{_DOT_WORD}\s+){_PART})*(?:\s*@\s*|\s+at\s+)[A-Za-z0-9-]+(?:(?:\.|\s+{_DOT_WORD}\s+)[A-Za-z0-9-]+)*\s+{_DOT_WORD}\s+(?:{_ENDS})(?!\w)"
+    rf"(?i)(?<![\w.%+-])(?P<local>{_PART}(?:(?:\.|\s+{_DOT_WORD}\s+){_PART})*)(?P<at>\s*@\s*|\s+at\s+)"
+    rf"(?P<first>[A-Za-z0-9-]+)(?:(?:\.|\s+{_DOT_WORD}\s+)[A-Za-z0-9-]+)*\s+(?P<dot>{_DOT_WORD})\s+(?P<end>{'|'.join(sorted(ENDS, key=len, reverse=True))})(?!\w)"
 )
+# With a sign or a local part of several words, any ending will do; it must be written out.
+_SIGNED = re.compile(rf"(?i)(?<![\w.%+-])(?:{_PART}(?:(?:\.|\s+{_DOT_WORD}\s+){_PART})+(?:\s*@\s*|\s+at\s+)|{_PART}\s*@\s*)[A-Za-z0-9-]+(?:\s+(?:dot|punkt|punto|point)\s+(?!(?:dot|punkt|punto|point)\b)[A-Za-z][A-Za-z0-9-]+)+(?!\w)")
 _SEPARATOR = re.compile(rf"(?i)(?P<at>\s*@\s*|\s+at\s+)|(?P<dot>\s+{_DOT_WORD}\s+)")
 _DIGIT_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
-_TWO_DIGITS = re.compile(rf"\b(?:{_DIGIT_WORD}|[0-9])[ ,.-]{{1,3}}(?:(?:dot|point|punkt|punto) )?(?:{_DIGIT_WORD})\b")
+_MIXED = re.compile(rf"\b(?:{_DIGIT_WORD})(?:[\s,-]{{1,3}}|\s*(?:\.|dot|point|punkt|punto)\s*)(?:{_DIGIT_WORD}|[0-9])|[0-9](?:[\s,-]{{1,3}}|\s*(?:\.|dot|point|punkt|punto)\s*)(?:{_DIGIT_WORD})\b|[0-9]\s*(?:dot|point|punkt|punto)\s*[0-9]")
+_AT_GATE, _DOT_GATE = re.compile(r"@|\sat\s"), re.compile(rf"\s{_DOT_WORD}\s")
 _DIGIT_RUN = re.compile(rf"(?i)(?<!\w)(?:plus\s+)?(?:{_DIGIT_WORD}|[0-9]+)(?:(?:[\s,-]{{1,3}}|\s*(?:\.|dot|point|punkt|punto)\s*)(?:{_DIGIT_WORD}|[0-9]+)(?!\w))+")
 _IN_RUN = re.compile(rf"(?i)(?P<plus>plus\s+)|(?P<word>{_DIGIT_WORD})|(?P<dot>\s*(?:\.|dot|point|punkt|punto)\s*)|(?P<gap>[\s,-]{{1,3}})|(?P<digit>[0-9])")
+#: Digits spelled out that make a run a disguise whatever it gives; with fewer, or worded dots, it must give an identifier.
 _LEAST_SPELLED = 4
 
 
@@ -155,7 +165,7 @@ def _inside(pattern: re.Pattern, m: re.Match) -> list[tuple[str, int, int]]:
 
 
 def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
-    out, spelled, at, was_word = [], 0, m.start(), False
+    out, spelled, worded, at, was_word = [], 0, False, m.start(), False
     while at < m.end():
         t = _IN_RUN.match(m.string, at, m.end())
         if t is None:
@@ -170,11 +180,25 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
             out.append((t["digit"], t.start(), t.end()))
             was_word = False
         elif t["dot"]:
+            worded = worded or t["dot"].strip() != "."
             out.append((".", t.start(), t.end()))
         elif not was_word:
             out.append((" ", t.start(), t.end()))
         at = t.end()
-    return out if spelled >= _LEAST_SPELLED else None
+    if spelled < _LEAST_SPELLED:
+        written = ("+" if m.string[m.start() - 1 : m.start()] == "+" else "") + "".join([piece for piece, _, _ in out])
+        if not (spelled or worded) or next(_numbers(written), None) is None:
+            return None
+    return out
+
+
+def _address(m: re.Match) -> list[tuple[str, int, int]] | None:
+    signed = "@" in m["at"] or "." in m["local"] or " " in " ".join(m["local"].split())
+    end = m["end"].lower()
+    common = end in _COMMON_ENDS or len(end) > 2 and end not in _SURE_ENDS
+    if end == "dot" or not signed and (common and m["first"].lower() in _ARTICLES or end in _COMMON_ENDS and m["dot"].lower() == "point"):
+        return None
+    return _inside(_SEPARATOR, m)
 
 
 def normalised(text: str) -> Mapped | None:
@@ -182,8 +206,8 @@ def normalised(text: str) -> Mapped | None:
     odd = not text.isascii() and _ODD.search(text)
     low = text.lower()
     bracketed = any(c in low for c in "[({<") and _BRACKETED.search(text)
-    written = (" at " in low or "@" in low) and any(f" {w} " in low for w in ("dot", "punkt", "punto", "point", "."))
-    spelled = _TWO_DIGITS.search(low)
+    written = _AT_GATE.search(low) and _DOT_GATE.search(low)
+    spelled = _MIXED.search(low)
     if not (odd or bracketed or written or spelled):
         return None
     now = Mapped.of(text)
@@ -191,7 +215,7 @@ def normalised(text: str) -> Mapped | None:
         now = now.sub(_ODD, _plain_letter)
     now = now.sub(_BRACKETED, _sign)
     now = now.sub(_DIGIT_RUN, _digits)
-    return now.sub(_WRITTEN, lambda m: _inside(_SEPARATOR, m))
+    return now.sub(_WRITTEN, _address).sub(_SIGNED, lambda m: _inside(_SEPARATOR, m))
 
 
 def hidden_spans(text: str, base: list[Span]) -> list[Span]:

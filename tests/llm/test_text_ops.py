@@ -267,6 +267,23 @@ def test_disguises(text, found, kind):
     assert (kind, found) in [(k, text[b:e]) for b, e, k in spans]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        *((f"jane at firma {end}", "email") for end in ("dot it", "punkt at", "dot se", "dot be", "dot us", "dot me", "dot in", "dot museum")),
+        ("jane [at] firma dot it", "email"), ("jane [at] firma dot intranet", "email"), ("jane\nat\tfirma  dot\nde", "email"),
+        ("192 dot 168 dot 1 dot 20", "ip"), ("10.0.zero.one", "ip"), ("+49 one five one 2345678", "phone"), ("+49 151 two 345678", "phone"),
+    ],
+)
+def test_disguises_with_few_signs(text, kind):
+    assert pii.hidden_spans(f"so {text} ok", pii.plain_spans(text)) == [(3, 3 + len(text), kind)]
+
+
+@pytest.mark.parametrize("text", ["look at this point in time", "look at the dot in the middle", "at that point it was two", "we met at noon dot dot dot", "at some point people say", "between 2 point 5 and one, 3 or four"])
+def test_prose_with_dots_and_numbers_is_clean(text):
+    assert pii.hidden_spans(text, pii.plain_spans(text)) == []
+
+
 @pytest.mark.parametrize("text", ["look at the dot on the map", "one two three go", "meet at example.com today", "plain text", "Ночь и день"])
 def test_clean_texts_have_no_spans(text):
     assert pii.plain_spans(text) == [] and pii.hidden_spans(text, []) == []
