@@ -35,7 +35,12 @@ _WORDS = frozenset(
     " aside cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended"
     " recommendations comment comments disqus reply replies respond pagination pager widget toolbar topbar masthead skip".split()
 )
+# Words that make a compound name a page's layout or state ("has-sidebar", "comments-open"), not a part of it.
+_LAYOUT = frozenset("has no not with without open closed free enabled disabled target story".split())
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_TOLD = frozenset("article main h1".split())
+#: A named subtree is boilerplate when it has less than this share of the page's characters, or more of its own in links.
+_SMALL, _LINKED = 1 / 3, 1 / 2
 _HOLDS = frozenset("article main".split())
 _PARAGRAPH, _NO_PARAGRAPH = frozenset(["p"]), _BLOCK - {"p"}
 #: Elements whose start ends an open element of the same group below the given boundary.
@@ -44,16 +49,17 @@ _CLOSES = {k: (frozenset(names.split()), frozenset(edge)) for k, (names, edge) i
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "link_chars", "tags", "link_tags", "density", "score", "best", "inside")
+    __slots__ = ("tag", "parent", "items", "chars", "link_chars", "tags", "link_tags", "density", "score", "best", "inside", "named")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.items = tag, parent, []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.score = 0.0
-        self.best, self.inside = self, False
+        self.best, self.inside, self.named = self, False, False
 
 
 def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element is boilerplate whatever it holds."""
     if tag in _DROPPED or tag == "header" and not in_article:
         return True
     if "=" not in attributes and "hidden" not in attributes:
@@ -62,16 +68,39 @@ def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if tag in _HOLDS or tag in ("body", "html"):
         return False
+    return any(m[0][:4].lower() == "role" and (m[1] or m[2] or m[3] or "").strip().lower() in _ROLES for m in _HINT.finditer(attributes))
+
+
+def _named(tag: str, attributes: str) -> bool:
+    """Whether a class or the id names boilerplate."""
+    if "=" not in attributes or tag in _HOLDS:
+        return False
     for m in _HINT.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        if m[0][:4].lower() == "role":
-            if value.strip().lower() in _ROLES:
-                return True
-        elif not m[0][:4].lower() == "aria" and any(p.lower() in _WORDS for p in _PART.findall(value)):
-            return True
+        if m[0][:4].lower() not in ("role", "aria"):
+            for name in (m[1] or m[2] or m[3] or "").split():
+                parts = {p.lower() for p in _PART.findall(name)}
+                if parts & _WORDS and not parts & _LAYOUT:
+                    return True
     return False
 
 
+def _without_named(root: Node) -> Node:
+    """Drop the named elements that look like boilerplate too: small or full of links, without an article, main or h1."""
+    nodes = _elements(root)
+    if not any(n.named for n in nodes):
+        return root
+    chars, links, told = {}, {}, {}
+    for node in reversed(nodes):
+        inner, key = [x for x in node.items if type(x) is Node], id(node)
+        chars[key] = sum(len("".join(x.split())) for x in node.items if type(x) is str) + sum(chars[id(x)] for x in inner)
+        links[key] = chars[key] if node.tag == "a" else sum(links[id(x)] for x in inner)
+        told[key] = node.tag in _TOLD or any(told[id(x)] for x in inner)
+    for node in nodes:
+        if node.named and not told[id(node)] and (chars[id(node)] < _SMALL * chars[id(root)] or links[id(node)] > _LINKED * chars[id(node)]):
+            node.tag, node.items = "br", []
+    return root
+
+
 def parse(html: str) -> Node:
     """The body as a tree without boilerplate; items are strings and elements in page order."""
     root = now = Node("body", None)
@@ -85,13 +114,13 @@ def parse(html: str) -> Node:
         if text and skip is None:
             now.items.append(unescape(text) if "&" in text else text)
         if m is None:
-            return root
+            return _without_named(root)
         at = m.end()
         if m[2] is None:
             continue
         tag, ends = m[2].lower(), bool(m[1])
         if not m[4]:
-            return root  # a tag that the page breaks off in
+            return _without_named(root)  # a tag that the page breaks off in
         if not ends and tag in _RAW and not m[3].endswith("/"):
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
             at = close.end() if close else len(html)
@@ -128,6 +157,7 @@ def parse(html: str) -> Node:
             now.items.append(Node("br", now))
             continue
         node = Node(tag, now)
+        node.named = _named(tag, m[3])
         now.items.append(node)
         if tag not in _VOID and not m[3].endswith("/"):
             articles += tag in _HOLDS

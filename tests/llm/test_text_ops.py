@@ -51,6 +51,23 @@ def test_density_chooses_the_story_without_hints():
     assert html.main_text(page).split("\n") == re.findall(r"<p>(.*?)</p>", story)
 
 
+STORY = "".join(f"<p>Sentence number {i} of a story that goes on for a good while, with words enough.</p>" for i in range(8))
+
+
+@pytest.mark.parametrize("hint", ["class='content has-sidebar'", "class=no-sidebar", "class='with-sidebar'", "class='comments-open'", "class='post social-story'", "id='page-with-nav'", "class=ad-free", "class=skip-target", "class=sidebar", "class='social'"])
+@pytest.mark.parametrize("story", [STORY, f"<article>{STORY}</article>"])
+def test_names_alone_drop_no_story(hint, story):
+    links = "".join(f"<li><a href=/{i}>link {i}</a></li>" for i in range(30))
+    page = f"<body><div class=related><ul>{links}</ul></div><div {hint}><div>{story}</div></div><div class='ad banner'><p>buy this thing now</p></div></body>"
+    assert html.main_text(page).split("\n") == re.findall(r"<p>(.*?)</p>", STORY)
+
+
+@pytest.mark.parametrize("hint", ["class=comments", "id=share", "class='newsletter signup'", "class='site-sidebar'"])
+def test_small_named_parts_of_an_article_are_dropped(hint):
+    page = f"<article>{STORY}<div {hint}><p>Sign up here and <a href=x>share</a> with friends</p></div></article>"
+    assert html.main_text(page).split("\n") == re.findall(r"<p>(.*?)</p>", STORY)
+
+
 def test_deep_and_broken_pages_are_linear():
     for page in ("<div>" * 20_000 + "x", "<b>" * 20_000 + "x", "<" * 100_000, "<a b='" * 20_000, "<li>x" * 20_000):
         html.main_text(page)
