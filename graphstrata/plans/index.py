@@ -32,7 +32,7 @@ from graphstrata.runtime import materialize
 from graphstrata.sources.frames import GraphSource
 
 TABLES = ("assignments", "clusters", "cluster_edges", "hub_edges")
-#: Rows of an insert batch that may be folded in order on the driver.
+#: Rows of an insert batch that are folded in order on the driver at a time.
 ORDERED_INSERTS = 100_000
 
 
@@ -341,45 +341,50 @@ class Index:
 
         A node goes to the cluster that most of its known seeds are in (a seed named twice
         votes twice; the lowest id wins ties), or else to a new one. In order of ``seq``,
-        later rows may name earlier ones as seeds; this order is kept by a fold over the
-        batch, which must not exceed ORDERED_INSERTS rows. With ``order_insensitive`` the
-        batch may have any size, and its rows don't see one another.
+        later rows may name earlier ones as seeds; this order is kept by a fold over blocks
+        of ORDERED_INSERTS rows, one after another. With ``order_insensitive`` all rows are
+        placed at once, and don't see one another. Batches may have any size.
         """
         new = materialize(new if "seq" in new.columns else new.withColumn("seq", F.monotonically_increasing_id()))
         again = new.join(self.assignments.select("id"), "id", "left_semi").select("id").unionByName(new.groupBy("id").count().filter("count > 1").select("id")).take(1)
         if again:
             raise DuplicateNodeError(f"node {again[0]['id']} is already there")
-        votes = new.select("id", "seq", F.explode("seeds").alias("seed")).join(self.assignments.select(F.col("id").alias("seed"), "cluster"), "seed")
         if order_insensitive:
+            votes = new.select("id", "seq", F.explode("seeds").alias("seed")).join(self.assignments.select(F.col("id").alias("seed"), "cluster"), "seed")
             won = community.majority(votes, "id", "cluster")
             placed = new.select("id", "seq").join(won, "id", "left")
             alone = dense_index(placed.filter(F.col("cluster").isNull()).select("id", "seq"), "seq", "id", name="n")
             fresh = alone.select("id", (F.lit(self.next_cluster_id()) + F.col("n")).cast("int").alias("cluster"))
             chosen = placed.filter(F.col("cluster").isNotNull()).select("id", "cluster").unionByName(fresh)
         else:
-            if new.limit(ORDERED_INSERTS + 1).count() > ORDERED_INSERTS:
-                raise ValueError(f"an ordered batch holds {ORDERED_INSERTS} rows at most; use order_insensitive=True")
-            chosen = self._folded(new, votes)
+            chosen = self._folded(new)
         return self._with_rows(materialize(chosen.join(new.select("id", "seq"), "id")))
 
-    def _folded(self, new: DataFrame, votes: DataFrame) -> DataFrame:
-        known: dict[str, dict[str, int]] = {}
-        for r in votes.collect():
-            known.setdefault(r["id"], {})[r["seed"]] = r["cluster"]
-        after, fresh, out = {}, self.next_cluster_id(), []
-        for r in new.orderBy("seq").select("id", "seeds").collect():
-            tally: dict[int, int] = {}
-            for s in r["seeds"] or []:
-                c = known.get(r["id"], {}).get(s, after.get(s))
-                if c is not None:
-                    tally[c] = tally.get(c, 0) + 1
-            if tally:
-                cluster = min(tally, key=lambda c: (-tally[c], c))
-            else:
-                cluster, fresh = fresh, fresh + 1
-            after[r["id"]] = cluster
-            out.append((r["id"], cluster))
-        return self.spark.createDataFrame(out, "id string, cluster int")
+    def _folded(self, new: DataFrame) -> DataFrame:
+        """(id, cluster) in the order of seq: a block at a time, over the index and the blocks before it."""
+        numbered = materialize(dense_index(new.select("id", "seeds", "seq"), "seq", "id", name="n"))
+        rows, fresh = numbered.count(), self.next_cluster_id()
+        placed = self.spark.createDataFrame([], "id string, cluster int")
+        for first in range(0, rows, ORDERED_INSERTS):
+            block = numbered.filter((F.col("n") >= first) & (F.col("n") < first + ORDERED_INSERTS))
+            there = self.assignments.select("id", "cluster").unionByName(placed).withColumnRenamed("id", "seed")
+            known = {r["seed"]: r["cluster"] for r in block.select(F.explode("seeds").alias("seed")).distinct().join(there, "seed").collect()}
+            out = []
+            for r in block.orderBy("n").select("id", "seeds").collect():
+                tally: dict[int, int] = {}
+                for s in r["seeds"] or []:
+                    c = known.get(s)
+                    if c is not None:
+                        tally[c] = tally.get(c, 0) + 1
+                if tally:
+                    cluster = min(tally, key=lambda c: (-tally[c], c))
+                else:
+                    cluster, fresh = fresh, fresh + 1
+                known[r["id"]] = cluster
+                out.append((r["id"], cluster))
+            done = self.spark.createDataFrame(out, "id string, cluster int")
+            placed = placed.unionByName(done if rows <= ORDERED_INSERTS else materialize(done))
+        return placed
 
     def _with_rows(self, chosen: DataFrame) -> tuple[Index, DataFrame]:
         top = self.assignments.agg(F.coalesce(F.max("idx"), F.lit(-1))).first()[0]

@@ -73,6 +73,20 @@ def test_snapshots(spark, tmp_path):
         Index.open(spark, path)
 
 
+def test_ordered_inserts_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr("graphstrata.plans.index.ORDERED_INSERTS", 3)
+    index, _ = build(pair_source(spark, *TWO_TRIANGLES))
+    where = {r["id"]: r["cluster"] for r in index.assignments.collect()}
+    rows = [("a", ["0000"], 0), ("b", ["c"], 1), ("c", ["none"], 2), ("d", ["c", "b", "c"], 3), ("e", ["0005", "a"], 4), ("f", None, 5), ("g", ["f", "d", "e"], 6), ("h", ["i"], 7), ("i", ["h", "a", "h"], 8), ("j", ["i", "g"], 9)]
+    want, fresh = dict(where), max(where.values()) + 1
+    for name, seeds, _ in rows:
+        votes = [want[s] for s in seeds or [] if s in want]
+        want[name] = min(votes, key=lambda c: (-votes.count(c), c)) if votes else fresh
+        fresh += not votes
+    _, placed = index.insert(spark.createDataFrame(rows[::-1], "id string, seeds array<string>, seq long"))
+    assert {r["id"]: r["cluster"] for r in placed.collect()} == {name: want[name] for name, _, _ in rows}
+
+
 def test_hub_strategies(spark):
     source = pair_source(spark, *two_cliques(4))
     both, _ = build(source)
