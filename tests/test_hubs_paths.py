@@ -2,6 +2,7 @@ import pytest
 
 from graphstrata.operators import centrality, community, hubs, paths
 from graphstrata.operators.graph import Graph
+from graphstrata.plans import catalogue
 from graphstrata.sources import edgelist
 from tests.shapes import graph, partition, path, star, triangle_chain, two_cliques
 
@@ -85,3 +86,17 @@ def test_no_corridor_without_a_bridge(spark):
     assert paths.cluster_corridor(near, names, 0, 1) is None
     assert paths.evaluate_corridor(g.adj, p, [0, 1], 1, 4) is None
     assert paths.bfs_distance(g.adj, p.select("idx"), 1, 1) == 0
+
+
+def test_corridors_of_all_nations_of_the_region(spark, tmp_path):
+    nations = 28
+    tables = {
+        "region": ([(r, f"r{r}") for r in range(5)], "r_regionkey long, r_name string"),
+        "nation": ([(n, f"n{n}", 1) for n in range(nations)], "n_nationkey long, n_name string, n_regionkey long"),
+        "customer": ([(1, "c", 0)], "c_custkey long, c_name string, c_nationkey long"),
+        "supplier": ([(1, "s", 1)], "s_suppkey long, s_name string, s_nationkey long"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = sorted(tuple(r) for r in catalogue.cluster_corridor(spark, str(tmp_path)).collect())
+    assert got == [(a + 5, b + 5, i, c) for a in range(nations) for b in range(a + 1, nations) for i, c in enumerate((a + 5, 1, b + 5))]
