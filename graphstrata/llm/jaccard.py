@@ -7,9 +7,13 @@ reach the limit. Bitmaps of shingle parities, longer for larger sets, bound the
 from above by a bit count; only pairs that pass are put to the exact intersection of
 sorted arrays.
 
-Links are gathered in three rounds, so that a group of n copies costs n pairs and not n
-squared: first each class is tried with the nearest before it, then with the nearest of
-another component, and at last all pairs are that pass and whose components still differ.
+Large tiles are dealt out in parts of bounded size. Links are gathered so that a group
+of n copies costs n pairs and not n squared: first each class is tried with the nearest
+one before it in its part of a tile. Only tiles in which components still meet are
+looked at again, and there only pairs across components, each row outside of the largest
+component visiting every block; classes between which a pair passes become
+neighbourhoods, and in each of these all pairs across components are put to the exact
+test, in blocks, until links found have joined them. Pairs that pass are never written out.
 """
 
 from __future__ import annotations
@@ -22,7 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphstrata.llm.batches import bounded_batches
 from graphstrata.llm.hashing import Block, Sums, blocks, mix
+from graphstrata.llm.skew import join_counted
 from graphstrata.operators.components import connected_components
 from graphstrata.runtime import discard, materialize
 
@@ -39,9 +45,15 @@ _LEAST_BITS, _MOST_BITS = 256, 1 << 14
 _FINER = 2
 _LEAST_FINE_BITS = 1024
 #: A shingle is common when in so large a share of documents; it then stands last in every class's order.
-_COMMON_SHARE, _COMMON_LEAST, _COMMON_IN_BLOCK = 1 / 1000, 64, 3
-_CHUNK_BYTES, _CHUNK_PAIRS, _XOR_BYTES = 8 << 20, 200_000, 8 << 20
-_FILTER_BITS = 23
+_COMMON_SHARE, _COMMON_LEAST = 1 / 1000, 64
+#: Documents and shingles counted together before shingles found fewer times are forgotten.
+_COUNTED_DOCS, _COUNTED_SHINGLES, _COMMON_IN_COUNT = 4096, 1_000_000, 4
+_CHUNK_BYTES, _CHUNK_PAIRS, _XOR_BYTES = 4 << 20, 100_000, 4 << 20
+#: Rows of a tile's part or block, one in how many rows is a guest of the next part, shingles of a block of arrays, and pairs tried at once.
+_TILE_ROWS, _GUESTS, _BLOCK_SHINGLES, _TRIED = 512, 16, 200_000, 64
+#: Ids that are broadcast (at most 16 MB) before a Bloom filter is, and the logarithm of its most bits (32 MB).
+_BROADCAST_IDS, _MOST_FILTER_BITS = 500_000, 28
+_ONE_TASK_LINKS = 200_000
 
 
 # ---------------------------------------------------------------- sets of shingles
@@ -106,27 +118,40 @@ def _digests(sets: list[np.ndarray]) -> np.ndarray:
     return np.frombuffer(raw, "<i8").reshape(-1, 2)
 
 
-def _common_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _often(sets: list[np.ndarray]) -> pa.RecordBatch:
+    found, n = np.unique(np.concatenate(sets), return_counts=True)
+    often = n >= _COMMON_IN_COUNT
+    return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], names=["shingle", "n"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
     for batch in batches:
         for block in blocks(batch.column("text"), b" "):
             sets = list(_block_sets(block))
-            found, n = np.unique(np.concatenate(sets), return_counts=True)
-            often = n >= _COMMON_IN_BLOCK
-            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], names=["shingle", "n"])
+            held += sets
+            size += sum(map(len, sets))
+            if len(held) >= _COUNTED_DOCS or size >= _COUNTED_SHINGLES:
+                yield _often(held)
+                held, size = [], 0
+    if held:
+        yield _often(held)
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles of a thousandth of all documents or more, sorted.
-
-    Counts come from blocks of documents, and leave out shingles that are rare in a
-    block. So the result may differ with the blocks, which changes what is compared
-    but not what links: any order of shingles is right as long as all use the same.
-    At most a thousand times the mean set size can be so common, whatever the input.
+    """Shingles of about a thousandth of all documents or more, sorted.
+
+    All documents are counted, some thousands at a time; what is found fewer than four
+    times among them is forgotten there, so counts fall short where documents are long:
+    with documents of 2 KB the shingles of a five-hundredth of them are found almost
+    surely, with 20 KB those of a fiftieth. Which ones are found changes what is compared
+    but not what links: any order of shingles is right as long as all use the same. At
+    most a thousand times the mean set size can be so common, whatever the input.
     """
     least = max(_COMMON_LEAST, int(docs.count() * _COMMON_SHARE))
-    counted = docs.select("text").mapInArrow(_common_in_blocks, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = counted.filter(F.col("n") >= least).select("shingle").toPandas()
-    return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
+    found = docs.select("text").mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = found.filter(F.col("n") >= least).select("shingle").toArrow()
+    return np.sort(rows.column("shingle").to_numpy().view(np.uint64))
 
 
 def _described(common: np.ndarray):
@@ -151,7 +176,7 @@ def _described(common: np.ndarray):
     return run
 
 
-# ---------------------------------------------------------------- tiles
+# ---------------------------------------------------------------- groups, dealt out in blocks
 
 
 def _reach(n: np.ndarray) -> np.ndarray:
@@ -159,259 +184,375 @@ def _reach(n: np.ndarray) -> np.ndarray:
     return -(-LINK_UNDER * n // LINK_OVER)
 
 
-def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches anew, cut between shingles."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+def _further(n: np.ndarray) -> np.ndarray:
+    """The largest set size that can link with each size."""
+    return n * LINK_OVER // LINK_UNDER
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of shingle and size, those beside another of a size in reach.
+
+    A tile may begin in an earlier task or go on in a later one: a task's first and last
+    row always stay.
+    """
+    held = None
+    first = True
     for batch in batches:
         if not batch.num_rows:
             continue
-        if size >= _CHUNK_BYTES:
-            last = held[-1].column("shingle")[held[-1].num_rows - 1].as_py()
-            shingles = batch.column("shingle").to_numpy()
-            other = np.flatnonzero(shingles != last)
-            cut = int(other[0]) if len(other) else batch.num_rows
-            held.append(batch.slice(0, cut))
-            if cut == batch.num_rows:
-                continue
-            yield _one(held)
-            batch = batch.slice(cut)
-            held, size = [], 0
-        held.append(batch)
-        size += batch.nbytes
-    if held:
-        yield _one(held)
+        held = batch if held is None else _one([held, batch])
+        shingle, n = held.column("shingle").to_numpy(), held.column("n").to_numpy()
+        near = (shingle[1:] == shingle[:-1]) & (n[:-1] >= _reach(n[1:]))
+        # the last row, and whether the one before it stays with it, is known with the next batch
+        keep = np.concatenate([[first], near]) | np.concatenate([near, [False]])
+        told = len(n) - 1
+        yield held.slice(0, told).filter(pa.array(keep[:told]))
+        if told:
+            first = bool(near[-1])
+        held = held.slice(told)
+    if held is not None:
+        yield held
 
 
 def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
-
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of shingle and size, those with another of a size in reach."""
-    for batch in _whole_tiles(batches):
-        shingle, n = batch.column("shingle").to_numpy(), batch.column("n").to_numpy()
-        near = (shingle[1:] == shingle[:-1]) & (n[:-1] >= _reach(n[1:]))
-        keep = np.concatenate([[False], near]) | np.concatenate([near, [False]])
-        if keep.any():
-            yield batch.select(["shingle", "cls"]).filter(pa.array(keep))
+    batches = pa.Table.from_batches(parts).combine_chunks().to_batches()
+    if len(batches) > 1:
+        raise ValueError("rows that belong together are too large for one batch")
+    return batches[0] if batches else parts[0]
 
 
 class _Bitmaps:
-    """The bitmaps of a chunk's rows, as matrices by length; a row is also in the matrix of half its length."""
+    """Bitmaps as matrices by length; a shorter one is the exclusive or of a longer one's halves, made when it is asked for."""
 
     def __init__(self, raw: list[bytes]):
-        length = np.array([len(r) for r in raw])
-        self.level = length
+        self.level = np.array([len(r) for r in raw], np.int64)
+        self.place = np.zeros(len(raw), np.int64)
         self.matrix: dict[int, np.ndarray] = {}
-        self.row: dict[int, np.ndarray] = {}
-        for size in np.unique(length):
-            own = np.flatnonzero(length == size)
-            full = np.frombuffer(b"".join([raw[i] for i in own]), np.uint64).reshape(len(own), -1)
-            self._add(size, own, full)
-            if size // 2 >= _LEAST_BITS // 8:
-                self._add(size // 2, own, full[:, : full.shape[1] // 2] ^ full[:, full.shape[1] // 2 :])
-
-    def _add(self, size: int, own: np.ndarray, rows: np.ndarray) -> None:
-        at = self.row.setdefault(size, np.full(len(self.level), -1))
-        before = self.matrix.get(size)
-        at[own] = np.arange(len(own)) + (0 if before is None else len(before))
-        self.matrix[size] = rows if before is None else np.concatenate([before, rows])
-
-    def differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+        for size in np.unique(self.level).tolist():
+            own = np.flatnonzero(self.level == size)
+            self.place[own] = np.arange(len(own))
+            self.matrix[size] = np.frombuffer(b"".join([raw[i] for i in own]), np.uint64).reshape(len(own), -1)
+
+    def _at(self, size: int, rows: np.ndarray) -> np.ndarray:
+        """The bitmaps of rows, all of one length, at ``size``."""
+        level = int(self.level[rows[0]])
+        if level == size:
+            return self.matrix[size][self.place[rows]]
+        if (level, size) not in self.folded:
+            m = self.matrix[level]
+            while m.shape[1] * 8 > size:
+                m = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+            self.folded[level, size] = m
+        return self.folded[level, size][self.place[rows]]
+
+    def differing(self, a: np.ndarray, other: _Bitmaps, b: np.ndarray) -> np.ndarray:
+        """Differing bits of rows ``a`` here and rows ``b`` of ``other``."""
         out = np.empty(len(a), np.int64)
-        level = np.minimum(self.level[a], self.level[b])
-        for size in np.unique(level):
-            pick = np.flatnonzero(level == size)
-            m, row, step = self.matrix[size], self.row[size], max(1, _XOR_BYTES // int(size))
+        x, y = self.level[a], other.level[b]
+        kind = x * (1 << 32) + y
+        for k in np.unique(kind):
+            pick = np.flatnonzero(kind == k)
+            size = int(min(x[pick[0]], y[pick[0]]))
+            step = max(1, _XOR_BYTES // size)
             for at in range(0, len(pick), step):
                 some = pick[at : at + step]
-                out[some] = np.bitwise_count(m[row[a[some]]] ^ m[row[b[some]]]).sum(axis=1)
+                out[some] = np.bitwise_count(self._at(size, a[some]) ^ other._at(size, b[some])).sum(axis=1)
         return out
 
 
-class _Chunk:
-    """Whole tiles, their rows in the order of shingle, size and class."""
+class _Rows:
+    """Classes of one group and block, in the order of their sizes."""
 
     def __init__(self, batch: pa.RecordBatch):
-        self.cls, self.n = batch.column("cls").to_numpy(), batch.column("n").to_numpy()
-        shingle = batch.column("shingle").to_numpy()
-        tile = np.concatenate([[0], np.cumsum(shingle[1:] != shingle[:-1])]) if len(shingle) else shingle
-        span = np.int64(self.n.max() + 1)
-        self.low = np.searchsorted(tile * span + self.n, tile * span + _reach(self.n))
-        self.tile = tile
-        self.bitmaps = _Bitmaps(batch.column("bitmap").to_pylist())
-
-    def passing(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Earlier row, later row and differing bits of the pairs in reach that the bitmaps let pass, a bounded number at a time."""
-        rows = np.arange(len(self.n))
-        count = rows - self.low
-        rows, low, count = rows[count > 0], self.low[count > 0], count[count > 0]
-        cut = np.flatnonzero(np.diff(np.cumsum(count) // _CHUNK_PAIRS)) + 1
-        for r, lo, c in zip(np.split(rows, cut), np.split(low, cut), np.split(count, cut), strict=True):
-            if not len(r):
-                continue
-            b = np.repeat(r, c)
-            a = np.arange(len(b)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo, c)
-            for at in range(0, len(b), _CHUNK_PAIRS):
-                yield self._tested(a[at : at + _CHUNK_PAIRS], b[at : at + _CHUNK_PAIRS])
+        n = batch.column("n").to_numpy()
+        order = np.argsort(n, kind="stable")
+        self.batch = batch.take(pa.array(order))
+        self.n, self.cls = n[order], self.batch.column("cls").to_numpy()
+        names = batch.schema.names
+        self.component = self.batch.column("component").to_numpy() if "component" in names else None
+        self.probe = self.batch.column("probe").to_numpy(zero_copy_only=False) if "probe" in names else None
+        if "shingles" in names:
+            column = self.batch.column("shingles")
+            offsets, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+            self.sets = [flat[lo:hi] for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
+            # made here, a bitmap has no weight on the way: long enough to tell sets apart that nearly link
+            self.bitmaps = _Bitmaps([bitmap_of(s, max(_LEAST_FINE_BITS, 1 << int(8 * len(s) - 1).bit_length())) for s in self.sets])
+        else:
+            self.bitmaps = _Bitmaps(self.batch.column("bitmap").to_pylist())
+
+
+def _passing(a: np.ndarray, x: _Rows, b: np.ndarray, y: _Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (row of x, row of y) those whose bit counts let them pass, and their differing bits."""
+    differ = x.bitmaps.differing(a, y.bitmaps, b)
+    n, m = x.n[a], y.n[b]
+    # the overlap is (sizes - difference) / 2 at most, and the bits that differ are no more than the difference
+    most = (n + m - differ) // 2
+    ok = LINK_OVER * most >= LINK_UNDER * (n + m - most)
+    return a[ok], b[ok], differ[ok]
+
+
+def _pairs(low: np.ndarray, high: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each of ``rows`` with every number from its low to its high, a bounded number of pairs at a time."""
+    count = np.maximum(high - low, 0)
+    cut = np.flatnonzero(np.diff(np.cumsum(count) // _CHUNK_PAIRS)) + 1
+    for r, lo, c in zip(np.split(rows, cut), np.split(low, cut), np.split(count, cut), strict=True):
+        total = int(c.sum())
+        if not total:
+            continue
+        left = np.repeat(r, c)
+        right = np.arange(total) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo, c)
+        for at in range(0, total, _CHUNK_PAIRS):
+            yield left[at : at + _CHUNK_PAIRS], right[at : at + _CHUNK_PAIRS]
+
+
+def _across(probes: _Rows, base: _Rows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Probe, base row and differing bits of the pairs in reach of different components that pass; of two probes, the later class asks."""
+    asking = np.flatnonzero(probes.probe)
+    low = np.searchsorted(base.n, _reach(probes.n[asking]))
+    high = np.searchsorted(base.n, _further(probes.n[asking]), "right")
+    for p, r in _pairs(low, high, asking):
+        apart = (probes.component[p] != base.component[r]) & (~base.probe[r] | (probes.cls[p] > base.cls[r]))
+        if apart.any():
+            yield _passing(p[apart], probes, r[apart], base)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str], more: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Stretches of rows of equal keys, whole or in pieces of at least _CHUNK_BYTES; rows come in the order of their keys.
+
+    A piece ends where ``more`` changes too, so that a block's own rows are all in its first piece.
+    """
+    now, held, size = None, [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in (*keys, *more)]
+        new = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            new |= c[1:] != c[:-1]
+        cut = np.flatnonzero(new) + 1
+        for lo, hi in zip(np.concatenate([[0], cut]), np.concatenate([cut, [batch.num_rows]]), strict=True):
+            key = tuple(c[lo].item() for c in columns)
+            if held and (key != now or size >= _CHUNK_BYTES and key[len(keys) :] != (0,) * len(more)):
+                yield now, _one(held)
+                held, size = [], 0
+            now = key
+            held.append(batch.slice(lo, hi - lo))
+            size += held[-1].nbytes
+    if held:
+        yield now, _one(held)
+
 
-    def _tested(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = a[self.cls[a] != self.cls[b]], b[self.cls[a] != self.cls[b]]
-        differ = self.bitmaps.differing(a, b)
-        # the overlap is (sizes - difference) / 2 at most, and the bits that differ are no more than the difference
-        most = (self.n[a] + self.n[b] - differ) // 2
-        ok = LINK_OVER * most >= LINK_UNDER * (self.n[a] + self.n[b] - most)
-        return a[ok], b[ok], differ[ok]
+def _blocks_and_visitors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, _Rows, _Rows]]:
+    """Key, a block's own rows, and the rows that are to be tried with them: first its own probes, then those that visit, a bounded number at a time."""
+    base, at = None, None
+    for key, batch in _by_key(batches, ["grp", "block"], ["side"]):
+        rows = _Rows(batch)
+        if key[2] == 0:
+            base, at = rows, key[:2]
+        if at == key[:2]:  # a block without own rows has nothing to try
+            yield key, rows, base
 
 
-def _best_of(cls: np.ndarray, other: np.ndarray, differ: np.ndarray) -> pa.RecordBatch:
+# ---------------------------------------------------------------- what is done in a block
+
+
+def _best_of(cls: np.ndarray, other: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pair of the fewest differing bits for each class."""
     order = np.lexsort((other, differ, cls))
     order = order[np.concatenate([[True], cls[order][1:] != cls[order][:-1]])] if len(order) else order
-    return pa.RecordBatch.from_arrays([pa.array(cls[order]), pa.array(other[order]), pa.array(differ[order])], names=["cls", "other", "differ"])
+    return cls[order], other[order], differ[order]
 
 
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each class the nearest one before it that passes (with differ), and the tiles in which a pair of it passes (with shingle)."""
-    for batch in _whole_tiles(batches):
-        chunk = _Chunk(batch)
-        alive = np.zeros(len(chunk.n), bool)
+    """For each class of a part the nearest one before it that passes (with differ), and the tiles in which a pair of it passes (with shingle).
+
+    Small tiles are gathered to one batch, told apart by their number.
+    """
+    names = ["cls", "guest", "other", "differ", "shingle"]
+    for batch in _gathered(batches):
+        shingle, part = batch.column("shingle").to_numpy(), batch.column("part").to_numpy()
+        n, cls = batch.column("n").to_numpy(), batch.column("cls").to_numpy()
+        guest = batch.column("guest").to_numpy(zero_copy_only=False)
+        tile = np.concatenate([[0], np.cumsum((shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1]))])
+        span = np.int64(n.max() + 1)
+        low = np.searchsorted(tile * span + n, tile * span + _reach(n))
+        bitmaps = _Bitmaps(batch.column("bitmap").to_pylist())
+        alive = batch.column("large").to_numpy(zero_copy_only=False) & ~guest
         found = [(np.zeros(0, np.int64),) * 3]
-        for a, b, differ in chunk.passing():
+        rows = np.arange(len(n))
+        for b, a in _pairs(low, rows, rows):
+            differ = bitmaps.differing(a, bitmaps, b)
+            most = (n[a] + n[b] - differ) // 2
+            ok = LINK_OVER * most >= LINK_UNDER * (n[a] + n[b] - most)
+            a, b = a[ok], b[ok]
             alive[a] = alive[b] = True
-            best = _best_of(chunk.cls[b], chunk.cls[a], differ)
-            found.append(tuple(c.to_numpy() for c in best.columns))
-        best = _best_of(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        yield pa.RecordBatch.from_arrays([*best.columns, pa.nulls(best.num_rows, pa.int64())], names=["cls", "other", "differ", "shingle"])
+            found.append(_best_of(cls[b] * 2 + guest[b], cls[a], differ[ok]))
+        who, other, differ = _best_of(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(who >> 1), pa.array((who & 1).astype(bool)), pa.array(other), pa.array(differ), pa.nulls(len(who), pa.int64())], names=names)
+        alive &= ~guest
         none = pa.nulls(int(alive.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(chunk.cls[alive]), none, none, batch.column("shingle").filter(pa.array(alive))], names=["cls", "other", "differ", "shingle"])
-
+        yield pa.RecordBatch.from_arrays([pa.array(cls[alive]), pa.array(np.zeros(int(alive.sum()), bool)), none, none, pa.array(shingle[alive])], names=names)
 
-def _mixed(batch: pa.RecordBatch) -> np.ndarray:
-    """Which rows' tiles hold more than one component."""
-    component, shingle = batch.column("component").to_numpy(), batch.column("shingle").to_numpy()
-    new = np.concatenate([[True], shingle[1:] != shingle[:-1]])
-    start = np.flatnonzero(new)
-    return (np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start))[np.cumsum(new) - 1]
 
-
-def _open_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of tiles that hold more than one component."""
-    for batch in _whole_tiles(batches):
-        mixed = _mixed(batch)
-        if mixed.any():
-            yield batch.filter(pa.array(mixed))
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole parts of tiles, several to a batch. A part is bounded by the rows that are dealt to it."""
+    held, size = [], 0
+    for _, piece in _by_key(batches, ["shingle", "part"], []):
+        held.append(piece)
+        size += piece.nbytes
+        if size >= _CHUNK_BYTES:
+            yield _one(held)
+            held, size = [], 0
+    if held:
+        yield _one(held)
 
 
-def _mixed_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Chunk, np.ndarray]]:
-    for batch in _whole_tiles(batches):
-        yield _Chunk(batch), batch.column("component").to_numpy()
+def _lowered(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the sets of both ends of each pair. A label is the lowest number of its set, before and after."""
+    while True:
+        x, y = labels[a], labels[b]
+        low = np.minimum(x, y)
+        if (x == y).all():
+            return
+        np.minimum.at(labels, x, low)
+        np.minimum.at(labels, y, low)
+        while not np.array_equal(up := labels[labels], labels):
+            labels[:] = up
+
+
+def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (x, y) that connect all classes between which a pair passes: never more than rows, however many pairs there are."""
+    for _, rows, base in _blocks_and_visitors(batches):
+        m = len(base.n)
+        labels = np.arange(m + (0 if rows is base else len(rows.n)))
+        shift = 0 if rows is base else m
+        touched = np.zeros(len(labels), bool)
+        for p, r, _ in _across(rows, base):
+            _lowered(labels, p + shift, r)
+            touched[p + shift] = touched[r] = True
+        if touched.any():
+            cls = base.cls if rows is base else np.concatenate([base.cls, rows.cls])
+            yield pa.RecordBatch.from_arrays([pa.array(cls[touched]), pa.array(cls[labels[touched]])], names=["x", "y"])
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (x, y) that connect what links in a block, by exact intersection of sorted arrays.
+
+    A pair whose components links found here have joined already is not tried again.
+    """
+    up: dict[int, int] = {}
+    at = None
+
+    def root(c: int) -> int:
+        while (d := up.get(c, c)) != c:
+            up[c] = up.get(d, d)
+            c = d
+        return c
+
+    for key, rows, base in _blocks_and_visitors(batches):
+        if at != key[:2]:
+            up, at = {}, key[:2]
+        xs, ys = [], []
+        for p, r, differ in _across(rows, base):
+            order = np.lexsort((differ, p))
+            p, r = p[order], r[order]
+            edge = np.concatenate([[0], np.flatnonzero(p[1:] != p[:-1]) + 1, [len(p)]])
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                if lo == hi:
+                    continue
+                own, mine = rows.sets[p[lo]], int(rows.component[p[lo]])
+                for some in np.split(r[lo:hi], np.arange(_TRIED, hi - lo, _TRIED)):
+                    some = some[[root(int(c)) != root(mine) for c in base.component[some]]]
+                    if not len(some):
+                        continue
+                    others = [base.sets[i] for i in some]
+                    size = np.array([len(o) for o in others])
+                    flat = np.concatenate(others)
+                    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                    both = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+                    for i in some[LINK_OVER * both >= LINK_UNDER * (len(own) + size - both)]:
+                        a, b = root(mine), root(int(base.component[i]))
+                        if a != b:
+                            up[max(a, b)] = min(a, b)
+                            xs.append(int(rows.cls[p[lo]]))
+                            ys.append(int(base.cls[i]))
+        if xs:
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
+
+
+# ---------------------------------------------------------------- arrays of the classes that need them
+
+
+def _id_filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter over the ids, as longs; it only spares work, an exact join follows."""
+    places = ids.select(F.explode(F.array(*_places(bits))).alias("p"))
+    words = places.groupBy(F.shiftrightunsigned("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return out
 
 
-def _nearest_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each class outside its tile's largest component, the nearest of another component that passes."""
-    for chunk, component in _mixed_chunks(batches):
-        found = [(np.zeros(0, np.int64),) * 3]
-        for a, b, differ in _cross_pairs(chunk, component):
-            best = _best_of(chunk.cls[b], chunk.cls[a], differ)
-            found.append(tuple(c.to_numpy() for c in best.columns))
-        yield _best_of(*(np.concatenate(x) for x in zip(*found, strict=True)))
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs that pass and whose components differ."""
-    for chunk, component in _mixed_chunks(batches):
-        pairs = set()
-        for a, b, _ in _cross_pairs(chunk, component):
-            x, y = chunk.cls[a], chunk.cls[b]
-            pairs.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
-            if len(pairs) >= 200_000:
-                yield _pair_batch(pairs)
-                pairs = set()
-        if pairs:
-            yield _pair_batch(pairs)
-
-
-def _cross_pairs(chunk: _Chunk, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs in reach of different components. Rows of a tile's largest component never meet one another."""
-    start = np.flatnonzero(np.concatenate([[True], chunk.tile[1:] != chunk.tile[:-1]]))
-    end = np.concatenate([start[1:], [len(chunk.tile)]])
-    for lo, hi in zip(start, end, strict=True):
-        names, where, size = np.unique(component[lo:hi], return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            continue
-        large = lo + np.flatnonzero(where == size.argmax())
-        small = lo + np.flatnonzero(where != size.argmax())
-        first, last = chunk.low[small], np.searchsorted(chunk.n[lo:hi], chunk.n[small] * LINK_OVER // LINK_UNDER, "right") + lo
-        for side in (small, large):
-            f, t = np.searchsorted(side, first), np.searchsorted(side, last)
-            for i in range(0, len(small), 512):
-                count = (t - f)[i : i + 512]
-                b = np.repeat(small[i : i + 512], count)
-                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(f[i : i + 512], count)
-                for k in range(0, len(b), _CHUNK_PAIRS):
-                    x, y = side[at[k : k + _CHUNK_PAIRS]], b[k : k + _CHUNK_PAIRS]
-                    apart = component[x] != component[y]
-                    yield chunk._tested(x[apart], y[apart])
-
-
-def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-    m = np.array(sorted(pairs), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(m[:, 0]), pa.array(m[:, 1])], names=["x", "y"])
-
-
-# ---------------------------------------------------------------- exact test
-
-
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over the ids, as longs of bits; it only spares work, an exact join follows."""
-    places = ids.select(F.explode(F.array(*_places())).alias("p"))
-    words = places.groupBy(F.shiftrightunsigned("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out
+def _places(bits: int) -> list[F.Column]:
+    return [F.shiftrightunsigned(F.xxhash64(F.lit(k), "doc_id"), 64 - bits) for k in range(2)]
 
 
 def _arrays(bits):
+    names = ["_doc", "_d1", "_d2", "shingles"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = np.ones(batch.num_rows, bool)
-            for c in ("p0", "p1"):
-                p = batch.column(c).to_numpy()
-                held &= (bits.value[p >> 6] >> (p & 63)) & 1 == 1
-            some, done = batch.filter(pa.array(held)), 0
+        for some in batches:
+            if bits is not None:
+                held = np.ones(some.num_rows, bool)
+                for c in ("p0", "p1"):
+                    p = some.column(c).to_numpy()
+                    held &= (bits.value[p >> 6] >> (p & 63)) & 1 == 1
+                some = some.filter(pa.array(held))
+            done = 0
             for block in blocks(some.column("text"), b" "):
                 sets = list(_block_sets(block))
                 halves = _digests(sets)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id").slice(done, len(sets)), pa.array(halves[:, 0]), pa.array(halves[:, 1]), _longs(sets)], names=["doc_id", "d1", "d2", "shingles"])
+                ids = some.column("doc_id").slice(done, len(sets))
                 done += len(sets)
+                once = np.array(list({k: i for i, k in enumerate(zip(ids.to_pylist(), *halves.T.tolist(), strict=True))}.values()))  # a repeated row's array is sent once from here
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(once)), pa.array(halves[once, 0]), pa.array(halves[once, 1]), _longs([sets[i] for i in once])], names=names)
 
     return run
 
 
-def _places() -> list[F.Column]:
-    return [F.shiftrightunsigned(F.xxhash64(F.lit(k), "doc_id"), 64 - _FILTER_BITS) for k in range(2)]
-
+def _with_arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (doc_id, d1, d2 and more) with shingles, from another reading of the text.
 
-def _wanted_arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, shingles of the wanted classes (cls, doc_id, d1, d2), from another reading of the text."""
-    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted))
-    p0, p1 = _places()
-    read = docs.select("doc_id", "text", p0.alias("p0"), p1.alias("p1")).mapInArrow(_arrays(bits), "doc_id long, d1 long, d2 long, shingles array<long>")
-    once = read.join(wanted, (read["doc_id"].eqNullSafe(wanted["doc_id"])) & (read["d1"] == wanted["d1"]) & (read["d2"] == wanted["d2"]), "inner").select("cls", "shingles")
-    return materialize(once.groupBy("cls").agg(F.any_value("shingles").alias("shingles")))
+    Up to a counted number of documents their ids are broadcast, and only their texts
+    are read on; above, a Bloom filter of the ids does, up to a fixed size: where it is
+    too full to help, the arrays of other documents are moved too, and dropped by the join.
+    """
+    few = wanted.count()
+    schema = "_doc long, _d1 long, _d2 long, shingles array<long>"
+    if few <= _BROADCAST_IDS:
+        ids = F.broadcast(wanted.select(F.col("doc_id").alias("_id")).distinct())
+        read = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("doc_id", "text").mapInArrow(_arrays(None), schema)
+    else:
+        size = min(max(12, int(10 * few - 1).bit_length()), _MOST_FILTER_BITS)
+        bits = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted, size))
+        p0, p1 = _places(size)
+        read = docs.select("doc_id", "text", p0.alias("p0"), p1.alias("p1")).mapInArrow(_arrays(bits), schema)
+    same = F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_d1") == F.col("d1")) & (F.col("_d2") == F.col("d2"))
+    return read.join(wanted, same, "inner").drop("_doc", "_d1", "_d2")
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose exact intersection reaches the limit. A class's own array comes first, then those of the others it is to be tried with."""
-    key, own = None, None
+    key, own, before = None, None, None
     for batch in batches:
-        x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
+        x, y = batch.column("x").to_numpy(), batch.column("cls").to_numpy()
         column = batch.column("shingles")
         offsets, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
         out = []
         for i in range(len(x)):
+            if (x[i], y[i]) == before:
+                continue  # a row that the documents repeat
+            before = x[i], y[i]
             array = flat[offsets[i] : offsets[i + 1]]
             if x[i] == y[i]:
                 key, own = x[i], array.copy()
@@ -426,13 +567,16 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["x", "y"])
 
 
-def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """x, y of the pairs that link. An array is sent once for each pair, to the other's place, and once to its own."""
-    sent = pairs.join(arrays, pairs["y"] == arrays["cls"]).select("x", "y", "shingles")
-    owners = pairs.select("x").distinct()
-    own = owners.join(arrays, owners["x"] == arrays["cls"]).select("x", F.col("x").alias("y"), "shingles")
-    ordered = own.withColumn("side", F.lit(0)).unionByName(sent.withColumn("side", F.lit(1))).repartition("x").sortWithinPartitions("x", "side")
-    return materialize(ordered.select("x", "y", "shingles").mapInArrow(_linked, "x long, y long"))
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """x, y of the pairs that link.
+
+    An array is sent once for each pair, to the other's place, and once to its own. A class
+    is x for no more pairs than its parts of tiles have rows, so no place is hot.
+    """
+    sent = pairs.select(F.col("y").alias("cls"), "x", F.lit(1).alias("side")).unionByName(pairs.select(F.col("x").alias("cls"), "x", F.lit(0).alias("side")))
+    wanted = sent.groupBy("cls").agg(F.collect_set(F.struct("x", "side")).alias("to")).join(classes.select("cls", "doc_id", "d1", "d2"), "cls")
+    read = _with_arrays(docs, materialize(wanted)).select("cls", F.explode("to").alias("to"), "shingles").select("cls", "to.*", "shingles")
+    return materialize(read.repartition("x").sortWithinPartitions("x", "side", "cls").mapInArrow(_linked, "x long, y long"))
 
 
 # ---------------------------------------------------------------- the join
@@ -442,8 +586,55 @@ def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _part_of(k: F.Column, *salt: str) -> F.Column:
+    return F.pmod(F.xxhash64("cls", *salt), k).cast("int")
+
+
+def _in_parts(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of tiles with bitmaps, large tiles dealt out in parts by a hash.
+
+    Each part also gets, as guests, a share of the next one's rows, so that links found
+    inside parts can lead from part to part.
+    """
+    sizes = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > _TILE_ROWS)
+    parts = F.ceil(F.col("m") / _TILE_ROWS)
+    placed = join_counted(met, materialize(sizes.select("shingle", parts.alias("k"))), "shingle", "cls").withColumn("large", F.col("k").isNotNull()).withColumn("k", F.coalesce("k", F.lit(1)))
+    own = placed.withColumn("part", _part_of(F.col("k")))
+    visits = F.col("large") & (F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(_GUESTS)) == 0)
+    here = F.struct(F.col("part"), F.lit(False).alias("guest"))
+    there = F.struct(F.pmod(F.col("part") + 1, F.col("k")).cast("int").alias("part"), F.lit(True).alias("guest"))
+    rows = own.withColumn("to", F.explode(F.when(visits, F.array(here, there)).otherwise(F.array(here)))).select("shingle", "cls", "large", "to.*")
+    return rows.join(classes.select("cls", "n", "bitmap"), "cls")
+
+
+def _dealt(rows: DataFrame, weight: F.Column, most: int) -> DataFrame:
+    """Rows (grp, cls, component) of the groups that hold more than one component, with the blocks of about ``most`` of ``weight`` that they go to.
+
+    Each row lies in one block (side 0). Rows outside of their group's largest component
+    are probes: they also visit the other blocks (side 1). So a pair of different
+    components meets, and a group of one component and a few stragglers costs no more
+    than its rows times the stragglers' blocks.
+    """
+    each = rows.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(weight).alias("w"))
+    groups = each.groupBy("grp").agg(F.count(F.lit(1)).alias("kinds"), F.sum("w").alias("w"), F.max(F.struct("c", (-F.col("component")).alias("neg"))).alias("top")).filter(F.col("kinds") > 1)
+    groups = materialize(groups.select("grp", F.ceil(F.col("w") / most).alias("k"), (-F.col("top.neg")).alias("largest")))
+    # Spark splits what a large group makes of this join
+    placed = rows.join(groups, "grp").withColumn("own", _part_of(F.col("k"), "grp")).withColumn("probe", F.col("component") != F.col("largest"))
+    visited = F.when(F.col("probe"), F.transform(F.sequence(F.lit(0), (F.col("k") - 1).cast("int")), lambda b: F.struct(b.alias("block"), (b != F.col("own")).cast("int").alias("side"))))
+    return placed.withColumn("to", F.coalesce(visited, F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("side"))))).drop("k", "own", "largest")
+
+
+def _in_blocks(rows: DataFrame, run, schema: str) -> DataFrame:
+    return rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "side").mapInArrow(run, schema)
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return connected_components(links, "x", "y", one_task_rows=_ONE_TASK_LINKS).withColumnsRenamed({"node": "cls"})
+
+
 def _joined(slim: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, n, d1, d2), classes (cls, d1, d2, doc_id of the smallest id, and more), and links (x, y) enough to connect them."""
+    bounded_batches(slim.sparkSession)
     common = common_shingles(slim)
     whole = materialize(slim.mapInArrow(_described(common), "doc_id long, n long, d1 long, d2 long, prefix array<long>, bitmap binary, fine binary"))
     described = materialize(whole.select("doc_id", "n", "d1", "d2"))
@@ -452,36 +643,33 @@ def _joined(slim: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     discard(whole)
 
     rows = classes.select(F.explode("prefix").alias("shingle"), "n", "cls")
-    met = materialize(rows.repartition("shingle").sortWithinPartitions("shingle", "n", "cls").mapInArrow(_meetings, "shingle long, cls long"))
-
-    def in_tiles(df: DataFrame, run, schema: str) -> DataFrame:
-        return df.repartition("shingle").sortWithinPartitions("shingle", "n", "cls").mapInArrow(run, schema)
-
-    near = materialize(in_tiles(met.join(classes.select("cls", "n", "bitmap"), "cls"), _nearest, "cls long, other long, differ long, shingle long"))
-    alive = near.filter(F.col("shingle").isNotNull()).select("shingle", "cls")
-    wanted = alive.select("cls").distinct().join(classes.select("cls", "doc_id", "d1", "d2"), "cls")
-    arrays = _wanted_arrays(slim, materialize(wanted))
-
-    def best(df: DataFrame) -> DataFrame:
-        chosen = df.groupBy("cls").agg(F.min_by("other", F.struct("differ", "other")).alias("other"))
-        return materialize(chosen.select(F.col("other").alias("x"), F.col("cls").alias("y")))
-
-    def still_open(rows: DataFrame, links: DataFrame) -> DataFrame:
-        """Rows of tiles in which components meet: narrow ones, before any bitmap is sent."""
-        parts = connected_components(links, "x", "y").withColumnRenamed("node", "cls")
-        placed = rows.select("shingle", "cls").join(parts, "cls", "left").select("shingle", "cls", F.coalesce("component", "cls").alias("component"))
-        return materialize(placed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_open_tiles, "shingle long, cls long, component long"))
-
-    def with_bitmaps(rows: DataFrame) -> DataFrame:
-        return rows.join(classes.select("cls", "n", F.col("fine").alias("bitmap")), "cls")
-
-    links = _verified(best(near.filter(F.col("differ").isNotNull())), arrays)
-    rows = still_open(alive, links)
-    across = in_tiles(with_bitmaps(rows), _nearest_across, "cls long, other long, differ long")
-    links = materialize(links.unionByName(_verified(best(across), arrays)))
-    rows = still_open(rows, links)
-    late = materialize(in_tiles(with_bitmaps(rows), _across, "x long, y long").distinct())
-    return described, classes, materialize(links.unionByName(_verified(late, arrays)))
+    met = materialize(rows.repartitionByRange("shingle", "n", "cls").sortWithinPartitions("shingle", "n", "cls").mapInArrow(_meetings, "shingle long, n long, cls long").select("shingle", "cls"))
+
+    # first, each class is tried with the nearest in its part of each tile
+    parted = _in_parts(met, classes).repartition("shingle", "part").sortWithinPartitions("shingle", "part", "n", "cls")
+    near = materialize(parted.mapInArrow(_nearest, "cls long, guest boolean, other long, differ long, shingle long"))
+    discard(met)
+    nearest = near.filter(F.col("differ").isNotNull()).groupBy("cls", "guest").agg(F.min_by("other", F.struct("differ", "other")).alias("other"))
+    links = _verified(slim, classes, materialize(nearest.select(F.col("other").alias("x"), F.col("cls").alias("y")).distinct()))
+
+    # tiles in which components still meet: who passes with whom, as neighbourhoods
+    def placed(df: DataFrame, joined: DataFrame) -> DataFrame:
+        return df.join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+    joined = materialize(_components(links))
+    alive = near.filter(F.col("shingle").isNotNull()).select(F.col("shingle").alias("grp"), "cls")
+    still = materialize(_dealt(placed(alive, joined), F.lit(1), _TILE_ROWS).withColumn("to", F.explode("to")).select("grp", "to.*", "cls", "component", "probe"))
+    discard(near)
+    tried = _in_blocks(still.join(classes.select("cls", "n", F.col("fine").alias("bitmap")), "cls"), _neighbourhoods, "x long, y long")
+    around = materialize(_components(materialize(tried.distinct())).withColumnsRenamed({"component": "grp"}))
+    discard(still)
+
+    # and in each neighbourhood, all that is left to try, once
+    sized = placed(around.join(classes.select("cls", "n", "doc_id", "d1", "d2"), "cls"), joined)
+    wanted = materialize(_dealt(sized, F.col("n"), _BLOCK_SHINGLES))
+    read = _with_arrays(slim, wanted).withColumn("to", F.explode("to")).select("grp", "to.*", "cls", "component", "probe", "n", "shingles")
+    late = materialize(_in_blocks(read, _links, "x long, y long"))
+    return described, classes, materialize(links.unionByName(late))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
