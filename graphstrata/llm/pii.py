@@ -11,16 +11,18 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphstrata.llm.domains import ENDS
+from graphstrata.llm.batches import bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, str]
+Piece = tuple[str, int, int]
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -90,19 +92,20 @@ _ODD = re.compile("[" + "".join(map(re.escape, _ALIKE)) + "٠-٩۰-۹！-～①-
 _AT_WORD, _DOT_WORD = r"(?:at|arroba|arobase|klammeraffe|@)", r"(?:dot|punkt|punto|point|\.)"
 _OPEN, _CLOSE = r"[\[({<]{1,2}\s{0,3}", r"\s{0,3}[\])}>]{1,2}"
 _BRACKETED = re.compile(rf"(?i)\s{{0,3}}{_OPEN}(?:(?P<at>{_AT_WORD})|(?P<dot>{_DOT_WORD})){_CLOSE}\s{{0,3}}")
-_PART = r"[A-Za-z0-9_%+-]+"
-# Endings that prose can't be taken for, those that are common words, which never follow a "point" without another
-# sign, and words before a "dot" in prose.
-_SURE_ENDS = frozenset("com net org edu gov mil int info biz io co uk de fr es eu ch nl pl ru jp cn br au ca dev app ai xyz online site tech".split())
-_COMMON_ENDS = frozenset("am as at be call can dad day do fan fast free fun gold go got help here how in is it like living man me my new next no now one open organic play rest room safe save se show so study tips to today top us watch we win work works world yes you zero".split())
-_ARTICLES = frozenset("the a an this that each every any some which what one my your his her our their its no dot".split())
-_WRITTEN = re.compile(
-    rf"(?i)(?<![\w.%+-])(?P<local>{_PART}(?:(?:\.|\s+{_DOT_WORD}\s+){_PART})*)(?P<at>\s*@\s*|\s+at\s+)"
-    rf"(?P<first>[A-Za-z0-9-]+)(?:(?:\.|\s+{_DOT_WORD}\s+)[A-Za-z0-9-]+)*\s+(?P<dot>{_DOT_WORD})\s+(?P<end>{'|'.join(sorted(ENDS, key=len, reverse=True))})(?!\w)"
-)
-# With a sign or a local part of several words, any ending will do; it must be written out.
-_SIGNED = re.compile(rf"(?i)(?<![\w.%+-])(?:{_PART}(?:(?:\.|\s+{_DOT_WORD}\s+){_PART})+(?:\s*@\s*|\s+at\s+)|{_PART}\s*@\s*)[A-Za-z0-9-]+(?:\s+(?:dot|punkt|punto|point)\s+(?!(?:dot|punkt|punto|point)\b)[A-Za-z][A-Za-z0-9-]+)+(?!\w)")
-_SEPARATOR = re.compile(rf"(?i)(?P<at>\s*@\s*|\s+at\s+)|(?P<dot>\s+{_DOT_WORD}\s+)")
+# A written address lies around its "at": a chain of parts before it, a chain of labels after it, dots or worded dots between.
+# White space is looked at from where it begins only, and a chain never leaves the stretch between two "at", so a text is read twice at most.
+_AT = re.compile(r"(?i)(?<!\s)\s*@\s*|(?<!\s)\s+at\s+")
+_DOT_BEFORE = re.compile(r"(?i)(?:\A|\s)(?:dot|punkt|punto|point)\Z")  # what follows is an ending, as in "firma punkt at"
+_DOT = re.compile(rf"(?i)\.|\s+(?P<word>{_DOT_WORD})\s+")
+_LOCAL_CHAIN = re.compile(rf"(?i)(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\s+{_DOT_WORD}\s+)[A-Za-z0-9_%+-]+)*")
+_DOMAIN_CHAIN = re.compile(rf"(?i)[A-Za-z0-9-]+(?:(?:\.|\s+{_DOT_WORD}\s+)[A-Za-z0-9-]+)*")
+# Long endings of domains that need no other sign; words of two letters that are endings too, and those that are none;
+# words that stand before a "dot" or a "point" in prose, and before its "at".
+_LONG_ENDS = frozenset("com net org edu gov mil int info biz name pro app dev online site".split())
+_WORD_ENDS = frozenset("am as at be by do go in is it me my no so to us we".split())
+_NO_ENDS = frozenset("an ah eh he if of oh ok on or up".split())
+_ARTICLES = frozenset("the a an this that these each every any some which what one my your his her our their its no dot point".split())
+_BEFORE_AT = frozenset("look looks looked looking stare stared staring gaze gazed point points pointed aim aimed arrive arrived meet met meets stay stayed stop stopped is are was were be been".split())
 _DIGIT_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _MIXED = re.compile(rf"\b(?:{_DIGIT_WORD})(?:[\s,-]{{1,3}}|\s*(?:\.|dot|point|punkt|punto)\s*)(?:{_DIGIT_WORD}|[0-9])|[0-9](?:[\s,-]{{1,3}}|\s*(?:\.|dot|point|punkt|punto)\s*)(?:{_DIGIT_WORD})\b|[0-9]\s*(?:dot|point|punkt|punto)\s*[0-9]")
 _AT_GATE, _DOT_GATE = re.compile(r"@|\sat\s"), re.compile(rf"\s{_DOT_WORD}\s")
@@ -122,21 +125,22 @@ class Mapped:
     def of(cls, source: str) -> Mapped:
         return cls(source, list(range(len(source))), list(range(1, len(source) + 1)))
 
-    def sub(self, pattern: re.Pattern, write: Callable[[re.Match], list[tuple[str, int, int]] | None]) -> Mapped:
-        """Replace matches by what ``write`` gives: pieces of text, each with its stretch of this text; None leaves a match."""
+    def sub(self, pattern: re.Pattern, write: Callable[[re.Match], list[Piece] | None]) -> Mapped:
+        """Replace matches by what ``write`` gives; None leaves a match."""
+        return self.put((m.start(), m.end(), pieces) for m in pattern.finditer(self.text) if (pieces := write(m)) is not None)
+
+    def put(self, changes: Iterable[tuple[int, int, list[Piece]]]) -> Mapped:
+        """Replace stretches, which come in order, by pieces of text, each with its stretch of this text."""
         out, begin, end, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            pieces = write(m)
-            if pieces is None:
-                continue
-            out.append(self.text[at : m.start()])
-            begin += self.begin[at : m.start()]
-            end += self.end[at : m.start()]
+        for start, stop, pieces in changes:
+            out.append(self.text[at:start])
+            begin += self.begin[at:start]
+            end += self.end[at:start]
             for piece, lo, hi in pieces:
                 out.append(piece)
                 begin += [self.begin[lo]] * len(piece)
                 end += [self.end[hi - 1]] * len(piece)
-            at = m.end()
+            at = stop
         if not at:
             return self
         return Mapped("".join([*out, self.text[at:]]), begin + self.begin[at:], end + self.end[at:])
@@ -145,26 +149,16 @@ class Mapped:
         return self.begin[lo], self.end[hi - 1]
 
 
-def _plain_letter(m: re.Match) -> list[tuple[str, int, int]]:
+def _plain_letter(m: re.Match) -> list[Piece]:
     c = m[0]
     return [(_ALIKE[c] if c in _ALIKE else unicodedata.normalize("NFKC", c), m.start(), m.end())]
 
 
-def _sign(m: re.Match) -> list[tuple[str, int, int]]:
+def _sign(m: re.Match) -> list[Piece]:
     return [("@" if m["at"] else ".", m.start(), m.end())]
 
 
-def _inside(pattern: re.Pattern, m: re.Match) -> list[tuple[str, int, int]]:
-    """Write signs for the separators inside a match; the rest letter by letter."""
-    out, at = [], m.start()
-    for s in pattern.finditer(m.string, m.start(), m.end()):
-        out += [(m.string[i], i, i + 1) for i in range(at, s.start())]
-        out += _sign(s)
-        at = s.end()
-    return out + [(m.string[i], i, i + 1) for i in range(at, m.end())]
-
-
-def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
+def _digits(m: re.Match) -> list[Piece] | None:
     out, spelled, worded, at, was_word = [], 0, False, m.start(), False
     while at < m.end():
         t = _IN_RUN.match(m.string, at, m.end())
@@ -192,13 +186,59 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
     return out
 
 
-def _address(m: re.Match) -> list[tuple[str, int, int]] | None:
-    signed = "@" in m["at"] or "." in m["local"] or " " in " ".join(m["local"].split())
-    end = m["end"].lower()
-    common = end in _COMMON_ENDS or len(end) > 2 and end not in _SURE_ENDS
-    if end == "dot" or not signed and (common and m["first"].lower() in _ARTICLES or end in _COMMON_ENDS and m["dot"].lower() == "point"):
-        return None
-    return _inside(_SEPARATOR, m)
+def _ending(end: str, first: str, dot: str, local: str, at_sign: bool, parts: bool) -> int:
+    """How well a label ends a written address: 2 surely, 1 by its form alone, 0 not."""
+    end, first = end.lower(), first.lower()
+    if not end.isalpha() or len(end) < 2 or end in _NO_ENDS or _DOT.fullmatch(f" {end} "):
+        return 0
+    if end in _LONG_ENDS or len(end) == 2 and end not in _WORD_ENDS:
+        return 2
+    if at_sign:
+        return 1
+    if first in _ARTICLES or dot == "point" and not parts:
+        return 0
+    if len(end) == 2:
+        return 2
+    return int(parts or dot == "dot" and local.lower() not in _BEFORE_AT)
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int, list[Piece]]]:
+    """Written addresses, with signs for their words."""
+    signs = [m for m in _AT.finditer(text) if "@" in m[0] or not _DOT_BEFORE.search(text[max(m.start() - 7, 0) : m.start()])]
+    floor = 0
+    for i, at in enumerate(signs):
+        local = None
+        for local in _LOCAL_CHAIN.finditer(text, floor, at.start()):
+            pass
+        floor = at.end()
+        if local is None or local.end() != at.start():
+            continue
+        domain = _DOMAIN_CHAIN.match(text, at.end(), signs[i + 1].start() if i + 1 < len(signs) else len(text))
+        if domain is None:
+            continue
+        dots = list(_DOT.finditer(text, domain.start(), domain.end()))
+        edges = [domain.start(), *(d.end() for d in dots)], [*(d.start() for d in dots), domain.end()]
+        labels = [text[lo:hi] for lo, hi in zip(*edges, strict=True)]
+        parts = [d for d in _DOT.finditer(text, local.start(), local.end())]
+        taken = 0
+        for k in range(len(dots), 0, -1):
+            stop = edges[1][k]
+            if dots[k - 1]["word"] is None or k == len(dots) and (text[stop : stop + 1].isalnum() or text[stop : stop + 1] == "_"):
+                continue
+            fit = _ending(labels[k], labels[0], dots[k - 1]["word"].lower(), local[0], "@" in at[0], bool(parts))
+            if fit and not taken or fit == 2:
+                taken = k
+            if fit == 2:
+                break
+        if taken:
+            begin, stop = local.start(), edges[1][taken]
+            pieces, last = [], begin
+            for s in [*parts, at, *dots[:taken]]:
+                pieces += [(text[j], j, j + 1) for j in range(last, s.start())]
+                pieces.append(("@" if s is at else ".", s.start(), s.end()))
+                last = s.end()
+            yield begin, stop, pieces + [(text[j], j, j + 1) for j in range(last, stop)]
+            floor = stop
 
 
 def normalised(text: str) -> Mapped | None:
@@ -215,7 +255,7 @@ def normalised(text: str) -> Mapped | None:
         now = now.sub(_ODD, _plain_letter)
     now = now.sub(_BRACKETED, _sign)
     now = now.sub(_DIGIT_RUN, _digits)
-    return now.sub(_WRITTEN, _address).sub(_SIGNED, lambda m: _inside(_SEPARATOR, m))
+    return now.put(_addresses(now.text))
 
 
 def hidden_spans(text: str, base: list[Span]) -> list[Span]:
@@ -223,11 +263,16 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
     now = normalised(text)
     if now is None or now.text == text:
         return []
-    held = {(kind, b, e) for b, e, kind in base}
+    held: dict[str, tuple[list[int], list[int]]] = {kind: ([], []) for kind in KINDS}
+    for b, e, kind in sorted(base):  # of one kind they don't overlap, so the last to begin before a span is the one that may cover it
+        held[kind][0].append(b)
+        held[kind][1].append(e)
     found = set()
     for lo, hi, kind in plain_spans(now.text):
         b, e = now.span(lo, hi)
-        if (kind, b, e) not in held and not any(k == kind and x <= b and e <= y for x, y, k in base):
+        begins, ends = held[kind]
+        at = bisect_right(begins, b)
+        if not at or ends[at - 1] < e:
             found.add((b, e, kind))
     return sorted(found, key=_order)
 
@@ -237,28 +282,35 @@ def joined(spans: list[Span]) -> str:
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "has_pii"]
     for batch in batches:
         counts: list[list[int]] = [[], [], [], []]
-        digests, spans = [], []
-        for text in batch.column("text").to_pylist():
-            base = plain_spans(text or "")
+        digests, spans, totals = [], [], []
+        for text in batch.column("text"):  # one text at a time
+            text = text.as_py() or ""
+            base = plain_spans(text)
+            every = sorted([*base, *hidden_spans(text, base)], key=_order)
             for k, kind in enumerate(KINDS):
                 counts[k].append(sum(s[2] == kind for s in base))
             digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
-            spans.append(joined(sorted([*base, *hidden_spans(text or "", base)], key=_order)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=names)
+            spans.append(joined(every))
+            totals.append(len(every))
+        columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(totals, pa.int64()), pa.array([n > 0 for n in totals], pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, counts and digest of plain spans, and all spans, for each row of ``docs``.
+    """doc_id, counts and digest of plain spans, all spans, their number, and whether there is one, for each row of ``docs``.
 
     Null and empty texts have no spans; whole texts of any length are searched in linear
-    time; repeated rows and other columns change nothing. No shuffle.
+    time; a null id stays null; repeated rows count each; an empty table gives an empty
+    result; other columns are not read. No shuffle.
     """
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    bounded_batches(docs.sparkSession)
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, has_pii boolean"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_found, schema)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of ``documents``; nulls, repeats and empty tables as in ``find_pii``."""
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
