@@ -2,8 +2,13 @@
 
 A page becomes a tree of elements. Each element gets its characters per tag, adjusted
 for characters and tags inside links; each element's score is the sum of its children's
-densities. The subtree of the largest score is the content, together with the largest
-subtrees under every element as dense as the sparsest one on the path from it to body.
+densities. The subtree of the largest score, widened to those of its ancestors below
+body that are at least a third as dense, is the content, together with the largest subtrees
+under every element as dense as the sparsest one on the path from it to body.
+
+Elements that can't hold an article (menus, footers, scripts) are left out of the tree.
+Names of classes and ids only make a subtree's densities count less; the subtree goes
+when the content turns out to lie elsewhere.
 """
 
 from __future__ import annotations
@@ -17,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z)""", re.S)
-_HINT = re.compile(r"""(?i)(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_HIDDEN = re.compile(r"""(?i)(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""")
+from graphstrata.llm.batches import bounded_batches
+
+# Quotes count only where a value begins, as in HTML: a stray one is a character like others.
+_TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?|[^>=])*)(>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s]*)))?""")
+_NOT_SHOWN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 
 # Names of HTML elements, and words that pages use for what is not their main text.
 _RAW = frozenset("script style noscript template textarea title iframe object svg math canvas".split())
@@ -28,19 +36,23 @@ _BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html"
     " legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-_DROPPED = frozenset("head nav footer aside form button select menu dialog fieldset label audio video map".split()) | _RAW
+_DROPPED = frozenset("head nav footer aside button select menu dialog label audio video map".split()) | _RAW
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar"
     " aside cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended"
     " recommendations comment comments disqus reply replies respond pagination pager widget toolbar topbar masthead skip".split()
 )
+# Words that say nothing of their own in a compound ("related-posts", "site-footer"); with any other word it names something else ("related-work").
+_PLAIN = frozenset(
+    "site main page top bottom left right box block list area section container wrapper wrap inner outer link links post posts article articles story stories item items form button buttons"
+    " bar col column row header title text unit slot sticky fixed primary secondary global panel group holder thread media icons the to us my and in on".split()
+)
 # Words that make a compound name a page's layout or state ("has-sidebar", "comments-open"), not a part of it.
 _LAYOUT = frozenset("has no not with without open closed free enabled disabled target story".split())
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_TOLD = frozenset("article main h1".split())
-#: A named subtree is boilerplate when it has less than this share of the page's characters, or more of its own in links.
-_SMALL, _LINKED = 1 / 3, 1 / 2
+#: What densities inside a named subtree count; characters of a story that are told in spite of its name; density of an ancestor that belongs to the content.
+_DOUBT, _STORY, _WIDER = 0.25, 200, 1 / 3
 _HOLDS = frozenset("article main".split())
 _PARAGRAPH, _NO_PARAGRAPH = frozenset(["p"]), _BLOCK - {"p"}
 #: Elements whose start ends an open element of the same group below the given boundary.
@@ -49,58 +61,48 @@ _CLOSES = {k: (frozenset(names.split()), frozenset(edge)) for k, (names, edge) i
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "link_chars", "tags", "link_tags", "density", "score", "best", "inside", "named")
+    __slots__ = ("tag", "parent", "items", "chars", "link_chars", "tags", "link_tags", "density", "score", "best", "inside", "named", "doubt")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.items = tag, parent, []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.score = 0.0
-        self.best, self.inside, self.named = self, False, False
+        self.best, self.inside, self.named, self.doubt = self, False, False, 1.0
 
 
-def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+def _attributes(raw: str) -> dict[str, str]:
+    """Names in lower case; the first of a name counts, one without a value is empty."""
+    found: dict[str, str] = {}
+    if "=" in raw or "hidden" in raw:
+        for m in _ATTRIBUTE.finditer(raw):
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     """Whether an element is boilerplate whatever it holds."""
     if tag in _DROPPED or tag == "header" and not in_article:
         return True
-    if "=" not in attributes and "hidden" not in attributes:
+    if not attributes:
         return False
-    if _HIDDEN.search(attributes):
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _NOT_SHOWN.search(attributes.get("style", "")):
         return True
-    if tag in _HOLDS or tag in ("body", "html"):
-        return False
-    return any(m[0][:4].lower() == "role" and (m[1] or m[2] or m[3] or "").strip().lower() in _ROLES for m in _HINT.finditer(attributes))
+    return tag not in (*_HOLDS, "body", "html") and attributes.get("role", "").strip().lower() in _ROLES
 
 
-def _named(tag: str, attributes: str) -> bool:
-    """Whether a class or the id names boilerplate."""
-    if "=" not in attributes or tag in _HOLDS:
+def _named(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether the element is a form, or a class or the id names boilerplate."""
+    if tag in ("form", "fieldset"):
+        return True
+    if tag in _HOLDS:
         return False
-    for m in _HINT.finditer(attributes):
-        if m[0][:4].lower() not in ("role", "aria"):
-            for name in (m[1] or m[2] or m[3] or "").split():
-                parts = {p.lower() for p in _PART.findall(name)}
-                if parts & _WORDS and not parts & _LAYOUT:
-                    return True
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        parts = {p.lower() for p in _PART.findall(name)}
+        if parts & _WORDS and parts <= _WORDS | _PLAIN and not parts & _LAYOUT:
+            return True
     return False
 
 
-def _without_named(root: Node) -> Node:
-    """Drop the named elements that look like boilerplate too: small or full of links, without an article, main or h1."""
-    nodes = _elements(root)
-    if not any(n.named for n in nodes):
-        return root
-    chars, links, told = {}, {}, {}
-    for node in reversed(nodes):
-        inner, key = [x for x in node.items if type(x) is Node], id(node)
-        chars[key] = sum(len("".join(x.split())) for x in node.items if type(x) is str) + sum(chars[id(x)] for x in inner)
-        links[key] = chars[key] if node.tag == "a" else sum(links[id(x)] for x in inner)
-        told[key] = node.tag in _TOLD or any(told[id(x)] for x in inner)
-    for node in nodes:
-        if node.named and not told[id(node)] and (chars[id(node)] < _SMALL * chars[id(root)] or links[id(node)] > _LINKED * chars[id(node)]):
-            node.tag, node.items = "br", []
-    return root
-
-
 def parse(html: str) -> Node:
     """The body as a tree without boilerplate; items are strings and elements in page order."""
     root = now = Node("body", None)
@@ -114,13 +116,13 @@ def parse(html: str) -> Node:
         if text and skip is None:
             now.items.append(unescape(text) if "&" in text else text)
         if m is None:
-            return _without_named(root)
+            return root
         at = m.end()
         if m[2] is None:
             continue
         tag, ends = m[2].lower(), bool(m[1])
         if not m[4]:
-            return _without_named(root)  # a tag that the page breaks off in
+            return root  # a tag that the page breaks off in
         if not ends and tag in _RAW and not m[3].endswith("/"):
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
             at = close.end() if close else len(html)
@@ -151,13 +153,14 @@ def parse(html: str) -> Node:
             now = _close(now, _PARAGRAPH, _NO_PARAGRAPH)
         if tag in _CLOSES:
             now = _close(now, *_CLOSES[tag])
-        if _boilerplate(tag, m[3], articles > 0):
+        attributes = _attributes(m[3])
+        if _boilerplate(tag, attributes, articles > 0):
             if tag not in _VOID and not m[3].endswith("/"):
                 skip, depth = tag, 1
             now.items.append(Node("br", now))
             continue
         node = Node(tag, now)
-        node.named = _named(tag, m[3])
+        node.named = _named(tag, attributes)
         now.items.append(node)
         if tag not in _VOID and not m[3].endswith("/"):
             articles += tag in _HOLDS
@@ -198,6 +201,9 @@ def _elements(root: Node) -> list[Node]:
 def score(root: Node) -> list[Node]:
     """Fill in the counts, densities and scores; the elements, parents first."""
     nodes = _elements(root)
+    for node in nodes:
+        node.chars = node.link_chars = node.tags = node.link_tags = 0
+        node.density, node.best = 0.0, node
     for node in reversed(nodes):
         node.chars += sum(len("".join(x.split())) for x in node.items if type(x) is str)
         if node.tag == "a":
@@ -216,7 +222,9 @@ def score(root: Node) -> list[Node]:
             base = math.log(node.chars / plain * node.link_chars + ratio * node.chars + math.e)
             node.density = node.chars / tags * math.log(node.chars / links * tags / link_tags + 1) / math.log(base + 1)
     for node in nodes:
-        node.score = sum(x.density for x in node.items if type(x) is Node)
+        node.doubt = (node.parent.doubt if node.parent is not None else 1.0) * (_DOUBT if node.named else 1.0)
+    for node in nodes:
+        node.score = sum(x.density * x.doubt for x in node.items if type(x) is Node)
     for node in reversed(nodes):  # the element of the largest score in each subtree
         up = node.parent
         if up is not None and node.best.score > up.best.score:
@@ -224,21 +232,44 @@ def score(root: Node) -> list[Node]:
     return nodes
 
 
+def _believed(root: Node, nodes: list[Node], best: Node) -> bool:
+    """Drop the named subtrees that the densest one does not lie in, or that are too short for a story; whether any was dropped."""
+    around, node = set(), best
+    while node is not None:
+        if best.chars - best.link_chars >= _STORY:
+            around.add(id(node))
+        node = node.parent
+    found = False
+    for node in nodes:
+        if node.named and id(node) not in around:
+            node.tag, node.items, node.named, found = "br", [], False, True
+        elif node.named:
+            node.named = False
+    return found
+
+
 def content(root: Node) -> list[Node]:
     """The outermost elements that hold the main text, in page order."""
     nodes = score(root)
+    if any(n.named for n in nodes):
+        _believed(root, nodes, root.best)
+        nodes = score(root)
     best = root.best
     if best.score <= 0:
         return [root]
-    least, node = best.density, best
-    while node is not None:
-        least = min(least, node.density)
-        if node.tag in _HOLDS:
-            best = node
+    enough = _WIDER * best.density
+    while best.parent is not None and best.parent.parent is not None and best.parent.density >= enough:
+        best = best.parent
+    least, node, marked = best.density, best, {id(best)}
+    while node.parent is not None:
+        for x in node.parent.items:  # a headline beside the content
+            if x is node:
+                break
+            if type(x) is Node and x.tag == "h1":
+                marked.add(id(x))
         node = node.parent
-    marked = {id(best)}
-    if best.tag not in _HOLDS:
-        marked |= {id(n.best if n.best.score > 0 else n) for n in nodes if n.density >= least and n is not root}
+        least = min(least, node.density)
+    marked |= {id(n.best if n.best.score > 0 else n) for n in nodes if n.density >= least and n is not root}
     out = []
     for node in nodes:
         node.inside = node.parent is not None and (node.parent.inside or id(node.parent) in marked)
@@ -294,7 +325,7 @@ def _in_page_order(root: Node) -> Iterator[Node]:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(h) for h in batch.column("html").to_pylist()]
+        texts = [main_text(h.as_py()) for h in batch.column("html")]  # one page at a time
         columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
@@ -306,9 +337,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     it goes; whole pages of any length are read; repeated rows and other columns change
     nothing. No shuffle: every page is handled where it is read.
     """
+    bounded_batches(pages.sparkSession)
     slim = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return slim.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page of ``pages``; nulls, broken pages, repeats and empty tables as in ``extract_text``."""
     return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
