@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphstrata.llm.batches import bounded_batches
 from graphstrata.llm.hashing import Block, Sums, blocks
-from graphstrata.llm.streamed import ROWS, frequent_positions
+from graphstrata.llm.streamed import ROWS, counted_rows, frequent_positions
+from graphstrata.runtime import materialize
 
 #: Bytes that a boundary depends on, mean bytes between candidates, least and most bytes of a chunk.
 REACH, SPACING, LEAST, MOST = 16, 18, 12, 512
@@ -39,20 +41,30 @@ def gear(data: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint32(15))
 
 
-def _cuts(candidates: list[int], begin: int, end: int) -> list[int]:
-    """The ends of a text's chunks: candidates no nearer than LEAST, and none further than MOST."""
+def _cuts(candidates: list[int], begin: int, end: int, hashes: np.ndarray) -> list[int]:
+    """The ends of a text's chunks: candidates no nearer than LEAST.
+
+    Where none comes for MOST bytes, as in a short phrase repeated again and again, the
+    chunk ends at the last of the smallest hashes among them, so there too the content
+    says where, and not the distance from the chunk before.
+    """
     out, last = [], begin
+
+    def forced(last: int) -> int:
+        near = hashes[last + LEAST - 1 : last + MOST]
+        return last + LEAST + len(near) - 1 - int(np.argmin(near[::-1]))
+
     for c in candidates:
         if c - last < LEAST:
             continue
         while c - last > MOST:
-            last += MOST
+            last = forced(last)
             out.append(last)
         if c - last >= LEAST:
             out.append(c)
             last = c
     while end - last > MOST:
-        last += MOST
+        last = forced(last)
         out.append(last)
     if end > last:
         out.append(end)
@@ -61,11 +73,12 @@ def _cuts(candidates: list[int], begin: int, end: int) -> list[int]:
 
 def block_chunks(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text number in the block, first and last byte in the buffer, and digest of every chunk."""
-    found = np.flatnonzero(gear(block.data) < _BELOW) + 1
+    hashes = gear(block.data)
+    found = np.flatnonzero(hashes < _BELOW) + 1
     lo, hi = np.searchsorted(found, block.begin, "right"), np.searchsorted(found, block.end, "left")
     ends, counts = [], []
     for i in range(len(block.begin)):
-        e = _cuts(found[lo[i] : hi[i]].tolist(), int(block.begin[i]), int(block.end[i]))
+        e = _cuts(found[lo[i] : hi[i]].tolist(), int(block.begin[i]), int(block.end[i]), hashes)
         ends += e
         counts.append(len(e))
     end, count = np.array(ends, np.int64), np.array(counts, np.int64)
@@ -78,7 +91,7 @@ def block_chunks(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc_ids, row_keys = batch.column("doc_id"), batch.column("row_key")
+        doc_ids, row_keys, copies = (batch.column(c) for c in ("doc_id", "row_key", "copies"))
         for block in blocks(batch.column("text"), b"\0"):
             text, begin, end, digest = block_chunks(block)
             if not len(text):
@@ -95,10 +108,10 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = pa.array(text[start] + block.first)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(digest[start].view(np.int64)), pa.array(np.zeros(len(start), np.int64)), doc_ids.take(own), row_keys.take(own),
+                    pa.array(digest[start].view(np.int64)), pa.array(np.zeros(len(start), np.int64)), doc_ids.take(own), row_keys.take(own), copies.take(own),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(spans.ravel())),
                 ],
-                names=["h1", "h2", "doc_id", "row_key", "positions"],
+                names=["h1", "h2", "doc_id", "row_key", "copies", "positions"],
             )
 
 
@@ -125,16 +138,17 @@ def repeated_spans(docs: DataFrame, least: int = LEAST_SPAN) -> DataFrame:
 
     A passage starts and ends with a chunk, so it may miss up to a chunk at both ends of
     what really repeats; what is shorter than ``least`` characters is left out. A row is
-    a document: a repeated row repeats its whole text. Null and empty texts have no
-    passages. Digests have 64 bits, and a run has several, so chance runs don't occur.
+    a document: a repeated row repeats its whole text, and rows alike in id and text are
+    told once. Null and empty texts have no passages; a null id stays null. Digests have 64 bits, and a run has several, so chance runs don't occur.
     An empty table gives an empty result; other columns are not read.
     """
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row_key", F.xxhash64("text"))
-    rows = slim.mapInArrow(_chunk_rows, ROWS)
+    bounded_batches(docs.sparkSession)
+    rows = materialize(counted_rows(docs).mapInArrow(_chunk_rows, ROWS))
     shared = frequent_positions(rows, 2).groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("positions")).alias("spans"))
     return shared.mapInArrow(_runs(least), "doc_id long, row_key long, span_begin long, span_end long")
 
 
 def op7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of ``documents`` that other documents hold too; nulls, repeats and empty tables as in ``repeated_spans``."""
     found = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "span_begin", "span_end", (F.col("span_end") - F.col("span_begin")).alias("n_chars"))

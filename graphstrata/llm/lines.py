@@ -12,11 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphstrata.llm.streamed import ROWS, frequent_positions, later_positions, row_batch
+from graphstrata.llm.batches import bounded_batches
+from graphstrata.llm.streamed import ROWS, counted_rows, frequent_positions, later_positions, row_batch
 from graphstrata.runtime import materialize
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _FLUSH = 50_000
+#: Bitmaps are broadcast up to so many bytes, which are counted.
+_BROADCAST_BYTES = 16 << 20
 
 
 def line_keys(text: str | None) -> list[bytes]:
@@ -27,25 +30,21 @@ def line_keys(text: str | None) -> list[bytes]:
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_128_digest
     for batch in batches:
-        keys, docs, rows, places = [], [], [], []
-        for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_key", "text")), strict=True):
+        keys, docs, rows, copies, places = [], [], [], [], []
+        for doc, row, many, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_key", "copies")), batch.column("text"), strict=True):
             at: dict[bytes, list[int]] = {}
-            for i, key in enumerate(line_keys(text)):
+            for i, key in enumerate(line_keys(text.as_py())):
                 if key:
                     at.setdefault(key, []).append(i)
             keys += map(digest, at)
             docs += [doc] * len(at)
             rows += [row] * len(at)
+            copies += [many] * len(at)
             places += at.values()
             if len(keys) >= _FLUSH:
-                yield row_batch(keys, docs, rows, places)
-                keys, docs, rows, places = [], [], [], []
-        yield row_batch(keys, docs, rows, places)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """A row is known by its id and a hash of its text, as ids may repeat."""
-    return docs.withColumn("row_key", F.xxhash64("text"))
+                yield row_batch(keys, docs, rows, copies, places)
+                keys, docs, rows, copies, places = [], [], [], [], []
+        yield row_batch(keys, docs, rows, copies, places)
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,10 +64,12 @@ def keep_bitmaps(docs: DataFrame, min_docs: int | None = 10) -> DataFrame:
     With ``min_docs``, lines found in so many rows lose all their copies; with None,
     each line's first occurrence by document and position stays. A bit is 1 if the line
     stays; lines beyond the bitmap's end stay. A row is a document: rows that repeat an
-    id count each. Lines without a visible character never go. Null texts have none.
+    id count each, and rows alike in id and text too, but these have one bitmap, and of
+    their first occurrences all stay. Lines without a visible character never go. Null
+    texts have none; an empty table gives an empty result; other columns are not read.
     """
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = materialize(_keyed(slim).select("doc_id", "row_key", "text").mapInArrow(_lines, ROWS))
+    bounded_batches(docs.sparkSession)
+    rows = materialize(counted_rows(docs).mapInArrow(_lines, ROWS))
     found = later_positions(rows) if min_docs is None else frequent_positions(rows, min_docs)
     drops = found.groupBy("doc_id", "row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("drops"))
     return drops.mapInArrow(_bitmaps, "doc_id long, row_key long, keep binary")
@@ -86,10 +87,12 @@ def kept_lines(text: str | None, keep: bytes | None) -> tuple[str, int, int]:
 
 
 def _joined(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    b = bitmaps.select(F.col("doc_id").alias("_b_doc"), F.col("row_key").alias("_b_row"), F.col("keep").alias("_b_keep"))
+    """Rows with their bitmaps. These are broadcast while they are counted as few; else Spark sorts and merges, and splits what is skewed."""
+    b = materialize(bitmaps.select(F.col("doc_id").alias("_b_doc"), F.col("row_key").alias("_b_row"), F.col("keep").alias("_b_keep")))
+    size = b.agg(F.sum(F.octet_length("_b_keep") + 64)).first()[0] or 0
     text = F.col("text").cast("string")
     keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(text).alias("_row_key"))
-    both = keyed.join(b.hint("shuffle_hash"), F.col("_doc").eqNullSafe(F.col("_b_doc")) & (F.col("_row_key") == F.col("_b_row")), "left")
+    both = keyed.join(F.broadcast(b) if size <= _BROADCAST_BYTES else b.hint("merge"), F.col("_doc").eqNullSafe(F.col("_b_doc")) & (F.col("_row_key") == F.col("_b_row")), "left")
     return both.select("_row", "_b_keep")
 
 
@@ -106,14 +109,22 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_summaries(docs: DataFrame, min_docs: int | None = 10) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 for each row of ``docs``."""
+    """doc_id, n_lines, n_dropped, kept_sha256 for each row of ``docs``.
+
+    A null or empty text is one empty line; a null id stays null; repeated rows count and
+    are returned each; an empty table gives an empty result; other columns are not read.
+    """
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     both = _joined(slim, keep_bitmaps(slim, min_docs)).select("_row.doc_id", "_row.text", "_b_keep")
     return both.mapInArrow(_summaries, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def drop_lines(docs: DataFrame, min_docs: int | None = 10) -> DataFrame:
-    """``docs`` with only the kept lines in text, and n_chars, where there is one, counted anew; other columns as they were."""
+    """``docs`` with only the kept lines in text, and n_chars, where there is one, counted anew; other columns as they were.
+
+    Every row stays, also one whose lines all go; null texts stay null; repeated rows are
+    treated alike; an empty table gives an empty result.
+    """
 
     @F.pandas_udf("string")
     def kept(text, keep):
@@ -129,6 +140,7 @@ def drop_lines(docs: DataFrame, min_docs: int | None = 10) -> DataFrame:
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup at ten documents leaves of ``documents``; nulls, repeats and empty tables as in ``line_summaries``."""
     return line_summaries(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 

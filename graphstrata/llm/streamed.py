@@ -5,6 +5,9 @@ third of all rows is spread over many tasks in order; each task streams its rang
 decides every key that lies wholly inside. Only the first and the last key of a range
 may go on elsewhere: of those it reports a count, and the rows it can't yet decide.
 That leaves two keys a partition at most, whose totals are broadcast.
+
+Rows of equal id and text, which no key could spread, are counted first and then stand
+as one row with a number of copies.
 """
 
 from __future__ import annotations
@@ -18,16 +21,16 @@ from pyspark.sql import functions as F
 
 from graphstrata.runtime import materialize
 
-ROWS = "h1 long, h2 long, doc_id long, row_key long, positions array<int>"
+ROWS = "h1 long, h2 long, doc_id long, row_key long, copies long, positions array<int>"
 _OUT = f"kind byte, n long, {ROWS}"
-_ARROW = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("positions", pa.list_(pa.int32()))])
+_ARROW = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("copies", pa.int64()), ("positions", pa.list_(pa.int32()))])
 DECIDED, OPEN, COUNT = 0, 1, 2
 
 
-def row_batch(keys: list[bytes], doc_ids: list, row_keys: list[int], positions: list[list[int]]) -> pa.RecordBatch:
+def row_batch(keys: list[bytes], doc_ids: list, row_keys: list[int], copies: list[int], positions: list[list[int]]) -> pa.RecordBatch:
     """A batch of ROWS from 16-byte keys."""
     halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2) if keys else np.zeros((0, 2), np.int64)
-    columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(doc_ids, pa.int64()), pa.array(row_keys, pa.int64()), pa.array(positions, pa.list_(pa.int32()))]
+    columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(doc_ids, pa.int64()), pa.array(row_keys, pa.int64()), pa.array(copies, pa.int64()), pa.array(positions, pa.list_(pa.int32()))]
     return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
 
@@ -37,8 +40,8 @@ def _mark(batch: pa.RecordBatch, kind: int, n: int = 0) -> pa.RecordBatch:
 
 
 def _without_first_position(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    rest = [p[1:] for p in batch.column(4).to_pylist()]
-    return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(rest, pa.list_(pa.int32()))], schema=_ARROW) if rest and rest[0] else None
+    rest = [p[1:] for p in batch.column(5).to_pylist()]
+    return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(rest, pa.list_(pa.int32()))], schema=_ARROW) if rest and rest[0] else None
 
 
 class _Run:
@@ -49,7 +52,7 @@ class _Run:
 
 
 def _frequent(least: int):
-    """All positions of keys that at least ``least`` rows have."""
+    """All positions of keys that at least ``least`` rows have, copies counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Run | None = None
@@ -67,10 +70,11 @@ def _frequent(least: int):
             h1, h2 = (batch.column(i).to_numpy() for i in (0, 1))
             cut = np.flatnonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) + 1
             begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [n]])
+            count = np.add.reduceat(batch.column(4).to_numpy(), begin)
             edges = {0, len(begin) - 1} | ({1} if len(begin) > 1 and closed == 0 else set())
             inner = np.ones(len(begin), bool)
             inner[list(edges)] = False
-            take = np.repeat(inner & (end - begin >= least), end - begin)
+            take = np.repeat(inner & (count >= least), end - begin)
             if take.any():
                 yield _mark(batch.filter(pa.array(take)), DECIDED)
             for i in sorted(edges):
@@ -82,7 +86,7 @@ def _frequent(least: int):
                         closed += 1
                     now = _Run(key, closed == 0)
                 part = batch.slice(lo, hi - lo)
-                now.count += hi - lo
+                now.count += int(count[i])
                 if now.count >= least:
                     yield from (_mark(b, DECIDED) for b in (*now.held, part))
                     now.held = []
@@ -112,7 +116,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if firsts.num_rows and not closed:
             yield _mark(firsts.slice(0, 1), OPEN)  # the range before may have had this key
             firsts, closed = firsts.slice(1), 1
-        many = firsts.filter(pa.array(np.diff(firsts.column(4).offsets.to_numpy()) > 1)) if firsts.num_rows else firsts
+        many = firsts.filter(pa.array(np.diff(firsts.column(5).offsets.to_numpy()) > 1)) if firsts.num_rows else firsts
         for i in range(many.num_rows):
             yield _mark(_without_first_position(many.slice(i, 1)), DECIDED)
     if key is not None:
@@ -120,7 +124,17 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _key_row(key: tuple[int, int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([[]], pa.list_(pa.int32()))], schema=_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([[]], pa.list_(pa.int32()))], schema=_ARROW)
+
+
+def counted_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key, copies, text: each id and text once. A row is known by its id and a hash of its text, as ids may repeat."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_key"), F.col("text").cast("string").alias("text"))
+    told = keyed.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("copies"))
+    if not told.filter("copies > 1").limit(1).count():
+        return keyed.withColumn("copies", F.lit(1).cast("long"))
+    # copies are combined before any text is moved
+    return keyed.groupBy("doc_id", "row_key").agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("copies"))
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
