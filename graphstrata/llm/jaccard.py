@@ -54,6 +54,7 @@ _TILE_ROWS, _GUESTS, _BLOCK_SHINGLES, _TRIED = 512, 16, 200_000, 64
 #: Ids that are broadcast (at most 16 MB) before a Bloom filter is, and the logarithm of its most bits (32 MB).
 _BROADCAST_IDS, _MOST_FILTER_BITS = 500_000, 28
 _ONE_TASK_LINKS = 200_000
+_KEYS = ("grp", "block", "slice")
 
 
 # ---------------------------------------------------------------- sets of shingles
@@ -246,10 +247,9 @@ class _Bitmaps:
             self.folded[level, size] = m
         return self.folded[level, size][self.place[rows]]
 
-    def differing(self, a: np.ndarray, other: _Bitmaps, b: np.ndarray) -> np.ndarray:
-        """Differing bits of rows ``a`` here and rows ``b`` of ``other``."""
+    def differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.empty(len(a), np.int64)
-        x, y = self.level[a], other.level[b]
+        x, y = self.level[a], self.level[b]
         kind = x * (1 << 32) + y
         for k in np.unique(kind):
             pick = np.flatnonzero(kind == k)
@@ -257,101 +257,91 @@ class _Bitmaps:
             step = max(1, _XOR_BYTES // size)
             for at in range(0, len(pick), step):
                 some = pick[at : at + step]
-                out[some] = np.bitwise_count(self._at(size, a[some]) ^ other._at(size, b[some])).sum(axis=1)
+                out[some] = np.bitwise_count(self._at(size, a[some]) ^ self._at(size, b[some])).sum(axis=1)
         return out
 
 
-class _Rows:
-    """Classes of one group and block, in the order of their sizes."""
+class _Chunk:
+    """Rows of whole keys (group, block and slice): a block's own, by key and size, and those that ask, the probes."""
 
     def __init__(self, batch: pa.RecordBatch):
-        n = batch.column("n").to_numpy()
-        order = np.argsort(n, kind="stable")
-        self.batch = batch.take(pa.array(order))
-        self.n, self.cls = n[order], self.batch.column("cls").to_numpy()
         names = batch.schema.names
-        self.component = self.batch.column("component").to_numpy() if "component" in names else None
-        self.probe = self.batch.column("probe").to_numpy(zero_copy_only=False) if "probe" in names else None
+        self.n, self.cls = batch.column("n").to_numpy(), batch.column("cls").to_numpy()
+        self.component, self.probe = batch.column("component").to_numpy(), batch.column("probe").to_numpy(zero_copy_only=False)
+        side, new = batch.column("side").to_numpy(), np.zeros(batch.num_rows, bool)
+        for c in _KEYS:
+            values = batch.column(c).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        key = np.cumsum(new)
+        own = np.flatnonzero(side == 0)
+        self.own = own[np.lexsort((self.n[own], key[own]))]
+        # a block's own probes ask in its first slice only
+        self.asking = np.flatnonzero(self.probe & ((side == 1) | (batch.column("slice").to_numpy() == 0)))
+        span = np.int64(_further(self.n.max()) + 1) if len(self.n) else 1
+        order, asked = key[self.own] * span + self.n[self.own], key[self.asking] * span
+        self.low = np.searchsorted(order, asked + _reach(self.n[self.asking]))
+        self.high = np.searchsorted(order, asked + _further(self.n[self.asking]), "right")
         if "shingles" in names:
-            column = self.batch.column("shingles")
+            column = batch.column("shingles")
             offsets, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
             self.sets = [flat[lo:hi] for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
             # made here, a bitmap has no weight on the way: long enough to tell sets apart that nearly link
             self.bitmaps = _Bitmaps([bitmap_of(s, max(_LEAST_FINE_BITS, 1 << int(8 * len(s) - 1).bit_length())) for s in self.sets])
         else:
-            self.bitmaps = _Bitmaps(self.batch.column("bitmap").to_pylist())
-
-
-def _passing(a: np.ndarray, x: _Rows, b: np.ndarray, y: _Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs (row of x, row of y) those whose bit counts let them pass, and their differing bits."""
-    differ = x.bitmaps.differing(a, y.bitmaps, b)
-    n, m = x.n[a], y.n[b]
-    # the overlap is (sizes - difference) / 2 at most, and the bits that differ are no more than the difference
+            self.bitmaps = _Bitmaps(batch.column("bitmap").to_pylist())
+
+    def across(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Probe, own row and differing bits of the pairs in reach of different components that pass; of two probes, the later class asks."""
+        for p, at in _pairs(self.low, self.high, self.asking):
+            r = self.own[at]
+            apart = (self.component[p] != self.component[r]) & (~self.probe[r] | (self.cls[p] > self.cls[r]))
+            p, r = p[apart], r[apart]
+            if len(p):
+                differ = self.bitmaps.differing(p, r)
+                ok = _can_link(self.n[p], self.n[r], differ)
+                yield p[ok], r[ok], differ[ok]
+
+
+def _can_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """The overlap is (sizes - difference) / 2 at most, and the bits that differ are no more than the difference."""
     most = (n + m - differ) // 2
-    ok = LINK_OVER * most >= LINK_UNDER * (n + m - most)
-    return a[ok], b[ok], differ[ok]
+    return LINK_OVER * most >= LINK_UNDER * (n + m - most)
 
 
 def _pairs(low: np.ndarray, high: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each of ``rows`` with every number from its low to its high, a bounded number of pairs at a time."""
     count = np.maximum(high - low, 0)
+    rows, low, count = rows[count > 0], low[count > 0], count[count > 0]
     cut = np.flatnonzero(np.diff(np.cumsum(count) // _CHUNK_PAIRS)) + 1
     for r, lo, c in zip(np.split(rows, cut), np.split(low, cut), np.split(count, cut), strict=True):
         total = int(c.sum())
-        if not total:
-            continue
         left = np.repeat(r, c)
         right = np.arange(total) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo, c)
         for at in range(0, total, _CHUNK_PAIRS):
             yield left[at : at + _CHUNK_PAIRS], right[at : at + _CHUNK_PAIRS]
 
 
-def _across(probes: _Rows, base: _Rows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Probe, base row and differing bits of the pairs in reach of different components that pass; of two probes, the later class asks."""
-    asking = np.flatnonzero(probes.probe)
-    low = np.searchsorted(base.n, _reach(probes.n[asking]))
-    high = np.searchsorted(base.n, _further(probes.n[asking]), "right")
-    for p, r in _pairs(low, high, asking):
-        apart = (probes.component[p] != base.component[r]) & (~base.probe[r] | (probes.cls[p] > base.cls[r]))
-        if apart.any():
-            yield _passing(p[apart], probes, r[apart], base)
-
-
-def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str], more: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """Stretches of rows of equal keys, whole or in pieces of at least _CHUNK_BYTES; rows come in the order of their keys.
-
-    A piece ends where ``more`` changes too, so that a block's own rows are all in its first piece.
-    """
-    now, held, size = None, [], 0
+def _gathered(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of their keys anew, in batches cut between keys. What is dealt to one key is bounded."""
+    held, size = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in (*keys, *more)]
-        new = np.zeros(batch.num_rows - 1, bool)
-        for c in columns:
-            new |= c[1:] != c[:-1]
-        cut = np.flatnonzero(new) + 1
-        for lo, hi in zip(np.concatenate([[0], cut]), np.concatenate([cut, [batch.num_rows]]), strict=True):
-            key = tuple(c[lo].item() for c in columns)
-            if held and (key != now or size >= _CHUNK_BYTES and key[len(keys) :] != (0,) * len(more)):
-                yield now, _one(held)
-                held, size = [], 0
-            now = key
-            held.append(batch.slice(lo, hi - lo))
-            size += held[-1].nbytes
+        if size >= _CHUNK_BYTES:
+            same = np.ones(batch.num_rows, bool)
+            for k in keys:
+                same &= batch.column(k).to_numpy() == held[-1].column(k)[held[-1].num_rows - 1].as_py()
+            cut = batch.num_rows if same.all() else int(np.argmin(same))
+            held.append(batch.slice(0, cut))
+            if cut == batch.num_rows:
+                continue
+            yield _one(held)
+            batch = batch.slice(cut)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
     if held:
-        yield now, _one(held)
-
-
-def _blocks_and_visitors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, _Rows, _Rows]]:
-    """Key, a block's own rows, and the rows that are to be tried with them: first its own probes, then those that visit, a bounded number at a time."""
-    base, at = None, None
-    for key, batch in _by_key(batches, ["grp", "block"], ["side"]):
-        rows = _Rows(batch)
-        if key[2] == 0:
-            base, at = rows, key[:2]
-        if at == key[:2]:  # a block without own rows has nothing to try
-            yield key, rows, base
+        yield _one(held)
 
 
 # ---------------------------------------------------------------- what is done in a block
@@ -365,12 +355,9 @@ def _best_of(cls: np.ndarray, other: np.ndarray, differ: np.ndarray) -> tuple[np
 
 
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each class of a part the nearest one before it that passes (with differ), and the tiles in which a pair of it passes (with shingle).
-
-    Small tiles are gathered to one batch, told apart by their number.
-    """
+    """For each class of a part the nearest one before it that passes (with differ), and the tiles in which a pair of it passes (with shingle)."""
     names = ["cls", "guest", "other", "differ", "shingle"]
-    for batch in _gathered(batches):
+    for batch in _gathered(batches, ("shingle", "part")):
         shingle, part = batch.column("shingle").to_numpy(), batch.column("part").to_numpy()
         n, cls = batch.column("n").to_numpy(), batch.column("cls").to_numpy()
         guest = batch.column("guest").to_numpy(zero_copy_only=False)
@@ -382,9 +369,8 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [(np.zeros(0, np.int64),) * 3]
         rows = np.arange(len(n))
         for b, a in _pairs(low, rows, rows):
-            differ = bitmaps.differing(a, bitmaps, b)
-            most = (n[a] + n[b] - differ) // 2
-            ok = LINK_OVER * most >= LINK_UNDER * (n[a] + n[b] - most)
+            differ = bitmaps.differing(a, b)
+            ok = _can_link(n[a], n[b], differ)
             a, b = a[ok], b[ok]
             alive[a] = alive[b] = True
             found.append(_best_of(cls[b] * 2 + guest[b], cls[a], differ[ok]))
@@ -395,19 +381,6 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cls[alive]), pa.array(np.zeros(int(alive.sum()), bool)), none, none, pa.array(shingle[alive])], names=names)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole parts of tiles, several to a batch. A part is bounded by the rows that are dealt to it."""
-    held, size = [], 0
-    for _, piece in _by_key(batches, ["shingle", "part"], []):
-        held.append(piece)
-        size += piece.nbytes
-        if size >= _CHUNK_BYTES:
-            yield _one(held)
-            held, size = [], 0
-    if held:
-        yield _one(held)
-
-
 def _lowered(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Join the sets of both ends of each pair. A label is the lowest number of its set, before and after."""
     while True:
@@ -423,60 +396,55 @@ def _lowered(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (x, y) that connect all classes between which a pair passes: never more than rows, however many pairs there are."""
-    for _, rows, base in _blocks_and_visitors(batches):
-        m = len(base.n)
-        labels = np.arange(m + (0 if rows is base else len(rows.n)))
-        shift = 0 if rows is base else m
-        touched = np.zeros(len(labels), bool)
-        for p, r, _ in _across(rows, base):
-            _lowered(labels, p + shift, r)
-            touched[p + shift] = touched[r] = True
+    for batch in _gathered(batches, _KEYS):
+        chunk = _Chunk(batch)
+        labels, touched = np.arange(batch.num_rows), np.zeros(batch.num_rows, bool)
+        for p, r, _ in chunk.across():
+            _lowered(labels, p, r)
+            touched[p] = touched[r] = True
         if touched.any():
-            cls = base.cls if rows is base else np.concatenate([base.cls, rows.cls])
-            yield pa.RecordBatch.from_arrays([pa.array(cls[touched]), pa.array(cls[labels[touched]])], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk.cls[touched]), pa.array(chunk.cls[labels[touched]])], names=["x", "y"])
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (x, y) that connect what links in a block, by exact intersection of sorted arrays.
 
-    A pair whose components links found here have joined already is not tried again.
+    A pair whose components links of this batch have joined already is not tried again.
     """
-    up: dict[int, int] = {}
-    at = None
-
-    def root(c: int) -> int:
-        while (d := up.get(c, c)) != c:
-            up[c] = up.get(d, d)
-            c = d
-        return c
-
-    for key, rows, base in _blocks_and_visitors(batches):
-        if at != key[:2]:
-            up, at = {}, key[:2]
+    for batch in _gathered(batches, _KEYS):
+        chunk = _Chunk(batch)
+        up: dict[int, int] = {}
+
+        def root(c: int, up: dict[int, int] = up) -> int:
+            while (d := up.get(c, c)) != c:
+                up[c] = up.get(d, d)
+                c = d
+            return c
+
         xs, ys = [], []
-        for p, r, differ in _across(rows, base):
+        for p, r, differ in chunk.across():
             order = np.lexsort((differ, p))
             p, r = p[order], r[order]
             edge = np.concatenate([[0], np.flatnonzero(p[1:] != p[:-1]) + 1, [len(p)]])
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
                 if lo == hi:
                     continue
-                own, mine = rows.sets[p[lo]], int(rows.component[p[lo]])
+                own, mine = chunk.sets[p[lo]], int(chunk.component[p[lo]])
                 for some in np.split(r[lo:hi], np.arange(_TRIED, hi - lo, _TRIED)):
-                    some = some[[root(int(c)) != root(mine) for c in base.component[some]]]
+                    some = some[[root(int(c)) != root(mine) for c in chunk.component[some]]]
                     if not len(some):
                         continue
-                    others = [base.sets[i] for i in some]
+                    others = [chunk.sets[i] for i in some]
                     size = np.array([len(o) for o in others])
                     flat = np.concatenate(others)
                     hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
                     both = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
                     for i in some[LINK_OVER * both >= LINK_UNDER * (len(own) + size - both)]:
-                        a, b = root(mine), root(int(base.component[i]))
+                        a, b = root(mine), root(int(chunk.component[i]))
                         if a != b:
                             up[max(a, b)] = min(a, b)
-                            xs.append(int(rows.cls[p[lo]]))
-                            ys.append(int(base.cls[i]))
+                            xs.append(int(chunk.cls[p[lo]]))
+                            ys.append(int(chunk.cls[i]))
         if xs:
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
 
@@ -613,19 +581,24 @@ def _dealt(rows: DataFrame, weight: F.Column, most: int) -> DataFrame:
     Each row lies in one block (side 0). Rows outside of their group's largest component
     are probes: they also visit the other blocks (side 1). So a pair of different
     components meets, and a group of one component and a few stragglers costs no more
-    than its rows times the stragglers' blocks.
+    than its rows times the stragglers' blocks. Many probes visit in slices of ``most``, a
+    block's rows going to each slice, so no task gets more of a group than a block and a slice.
     """
     each = rows.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(weight).alias("w"))
-    groups = each.groupBy("grp").agg(F.count(F.lit(1)).alias("kinds"), F.sum("w").alias("w"), F.max(F.struct("c", (-F.col("component")).alias("neg"))).alias("top")).filter(F.col("kinds") > 1)
-    groups = materialize(groups.select("grp", F.ceil(F.col("w") / most).alias("k"), (-F.col("top.neg")).alias("largest")))
+    top = F.max(F.struct("c", (-F.col("component")).alias("neg"), "w"))
+    groups = each.groupBy("grp").agg(F.count(F.lit(1)).alias("kinds"), F.sum("w").alias("w"), top.alias("top")).filter(F.col("kinds") > 1)
+    pieces = lambda w: F.greatest(F.ceil(w / most), F.lit(1)).cast("int")
+    groups = materialize(groups.select("grp", pieces(F.col("w")).alias("k"), pieces(F.col("w") - F.col("top.w")).alias("slices"), (-F.col("top.neg")).alias("largest")))
     # Spark splits what a large group makes of this join
-    placed = rows.join(groups, "grp").withColumn("own", _part_of(F.col("k"), "grp")).withColumn("probe", F.col("component") != F.col("largest"))
-    visited = F.when(F.col("probe"), F.transform(F.sequence(F.lit(0), (F.col("k") - 1).cast("int")), lambda b: F.struct(b.alias("block"), (b != F.col("own")).cast("int").alias("side"))))
-    return placed.withColumn("to", F.coalesce(visited, F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("side"))))).drop("k", "own", "largest")
+    placed = rows.join(groups, "grp").withColumn("own", _part_of(F.col("k"), "grp")).withColumn("probe", F.col("component") != F.col("largest")).withColumn("slice", _part_of(F.col("slices"), "component"))
+    at_home = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda j: F.struct(F.col("own").alias("block"), j.alias("slice"), F.lit(0).alias("side")))
+    others = F.array_except(F.sequence(F.lit(0), F.col("k") - 1), F.array("own"))
+    visits = F.transform(others, lambda b: F.struct(b.alias("block"), F.col("slice"), F.lit(1).alias("side")))
+    return placed.withColumn("to", F.when(F.col("probe"), F.concat(at_home, visits)).otherwise(at_home)).drop("k", "own", "largest", "slice", "slices")
 
 
 def _in_blocks(rows: DataFrame, run, schema: str) -> DataFrame:
-    return rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "side").mapInArrow(run, schema)
+    return rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(run, schema)
 
 
 def _components(links: DataFrame) -> DataFrame:
