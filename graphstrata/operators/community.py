@@ -1,8 +1,9 @@
 """Communities by modularity: Louvain and Leiden, their parts, and partitions' figures.
 
-A partition is a table (idx, community). Levels small enough go to one task as arrays
-(``kernel``); others move in synchronous rounds of joins and grouped sums, in which half
-of the nodes, chosen by a hash, may move at a time.
+A partition is a table (idx, community). Levels too large for one task move in
+synchronous rounds of joins and grouped sums, in which half of the nodes, chosen by a
+hash, may move at a time; the first level that is small enough, be it the graph itself
+or a coarse one, goes to one task with all that lies above it (``kernel``).
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from graphstrata.operators import kernel
 from graphstrata.operators.components import connected_components
 from graphstrata.operators.graph import Graph
 from graphstrata.operators.indexing import dense_index
-from graphstrata.runtime import materialize
+from graphstrata.runtime import discard, materialize
 
-KERNEL_NODES, KERNEL_ROWS = 100_000, 1_500_000
+#: What one task takes, which are counted: nodes, and rows of neighbours (some 300 MB as lists).
+KERNEL_NODES, KERNEL_ROWS = 300_000, 1_500_000
 _ROUNDS, _PATIENCE, _LEVELS = 64, 2, 32
 _GAIN = 1e-12
 _WORD = (1 << 63) - 1
@@ -77,101 +79,150 @@ def _degrees(adj: DataFrame) -> DataFrame:
     return adj.groupBy(F.col("src").alias("idx")).agg(F.sum("w").alias("k"))
 
 
+def _state(adj: DataFrame, partition: DataFrame) -> DataFrame:
+    """idx, community, k: a partition with its nodes' degrees, which are summed once."""
+    return partition.select("idx", "community").join(_degrees(adj), "idx", "left").select("idx", "community", F.coalesce("k", F.lit(0.0)).alias("k"))
+
+
+def _offers(near: DataFrame, state: DataFrame, twice: float) -> DataFrame:
+    """idx, community, k, inner (weight to the own community), best (g, neg, gain, n): where each node would gain most if it moved alone.
+
+    ``near``: neighbours that attract, without loops.
+    """
+    totals = state.groupBy("community").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("n"))
+    pull = near.join(_labels(state, "dst", "c"), "dst").groupBy(F.col("src").alias("idx"), "c").agg(F.sum("w").alias("pull"))
+    # Spark splits what a large community makes of the join to its total
+    offers = pull.join(totals.withColumnRenamed("community", "c"), "c").join(state.withColumnRenamed("community", "own"), "idx")
+    rest = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
+    gain = (F.col("pull") - rest * F.col("k") / F.lit(twice)) / F.lit(twice / 2)
+    # gains are told apart from 1e-12 on, and the lowest label wins among equals
+    best = F.max(F.struct(F.round("gain", 12).alias("g"), (-F.col("c")).alias("neg"), "gain", "n")).alias("best")
+    inner = F.sum(F.when(F.col("c") == F.col("own"), F.col("pull")).otherwise(0.0)).alias("inner")
+    return state.join(offers.withColumn("gain", gain).groupBy("idx").agg(best, inner), "idx", "left")
+
+
 def best_moves(adj: DataFrame, partition: DataFrame, twice: float, inner: DataFrame | None = None) -> DataFrame:
     """(idx, community, target, gain): where each node would gain most if it moved alone, its own community if nowhere.
 
     ``inner`` restricts the neighbours that attract (refinement); degrees are always of ``adj``.
     """
-    k = _degrees(adj)
-    totals = partition.join(k, "idx").groupBy("community").agg(F.sum("k").alias("tot"))
     near = (adj if inner is None else inner).filter(F.col("src") != F.col("dst"))
-    pull = near.join(_labels(partition, "dst", "c"), "dst").groupBy(F.col("src").alias("idx"), "c").agg(F.sum("w").alias("pull"))
-    own = partition.withColumnRenamed("community", "own").join(k, "idx")
-    offers = pull.join(own, "idx").join(totals.withColumnRenamed("community", "c"), "c")
-    rest = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
-    gain = (F.col("pull") - rest * F.col("k") / F.lit(twice)) / F.lit(twice / 2)
-    # gains are told apart from 1e-12 on, and the lowest label wins among equals
-    ranked = offers.withColumn("gain", gain).groupBy("idx").agg(F.max(F.struct(F.round("gain", 12).alias("g"), (-F.col("c")).alias("neg"), "gain")).alias("best"))
-    chosen = partition.join(ranked, "idx", "left")
     better = F.col("best.g") > _GAIN
+    chosen = _offers(near, _state(adj, partition), twice)
     return chosen.select("idx", "community", F.when(better, -F.col("best.neg")).otherwise(F.col("community")).alias("target"), F.when(better, F.col("best.gain")).otherwise(0.0).alias("gain"))
 
 
-def _round(adj: DataFrame, partition: DataFrame, twice: float, salt: int, inner: DataFrame | None) -> DataFrame:
-    moves = best_moves(adj, partition, twice, inner)
-    sizes = partition.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
-    sized = moves.join(sizes, "community").join(sizes.withColumnsRenamed({"community": "target", "n": "n_target"}), "target")
-    swap = (F.col("n") == 1) & (F.col("n_target") == 1) & (F.col("target") > F.col("community"))
+def _round(near: DataFrame, state: DataFrame, twice: float, salt: int) -> DataFrame:
+    """The state after a round, with the communities before it and what their nodes held together then."""
+    state = state.select("idx", "community", "k")
+    sizes = state.groupBy(F.col("community").alias("c")).agg(F.count(F.lit(1)).alias("own_n"))
+    sized = _offers(near, state, twice).join(sizes, F.col("community") == F.col("c")).drop("c")
+    target = -F.col("best.neg")
+    swap = (F.col("own_n") == 1) & (F.col("best.n") == 1) & (target > F.col("community"))
     active = F.pmod(F.xxhash64(F.lit(salt), "idx"), F.lit(2)) == 0
-    return sized.select("idx", F.when(active & ~swap, F.col("target")).otherwise(F.col("community")).alias("community"))
+    moves = active & (F.col("best.g") > _GAIN) & ~swap
+    wants = F.coalesce(F.col("best.g") > _GAIN, F.lit(False)) & ~F.coalesce(swap, F.lit(False))
+    after = F.when(moves, target).otherwise(F.col("community")).cast("long")
+    return sized.select("idx", after.alias("community"), "k", F.col("community").cast("long").alias("before"), F.coalesce("inner", F.lit(0.0)).alias("inner"), wants.alias("wants"))
 
 
 def synchronous_moving(adj: DataFrame, initial: DataFrame, seed: int, inner: DataFrame | None = None) -> DataFrame:
-    """Rounds until two bring no better modularity; the best partition seen."""
-    twice = float(adj.agg(F.sum("w")).first()[0] or 0.0)
-    best = now = initial
+    """Rounds until no node wants to move, or some bring no better modularity; the best partition seen.
+
+    A round's table tells the modularity of the partition before it, so each round is one
+    written table and one sum. Tables that are not needed any more are deleted.
+    """
+    sums = adj.agg(F.sum("w"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0))).first()
+    twice, loops = float(sums[0] or 0.0), float(sums[1] or 0.0)
     if not twice:
-        return best
-    top, idle = modularity_row(adj, best).first()[0], 0
+        return initial
+    near = (adj if inner is None else inner).filter(F.col("src") != F.col("dst"))
+    now = materialize(_state(adj, initial))
+    best, top, idle = now, -2.0, 0
     for r in range(_ROUNDS):
-        now = materialize(_round(adj, now, twice, seed * 1_000_003 + r & _WORD, inner))
-        q = modularity_row(adj, now).first()[0]
+        after = materialize(_round(near, now, twice, seed * 1_000_003 + r & _WORD))
+        each = after.groupBy("before").agg(F.sum("k").alias("tot"), F.sum("inner").alias("inner"), F.max("wants").alias("wants"))
+        held, square, wants = each.agg(F.sum("inner"), F.sum(F.col("tot") * F.col("tot")), F.max("wants")).first()
+        q = (held + loops) / twice - square / (twice * twice)
         if q > top + _GAIN:
+            if best is not now:
+                discard(best)
             best, top, idle = now, q, 0
         else:
             idle += 1
-            if idle >= _PATIENCE + 1:
-                break
-    return best
+            if now is not best:
+                discard(now)
+        now = after
+        if not wants or idle > _PATIENCE:
+            break
+    if now is not best:
+        discard(now)
+    return best.select("idx", "community")
 
 
 # ---------------------------------------------------------------- one task
 
 
-def _kernel(seed: int, refined: bool):
+_ONE = "src long, dst long, w double, community long"
+
+
+def _kernel(seed: int, refined: bool, whole: bool):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table.column("src").to_numpy()
-        src, dst = ids, table.column("dst").to_numpy()
-        nodes = np.unique(src)
+        src, dst = table.column("src").to_numpy(), table.column("dst").to_numpy()
         real = dst >= 0
+        nodes, order = np.unique(src[~real], return_index=True)
+        initial = table.column("community").to_numpy(zero_copy_only=False)[~real][order]
         s, d = np.searchsorted(nodes, src[real]), np.searchsorted(nodes, dst[real])
-        found = kernel.cluster(kernel.Level(len(nodes), s, d, table.column("w").to_numpy()[real]), seed, refined)
+        level = kernel.Level(len(nodes), s, d, table.column("w").to_numpy()[real])
+        found = kernel.cluster(level, seed, refined, kernel.renumbered(initial.tolist())[0])
+        if whole:
+            found = kernel.connected(level, found)
         return pa.table({"idx": pa.array(nodes), "community": pa.array(found, pa.int64())})
 
     return run
 
 
-def _in_one_task(vertices: DataFrame, adj: DataFrame, seed: int, refined: bool) -> DataFrame:
-    rows = adj.select("src", "dst", "w").unionByName(vertices.select(F.col("idx").alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit(0.0).alias("w")))
-    return rows.groupBy(F.lit(0).alias("one")).applyInArrow(_kernel(seed, refined), "idx long, community long")
+def _in_one_task(initial: DataFrame, adj: DataFrame, seed: int, refined: bool, whole: bool) -> DataFrame:
+    """(idx, community) numbered from 0 by the smallest idx; with ``whole``, communities are cut into their connected parts."""
+    nothing = F.lit(None).cast("long").alias("community")
+    rows = adj.select("src", "dst", "w", nothing).unionByName(initial.select(F.col("idx").alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit(0.0).alias("w"), F.col("community").cast("long").alias("community")))
+    return materialize(rows.groupBy(F.lit(0).alias("one")).applyInArrow(_kernel(seed, refined, whole), "idx long, community long"))
+
+
+def _fits(nodes: DataFrame, adj: DataFrame) -> bool:
+    return nodes.limit(KERNEL_NODES + 1).count() <= KERNEL_NODES and adj.limit(KERNEL_ROWS + 1).count() <= KERNEL_ROWS
 
 
 def _cluster(graph: Graph, seed: int, refined: bool, use_kernel: bool) -> DataFrame:
-    vertices, adj = graph.vertices.select("idx"), graph.adj
-    place = materialize(vertices.select(F.col("idx").alias("node"), F.col("idx")))
-    initial, result = singletons(vertices), singletons(vertices)
+    """Labels for the graph's nodes: rounds level by level while these are large, then one task for what is left."""
+    adj, initial, spent = graph.adj, singletons(graph.vertices), []
+    place = materialize(graph.vertices.select(F.col("idx").alias("node"), F.col("idx")))
     for level in range(_LEVELS):
-        n = vertices.count()
-        if use_kernel and n <= KERNEL_NODES and adj.limit(KERNEL_ROWS + 1).count() <= KERNEL_ROWS and level == 0:
-            result = materialize(_in_one_task(vertices, adj, seed, refined))
-            break
-        found = materialize(renumber(synchronous_moving(adj, initial, seed + 2 * level)))
-        result = materialize(place.join(found, "idx").select(F.col("node").alias("idx"), "community"))
-        k = found.agg(F.countDistinct("community")).first()[0]
-        if k == n:
+        if use_kernel and _fits(initial, adj):
+            found = _in_one_task(initial, adj, seed + 2 * level, refined, False)
+            return materialize(place.join(found, "idx").select(F.col("node").alias("idx"), "community"))
+        found = materialize(synchronous_moving(adj, initial, seed + 2 * level))
+        result = place.join(found, "idx").select(F.col("node").alias("idx"), "community")
+        nodes, k = found.agg(F.count(F.lit(1)), F.countDistinct("community")).first()
+        if k == nodes:
             break
         parts = found
         if refined:
-            inner = adj.join(_labels(found, "src", "p"), "src").join(_labels(found, "dst", "q"), "dst").filter(F.col("p") == F.col("q")).select("src", "dst", "w")
-            parts = materialize(renumber(synchronous_moving(adj, singletons(vertices), seed + 2 * level + 1, materialize(inner))))
-        pairs = parts.select("idx", F.col("community").alias("part")).join(found, "idx")
-        above = materialize(pairs.groupBy(F.col("part").cast("long").alias("idx")).agg(F.min("community").cast("long").alias("community")))
-        place = materialize(place.join(parts, "idx").select("node", F.col("community").cast("long").alias("idx")))
-        adj, vertices = materialize(coarsen(adj, parts)), above.select("idx")
-        initial = above if refined else singletons(vertices)
-        if above.count() in (1, n):
+            inside = adj.join(_labels(found, "src", "p"), "src").join(_labels(found, "dst", "q"), "dst").filter(F.col("p") == F.col("q")).select("src", "dst", "w")
+            parts = materialize(synchronous_moving(adj, singletons(found), seed + 2 * level + 1, materialize(inside)))
+        # a part goes by one of its nodes' numbers, so no numbering is needed between levels
+        above = parts.withColumnRenamed("community", "part").join(found, "idx").groupBy(F.col("part").alias("idx")).agg(F.min("community").alias("community"))
+        above = materialize(above)
+        higher = materialize(place.join(parts, "idx").select("node", F.col("community").cast("long").alias("idx")))
+        coarse = materialize(coarsen(adj, parts))
+        result = materialize(result)
+        for old in spent:
+            discard(old)
+        spent = [place, coarse, result]
+        place, adj, initial = higher, coarse, above if refined else singletons(above)
+        if above.count() in (1, nodes):
             break
-    return result
+    return materialize(result)
 
 
 def _connected(graph: Graph, partition: DataFrame) -> DataFrame:
@@ -184,6 +235,8 @@ def _connected(graph: Graph, partition: DataFrame) -> DataFrame:
 
 def leiden(graph: Graph, seed: int = 42, use_kernel: bool = True) -> DataFrame:
     """Communities of high modularity; each is made connected at the end."""
+    if use_kernel and _fits(graph.vertices, graph.adj):
+        return _in_one_task(singletons(graph.vertices), graph.adj, seed, True, True).select("idx", F.col("community").cast("int").alias("community"))
     return _connected(graph, _cluster(graph, seed, True, use_kernel))
 
 
