@@ -255,6 +255,29 @@ def regions(graph_adj: DataFrame, partition: DataFrame, seed: int = 42, use_kern
     return found.select(F.col("idx").cast("int").alias("cluster"), F.col("community").alias("region"))
 
 
+def community_of(partition: DataFrame, idx: int) -> int | None:
+    row = partition.filter(F.col("idx") == idx).select("community").first()
+    return row and row["community"]
+
+
+def community_count(partition: DataFrame) -> int:
+    return partition.select("community").distinct().count()
+
+
+def region_of_cluster(regions: DataFrame, cluster: int) -> int | None:
+    row = regions.filter(F.col("cluster") == cluster).select("region").first()
+    return row and row["region"]
+
+
+def region_count(regions: DataFrame) -> int:
+    return regions.select("region").distinct().count()
+
+
+def clusters_by_region(regions: DataFrame) -> DataFrame:
+    """(region, clusters) with clusters ascending."""
+    return regions.groupBy("region").agg(F.array_sort(F.collect_list("cluster")).alias("clusters"))
+
+
 def majority(votes: DataFrame, by: str, cluster: str) -> DataFrame:
     """(by, cluster): the most frequent cluster of each group, the lowest on ties."""
     counted = votes.groupBy(by, cluster).agg(F.count(F.lit(1)).alias("n"))
@@ -262,4 +285,6 @@ def majority(votes: DataFrame, by: str, cluster: str) -> DataFrame:
     return counted.withColumn("r", F.row_number().over(order)).filter(F.col("r") == 1).select(by, cluster)
 
 
-__all__ = ["best_moves", "buckets", "cluster_adjacency", "coarsen", "leiden", "louvain", "majority", "modularity", "modularity_row", "regions", "renumber", "singletons", "synchronous_moving"]
+__all__ = [
+    "best_moves", "buckets", "cluster_adjacency", "clusters_by_region", "coarsen", "community_count", "community_of", "leiden", "louvain", "majority", "modularity", "modularity_row", "region_count", "region_of_cluster", "regions", "renumber", "singletons", "synchronous_moving",
+]

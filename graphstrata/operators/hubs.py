@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphstrata.model import HubKind, IndexConfig
 from graphstrata.operators.centrality import betweenness
 from graphstrata.operators.graph import Graph
+from graphstrata.operators.indexing import dense_index
 from graphstrata.runtime import materialize
 
 
@@ -20,8 +21,8 @@ def _size(n: int, fraction: float) -> int:
 
 
 def _top(scores: DataFrame, k: int) -> DataFrame:
-    """The k rows (idx, score) of the largest score, smallest idx first on ties."""
-    return scores.orderBy(F.desc("score"), "idx").limit(k).select("idx")
+    """The k rows (idx, score) of the largest score, smallest idx first on ties. k may be a share of all nodes: rows are numbered, and none passes through one task."""
+    return dense_index(scores.select("idx", (-F.col("score")).alias("down")), "down", "idx", name="place").filter(F.col("place") < k).select("idx")
 
 
 def from_top_fraction(graph: Graph, fraction: float) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphstrata.operators.indexing import dense_index
@@ -12,15 +12,16 @@ from graphstrata.runtime import materialize
 
 
 def simple(adj: DataFrame) -> DataFrame:
-    """Neighbours without loops and weights."""
-    return adj.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()
+    """Neighbours without loops and weights. Adjacency has a row for each pair, so none is sought twice."""
+    return adj.filter(F.col("src") != F.col("dst")).select("src", "dst")
 
 
-def bfs(adj: DataFrame, sources: DataFrame, max_depth: int | None = None, targets: DataFrame | None = None) -> DataFrame:
+def bfs(adj: DataFrame, sources: DataFrame, max_depth: int | None = None, targets: DataFrame | None = None, last_into: DataFrame | None = None) -> DataFrame:
     """(source, node, dist) of every node within ``max_depth`` hops of each row of ``sources`` (source).
 
     All sources advance in one job for each depth. With ``targets`` (source, target), a
-    source stops once its targets are reached. Only the frontier is joined to the
+    source stops once its targets are reached. With ``last_into`` (idx), the last hop of
+    ``max_depth`` goes into these nodes only. Only the frontier is joined to the
     neighbours; each depth is written to the shared folder before the next.
     """
     near = simple(adj)
@@ -31,6 +32,8 @@ def bfs(adj: DataFrame, sources: DataFrame, max_depth: int | None = None, target
         if targets is not None:
             open_ = targets.join(reached.withColumnRenamed("node", "target"), ["source", "target"], "left_anti").select("source").distinct()
             frontier = frontier.join(open_, "source", "left_semi")
+        if depth == max_depth and last_into is not None:
+            near = near.join(last_into.select(F.col("idx").alias("dst")), "dst", "left_semi")
         stepped = frontier.join(near, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
         frontier = materialize(stepped.join(reached, ["source", "node"], "left_anti").withColumn("dist", F.lit(depth)))
         if not frontier.limit(1).count():
@@ -61,11 +64,42 @@ def hub_graph(adj: DataFrame, hubs: DataFrame, k: int) -> DataFrame:
     """(src, dst, hops, w) between hubs (idx) at most ``k`` hops apart, w = 1/hops. Isolated hubs are those of ``hubs`` without a row."""
     if k <= 0:
         return adj.sparkSession.createDataFrame([], "src long, dst long, hops int, w double")
-    found = bfs(adj, hubs.select(F.col("idx").alias("source")), max_depth=k)
+    found = bfs(adj, hubs.select(F.col("idx").alias("source")), max_depth=k, last_into=hubs)
     ends = found.filter(F.col("dist") > 0).join(hubs.select(F.col("idx").alias("node")), "node", "left_semi")
     return ends.select(F.col("source").alias("src"), F.col("node").alias("dst"), F.col("dist").alias("hops"), (F.lit(1.0) / F.col("dist")).alias("w"))
 
 
+@dataclass(frozen=True)
+class HubGraph:
+    """Hubs (idx), isolated ones too, and edges (src, dst, hops, w) in both directions."""
+
+    hubs: DataFrame
+    edges: DataFrame
+
+    @classmethod
+    def build(cls, adj: DataFrame, hubs: DataFrame, k: int) -> HubGraph:
+        return cls(hubs.select("idx").distinct(), materialize(hub_graph(adj, hubs, k)))
+
+    def hub_count(self) -> int:
+        return self.hubs.count()
+
+    def is_empty(self) -> bool:
+        return not self.hubs.limit(1).count()
+
+    def contains(self, idx: int) -> bool:
+        return self.hubs.filter(F.col("idx") == idx).limit(1).count() > 0
+
+    def neighbors(self, idx: int) -> DataFrame:
+        return self.edges.filter(F.col("src") == idx).select("dst", "hops", "w").orderBy("dst")
+
+    def edge_count(self) -> int:
+        """Both directions count."""
+        return self.edges.count()
+
+    def iter_hubs(self) -> DataFrame:
+        return self.hubs.orderBy("idx")
+
+
 _DRIVER_CLUSTERS, _DRIVER_EDGES = 10_000, 200_000
 
 
@@ -183,8 +217,3 @@ def evaluate_corridors(adj: DataFrame, partition: DataFrame, pairs: DataFrame) -
     ends = pairs.join(reached.withColumnsRenamed({"node": "dst", "dist": "corridor_dist"}), ["pair", "dst"], "left")
     counts = inside.groupBy("pair").agg(F.count(F.lit(1)).alias("member_count"))
     return ends.join(counts, "pair", "left").join(overall, ["src", "dst"]).filter(F.col("global_dist").isNotNull()).select("src", "dst", "clusters", F.coalesce("member_count", F.lit(0)).alias("member_count"), "global_dist", "corridor_dist")
-
-
-def shortest_places(frame: DataFrame) -> DataFrame:
-    """Rows of (source, node, dist) numbered by distance, then node, for each source."""
-    return frame.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("dist", "node")))

@@ -34,6 +34,8 @@ from graphstrata.sources.frames import GraphSource
 TABLES = ("assignments", "clusters", "cluster_edges", "hub_edges")
 #: Rows of an insert batch that are folded in order on the driver at a time.
 ORDERED_INSERTS = 100_000
+#: Folders of assignments that inserts may leave before they are written as one.
+MOST_FOLDERS = 32
 
 
 class _Folder:
@@ -80,6 +82,28 @@ class QueryResult:
     stats: QueryStats
 
 
+@dataclass(frozen=True)
+class LabelledResult:
+    labels: list[str]
+    stats: QueryStats
+
+    @classmethod
+    def empty(cls) -> LabelledResult:
+        """What a label that no node has is answered with."""
+        return cls([], QueryStats(0, 0))
+
+
+@dataclass(frozen=True)
+class SameCluster:
+    start: str
+
+
+@dataclass(frozen=True)
+class Similar:
+    start: str
+    limit: int
+
+
 def _tables(graph: Graph, partition: DataFrame, hub_set: DataFrame, config: IndexConfig, regions: DataFrame) -> dict[str, DataFrame]:
     flags = hub_set.select("idx").distinct().withColumn("hub", F.lit(True))
     placed = graph.vertices.select("idx", "id", "label").join(partition, "idx").join(flags, "idx", "left")
@@ -136,16 +160,23 @@ def build(
         return commit(spark, path, made, config), stats
 
 
-def commit(spark: SparkSession, path: str, tables: dict[str, DataFrame], config: IndexConfig | None = None) -> Index:
-    """Write a snapshot, then point CURRENT at it: readers see the old one or the new one whole."""
+def commit(spark: SparkSession, path: str, tables: dict[str, DataFrame], config: IndexConfig | dict | None = None, kept: dict[str, list[str]] | None = None) -> Index:
+    """Write a snapshot, then point CURRENT at it: readers see the old one or the new one whole.
+
+    A snapshot names the folders that each table is read from: those just written, after
+    the ones ``kept`` from snapshots before, which no commit changes.
+    """
     folder, name = _Folder(spark, path), f"snapshots/{time.time_ns()}"
+    folders = {table: list(old) for table, old in (kept or {}).items()}
     for table, df in tables.items():
         if table == "assignments":  # clustered, so that a cluster's members are read from few files
             df = df.repartitionByRange("cluster").sortWithinPartitions("cluster", "id")
         df.write.parquet(f"{folder.path}/{name}/{table}")
-    config = config or IndexConfig()
-    given = {"hub_fraction": config.hub_fraction, "hubs": config.hubs.value, "samples": config.samples, "k_hop": config.k_hop}
-    folder.write(f"{name}/_meta.json", json.dumps({"format_version": FORMAT_VERSION, "config": given}))
+        folders.setdefault(table, []).append(f"{name}/{table}")
+    if not isinstance(config, dict):
+        config = config or IndexConfig()
+        config = {"hub_fraction": config.hub_fraction, "hubs": config.hubs.value, "samples": config.samples, "k_hop": config.k_hop}
+    folder.write(f"{name}/_meta.json", json.dumps({"format_version": FORMAT_VERSION, "config": config, "folders": folders}))
     folder.write("CURRENT", name)
     return Index.open(spark, path)
 
@@ -154,8 +185,8 @@ class Index:
     """assignments(id, idx, cluster, region, is_hub, label), clusters(cluster, region, size, hub_count, generation,
     delta_inserts), cluster_edges(src, dst, w), hub_edges(src_id, dst_id, dst_idx, w)."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], path: str | None = None):
-        self.spark, self.tables, self.path = spark, tables, path
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], path: str | None = None, meta: dict | None = None):
+        self.spark, self.tables, self.path, self.meta = spark, tables, path, meta or {}
         self.assignments, self.clusters, self.cluster_edges, self.hub_edges = (tables[t] for t in TABLES)
 
     @classmethod
@@ -165,12 +196,14 @@ class Index:
             return cls.empty(spark, path)
         name = folder.read("CURRENT").strip()
         try:
-            version = json.loads(folder.read(f"{name}/_meta.json"))["format_version"]
+            meta = json.loads(folder.read(f"{name}/_meta.json"))
+            version = meta["format_version"]
         except Exception as e:
             raise CorruptionError(f"the snapshot {name!r} has no readable _meta.json") from e
         if version != FORMAT_VERSION:
             raise UnsupportedFormatError(f"format {version}; this version reads {FORMAT_VERSION}")
-        return cls(spark, {t: spark.read.parquet(f"{folder.path}/{name}/{t}") for t in TABLES}, path)
+        folders = meta.get("folders") or {t: [f"{name}/{t}"] for t in TABLES}
+        return cls(spark, {t: spark.read.parquet(*(f"{folder.path}/{f}" for f in folders[t])) for t in TABLES}, path, {**meta, "folders": folders})
 
     @classmethod
     def empty(cls, spark: SparkSession, path: str | None = None) -> Index:
@@ -271,9 +304,10 @@ class Index:
         before = F.coalesce(F.sum("size").over(Window.partitionBy("seed").orderBy("hop").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("own_size") - 1
         needed = sized.withColumn("before", before).filter(F.col("before") < limit).select("seed", "cluster", "hop")
         clusters = own.select("seed", F.col("own").alias("cluster"), F.lit(0).alias("hop")).unionByName(needed)
-        # of a cluster no more than limit + 1 members can be wanted by anyone
+        # of a cluster that is wanted no more than limit + 1 members can be wanted by anyone
         some = Window.partitionBy("cluster").orderBy("id")
-        members = self.assignments.select("id", "cluster").withColumn("n", F.row_number().over(some)).filter(F.col("n") <= limit + 1).select("id", "cluster")
+        wanted = self.assignments.select("id", "cluster").join(clusters.select("cluster").distinct(), "cluster", "left_semi")
+        members = wanted.withColumn("n", F.row_number().over(some)).filter(F.col("n") <= limit + 1).select("id", "cluster")
         found = clusters.join(members, "cluster").filter(F.col("id") != F.col("seed"))
         rank = F.row_number().over(Window.partitionBy("seed").orderBy("hop", "id"))
         return found.withColumn("rank", rank).filter(F.col("rank") <= limit).select("seed", "rank", "id")
@@ -319,6 +353,19 @@ class Index:
         row = self.similar_stats([start], limit).first()
         return QueryResult(ids, QueryStats(row["clusters_visited"], row["hubs_visited"]) if row else QueryStats(0, 0))
 
+    def query(self, kind: SameCluster | Similar) -> QueryResult:
+        """One question about one node."""
+        return self.query_same_cluster(kind.start) if isinstance(kind, SameCluster) else self.query_similar(kind.start, kind.limit)
+
+    def query_by_label(self, kind: SameCluster | Similar) -> LabelledResult:
+        """The same with a label for the node, answered with labels; nodes without one go by their id."""
+        start = self.id_of_label(kind.start)
+        if start is None:
+            return LabelledResult.empty()
+        found = self.query(SameCluster(start) if isinstance(kind, SameCluster) else Similar(start, kind.limit))
+        names = {r["id"]: r["label"] for r in self.assignments.join(self.spark.createDataFrame([(i,) for i in found.ids], "id string"), "id", "left_semi").select("id", "label").collect()}
+        return LabelledResult([names.get(i) or i for i in found.ids], found.stats)
+
     # ------------------------------------------------------------ maintenance
 
     def next_cluster_id(self) -> int:
@@ -397,9 +444,17 @@ class Index:
             "cluster", F.coalesce("region", "new_region").alias("region"), (F.coalesce("size", F.lit(0)) + F.coalesce("added", F.lit(0))).alias("size"), F.coalesce("hub_count", F.lit(0)).alias("hub_count"),
             F.coalesce("generation", F.lit(0)).alias("generation"), (F.coalesce("delta_inserts", F.lit(0)) + F.coalesce("added", F.lit(0))).alias("delta_inserts"),
         )
-        tables = {**self.tables, "assignments": materialize(self.assignments.unionByName(rows)), "clusters": materialize(clusters)}
-        after = commit(self.spark, self.path, tables) if self.path else Index(self.spark, tables)
-        return after, chosen.select("id", "cluster")
+        return self._grown(materialize(rows), materialize(clusters)), chosen.select("id", "cluster")
+
+    def _grown(self, rows: DataFrame, clusters: DataFrame) -> Index:
+        """The index with more rows. On disk only these and the clusters are written; the rest is read from where it lies, until there are MOST_FOLDERS of rows, which are then made one."""
+        every = self.assignments.unionByName(rows)
+        if not self.path:
+            return Index(self.spark, {**self.tables, "assignments": every, "clusters": clusters})
+        folders = self.meta.get("folders")
+        if folders is None or len(folders["assignments"]) >= MOST_FOLDERS:
+            return commit(self.spark, self.path, {**self.tables, "assignments": every, "clusters": clusters}, self.meta.get("config"))
+        return commit(self.spark, self.path, {"assignments": rows, "clusters": clusters}, self.meta.get("config"), {t: f for t, f in folders.items() if t != "clusters"})
 
     def insert_node(self, node_id: str, seeds: list[str]) -> tuple[Index, int]:
         row = self.spark.createDataFrame([(node_id, list(seeds), 0)], "id string, seeds array<string>, seq long")
@@ -407,4 +462,4 @@ class Index:
         return after, placed.first()["cluster"]
 
 
-__all__ = ["HubKind", "Index", "IndexConfig", "QueryResult", "QueryStats", "build", "commit"]
+__all__ = ["HubKind", "Index", "IndexConfig", "LabelledResult", "QueryResult", "QueryStats", "SameCluster", "Similar", "build", "commit"]

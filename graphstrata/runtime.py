@@ -7,6 +7,7 @@ executors may be lost, and whatever they kept on their own disks goes with them.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,11 @@ _UNSET = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where none is set."""
+    """The shared folder of the session. One of our own where none is set, in local mode only: a cluster's machines share no such folder."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"{_UNSET}/{spark.sparkContext.applicationId}"
         os.makedirs(found, exist_ok=True)
     return found.rstrip("/")
