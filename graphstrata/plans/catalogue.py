@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphstrata.functions.identity import is_uuid7, uuid7
@@ -12,8 +13,8 @@ from graphstrata.model import HubKind, IndexConfig
 from graphstrata.operators import centrality, community, hubs, paths, quality
 from graphstrata.operators.graph import Graph, dangling
 from graphstrata.plans.index import Index, build
-from graphstrata.runtime import materialize
-from graphstrata.sources import edgelist, tables
+from graphstrata.runtime import materialize, shared_dir
+from graphstrata.sources import edgelist, gml, sqldump, tables
 from graphstrata.sources.frames import FrameSource
 from graphstrata.sources.sqldump import routine_pairs
 
@@ -39,11 +40,12 @@ edges AS (SELECT 'order:' || o_orderkey AS src, 'customer:' || o_custkey AS dst
 idx AS (SELECT id, row_number() OVER (ORDER BY r, k) - 1 AS idx FROM nodes),
 deg AS (SELECT idx.id, idx.idx, coalesce(d, 0) AS degree FROM idx LEFT JOIN (SELECT id, CAST(count(*) AS DOUBLE) AS d FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id) USING (id))
 """
-#: A multigraph with loops and parallel edges.
+#: A multigraph with loops and parallel edges: parts and suppliers by their bare numbers, an edge for each line item, in communities of sixteen.
 MULTI = """
-edges AS (SELECT l_partkey % 60 AS a, l_suppkey % 60 AS b FROM lineitem),
+idx AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS idx FROM (SELECT l_partkey AS k FROM lineitem UNION SELECT l_suppkey FROM lineitem)),
+edges AS (SELECT p.idx AS a, q.idx AS b FROM lineitem JOIN idx p ON p.k = l_partkey JOIN idx q ON q.k = l_suppkey),
 adj AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM (SELECT a AS src, b AS dst FROM edges UNION ALL SELECT b, a FROM edges WHERE a <> b) GROUP BY 1, 2),
-part AS (SELECT i AS idx, i % 7 AS community FROM range(60) t(i)),
+part AS (SELECT idx, idx // 16 AS community FROM idx),
 coarse AS (SELECT p.community AS src, q.community AS dst, sum(w) AS w FROM adj JOIN part p ON p.idx = src JOIN part q ON q.idx = dst GROUP BY 1, 2)
 """
 TREE = """
@@ -83,13 +85,14 @@ def _tree(spark: SparkSession, d: str) -> Graph:
 
 
 def _multi(spark: SparkSession, d: str) -> Graph:
-    n = spark.range(60).select(F.col("id").cast("string").alias("id"), F.lit("n").alias("kind"), F.col("id").alias("seq"))
-    e = tables.table(spark, d, "lineitem").select(*((F.col(c) % 60).cast("string").alias(a) for c, a in (("l_partkey", "src"), ("l_suppkey", "dst"))))
-    return Graph.from_frames(n, e)
+    lines = tables.table(spark, d, "lineitem").select("l_partkey", "l_suppkey")
+    keys = lines.select(F.explode(F.array("l_partkey", "l_suppkey")).alias("seq")).distinct()
+    nodes = keys.select(F.col("seq").cast("string").alias("id"), F.lit("n").alias("kind"), "seq")
+    return Graph.from_frames(nodes, lines.select(F.col("l_partkey").cast("string").alias("src"), F.col("l_suppkey").cast("string").alias("dst")))
 
 
-def _sevenths(graph: Graph) -> DataFrame:
-    return graph.vertices.select("idx", (F.col("idx") % 7).alias("community"))
+def _sixteens(graph: Graph) -> DataFrame:
+    return graph.vertices.select("idx", F.floor(F.col("idx") / 16).alias("community"))
 
 
 def _by_nation(spark: SparkSession, d: str) -> DataFrame:
@@ -115,9 +118,8 @@ def _tree_index(spark: SparkSession, d: str) -> Index:
     return build(tables.fk_tree(spark, d), _BY_DEGREE, _by_nation(spark, d))[0]
 
 
-def _seeds(spark: SparkSession, d: str, every: int) -> DataFrame:
-    c = tables.table(spark, d, "customer").filter(F.col("c_custkey") % every == 0)
-    return c.select(F.concat(F.lit("customer:"), "c_custkey").alias("seed"))
+def _seeds(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table(spark, d, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("seed"))
 
 
 # ---------------------------------------------------------------- graph and partition figures
@@ -172,26 +174,26 @@ def partition_buckets(spark, d):
     return community.buckets(p).select("community", F.posexplode("members").alias("place", "idx"))
 
 
-_MODULARITY = """SELECT sum(CASE WHEN src = dst THEN w ELSE 0 END) / any_value(m2) - sum(tot * tot) FILTER (WHERE src = dst) / any_value(m2 * m2) AS q
-FROM (SELECT *, sum(w) OVER () AS m2, sum(w) OVER (PARTITION BY src) AS tot FROM coarse)"""
+_MODULARITY = """SELECT (SELECT sum(w) FROM coarse WHERE src = dst) / (SELECT sum(w) FROM coarse)
+ - (SELECT sum(tot * tot) FROM (SELECT sum(w) AS tot FROM coarse GROUP BY src)) / ((SELECT sum(w) FROM coarse) * (SELECT sum(w) FROM coarse)) AS q"""
 
 
 @query(f"WITH {MULTI} SELECT round(q, 9) AS modularity FROM ({_MODULARITY})")
 def modularity(spark, d):
     g = _multi(spark, d)
-    return community.modularity_row(g.adj, _sevenths(g)).select(F.round("modularity", 9).alias("modularity"))
+    return community.modularity_row(g.adj, _sixteens(g)).select(F.round("modularity", 9).alias("modularity"))
 
 
 @query(f"WITH {MULTI} SELECT src, dst, CAST(w AS DOUBLE) AS w FROM coarse")
 def coarsen(spark, d):
     g = _multi(spark, d)
-    return community.coarsen(g.adj, _sevenths(g))
+    return community.coarsen(g.adj, _sixteens(g))
 
 
 @query(f"WITH {MULTI} SELECT round(q, 9) AS fine, round(q, 9) AS coarse FROM ({_MODULARITY})")
 def coarsen_modularity_invariant(spark, d):
     g = _multi(spark, d)
-    part = _sevenths(g)
+    part = _sixteens(g)
     upper = materialize(community.coarsen(g.adj, part))
     alone = upper.select(F.col("src").alias("idx")).distinct().withColumn("community", F.col("idx"))
     fine, coarse = (community.modularity_row(*x).select(F.round("modularity", 9).alias(n)) for x, n in (((g.adj, part), "fine"), ((upper, alone), "coarse")))
@@ -201,7 +203,7 @@ def coarsen_modularity_invariant(spark, d):
 @query(f"WITH {MULTI} SELECT src, dst, CAST(w AS DOUBLE) AS w FROM coarse WHERE src <> dst")
 def cluster_adjacency(spark, d):
     g = _multi(spark, d)
-    return community.cluster_adjacency(g.adj, _sevenths(g))
+    return community.cluster_adjacency(g.adj, _sixteens(g))
 
 
 @query("""
@@ -289,6 +291,28 @@ def hub_centrality(spark, d):
     return _ids(g, hubs.from_centrality(g, 1 << 20, (kinds - 0.5) / g.node_count()))
 
 
+@query(f"""WITH {_PATHS}, n AS (SELECT (SELECT count(DISTINCT event_type) FROM events) AS t), deg AS (SELECT src AS id, count(*) AS d FROM near GROUP BY 1)
+SELECT id FROM (SELECT id, row_number() OVER (ORDER BY score DESC) AS r FROM bw), n WHERE r <= t UNION SELECT a FROM (SELECT a, row_number() OVER (ORDER BY d DESC, a) AS r FROM (SELECT 'type:' || event_type AS a, count(*) AS d FROM events GROUP BY 1)), n WHERE r <= t""")
+def hub_default(spark, d):
+    """The default choice, by degree and by paths: event types have most of both."""
+    s = tables.user_events(spark, d)
+    g = Graph.from_frames(s.nodes(), s.edges())
+    kinds = s.nodes().filter("kind = 'type'").count()
+    return _ids(g, hubs.choose(g, IndexConfig(hub_fraction=(kinds - 0.5) / g.node_count(), samples=1 << 20)))
+
+
+@query("SELECT 'type:' || event_type AS id FROM events GROUP BY 1 UNION ALL SELECT 'user:' || user_id FROM events GROUP BY 1")
+def betweenness_sampled(spark, d):
+    """Nodes whose score from a quarter of the sources lies between nothing and four times the exact one; each source counts for four, so all do."""
+    s = tables.user_events(spark, d)
+    g = Graph.from_frames(s.nodes(), s.edges())
+    n = g.node_count()
+    k = max(1, n // 4)
+    some, every = centrality.betweenness(g, k), centrality.betweenness(g, n).withColumnRenamed("score", "exact")
+    both = some.join(every, "idx").filter((F.col("score") >= 0) & (F.col("score") <= F.col("exact") * (n / k) * (1 + 1e-9) + 1e-9))
+    return both.join(g.vertices.select("idx", "id"), "idx").select("id")
+
+
 def _hub_graph(k: int):
     def run(spark, d):
         g = _tree(spark, d)
@@ -302,67 +326,68 @@ def _hub_graph(k: int):
 
 hub_graph_k1, hub_graph_k2, hub_graph_k3 = (_hub_graph(k) for k in (1, 2, 3))
 
-_FROM_ASIA = """walk(node, dist) AS (SELECT 'region:2', 0 UNION SELECT near.dst, dist + 1 FROM walk JOIN near ON near.src = node WHERE dist < 6),
-reached AS (SELECT node, min(dist) AS dist FROM walk GROUP BY node)"""
+_FROM_REGIONS = """walk(source, node, dist) AS (SELECT id, id, 0 FROM nodes WHERE r = 0 UNION SELECT source, near.dst, dist + 1 FROM walk JOIN near ON near.src = node WHERE dist < 6),
+reached AS (SELECT source, node, min(dist) AS dist FROM walk GROUP BY 1, 2)"""
 
 
-@query(f"WITH RECURSIVE {TREE}, {_FROM_ASIA} SELECT nodes.id, CAST(dist AS INT) AS dist FROM nodes LEFT JOIN reached ON node = id")
+@query(f"WITH RECURSIVE {TREE}, {_FROM_REGIONS} SELECT 'region:' || r_regionkey AS source, nodes.id, CAST(dist AS INT) AS dist FROM region, nodes LEFT JOIN reached ON node = nodes.id AND source = 'region:' || r_regionkey")
 def bfs_distance(spark, d):
-    """Within one region only, as the tree has a part for each."""
+    """Within each region only, as the tree has a part for each."""
     g = _tree(spark, d)
-    start = g.index_of("region:2")
-    pairs = g.vertices.select(F.lit(start).alias("src"), F.col("idx").alias("dst"))
-    return paths.distances(g.adj, pairs, g.vertices.select("idx")).join(g.vertices.select(F.col("idx").alias("dst"), "id"), "dst").select("id", "dist")
+    starts = g.vertices.filter(F.col("id").startswith("region:")).select(F.col("idx").alias("src"), F.col("id").alias("source"))
+    pairs = starts.select("src").join(g.vertices.select(F.col("idx").alias("dst")), F.lit(True))  # five regions
+    found = paths.distances(g.adj, pairs, g.vertices.select("idx"))
+    return found.join(starts, "src").join(g.vertices.select(F.col("idx").alias("dst"), "id"), "dst").select("source", "id", "dist")
 
 
-@query(f"""WITH {TREE} SELECT a.id, CAST(CASE WHEN a.id = 'nation:3' THEN 0 ELSE 1 END AS INT) AS dist FROM nodes a WHERE a.cluster = 8""")
+@query(f"""WITH {TREE} SELECT id, CAST(CASE WHEN id LIKE 'nation:%' THEN 0 ELSE 1 END AS INT) AS dist FROM nodes WHERE r > 0""")
 def bfs_restricted(spark, d):
-    """Distances inside one community from its nation."""
+    """Distances inside each community from its nation."""
     g = _tree(spark, d)
-    inside = _tree_partition(spark, d, g).filter("community = 8").select("idx")
-    adj = g.adj.join(inside.withColumnRenamed("idx", "src"), "src", "left_semi").join(inside.withColumnRenamed("idx", "dst"), "dst", "left_semi")
-    start = spark.createDataFrame([(g.index_of("nation:3"),)], "source long")
-    return paths.bfs(adj, start).join(g.vertices.select(F.col("idx").alias("node"), "id"), "node").select("id", "dist")
+    part = _tree_partition(spark, d, g)
+    inside = g.adj.join(part.withColumnsRenamed({"idx": "src", "community": "p"}), "src").join(part.withColumnsRenamed({"idx": "dst", "community": "q"}), "dst").filter("p = q").select("src", "dst", "w")
+    starts = g.vertices.filter(F.col("id").startswith("nation:")).select(F.col("idx").alias("source"))
+    return paths.bfs(materialize(inside), starts).join(g.vertices.select(F.col("idx").alias("node"), "id"), "node").select("id", "dist")
 
 
 @query("""
 SELECT a.n_nationkey + 5 AS a, b.n_nationkey + 5 AS b, CAST(i AS INT) AS step, CAST(CASE i WHEN 0 THEN a.n_nationkey + 5 WHEN 1 THEN a.n_regionkey ELSE b.n_nationkey + 5 END AS INT) AS cluster
-FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey, range(3) t(i) WHERE a.n_regionkey = 1
+FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey, range(3) t(i)
 """)
 def cluster_corridor(spark, d):
     g = _tree(spark, d)
     part = _tree_partition(spark, d, g)
     near, names = materialize(community.cluster_adjacency(g.adj, part)), materialize(part.select(F.col("community").alias("cluster")).distinct())
-    n = tables.table(spark, d, "nation").filter("n_regionkey = 1").orderBy("n_nationkey")
-    keys = [r["n_nationkey"] + 5 for r in n.collect()]
-    found = paths.cluster_corridors(near, names, [(a, b) for k, a in enumerate(keys) for b in keys[k + 1 :]])
+    keys = sorted((r["n_nationkey"] + 5, r["n_regionkey"]) for r in tables.table(spark, d, "nation").collect())
+    found = paths.cluster_corridors(near, names, [(a, b) for k, (a, r) in enumerate(keys) for b, s in keys[k + 1 :] if r == s])
     out = [(a, b, i, c) for (a, b), path in found.items() for i, c in enumerate(path)]
     return spark.createDataFrame(out, "a int, b int, step int, cluster int")
 
 
 @query(f"""
-WITH {TREE}, size AS (SELECT cluster, count(*) AS n FROM nodes GROUP BY cluster), ns AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation WHERE n_regionkey = 1)
+WITH {TREE}, size AS (SELECT cluster, count(*) AS n FROM nodes GROUP BY cluster), ns AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation)
 SELECT 'nation:' || a.k AS src, 'nation:' || b.k AS dst, CAST(x.n + y.n + z.n AS BIGINT) AS member_count, CAST(2 AS INT) AS global_dist, CAST(2 AS INT) AS corridor_dist, true AS connected, true AS optimal
-FROM ns a JOIN ns b ON a.k < b.k JOIN size x ON x.cluster = a.k + 5 JOIN size y ON y.cluster = b.k + 5 JOIN size z ON z.cluster = 1
+FROM ns a JOIN ns b ON a.r = b.r AND a.k < b.k JOIN size x ON x.cluster = a.k + 5 JOIN size y ON y.cluster = b.k + 5 JOIN size z ON z.cluster = a.r
 """)
 def corridor_eval(spark, d):
     g = _tree(spark, d)
     part = _tree_partition(spark, d, g)
     ids = g.vertices.select("idx", "id")
-    n = tables.table(spark, d, "nation").filter("n_regionkey = 1").select("n_nationkey", F.concat(F.lit("nation:"), "n_nationkey").alias("id")).join(ids, "id")
-    a, b = (n.select(F.col("n_nationkey").alias(f"{x}k"), F.col("idx").alias(y)) for x, y in (("a", "src"), ("b", "dst")))
-    pairs = a.join(b, F.col("ak") < F.col("bk")).select("src", "dst", F.array((F.col("ak") + 5).cast("int"), F.lit(1), (F.col("bk") + 5).cast("int")).alias("clusters"))
+    n = tables.table(spark, d, "nation").select("n_nationkey", "n_regionkey", F.concat(F.lit("nation:"), "n_nationkey").alias("id")).join(ids, "id")
+    a, b = (n.select("n_regionkey", F.col("n_nationkey").alias(f"{x}k"), F.col("idx").alias(y)) for x, y in (("a", "src"), ("b", "dst")))
+    between = F.array((F.col("ak") + 5).cast("int"), F.col("n_regionkey").cast("int"), (F.col("bk") + 5).cast("int"))
+    pairs = a.join(b, "n_regionkey").filter(F.col("ak") < F.col("bk")).select("src", "dst", between.alias("clusters"))
     found = paths.evaluate_corridors(g.adj, part, pairs)
     named = found.join(ids.withColumnsRenamed({"idx": "src", "id": "s"}), "src").join(ids.withColumnsRenamed({"idx": "dst", "id": "t"}), "dst")
     return named.select(F.col("s").alias("src"), F.col("t").alias("dst"), "member_count", "global_dist", "corridor_dist", F.col("corridor_dist").isNotNull().alias("connected"), F.col("corridor_dist").eqNullSafe(F.col("global_dist")).alias("optimal"))
 
 
-@query("SELECT conv_id, turn, CAST(turn AS INT) AS dist FROM conversations WHERE conv_id % 10 = 0")
+@query("SELECT conv_id, turn, CAST(turn AS INT) AS dist FROM conversations")
 def conversation_distances(spark, d):
     s = tables.conversation_chain(spark, d)
     g = Graph.from_frames(s.nodes(), s.edges())
     place = F.split("id", ":")
-    named = g.vertices.select("idx", place[1].cast("long").alias("conv_id"), place[2].cast("long").alias("turn")).filter(F.col("conv_id") % 10 == 0)
+    named = g.vertices.select("idx", place[1].cast("long").alias("conv_id"), place[2].cast("long").alias("turn"))
     found = paths.bfs(g.adj, named.filter("turn = 0").select(F.col("idx").alias("source")))
     return found.join(named, found["node"] == named["idx"]).select("conv_id", "turn", "dist")
 
@@ -379,7 +404,7 @@ SELECT idx, community, coalesce(c, community) AS target, round(coalesce(g, 0), 9
 """)
 def local_move_round(spark, d):
     g = _multi(spark, d)
-    return community.best_moves(g.adj, _sevenths(g), g.twice_total_weight()).select("idx", "community", "target", F.round("gain", 9).alias("gain"))
+    return community.best_moves(g.adj, _sixteens(g), g.twice_total_weight()).select("idx", "community", "target", F.round("gain", 9).alias("gain"))
 
 
 _CENTRES = f"WITH {STARS} SELECT id, CASE WHEN id LIKE 'order:%' THEN (SELECT min(dst) FROM edges WHERE src = id) ELSE id END AS centre FROM nodes"
@@ -402,25 +427,61 @@ def louvain_components(spark, d):
     return _with_centre(g, community.louvain(g))
 
 
-@query("SELECT CAST((SELECT count(*) FROM customer) AS BIGINT) AS clusters, CAST((SELECT count(*) FROM customer) AS BIGINT) AS regions")
-def region_assign(spark, d):
+@query("SELECT l_orderkey AS o, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INT) AS line, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS first FROM lineitem")
+def louvain_rounds(spark, d):
+    """Cliques, the lines of an order each, by rounds of joins at every level."""
+    g, lines = _cliques(spark, d)
+    found = community.louvain(g, use_kernel=False).join(g.vertices.select("idx", "id"), "idx").join(lines, "id")
+    first = found.groupBy("community").agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("f"))
+    own = found.join(first, "community").filter(F.col("f.l_orderkey") == F.col("l_orderkey"))
+    return own.select(F.col("l_orderkey").alias("o"), "line", F.col("f.l_linenumber").alias("first"))
+
+
+@query(_CENTRES)
+def leiden_rounds(spark, d):
+    """The stars again, by rounds of joins at every level."""
     g = _stars(spark, d)
-    r = community.regions(g.adj, community.leiden(g))
-    return r.agg(F.count(F.lit(1)).alias("clusters"), F.countDistinct("region").alias("regions"))
+    return _with_centre(g, community.leiden(g, use_kernel=False))
+
+
+def _cliques(spark: SparkSession, d: str) -> tuple[Graph, DataFrame]:
+    lines = tables.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    lines = lines.withColumn("line", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")))
+    lines = lines.withColumn("id", F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("line").cast("string")))
+    nodes = lines.select("id", F.lit("line").alias("kind"), (F.col("l_orderkey") * 16 + F.col("line")).alias("seq"))
+    a, b = (lines.select("l_orderkey", F.col("line").alias(f"{x}_line"), F.col("id").alias(x)) for x in ("src", "dst"))
+    return Graph.from_frames(nodes, a.join(b, "l_orderkey").filter("src_line < dst_line").select("src", "dst")), lines
+
+
+def _regions(use_kernel: bool):
+    def run(spark, d):
+        s = tables.fk_tree(spark, d)
+        nodes = s.nodes().filter(F.col("kind").isin("region", "nation"))
+        g = Graph.from_frames(nodes, s.edges().filter(F.col("dst").startswith("region:")))
+        alone = g.vertices.select("idx", F.col("idx").alias("community"))
+        found = community.regions(g.adj, alone, use_kernel=use_kernel).withColumnRenamed("cluster", "idx")
+        named = found.join(g.vertices.select("idx", "id"), "idx")
+        return named.join(named.groupBy("region").agg(F.max_by("id", F.col("id").startswith("region:")).alias("centre")), "region").select("id", "centre")
+
+    run.__name__ = "region_assign" if use_kernel else "region_assign_rounds"
+    return query("SELECT 'region:' || r_regionkey AS id, 'region:' || r_regionkey AS centre FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation")(run)
+
+
+region_assign, region_assign_rounds = _regions(True), _regions(False)
 
 
 # ---------------------------------------------------------------- the index
 
 
-@query("SELECT 'customer:' || c_custkey AS seed, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY id) AS INT) AS rank, id FROM (SELECT c_custkey, 'order:' || o_orderkey AS id FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 50 = 0 UNION ALL SELECT c_custkey, 'customer:' || c_custkey FROM customer WHERE c_custkey % 50 = 0)")
+@query("SELECT 'customer:' || c_custkey AS seed, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY id) AS INT) AS rank, id FROM (SELECT c_custkey, 'order:' || o_orderkey AS id FROM customer JOIN orders ON o_custkey = c_custkey UNION ALL SELECT c_custkey, 'customer:' || c_custkey FROM customer)")
 def same_cluster(spark, d):
     index, _ = build(tables.customer_orders(spark, d), IndexConfig(hubs=HubKind.DEGREE))
-    return index.same_cluster(_seeds(spark, d, 50))
+    return index.same_cluster(_seeds(spark, d))
 
 
 _SIMILAR = f"""WITH {TREE}, {_hops(3)},
 flag AS (SELECT idx.*, hubs.id IS NOT NULL AS is_hub FROM idx LEFT JOIN hubs USING (id)),
-seeds AS (SELECT id AS seed, cluster AS own, is_hub, (SELECT min(f.id) FROM flag f WHERE f.is_hub AND f.cluster = s.cluster) AS hub FROM flag s WHERE id LIKE 'customer:%' AND k % 40 = 0),
+seeds AS (SELECT id AS seed, cluster AS own, is_hub, (SELECT min(f.id) FROM flag f WHERE f.is_hub AND f.cluster = s.cluster) AS hub FROM flag s WHERE id LIKE 'customer:%'),
 entry AS (SELECT seed, own, CASE WHEN is_hub THEN seed ELSE hub END AS entry FROM seeds),
 hop AS (SELECT src_id, f.cluster, row_number() OVER (PARTITION BY src_id ORDER BY CAST(w AS FLOAT) DESC, f.idx) AS hop FROM hub_edges JOIN flag f ON f.id = dst_id),
 size AS (SELECT cluster, count(*) AS n FROM nodes GROUP BY 1),
@@ -433,18 +494,17 @@ ranked AS (SELECT seed, row_number() OVER (PARTITION BY seed ORDER BY hop, id) A
 
 @query(f"{_SIMILAR} SELECT seed, CAST(rank AS INT) AS rank, id FROM ranked WHERE rank <= 150")
 def similar(spark, d):
-    return _tree_index(spark, d).similar(_seeds(spark, d, 40), 150)
+    return _tree_index(spark, d).similar(_seeds(spark, d), 150)
 
 
 @query(f"{_SIMILAR} SELECT entry.seed, CAST(1 + count(visits.hop) FILTER (WHERE other) AS BIGINT) AS clusters_visited, CAST(count(visits.hop) AS BIGINT) AS hubs_visited, CAST(1 + count(visits.hop) FILTER (WHERE fresh) AS BIGINT) AS distinct_clusters FROM entry LEFT JOIN visits ON visits.seed = entry.seed GROUP BY entry.seed")
 def similar_stats(spark, d):
-    return _tree_index(spark, d).similar_stats(_seeds(spark, d, 40), 150)
+    return _tree_index(spark, d).similar_stats(_seeds(spark, d), 150)
 
 
-@query(f"{_SIMILAR} SELECT nodes.label AS seed, CAST(rank AS INT) AS rank, ranked.label FROM ranked JOIN nodes ON nodes.id = seed WHERE rank <= 150 AND nodes.k IN (40, 80, 120)")
+@query(f"{_SIMILAR} SELECT nodes.label AS seed, CAST(rank AS INT) AS rank, ranked.label FROM ranked JOIN nodes ON nodes.id = seed WHERE rank <= 150")
 def similar_by_label(spark, d):
-    c = tables.table(spark, d, "customer").filter("c_custkey IN (40, 80, 120)").select("c_name")
-    return _tree_index(spark, d).similar_by_label([r["c_name"] for r in c.collect()], 150)
+    return _tree_index(spark, d).similar_by_label(tables.table(spark, d, "customer").select("c_name"), 150)
 
 
 @query(f"WITH {TREE} SELECT label, max(id) AS id FROM (SELECT label, last(id) OVER (PARTITION BY label ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS id FROM idx) GROUP BY label")
@@ -498,18 +558,19 @@ def majority_vote(spark, d):
     return community.majority(votes, "o", "cluster")
 
 
+#: Every order votes with its suppliers, every part arrives alone.
 _PLACED = f"""WITH {TREE},
-new AS (SELECT l_orderkey AS o, list('supplier:' || l_suppkey) AS seeds FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1 UNION ALL SELECT o_orderkey, ['none'] FROM orders WHERE o_orderkey % 1000 = 1),
-votes AS (SELECT o, cluster, count(*) AS n FROM (SELECT o, unnest(seeds) AS s FROM new) JOIN nodes ON id = s GROUP BY 1, 2),
-won AS (SELECT o, cluster FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY n DESC, cluster) AS r FROM votes) WHERE r = 1),
-placed AS (SELECT 'order:' || o AS id, CAST(coalesce(cluster, 29 + sum(CASE WHEN cluster IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY o)) AS INT) AS cluster FROM new LEFT JOIN won USING (o))"""
+new AS (SELECT 'order:' || l_orderkey AS id, 2 * l_orderkey AS seq, list('supplier:' || l_suppkey) AS seeds FROM lineitem GROUP BY l_orderkey UNION ALL SELECT 'part:' || p_partkey, 2 * p_partkey + 1, ['none'] FROM part),
+votes AS (SELECT n.id, n.seq, cluster, count(*) AS n FROM (SELECT id, seq, unnest(seeds) AS s FROM new) n JOIN nodes ON nodes.id = s GROUP BY 1, 2, 3),
+won AS (SELECT id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, cluster) AS r FROM votes) WHERE r = 1),
+placed AS (SELECT id, CAST(coalesce(cluster, 29 + sum(CASE WHEN cluster IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY seq)) AS INT) AS cluster FROM new LEFT JOIN won USING (id))"""
 
 
 def _arrivals(spark: SparkSession, d: str) -> DataFrame:
-    voted = tables.table(spark, d, "lineitem").filter("l_orderkey % 20 = 0").groupBy("l_orderkey").agg(F.collect_list(F.concat(F.lit("supplier:"), "l_suppkey")).alias("seeds"))
-    alone = tables.table(spark, d, "orders").filter("o_orderkey % 1000 = 1").select("o_orderkey", F.array(F.lit("none")))
-    both = voted.union(alone)
-    return both.select(F.concat(F.lit("order:"), "l_orderkey").alias("id"), "seeds", F.col("l_orderkey").alias("seq"))
+    votes = tables.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.concat(F.lit("supplier:"), "l_suppkey")).alias("seeds"))
+    orders = votes.select(F.concat(F.lit("order:"), "l_orderkey").alias("id"), "seeds", (F.col("l_orderkey") * 2).alias("seq"))
+    alone = tables.table(spark, d, "part").select(F.concat(F.lit("part:"), "p_partkey"), F.array(F.lit("none")), (F.col("p_partkey") * 2 + 1))
+    return orders.union(alone)
 
 
 @query(f"{_PLACED} SELECT id, cluster FROM placed")
@@ -533,29 +594,105 @@ def next_cluster_id(spark, d):
     return spark.createDataFrame([(after.next_cluster_id(),)], "next_cluster int")
 
 
-@query(f"{_PLACED} SELECT 'order' AS kind, CAST(cluster AS INT) AS cluster, CAST(CASE WHEN cluster < 5 THEN cluster WHEN cluster < 30 THEN 1 ELSE 0 END * 0 AS INT) AS hubs, CAST(count(*) AS BIGINT) AS n FROM placed GROUP BY cluster")
+@query(f"{_PLACED} SELECT id, cluster, false AS is_hub, true AS region_kept FROM placed")
 def inserted_rows(spark, d):
-    after, placed = _tree_index(spark, d).insert(_arrivals(spark, d))
-    rows = after.assignments.join(placed.select("id"), "id", "left_semi")
-    return rows.groupBy(F.lit("order").alias("kind"), "cluster").agg(F.sum(F.col("is_hub").cast("int")).cast("int").alias("hubs"), F.count(F.lit(1)).alias("n"))
+    """The rows that an insert adds: no hubs, in the region of their cluster, which for new ones is 0."""
+    before = _tree_index(spark, d)
+    after, _ = before.insert(_arrivals(spark, d))
+    there = before.clusters.select("cluster", F.col("region").alias("was"))
+    rows = after.assignments.join(before.assignments.select("id"), "id", "left_anti").join(there, "cluster", "left")
+    return rows.select("id", "cluster", "is_hub", (F.col("region") == F.coalesce("was", F.lit(0))).alias("region_kept"))
+
+
+def _at_path(spark: SparkSession, d: str) -> str:
+    path = f"{shared_dir(spark)}/indexes/{uuid.uuid4().hex}"
+    build(tables.fk_tree(spark, d), _BY_DEGREE, _by_nation(spark, d), path=path)
+    return path
 
 
-@query(f"WITH {TREE} SELECT cluster, CAST(0 AS BIGINT) AS delta_inserts, CAST(count(*) AS BIGINT) AS size FROM nodes GROUP BY cluster")
+@query(f"{_PLACED} SELECT id, cluster FROM nodes UNION ALL SELECT id, cluster FROM placed")
+def reopened_rows(spark, d):
+    """An index committed to a path, opened, grown, and opened again."""
+    path = _at_path(spark, d)
+    Index.open(spark, path).insert(_arrivals(spark, d), order_insensitive=True)
+    return Index.open(spark, path).assignments.select("id", "cluster")
+
+
+@query(f"WITH {TREE} SELECT cluster, CAST(0 AS BIGINT) AS generation, CAST(0 AS BIGINT) AS delta_inserts, CAST(count(*) AS BIGINT) AS size FROM nodes GROUP BY cluster")
 def rebuild_resets(spark, d):
-    """An index after inserts, built again from its source."""
-    _tree_index(spark, d).insert(_arrivals(spark, d))
-    return _tree_index(spark, d).clusters.select("cluster", "delta_inserts", "size")
+    """A path whose index has grown, built anew from the source there, and opened."""
+    path = _at_path(spark, d)
+    Index.open(spark, path).insert(_arrivals(spark, d), order_insensitive=True)
+    build(tables.fk_tree(spark, d), _BY_DEGREE, _by_nation(spark, d), path=path)
+    return Index.open(spark, path).clusters.select("cluster", "generation", "delta_inserts", "size")
 
 
-@query("""
-WITH m AS (SELECT DISTINCT l_orderkey AS r, 't' || (l_suppkey % 25) AS t FROM lineitem)
-SELECT x.t AS a, y.t AS b, CAST(count(*) AS BIGINT) AS n FROM m x JOIN m y ON x.r = y.r AND x.t < y.t GROUP BY 1, 2
-""")
+_SHARED = """WITH m AS (SELECT DISTINCT l_orderkey AS r, 'supplier_' || l_suppkey AS t FROM lineitem)
+SELECT x.t AS a, y.t AS b, CAST(count(*) AS BIGINT) AS n FROM m x JOIN m y ON x.r = y.r AND x.t < y.t GROUP BY 1, 2"""
+
+
+@query(_SHARED)
 def sql_routine_pairs(spark, d):
-    m = tables.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("routine_id"), F.concat(F.lit("t"), F.col("l_suppkey") % 25).alias("table"))
+    m = tables.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("routine_id"), F.concat(F.lit("supplier_"), "l_suppkey").alias("table"))
     return routine_pairs(m)
 
 
+# ---------------------------------------------------------------- loaders, from text that the tables are written to
+
+
+def _text(rows: DataFrame) -> str:
+    """A folder of text files with the rows' column of text, a file or more for each task."""
+    path = f"{shared_dir(rows.sparkSession)}/texts/{uuid.uuid4().hex}"
+    rows.write.text(path)
+    return path
+
+
+def _dump(spark: SparkSession, d: str) -> sqldump.SqlDumpSource:
+    """Each region, nation and supplier a table that refers to the one above it; each order a routine that reads its suppliers' tables."""
+    r, n, s = (tables.table(spark, d, t) for t in ("region", "nation", "supplier"))
+    create = lambda name, above: F.concat(F.lit("CREATE TABLE `"), name, F.lit("` (\n  `id` int DEFAULT ' #1',\n  CONSTRAINT `up` FOREIGN KEY (`id`) REFERENCES `"), above, F.lit("` (`id`)\n) ENGINE=InnoDB;"))
+    named = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    rows = r.select(F.concat(F.lit("CREATE TABLE `"), named("region_", "r_regionkey"), F.lit("` (`id` int) ENGINE=InnoDB;")).alias("value"))
+    rows = rows.union(n.select(create(named("nation_", "n_nationkey"), named("region_", "n_regionkey")))).union(s.select(create(named("supplier_", "s_suppkey"), named("nation_", "s_nationkey"))))
+    reads = tables.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.concat_ws("\n", F.collect_list(F.concat(F.lit("  SELECT 1 FROM "), named("supplier_", "l_suppkey"), F.lit(";")))).alias("body"))
+    routines = reads.select(F.concat(F.lit("DELIMITER ;;\nCREATE PROCEDURE `r"), F.col("l_orderkey").cast("string"), F.lit("`()\nBEGIN\n"), "body", F.lit("\nEND ;;\nDELIMITER ;")))
+    return sqldump.from_path(spark, _text(rows.union(routines)))
+
+
+@query("SELECT 'nation_' || n_nationkey AS a, 'region_' || n_regionkey AS b FROM nation UNION ALL SELECT 'supplier_' || s_suppkey, 'nation_' || s_nationkey FROM supplier")
+def sql_dump_keys(spark, d):
+    return _dump(spark, d).foreign_keys().select("a", "b")
+
+
+@query(_SHARED)
+def sql_dump_pairs(spark, d):
+    return _dump(spark, d).pairs().select("a", "b", "n")
+
+
+@query("SELECT CAST((SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) AS BIGINT) AS tables, CAST((SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) AS BIGINT) AS keys, CAST(0 AS BIGINT) AS dropped")
+def sql_dump_counts(spark, d):
+    found = _dump(spark, d)
+    return spark.createDataFrame([(found.table_count(), found.fk_count(), found.dropped_keys())], "tables long, keys long, dropped long")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS src, CAST(1000000000 + c_nationkey AS VARCHAR) AS dst FROM customer")
+def gml_edges(spark, d):
+    c = tables.table(spark, d, "customer")
+    nation = F.col("c_nationkey") + 1_000_000_000
+    nodes = c.select(F.col("c_custkey").cast("long").alias("k")).union(c.select(nation.cast("long")).distinct()).select(F.concat(F.lit("  node [ id "), F.col("k").cast("string"), F.lit(" label \"x\" ]")).alias("line"), F.lit(0).alias("kind"))
+    edges = c.select(F.concat(F.lit("  edge [ source "), F.col("c_custkey").cast("string"), F.lit(" target "), nation.cast("string"), F.lit(" ]")).alias("line"), F.lit(1).alias("kind"))
+    # a GML document is one text: nodes come before the edges that name them
+    body = nodes.union(edges).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    path = _text(body.select(F.concat(F.lit("# customers\ngraph [\n  directed 0\n"), "body", F.lit("\n]"))))
+    return gml.from_path(spark, path).edges().select("src", "dst")
+
+
+@query("SELECT DISTINCT CAST(least(l_partkey, l_suppkey) AS VARCHAR) AS src, CAST(greatest(l_partkey, l_suppkey) AS VARCHAR) AS dst FROM lineitem")
+def edge_list_file(spark, d):
+    lines = tables.table(spark, d, "lineitem").select(F.concat_ws(" ", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")))
+    return edgelist.from_path(spark, _text(lines)).edges().select("src", "dst")
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS ids, CAST(count(*) AS BIGINT) AS valid, CAST(0 AS BIGINT) AS other FROM part")
 def uuid7_ids(spark, d):
     ids = materialize(tables.table(spark, d, "part").select(uuid7().alias("id"), F.expr("uuid()").alias("other")))

@@ -331,16 +331,18 @@ class Index:
         names = self.assignments.select("id", "label")
         return found.join(names, "id", "left").join(seeds, "seed").select(F.col("seed_label").alias("seed"), "rank", F.coalesce("label", "id").alias("label"))
 
-    def _by_label(self, labels: Iterable[str]) -> DataFrame:
-        asked = self.spark.createDataFrame([(x,) for x in labels], "seed_label string").distinct()
+    def _by_label(self, labels: DataFrame | Iterable[str]) -> DataFrame:
+        """(seed_label, seed) of known labels; a DataFrame holds them in its first column."""
+        asked = labels.select(F.col(labels.columns[0]).alias("seed_label")) if isinstance(labels, DataFrame) else self.spark.createDataFrame([(x,) for x in labels], "seed_label string")
+        asked = asked.distinct()
         return materialize(asked.join(self.labels.select(F.col("label").alias("seed_label"), F.col("id").alias("seed")), "seed_label"))
 
-    def same_cluster_by_label(self, labels: Iterable[str]) -> DataFrame:
+    def same_cluster_by_label(self, labels: DataFrame | Iterable[str]) -> DataFrame:
         """(seed, rank, label); nodes without a label go by their id."""
         seeds = self._by_label(labels)
         return self._named(self.same_cluster(seeds), seeds)
 
-    def similar_by_label(self, labels: Iterable[str], limit: int) -> DataFrame:
+    def similar_by_label(self, labels: DataFrame | Iterable[str], limit: int) -> DataFrame:
         seeds = self._by_label(labels)
         return self._named(self.similar(seeds, limit), seeds)
 

@@ -19,14 +19,14 @@ from graphstrata.runtime import materialize
 FACTS = "file string, line int, fact string, a string, b string, routine_id int"
 
 _NAME = r"(?:`[^`]+`|[A-Za-z0-9_$]+)(?:\.(?:`[^`]+`|[A-Za-z0-9_$]+))?"
-_CREATE = re.compile(r"(?i)\bCREATE\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(`[^`]+`(?:\.`[^`]+`)?)")
+_CREATE = re.compile(r"(?i)CREATE\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(`[^`]+`(?:\.`[^`]+`)?)")
 _OTHER_CREATE = re.compile(r"(?i)^CREATE\b.*\b(PROCEDURE|FUNCTION|TRIGGER|EVENT|VIEW|DATABASE)\b")
-_ALTER = re.compile(rf"(?i)\bALTER\s+TABLE\s+(?:ONLY\s+)?({_NAME})")
+_ALTER = re.compile(rf"(?i)ALTER\s+TABLE\s+(?:ONLY\s+)?({_NAME})")
 _REFERENCE = re.compile(rf"(?i)\bFOREIGN\s+KEY\b.*?\bREFERENCES\s+({_NAME})")
-_INLINE_REFERENCE = re.compile(rf"(?i)\bREFERENCES\s+({_NAME})")
 _MENTION = re.compile(rf"(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+({_NAME})")
-_USE = re.compile(r"USE\s+`?([A-Za-z0-9_$]+)`?")
-_COMMENT = re.compile(r"/\*.*?\*/")
+_USE = re.compile(r"USE\s+(?:`([^`]+)`|([^;]*))")
+_DELIMITER = re.compile(r"DELIMITER\s+(\S+)")
+_CLOSES = re.compile(r"(?i)^\)|\)\s*ENGINE=|;$")
 # Words that follow a keyword without being a table.
 _NO_TABLE = frozenset("select set outfile dumpfile low_priority ignore values dual".split())
 
@@ -41,48 +41,48 @@ def _qualified(name: str, database: str) -> str:
 
 
 def _uncommented(line: str) -> str:
+    """A comment is a line of its own, or follows a dash pair between blanks; a # inside a line may be part of a value."""
     line = line.strip()
     if line.startswith(("--", "#")) or line.startswith("/*") and "*/" in line:
         return ""
-    return _COMMENT.sub(" ", re.split(r"\s--\s|\s#", line)[0]).strip()
+    return line.split(" -- ")[0].strip()
 
 
 def facts(text: str) -> Iterator[tuple[int, str, str, str | None, int | None]]:
     """(line, "table" | "fk" | "mention", a, b, routine): a table; a reference from a to b; a table that a routine names."""
     database, table, routine, in_routine = "", None, 0, False
     for number, raw in enumerate(text.splitlines(), 1):
-        if not in_routine and (m := _USE.match(raw.strip())):
-            database = m[1]
-            continue
-        if raw.startswith("DELIMITER "):
-            closes = raw[10:].strip() == ";"
-            routine += not closes
-            in_routine = not closes
-            continue
         line = _uncommented(raw)
         if not line:
             continue
+        if m := _USE.match(line):
+            database = m[1] or m[2].strip()
+            continue
+        if m := _DELIMITER.match(line):
+            in_routine, table = m[1] != ";", None
+            routine += in_routine
+            continue
         if in_routine:
             for m in _MENTION.finditer(line):
                 if _plain(m[1]).lower() not in _NO_TABLE:
                     yield number, "mention", _qualified(m[1], database), None, routine
             continue
         if table is None:
-            if _OTHER_CREATE.match(line) and not _CREATE.search(line):
+            if _OTHER_CREATE.match(line) and not _CREATE.match(line):
                 continue
-            if m := _CREATE.search(line):
+            if m := _CREATE.match(line):
                 table = _qualified(m[1], database)
                 yield number, "table", table, None, None
                 line = line[m.end() :]
-            elif m := _ALTER.search(line):
+            elif m := _ALTER.match(line):
                 if r := _REFERENCE.search(line, m.end()):
                     yield number, "fk", _qualified(m[1], database), _qualified(r[1], database), None
                 continue
             else:
                 continue
-        if r := _REFERENCE.search(line) or _INLINE_REFERENCE.search(line):
+        if r := _REFERENCE.search(line):
             yield number, "fk", table, _qualified(r[1], database), None
-        if line.endswith(";") or line.startswith(")"):
+        if _CLOSES.search(line):
             table = None
 
 
