@@ -40,6 +40,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+#: Bits of a bitmap that is sent to tiles. Beyond the most, a longer one would weigh more than it spares, as a text's tiles grow with
+#: its length too; what such a one lets pass is told apart by the long bitmaps made from the arrays.
 _LEAST_BITS, _MOST_BITS = 256, 1 << 14
 #: Bits of the second bitmap, which is asked about fewer pairs, for each of the first.
 _FINER = 2
@@ -49,8 +51,9 @@ _COMMON_SHARE, _COMMON_LEAST = 1 / 1000, 64
 #: Documents and shingles counted together before shingles found fewer times are forgotten.
 _COUNTED_DOCS, _COUNTED_SHINGLES, _COMMON_IN_COUNT = 4096, 1_000_000, 4
 _CHUNK_BYTES, _CHUNK_PAIRS, _XOR_BYTES = 4 << 20, 100_000, 4 << 20
-#: Rows of a tile's part or block, one in how many rows is a guest of the next part, shingles of a block of arrays, and pairs tried at once.
-_TILE_ROWS, _GUESTS, _BLOCK_SHINGLES, _TRIED = 512, 16, 200_000, 64
+#: Rows of a tile's part, one in how many is a guest of the next part, rows of a block, shingles of a block of arrays, where an array
+#: weighs as much as so many more, and pairs tried at once.
+_TILE_ROWS, _GUESTS, _BLOCK_ROWS, _BLOCK_SHINGLES, _ROW_WEIGHT, _TRIED = 512, 16, 192, 200_000, 2000, 64
 #: Ids that are broadcast (at most 16 MB) before a Bloom filter is, and the logarithm of its most bits (32 MB).
 _BROADCAST_IDS, _MOST_FILTER_BITS = 500_000, 28
 _ONE_TASK_LINKS = 200_000
@@ -631,7 +634,7 @@ def _joined(slim: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     joined = materialize(_components(links))
     alive = near.filter(F.col("shingle").isNotNull()).select(F.col("shingle").alias("grp"), "cls")
-    still = materialize(_dealt(placed(alive, joined), F.lit(1), _TILE_ROWS).withColumn("to", F.explode("to")).select("grp", "to.*", "cls", "component", "probe"))
+    still = materialize(_dealt(placed(alive, joined), F.lit(1), _BLOCK_ROWS).withColumn("to", F.explode("to")).select("grp", "to.*", "cls", "component", "probe"))
     discard(near)
     tried = _in_blocks(still.join(classes.select("cls", "n", F.col("fine").alias("bitmap")), "cls"), _neighbourhoods, "x long, y long")
     around = materialize(_components(materialize(tried.distinct())).withColumnsRenamed({"component": "grp"}))
@@ -639,7 +642,7 @@ def _joined(slim: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     # and in each neighbourhood, all that is left to try, once
     sized = placed(around.join(classes.select("cls", "n", "doc_id", "d1", "d2"), "cls"), joined)
-    wanted = materialize(_dealt(sized, F.col("n"), _BLOCK_SHINGLES))
+    wanted = materialize(_dealt(sized, F.col("n") + _ROW_WEIGHT, _BLOCK_SHINGLES))
     read = _with_arrays(slim, wanted).withColumn("to", F.explode("to")).select("grp", "to.*", "cls", "component", "probe", "n", "shingles")
     late = materialize(_in_blocks(read, _links, "x long, y long"))
     return described, classes, materialize(links.unionByName(late))
@@ -703,6 +706,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document of ``documents``; nulls, repeats and empty tables as in ``near_duplicates``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_links")
 
 
