@@ -221,4 +221,5 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every whole text of ``documents``, encoded and decoded; nulls, repeats and empty tables as in ``digest_documents``."""
     return digest_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path())

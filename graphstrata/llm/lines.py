@@ -19,7 +19,7 @@ from graphstrata.runtime import materialize
 _SPACE = b" \t\n\x0b\x0c\r"
 _FLUSH = 50_000
 #: Bitmaps are broadcast up to so many bytes, which are counted.
-_BROADCAST_BYTES = 16 << 20
+_BROADCAST_BYTES = 32 << 20
 
 
 def line_keys(text: str | None) -> list[bytes]:

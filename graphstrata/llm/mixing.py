@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from graphstrata.runtime import materialize
 
 DIMS = ("source", "lang", "topic")
-#: Default targets: shares of the tokens to this power, which lifts what is rare.
-TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.9}
+#: Default targets are the margins of the cells' tokens to this power, which lifts what is rare.
+TEMPER = 0.7
 #: Share of all tokens that the sample is to hold.
 BUDGET = 0.5
 TOLERANCE, MOST_SWEEPS = 1e-6, 100
@@ -46,8 +46,8 @@ def _dimensioned(docs: DataFrame) -> DataFrame:
 
 
 def default_targets(cells: DataFrame, dim: str) -> DataFrame:
-    """value, target: tempered shares of the tokens by ``dim``, unscaled."""
-    return cells.groupBy(F.col(dim).alias("value")).agg(F.pow(F.sum("tokens"), F.lit(TEMPER[dim])).alias("target"))
+    """value, target: tempered tokens by ``dim``, unscaled. All dimensions' targets come from one table, so they never contradict each other."""
+    return cells.groupBy(F.col(dim).alias("value")).agg(F.sum(F.pow("tokens", F.lit(TEMPER))).alias("target"))
 
 
 def _given(spark: SparkSession, shares: dict[str, float]) -> DataFrame:
@@ -75,13 +75,13 @@ def rake_rows(cells: list[tuple], targets: list[dict[str, float]], tolerance: fl
     return weights, error
 
 
-def rake_frame(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, most: int = MOST_SWEEPS) -> DataFrame:
+def rake_frame(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, most: int = MOST_SWEEPS) -> tuple[DataFrame, float]:
     """As ``rake_rows``, for more cells than a driver should hold: a sweep is a join and a sum for each dimension, then a written table.
 
     Sums are combined before they are shuffled, so a value with most of the cells fills no task, and Spark broadcasts them only where they turn out small.
     """
     total = cells.agg(F.sum("tokens")).first()[0]
-    now = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
+    now, worst = cells.withColumn("weight", F.col("tokens") / F.lit(float(total))), 1.0
     for _ in range(most):
         for dim, target in targets.items():
             sums = now.groupBy(dim).agg(F.sum("weight").alias("_sum"))
@@ -94,7 +94,7 @@ def rake_frame(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float
             worst = max(worst, e.agg(F.max("e")).first()[0] or 0.0)
         if worst <= tolerance:
             break
-    return now
+    return now, worst
 
 
 def _scaled(targets: DataFrame) -> DataFrame:
@@ -122,22 +122,23 @@ def _budget_scale(cells: DataFrame, budget: float) -> float:
 
 
 def weigh_cells(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
-    """source, lang, topic, tokens, weight, probability for each cell with tokens."""
+    """source, lang, topic, tokens, weight, probability for each cell with tokens, and the largest error that raking left of any share."""
     spark = cells.sparkSession
     goals = {d: _scaled(_given(spark, targets[d]) if targets and d in targets else default_targets(cells, d)) for d in DIMS}
     if cells.limit(_COLLECTED_CELLS + 1).count() <= _COLLECTED_CELLS:
         rows = sorted(tuple(r) for r in cells.select(*DIMS, "tokens").collect())
         if not rows:
-            return cells.withColumns({"weight": F.lit(0.0), "probability": F.lit(0.0)})
-        weights, _ = rake_rows(rows, [{r[0]: r[1] for r in g.collect()} for g in goals.values()])
+            return cells.withColumns({"weight": F.lit(0.0), "probability": F.lit(0.0), "raking_error": F.lit(0.0)})
+        weights, error = rake_rows(rows, [{r[0]: r[1] for r in g.collect()} for g in goals.values()])
         total = sum(r[-1] for r in rows)
         shares = [r[-1] / total for r in rows]
         factor = fit_budget(weights, shares, budget)
-        rated = [(*r, w, min(1.0, factor * w / s)) for r, w, s in zip(rows, weights, shares, strict=True)]
-        return spark.createDataFrame(rated, "source string, lang string, topic string, tokens long, weight double, probability double")
-    now = rake_frame(cells, {d: materialize(g) for d, g in goals.items()})
+        rated = [(*r, w, min(1.0, factor * w / s), error) for r, w, s in zip(rows, weights, shares, strict=True)]
+        return spark.createDataFrame(rated, "source string, lang string, topic string, tokens long, weight double, probability double, raking_error double")
+    now, error = rake_frame(cells, {d: materialize(g) for d, g in goals.items()})
     total = float(now.agg(F.sum("tokens")).first()[0])
-    return now.withColumn("probability", F.least(F.lit(1.0), F.lit(_budget_scale(now, budget)) * F.col("weight") * F.lit(total) / F.col("tokens")))
+    scale = F.lit(_budget_scale(now, budget)) * F.lit(total)
+    return now.withColumns({"probability": F.least(F.lit(1.0), scale * F.col("weight") / F.col("tokens")), "raking_error": F.lit(float(error))})
 
 
 def fit_budget(weights: list[float], shares: list[float], budget: float) -> float:
@@ -173,11 +174,12 @@ def _drawn() -> F.Column:
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, weight, probability, kept for each row of ``docs``.
+    """doc_id, source, lang, topic, tokens, weight, probability, raking_error, kept for each row of ``docs``.
 
     ``targets`` gives shares by value for any of source, lang and topic (values without
-    one get none); other dimensions get tempered shares of their own tokens. Where the
-    targets contradict each other, the last sweep stands. A document without words has
+    one get none); other dimensions get the margins of the tempered cells. Where given
+    targets contradict each other, the last sweep stands, and raking_error tells by how
+    much a share is missed at most. A document without words has
     no tokens, no say, and stays with its cell's probability, or the budget where its
     cell has no tokens at all. Nulls are a value of their own, written as the empty
     string. Rows that repeat an id are drawn alike. An empty table gives an empty result.
@@ -185,11 +187,15 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, bud
     measured, rated, few = _rated(docs, targets, budget)
     both = _with_cells(measured, rated.withColumnRenamed("tokens", "cell_tokens"), few)
     probability = F.coalesce("probability", F.lit(float(budget)))
-    return both.select("doc_id", *DIMS, "tokens", (F.col("weight") * F.col("tokens") / F.col("cell_tokens")).alias("weight"), probability.alias("probability"), (_drawn() < probability).alias("kept"))
+    return both.select("doc_id", *DIMS, "tokens", (F.col("weight") * F.col("tokens") / F.col("cell_tokens")).alias("weight"), probability.alias("probability"), F.coalesce("raking_error", F.lit(0.0)).alias("raking_error"), (_drawn() < probability).alias("kept"))
 
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
-    """The rows of ``docs`` that ``mix`` keeps, with their columns as they were. No text is moved while the cells are few."""
+    """The rows of ``docs`` that ``mix`` keeps, with their columns as they were. No text is moved while the cells are few.
+
+    Nulls and texts without words are treated as in ``mix``; rows that repeat an id stay or
+    go together; an empty table gives an empty result.
+    """
     _, rated, few = _rated(docs, targets, budget)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     packed = docs.select(
@@ -200,4 +206,5 @@ def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of ``documents`` with its weight and whether it is sampled; nulls, repeats and empty tables as in ``mix``."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

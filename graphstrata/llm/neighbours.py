@@ -34,7 +34,7 @@ TABLES, WIDTH, MOST_PROBES, RECALL = 6, 2.0, 400, 0.94
 #: Queries and vectors of the sample that the choice is fitted on, and the directions to choose from.
 SAMPLE_QUERIES, SAMPLE_VECTORS, DIRECTIONS = 64, 4096, tuple(range(3, 33))
 _SEED = 20240229
-_HOT_BUCKET = 20_000
+_HOT_BUCKET = 128
 _STEPS = 127
 _MET = "query_id long, vec_id long, low double, high double"
 

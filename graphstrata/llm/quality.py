@@ -18,6 +18,8 @@ LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 #: A host goes when more than this share of its documents is expected to fail.
 HOST_LIMIT = 0.5
+#: The prior's weight in documents where hosts can't be told apart.
+NO_SPREAD = 1e12
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -70,16 +72,18 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 def rejected_hosts(measured: DataFrame, host: str, limit: float = HOST_LIMIT) -> DataFrame:
     """host, host_rejected of the hosts whose shrunk failure rate is above ``limit``.
 
-    The prior is the beta distribution with the mean and variance of the hosts' rates;
-    where these allow none (one host, or all alike) the mean itself is the prior with
-    the weight of one document. A null host is no host, and never rejected.
+    The prior is the beta distribution with the mean of the hosts' rates and their
+    variance beyond what chance alone gives hosts of so few documents; where none is left
+    (one host, or all alike as far as can be told) every host has the mean rate. A null
+    host is no host, and never rejected.
     """
     hosts = materialize(measured.filter(F.col(host).isNotNull()).groupBy(host).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("k")))
     rate = F.col("k") / F.col("n")
-    mean, spread = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
-    mean, spread = mean or 0.0, spread or 0.0
-    weight = mean * (1 - mean) / spread - 1 if spread > 1e-12 else 1.0
-    weight = weight if weight > 0 else 1.0
+    mean, spread, few = hosts.agg(F.avg(rate), F.var_pop(rate), F.avg(1 / F.col("n"))).first()
+    mean, spread, few = mean or 0.0, spread or 0.0, few or 0.0
+    chance = mean * (1 - mean)
+    beyond = spread - chance * few
+    weight = max(chance / beyond - 1, 0.0) if beyond > 1e-9 else NO_SPREAD
     shrunk = (F.col("k") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
     return hosts.filter(shrunk > limit).select(host, F.lit(True).alias("host_rejected"))
 
@@ -101,19 +105,20 @@ def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> D
 def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their columns as they were.
 
-    The text is measured twice, once for the hosts and once for the rows, which moves
-    no text at all.
+    The text is measured once: rows that pass the base rules are written as they are,
+    the others as a failure of their host alone. A null text has no words and fails; a
+    null host is never rejected; repeated rows count each; an empty table gives an empty
+    result.
     """
     packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id"), F.col(host).cast("string").alias("_host"), F.col("text"))
     tested = _with_repeats(_with_words(packed, "text")).withColumn("base_failed", _failed()).select("_row", "doc_id", "_host", "base_failed")
-    bad = rejected_hosts(tested, "_host", limit)
-    # a filter pushed below would put each step's expression inside the next one's lambda, to be computed for every word:
-    # it can't pass a projection that numbers rows
-    held = tested.withColumn("_number", F.monotonically_increasing_id()).filter(~F.col("base_failed") & (F.col("_number") >= 0))
-    return join_counted(held, bad, "_host", "doc_id").filter(F.col("host_rejected").isNull()).select("_row.*")
+    held = materialize(tested.select(F.when(~F.col("base_failed"), F.col("_row")).alias("_row"), F.when(~F.col("base_failed"), F.col("doc_id")).alias("doc_id"), "_host", "base_failed"))
+    bad = rejected_hosts(held, "_host", limit)
+    return join_counted(held.filter(~F.col("base_failed")), bad, "_host", "doc_id").filter(F.col("host_rejected").isNull()).select("_row.*")
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of ``documents`` judged; nulls, repeats and empty tables as in ``judge``."""
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
@@ -131,8 +136,8 @@ base AS (
          coalesce(repeated.n, 0) AS n_repeat_words FROM split LEFT JOIN repeated ON split.rid = repeated.rid),
 judged AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed FROM base),
 hosts AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS k FROM judged WHERE source IS NOT NULL GROUP BY source),
-prior AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM hosts),
-weighed AS (SELECT m, CASE WHEN v > 1e-12 AND m * (1 - m) / v - 1 > 0 THEN m * (1 - m) / v - 1 ELSE 1.0 END AS s FROM prior),
+prior AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v, avg(1 / n) AS f FROM hosts),
+weighed AS (SELECT m, CASE WHEN v - m * (1 - m) * f > 1e-9 THEN greatest(m * (1 - m) / (v - m * (1 - m) * f) - 1, 0) ELSE 1e12 END AS s FROM prior),
 bad AS (SELECT source FROM hosts, weighed WHERE (k + m * s) / (n + s) > {HOST_LIMIT})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AS kept

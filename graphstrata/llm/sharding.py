@@ -84,4 +84,5 @@ def assign_shards(docs: DataFrame, shards: int = 40, buckets: int = 1024, key: s
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of ``documents`` in one of 40 shards; nulls, repeats and empty tables as in ``assign_shards``."""
     return assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
