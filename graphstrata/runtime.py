@@ -9,10 +9,15 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _UNSET = "/tmp/checkpoints"
+#: Bytes of a row group: what a task holds of a table that it writes.
+_ROW_GROUP = 32 << 20
+_recording: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,24 +39,38 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    writer = df.write.mode("error").option("compression", "zstd")
+    for paths in _recording:
+        paths.append(path)
+    writer = df.write.mode("error").option("compression", "zstd").option("parquet.block.size", _ROW_GROUP)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders of the tables that are written meanwhile, for whoever knows when nothing reads them any more."""
+    paths: list[str] = []
+    _recording.append(paths)
+    try:
+        yield paths
+    finally:
+        _recording[:] = [p for p in _recording if p is not paths]
+
+
+def delete(spark: SparkSession, folders: Iterable[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` returned and that nothing reads any more."""
-    spark = df.sparkSession
-    fs_of = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(fs_of).delete(path, True)
+    delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Delete what ``materialize`` wrote for this session's shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, [f"{shared_dir(spark)}/tables"])
