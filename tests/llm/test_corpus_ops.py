@@ -52,6 +52,50 @@ def test_near_duplicates(spark, seed, groups, copies, words, edits):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(docs)
 
 
+@pytest.mark.parametrize("how", ["blocks", "filter", "components"])
+def test_every_way_gives_the_same(spark, monkeypatch, how):
+    """Small parts and blocks with many visitors and slices; the Bloom filter instead of a broadcast; components by rounds."""
+    for name, value in {"blocks": {"_TILE_ROWS": 8, "_BLOCK_ROWS": 4, "_BLOCK_SHINGLES": 600, "_ROW_WEIGHT": 50}, "filter": {"_BROADCAST_IDS": 0}, "components": {"_ONE_TASK_LINKS": 0}}[how].items():
+        monkeypatch.setattr(jaccard, name, value)
+    docs = near_copies(4, 4, 25, 80, 9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs += [(10**9 + i, f"{passage} " + " ".join(f"own{i}x{j}" for j in range(int(12 + i % 3)))) for i in range(40)]
+    got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(docs)
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng, base = np.random.default_rng(21), [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(5000):
+        t = list(base)
+        for _ in range(2):
+            t[int(rng.integers(0, 120))] = f"e{i}x{rng.integers(0, 10**6)}"
+        docs.append((i, " ".join(t)))
+    got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    # two edits change ten shingles of 116 at most, so any two have 96 of 136 in common at least, and all link with those that share an edit's place
+    assert len(got) == 5000 and {r["component_id"] for r in got} == {0}
+
+
+def test_a_large_group_of_templates_that_do_not_link(spark):
+    # 78 shingles of a common text and 11 of their own: 78 / 100 between any two
+    shared = " ".join(f"t{i}" for i in range(82))
+    docs = [(i, shared + " " + " ".join(f"o{i}x{j}" for j in range(11))) for i in range(5000)]
+    got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] and r["n_shingles"] == 89 for r in got) and len(got) == 5000
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i}" for i in range(70_000)]
+    part = lambda k: " ".join(words[:k] + [f"x{k}y{i}" for i in range(70_000 - k)])
+    # with the first: 61996 of 78000 shingles, just under four fifths, and 62996 of 77000, just over
+    docs = [(3, " ".join(words)), (2, part(62_000)), (1, part(63_000)), (4, "short")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {3: (69_996, 1), 2: (69_996, 1), 1: (69_996, 1), 4: (1, 4)}
+    alone = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(docs[:2], "doc_id long, text string")).collect()}
+    assert alone == {3: 3, 2: 2}
+
+
 def test_keep_one(spark):
     docs = spark.createDataFrame([(2, "a b c d e f", 1), (1, "a b c d e f", 2), (3, "x", 3), (4, None, 4), (5, None, 5)], "doc_id long, text string, cls long")
     out = jaccard.keep_one(docs)
@@ -122,6 +166,36 @@ def test_margins_are_met(spark, monkeypatch, cells):
     assert kept[kept["lang"] == "de"]["tokens"].sum() / kept["tokens"].sum() == pytest.approx(0.5, abs=0.08)
 
 
+def test_weights_against_plain_raking(spark):
+    docs = corpus(spark, 600).toPandas()
+    docs["tokens"] = [len(t.split()) for t in docs["text"]]
+    rows = mixing.mix(spark.createDataFrame(docs)).toPandas().set_index("doc_id").loc[docs["doc_id"]]
+    assert (rows["tokens"].to_numpy() == docs["tokens"].to_numpy()).all()
+    cells = rows.reset_index().groupby(["source", "lang", "topic"])["tokens"].sum()
+    joint = cells**mixing.TEMPER
+    joint, w = joint / joint.sum(), cells / cells.sum()
+    for _ in range(2000):
+        for d in ("source", "lang", "topic"):
+            w = w * (joint.groupby(d).sum() / w.groupby(d).sum()).reindex(w.index.get_level_values(d)).to_numpy()
+    key = list(zip(rows["source"], rows["lang"], rows["topic"], strict=True))
+    assert np.allclose(rows["weight"], [w[k] * t / cells[k] for k, t in zip(key, rows["tokens"], strict=True)], atol=1e-6)
+    assert rows["raking_error"].max() <= mixing.TOLERANCE
+    share, lo, hi = cells / cells.sum(), 0.0, 1e6
+    for _ in range(200):  # the factor that spends the budget
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if np.minimum(share, mid * w).sum() < mixing.BUDGET else (lo, mid)
+    assert np.allclose(rows["probability"], [min(1.0, lo * w[k] / share[k]) for k in key], atol=1e-4)
+    drawn = rows["probability"].to_numpy()
+    assert abs(rows["kept"].mean() - drawn.mean()) < 0.08
+
+
+def test_sources_of_one_language_each(spark):
+    docs = spark.createDataFrame([(i, "some words here " * (i % 9 + 1), ["en", "de", "fr"][i % 3], ["a", "b", "c"][i % 3]) for i in range(300)], "doc_id long, text string, lang string, source string")
+    assert mixing.mix(docs).agg({"raking_error": "max"}).first()[0] <= mixing.TOLERANCE
+    apart = {"source": {"a": 0.2, "b": 0.4, "c": 0.4}, "lang": {"en": 0.6, "de": 0.2, "fr": 0.2}}
+    assert mixing.mix(docs, apart).agg({"raking_error": "max"}).first()[0] > 0.1
+
+
 def test_both_ways_to_rake_agree(spark, monkeypatch):
     docs = corpus(spark, 500)
     a = mixing.mix(docs).toPandas().sort_values("doc_id")
@@ -181,6 +255,41 @@ def test_copies_ties_and_useless_vectors(spark):
     assert neighbours.nearest(frame.limit(0)).count() == 0
 
 
+def test_fewer_are_visited_of_more(spark):
+    rng, shares = np.random.default_rng(22), []
+    unit = neighbours._unit(rng.standard_normal((60_000, 24)))
+    for n in (1_000, 8_000, 60_000):
+        q = np.arange(0, n, n // 40)
+        cos = unit[q] @ unit[:n].T
+        cos[np.arange(len(q)), q] = -2
+        top = np.argsort(-cos, axis=1)[:, :5]
+        _, met, share = neighbours.fit(unit[q], unit[top.ravel()], np.repeat(np.arange(len(q)), 5), unit[: min(n, 4096)], n)
+        assert met >= 0.9
+        shares.append(share)
+    assert shares[0] > shares[1] > shares[2]
+
+
+def test_codes_are_within_their_bounds():
+    rng = np.random.default_rng(23)
+    unit = neighbours._unit(rng.standard_normal((300, 48)) * rng.exponential(1, (300, 48)))
+    (coded,) = neighbours._decoded(neighbours.codes(unit))
+    wide = neighbours._off(coded.off[:, None], coded.off[None, :])
+    assert (np.abs(coded.m @ coded.m.T - unit @ unit.T) <= wide).all() and wide.max() < 0.2
+
+
+def test_one_large_bucket_and_clashing_columns(spark, monkeypatch):
+    rng = np.random.default_rng(24)
+    near = rng.standard_normal(16) + 0.01 * rng.standard_normal((700, 16))
+    m = np.concatenate([near, rng.standard_normal((300, 16))])
+    frame = spark.createDataFrame([(i, v.tolist(), "x", 1, b"c") for i, v in enumerate(m)], "vec_id long, embedding array<double>, bucket string, id int, code binary")
+    monkeypatch.setattr(neighbours, "_HOT_BUCKET", 20)
+    got = {}
+    for r in neighbours.nearest(frame).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = {q: {v for v, _ in best} for q, best in brute_neighbours(np.arange(1000), m, 50, 5).items()}
+    assert sum(len(got[q] & want[q]) for q in want) >= 0.9 * 5 * len(want)
+
+
 def test_perturbations_come_by_estimated_success():
     place = np.array([0.1, 0.6, 0.45])
     sets = neighbours.perturbations(place, 27)

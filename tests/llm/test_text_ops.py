@@ -68,13 +68,73 @@ def test_small_named_parts_of_an_article_are_dropped(hint):
     assert html.main_text(page).split("\n") == re.findall(r"<p>(.*?)</p>", STORY)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p title='it's'>hello</p><p>more don't stop</p><p>end</p>", "hello\nmore don't stop\nend"), ('<p class=a">hello one</p><p>two</p>', "hello one\ntwo"),
+        ("<p title='the hidden > truth'>seen</p>", "seen"), ("<p hidden>gone</p><p>seen</p>", "seen"), ("<p style='display: none'>gone</p><p>seen</p>", "seen"),
+    ],
+)
+def test_attributes_are_read_as_html_reads_them(page, text):
+    assert html.main_text(page) == text
+
+
+def test_density_without_article_or_main():
+    told = re.findall(r"<p>(.*?)</p>", STORY)
+    assert html.main_text(f"<form id=aspnetForm><div>{STORY}</div><input><label>x</label></form>").split("\n") == told
+    assert html.main_text(f"<p>tiny</p><div class='has-sidebar'>{STORY}</div>").split("\n")[-8:] == told
+    assert html.main_text(f"<div><h1>Title</h1><div>{STORY}</div></div>").split("\n") == ["Title", *told]
+    thread = "".join(f"<div class=comment><p>Reader {i} has a good deal to say about this, and says it at some length here.</p></div>" for i in range(20))
+    assert html.main_text(f"<article><h1>Title</h1>{STORY}<section id='comments'>{thread}</section></article>").split("\n") == ["Title", *told]
+    assert html.main_text(f"<div>{STORY}<p class='related-work'>Related work is told here.</p></div>").split("\n") == [*told, "Related work is told here."]
+    assert html.main_text("<div class=ad>buy this</div><nav><a href=x>menu</a></nav>") == ""
+
+
+def plain_density(node, ratio):
+    """Link-adjusted characters per tag of a well-formed element, counted anew for each."""
+    import math
+
+    chars = lambda e: sum(len("".join(t.split())) for t in e.itertext())
+    links = [e for e in node.iter("a")]
+    c, tags = chars(node), sum(1 for _ in node.iter()) - 1
+    link_chars, link_tags = sum(map(chars, links)), len(links) - (node.tag == "a") + (node.tag == "a")
+    plain = max(c - link_chars, 1)
+    base = math.log(c / plain * link_chars + ratio * c + math.e)
+    return c / max(tags, 1) * math.log(c / max(link_chars, 1) * max(tags, 1) / max(link_tags, 1) + 1) / math.log(base + 1) if c else 0.0
+
+
+def test_scores_against_an_independent_count():
+    import xml.etree.ElementTree as ET
+
+    rng = np.random.default_rng(11)
+
+    def some(depth):
+        inner = "".join(some(depth - 1) for _ in range(int(rng.integers(0, 4)))) if depth else ""
+        words = " ".join(["word"] * int(rng.integers(0, 9)))
+        tag = ["div", "section", "span", "b"][int(rng.integers(0, 4))]
+        return f"<{tag}>{words}{inner}</{tag}>" if rng.random() < 0.8 else f"<a href='x'>{words}</a>"
+
+    for _ in range(60):
+        page = "<div>" + "".join(some(4) for _ in range(3)) + "</div>"
+        root = html.parse(page)
+        nodes = html.score(root)
+        tree = ET.fromstring(f"<body>{page}</body>")
+        chars = lambda e: sum(len("".join(t.split())) for t in e.itertext())
+        ratio = sum(chars(a) for a in tree.iter("a")) / max(chars(tree), 1)
+        mine = [n for n in html._in_page_order(root)]
+        assert [n.tag for n in mine] == [e.tag for e in tree.iter()] and len(nodes) == len(mine)
+        for n, e in zip(mine, tree.iter(), strict=True):
+            assert n.density == pytest.approx(plain_density(e, ratio))
+            assert n.score == pytest.approx(sum(plain_density(x, ratio) for x in e))
+
+
 def test_deep_and_broken_pages_are_linear():
     for page in ("<div>" * 20_000 + "x", "<b>" * 20_000 + "x", "<" * 100_000, "<a b='" * 20_000, "<li>x" * 20_000):
         html.main_text(page)
 
 
 def test_pages(spark):
-    pages = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (2, None, None)], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, "u", "<p>a", "mine"), (1, "u", "<p>a", "mine"), (2, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(tuple(r) for r in html.extract_text(pages).fillna("").collect()) == [(1, "u", "a", 1), (1, "u", "a", 1), (2, "", "", 0)]
     assert html.extract_text(pages.limit(0)).count() == 0
 
@@ -149,6 +209,21 @@ def test_odd_documents_are_judged(odd, empty):
     assert quality.keep_good(odd).columns == odd.columns
 
 
+def test_the_prior_leaves_out_chance(spark):
+    good, bad = " ".join(f"w{i}" for i in range(60)), "too short"
+    rng = np.random.default_rng(16)
+    hosts = {f"one{i}": [bool(rng.random() < 0.2)] for i in range(300)} | {"worst": [True] * 45 + [False] * 5, "best": [False] * 50}
+    docs = [(k, bad if f else good, h) for k, (h, f) in enumerate((h, f) for h, fails in hosts.items() for f in fails)]
+    rate = np.array([np.mean(f) for f in hosts.values()])
+    n = np.array([len(f) for f in hosts.values()])
+    m = rate.mean()
+    beyond = rate.var() - m * (1 - m) * np.mean(1 / n)
+    weight = max(m * (1 - m) / beyond - 1, 0) if beyond > 1e-9 else quality.NO_SPREAD
+    gone = {h for (h, f) in hosts.items() if (sum(f) + m * weight) / (len(f) + weight) > 0.5}
+    rows = quality.judge(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert {r["doc_id"] for r in rows if r["kept"]} == {k for k, t, h in docs if t == good and h not in gone}
+
+
 def test_bad_hosts_take_their_documents_along(spark):
     good, bad = " ".join(f"w{i}" for i in range(60)), "too short"
     docs = [(i, bad if i % 10 else good, "bad") for i in range(100)] + [(1000 + i, bad if i % 10 == 0 else good, f"h{i % 5}") for i in range(100)] + [(5000, good, None)]
@@ -183,6 +258,23 @@ def test_lines(spark, least):
     assert sorted(tuple(r) for r in got.collect()) == brute_lines(docs, least)
 
 
+@pytest.mark.parametrize("mode", [10, None])
+def test_one_row_repeated_many_times(spark, mode):
+    hot = spark.range(100_000).selectExpr("cast(7 as long) as doc_id", "'same\nagain\nsame' as text")
+    few = spark.createDataFrame([(None, "same"), (8, "own")], "doc_id long, text string")
+    kept = {(r["doc_id"], r["text"]): r["n"] for r in lines.drop_lines(hot.union(few), mode).groupBy("doc_id", "text").count().withColumnRenamed("count", "n").collect()}
+    assert kept == ({(7, ""): 100_000, (None, ""): 1, (8, "own"): 1} if mode else {(7, "again"): 100_000, (None, "same"): 1, (8, "own"): 1})
+
+
+def test_bitmaps_beyond_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"shared line\nown {i}") for i in range(50)], "doc_id long, text string")
+    before = sorted(map(tuple, lines.line_summaries(docs).collect()))
+    monkeypatch.setattr(lines, "_BROADCAST_BYTES", 0)
+    frame = lines.line_summaries(docs)
+    assert "SortMergeJoin" in frame._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, frame.collect())) == before
+
+
 def test_first_occurrences_stay(spark):
     docs = [(i, "\n".join(f"line {j % 7}" for j in range(i, i + 10))) for i in range(300)] + [(999, "new\nnew\nline 3")]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
@@ -306,6 +398,45 @@ def test_clean_texts_have_no_spans(text):
     assert pii.plain_spans(text) == [] and pii.hidden_spans(text, []) == []
 
 
+def test_written_addresses_in_linear_time():
+    import time
+
+    for text in ("a dot " * 100_000 + " at ", "a at " * 100_000, "a at b dot " * 50_000, " " * 300_000, "x" + " " * 200_000 + "at y", "1 dot " * 50_000):
+        began = time.monotonic()
+        pii.hidden_spans(text, pii.plain_spans(text))
+        assert time.monotonic() - began < 2
+
+
+@pytest.mark.parametrize("address", ["anna at mail dot example dot it", "anna at example dot se", "john at firma dot at", "o dot n at x.y dot org", "jo at a-b dot co dot uk"])
+def test_addresses_by_their_form(address):
+    assert pii.hidden_spans(f"to {address}, please", []) == [(3, 3 + len(address), "email")]
+
+
+@pytest.mark.parametrize("text", ["version 2.0 at the point where", "he looked at red dot sights", "we are at home dot dot", "met at ten point of no return", "look at a dot or two"])
+def test_prose_is_no_address(text):
+    assert pii.hidden_spans(text, []) == []
+
+
+def test_every_column_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    bits = ["jo@ex.org", "jo at ex dot org", "jo [at] ex [dot] org", "192.168.1.20", "300.1.1.1", "192 dot 168 dot 1 dot 20", "4111 1111 1111 1111", "4111 1111 1111 1112", "+49 151 2345678", "plus four nine one five one two three four five six seven", "jоhn@ex.org", "word", "é日", "the dot", "\n"]
+    docs = [(i, " so ".join(rng.choice(bits, int(rng.integers(0, 12))))) for i in range(300)]
+    rows = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    hidden = {"jo at ex dot org": "email", "jo [at] ex [dot] org": "email", "192 dot 168 dot 1 dot 20": "ip", "plus four nine one five one two three four five six seven": "phone", "jоhn@ex.org": "email"}
+    for i, text in docs:
+        base, r = brute_spans(text), rows[i]
+        told = lambda spans: ",".join(f"{k}:{b}:{e}" for b, e, k in spans)
+        assert [r[f"n_{k}"] for k in PATTERNS] == [sum(s[2] == k for s in base) for k in PATTERNS]
+        assert r["base_sha256"] == hashlib.sha256(told(base).encode()).hexdigest()
+        spans = [(int(b), int(e), k) for k, b, e in (x.split(":") for x in r["spans"].split(",") if x)]
+        order = list(PATTERNS)
+        assert spans == sorted(spans, key=lambda s: (s[0], order.index(s[2]))) and len(spans) == r["n_spans"] and r["has_pii"] == bool(spans)
+        assert set(base) <= set(spans)
+        for disguise, kind in hidden.items():
+            for m in re.finditer(rf"(?<!\S){re.escape(disguise)}(?!\S)", text):
+                assert any(k == kind and b <= m.start() and m.end() <= e or k == kind and m.start() <= b < m.end() for b, e, k in spans), (text, disguise)
+
+
 def test_pii_rows(odd, empty):
     rows = pii.find_pii(odd).collect()
     assert len(rows) == len(ODD_DOCS) and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows)
@@ -354,5 +485,53 @@ def test_planted_passages_are_found_and_clean_documents_left_alone(spark):
         assert docs[r["doc_id"]][1][r["span_begin"] : r["span_end"]].strip() in f" {passages[r['doc_id'] % 30]} "
 
 
+def test_chunks_against_a_byte_at_a_time():
+    rng = np.random.default_rng(13)
+    texts = ["".join(rng.choice(list("abcdefgh ij"), int(rng.integers(0, 3000)))) for _ in range(12)] + ["ab" * 1500, "word " * 700, "", "x"]
+    for block in blocks(texts, b"\0"):
+        own, begin, end, _ = chunks.block_chunks(block)
+        for i in range(len(block.begin)):
+            data = bytes(block.data[block.begin[i] - chunks.REACH : block.end[i]])  # with the padding that the first hashes see
+            mine = own == i
+            got = [(int(b - block.begin[i]), int(e - block.begin[i])) for b, e in zip(begin[mine], end[mine], strict=True)]
+            padded = plain_after(data)
+            assert got == padded
+
+
+def plain_after(data):
+    """As plain_chunks, of a text that stands behind REACH bytes of padding."""
+    pad, text = data[: chunks.REACH], data[chunks.REACH :]
+    hashes = []
+    whole = pad + text
+    for i in range(chunks.REACH, len(whole)):
+        h = sum(int(chunks._GEAR[whole[i - k]]) << k for k in range(chunks.REACH)) & 0xFFFFFFFF
+        hashes.append(h ^ h >> 15)
+    out, last = [], 0
+    while last < len(text):
+        stop = next((i + 1 for i in range(last + chunks.LEAST - 1, min(last + chunks.MOST, len(text))) if hashes[i] < int(chunks._BELOW)), None)
+        if stop is None and len(text) - last > chunks.MOST:
+            near = hashes[last + chunks.LEAST - 1 : last + chunks.MOST]
+            stop = last + chunks.LEAST + max(j for j, h in enumerate(near) if h == min(near))
+        out.append((last, stop or len(text)))
+        last = out[-1][1]
+    return out
+
+
+def test_periodic_passages_are_found(spark):
+    rng = np.random.default_rng(14)
+    words = ["".join(rng.choice(list("klmnopqrst"), 6)) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    docs = [(i, f"{text(20 + 7 * i)} {'the same phrase again ' * 150}{text(30)}") for i in range(6)] + [(100 + i, text(200)) for i in range(6)]
+    rows = chunks.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in rows} == set(range(6))
+
+
+def test_a_repeated_row_repeats_its_text(spark):
+    rng = np.random.default_rng(15)
+    text = " ".join("".join(rng.choice(list("abcdef"), 5)) for _ in range(60))
+    docs = spark.range(50_000).selectExpr("cast(null as long) as doc_id", f"'{text}' as text", "1 as copies").union(spark.createDataFrame([(1, "alone here", 2)], "doc_id long, text string, copies int"))
+    assert [tuple(r) for r in chunks.repeated_spans(docs).select("doc_id", "span_begin", "span_end").collect()] == [(None, 0, len(text))]
+
+
 def test_one_row_is_no_repeat(spark):
     assert chunks.repeated_spans(spark.createDataFrame([Row(doc_id=1, text="ab " * 500)])).count() == 0
