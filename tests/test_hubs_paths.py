@@ -100,3 +100,27 @@ def test_corridors_of_all_nations_of_the_region(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     got = sorted(tuple(r) for r in catalogue.cluster_corridor(spark, str(tmp_path)).collect())
     assert got == [(a + 5, b + 5, i, c) for a in range(nations) for b in range(a + 1, nations) for i, c in enumerate((a + 5, 1, b + 5))]
+
+
+def test_plans_of_hubs_and_searches(spark):
+    g = graph(spark, two_cliques(5))
+    plan = hubs.from_top_fraction(g, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "SinglePartition" not in plan
+    assert "Aggregate" not in paths.simple(g.adj)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hub_graph_accessors(spark):
+    g = graph(spark, path(5))
+    found = paths.HubGraph.build(g.adj, hubs.from_indices(g, [0, 2, 4]), 2)
+    assert (found.hub_count(), found.edge_count(), found.is_empty()) == (3, 4, False) and found.contains(2) and not found.contains(1)
+    assert [tuple(r) for r in found.neighbors(2).collect()] == [(0, 2, 0.5), (4, 2, 0.5)]
+    assert [r["idx"] for r in found.iter_hubs().collect()] == [0, 2, 4]
+    assert paths.HubGraph.build(g.adj, hubs.from_indices(g, [0, 4]), 3).edge_count() == 0
+
+
+def test_partition_and_region_accessors(spark):
+    p = partition(spark, [0, 0, 1, 1])
+    assert (community.community_of(p, 2), community.community_of(p, 9), community.community_count(p)) == (1, None, 2)
+    r = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "cluster int, region int")
+    assert (community.region_of_cluster(r, 2), community.region_of_cluster(r, 7), community.region_count(r)) == (1, None, 2)
+    assert {x["region"]: x["clusters"] for x in community.clusters_by_region(r).collect()} == {0: [0, 1], 1: [2]}

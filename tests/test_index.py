@@ -4,7 +4,8 @@ import pytest
 
 from graphstrata.cli import main
 from graphstrata.model import ClusterDrift, CorruptionError, DriftReport, DuplicateNodeError, HubKind, IndexConfig, NeverRebalance, UnsupportedFormatError
-from graphstrata.plans.index import Index, build
+from graphstrata.plans import index as plans
+from graphstrata.plans.index import Index, LabelledResult, SameCluster, Similar, build
 from graphstrata.sources import edgelist
 from graphstrata.sources.frames import pair_source
 from graphstrata.streaming.inserts import stream_inserts
@@ -127,3 +128,34 @@ def test_command_line(spark, tmp_path, capsys):
     for line in ("3 tables, 1 foreign keys, 0 routine pairs, 1 edges", "nodes: 3", "zz is not in the index", "c has no neighbours", "total: 0"):
         assert line in out
     assert ": 2 nodes, 1 hubs: a, b" in out or ": 2 nodes, 2 hubs: a, b" in out or ": 2 nodes, 0 hubs: a, b" in out
+
+
+def test_questions_by_kind_and_label(triangles):
+    index, _, _ = triangles
+    assert index.query(SameCluster("0000")) == index.query_same_cluster("0000") and index.query(Similar("0000", 2)) == index.query_similar("0000", 2)
+    assert index.query_by_label(SameCluster("node_0")).labels == ["node_0", "node_1", "node_2"]
+    assert index.query_by_label(Similar("node_0", 1)).labels == ["node_1"] and index.query_by_label(Similar("node_0", 1)).stats.clusters_visited == 1
+    assert index.query_by_label(SameCluster("nobody")) == LabelledResult.empty() == index.query_by_label(Similar("nobody", 3))
+
+
+def test_inserts_append_to_snapshots(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    build(pair_source(spark, *TWO_TRIANGLES), IndexConfig(hub_fraction=0.3), path=path)
+    before = Index.open(spark, path).meta["folders"]
+    Index.open(spark, path).insert_node("n0", ["0000"])
+    index = Index.open(spark, path)
+    assert index.meta["folders"]["assignments"][:1] == before["assignments"] and index.meta["folders"]["hub_edges"] == before["hub_edges"]
+    added = spark.read.parquet(f"{path}/{index.meta['folders']['assignments'][1]}")
+    assert [r["id"] for r in added.collect()] == ["n0"] and index.meta["config"]["hub_fraction"] == 0.3
+    monkeypatch.setattr(plans, "MOST_FOLDERS", 2)
+    index.insert_node("n1", ["n0"])
+    index = Index.open(spark, path)
+    assert len(index.meta["folders"]["assignments"]) == 1 and index.assignments.count() == 8
+    assert index.cluster_of("n0") == index.cluster_of("n1") == 0 and index.cluster_drift(0) == ClusterDrift(0, 2)
+    assert index.query_similar("0000", 9).ids[:4] == ["0001", "0002", "n0", "n1"]
+
+
+def test_similar_numbers_wanted_clusters_only(triangles):
+    index, _, _ = triangles
+    plan = index.similar(["0000"], 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan

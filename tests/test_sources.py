@@ -103,3 +103,26 @@ def test_schema(spark):
 def test_dumps(spark, text, tables, keys, pairs, edges):
     s = sqldump.from_text(spark, text)
     assert (s.table_count(), s.fk_count(), s.proc_pair_count(), s.edge_count()) == (tables, keys, pairs, edges)
+
+
+def test_dumps_are_read_as_their_writers_mean_them(spark):
+    text = """USE `my-db`;
+CREATE TABLE `a` (
+  `x` int REFERENCES `b` (`id`),
+  `y` varchar(9) DEFAULT ' #1', CONSTRAINT `c` FOREIGN KEY (`y`) REFERENCES `b` (`id`)
+) ENGINE=InnoDB;
+CREATE TABLE `b` (`id` int) ENGINE=InnoDB;
+  DELIMITER ;;
+CREATE PROCEDURE `p`()
+BEGIN
+USE other;
+SELECT * FROM b JOIN `a` ON 1;
+END ;;
+  DELIMITER ;
+CREATE TABLE `b` (`id` int);
+ALTER TABLE `b` ADD CONSTRAINT `k` FOREIGN KEY (`id`) REFERENCES `my-db`.`a` (`x`);
+"""
+    s = sqldump.from_text(spark, text)
+    assert s.tables_named() == ["my-db.a", "my-db.b", "other.b"]
+    assert sorted((r["a"], r["b"]) for r in s.foreign_keys().collect()) == [("my-db.a", "my-db.b"), ("other.b", "my-db.a")]
+    assert sorted(r["a"] for r in s.facts.filter("fact = 'mention'").collect()) == ["other.a", "other.b"]
