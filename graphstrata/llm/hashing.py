@@ -17,7 +17,7 @@ _BASE = np.uint64(0xD6E8FEB86659FD93)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LENGTH = np.uint64(0x9E3779B97F4A7C15)
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 PAD = 32
 
 _tables: list[np.ndarray] = []
@@ -25,7 +25,7 @@ _tables: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _tables or len(_tables[0]) < n:
-        size = max(n, BLOCK_BYTES * 2)
+        size = max(n, BLOCK_BYTES * 5 // 4)
         _tables[:] = []
         for base in (_BASE, _INVERSE):
             steps = np.full(size, base, np.uint64)
