@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphstrata.model import DanglingEdgeError
 from graphstrata.operators.indexing import dense_index
-from graphstrata.runtime import materialize
+from graphstrata.runtime import discard, materialize
 
 
 def with_seq(df: DataFrame) -> DataFrame:
@@ -48,15 +48,16 @@ class Graph:
         nodes = first_nodes(with_seq(nodes))
         if "label" not in nodes.columns:
             nodes = nodes.withColumn("label", F.lit(None).cast("string"))
-        numbered = materialize(dense_index(nodes.select("seq", "id", "label"), "seq", "id").drop("seq"))
-        missing = dangling(numbered, edges).take(1)
-        if missing:
-            raise DanglingEdgeError(missing[0]["id"])
+        numbered = dense_index(nodes.select("seq", "id", "label"), "seq", "id").drop("seq")
         index = numbered.select("idx", "id")
         src, dst = (index.withColumnsRenamed({"id": f"_{e}", "idx": f"{e}_idx"}) for e in ("s", "d"))
-        pairs = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), *(["w"] if "w" in edges.columns else [])).join(src, "_s").join(dst, "_d")
-        indexed = pairs.select(F.col("s_idx").alias("src"), F.col("d_idx").alias("dst"), *(["w"] if "w" in edges.columns else []))
-        return cls.from_adjacency(numbered, materialize(symmetric(indexed)))
+        pairs = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), *(["w"] if "w" in edges.columns else [])).join(src, "_s", "left").join(dst, "_d", "left")
+        indexed = materialize(pairs.select(F.col("s_idx").alias("src"), F.col("d_idx").alias("dst"), *(["w"] if "w" in edges.columns else [])))
+        if indexed.filter(F.col("src").isNull() | F.col("dst").isNull()).limit(1).count():
+            raise DanglingEdgeError(dangling(numbered, edges).first()["id"])
+        adj = materialize(symmetric(indexed))
+        discard(indexed)
+        return cls.from_adjacency(numbered, adj)
 
     @classmethod
     def from_adjacency(cls, numbered: DataFrame, adj: DataFrame) -> Graph:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
@@ -108,15 +109,27 @@ def _tables(graph: Graph, partition: DataFrame, hub_set: DataFrame, config: Inde
     flags = hub_set.select("idx").distinct().withColumn("hub", F.lit(True))
     placed = graph.vertices.select("idx", "id", "label").join(partition, "idx").join(flags, "idx", "left")
     placed = placed.select("id", "idx", F.col("community").cast("int").alias("cluster"), F.coalesce("hub", F.lit(False)).alias("is_hub"), "label")
-    assignments = materialize(placed.join(regions, "cluster").select("id", "idx", "cluster", "region", "is_hub", "label"))
-    clusters = assignments.groupBy("cluster").agg(F.min("region").alias("region"), F.count(F.lit(1)).alias("size"), F.sum(F.col("is_hub").cast("long")).alias("hub_count"))
-    clusters = clusters.withColumns({"generation": F.lit(0).cast("long"), "delta_inserts": F.lit(0).cast("long")})
-    near = community.cluster_adjacency(graph.adj, partition).select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), F.col("w").cast("float").alias("w"))
-    ids = graph.vertices.select("idx", "id")
-    met = paths.hub_graph(graph.adj, hub_set.select("idx").distinct(), config.k_hop)
-    hub_edges = met.join(ids.withColumnsRenamed({"idx": "src", "id": "src_id"}), "src").join(ids.withColumnsRenamed({"idx": "dst", "id": "dst_id"}), "dst")
-    hub_edges = hub_edges.select("src_id", "dst_id", F.col("dst").alias("dst_idx"), F.col("w").cast("float").alias("w"))
-    return {"assignments": assignments, "clusters": clusters, "cluster_edges": near, "hub_edges": hub_edges}
+
+    def of_nodes() -> tuple[DataFrame, DataFrame]:
+        assignments = materialize(placed.join(regions, "cluster").select("id", "idx", "cluster", "region", "is_hub", "label"))
+        clusters = assignments.groupBy("cluster").agg(F.min("region").alias("region"), F.count(F.lit(1)).alias("size"), F.sum(F.col("is_hub").cast("long")).alias("hub_count"))
+        return assignments, materialize(clusters.withColumns({"generation": F.lit(0).cast("long"), "delta_inserts": F.lit(0).cast("long")}))
+
+    def of_clusters() -> DataFrame:
+        near = community.cluster_adjacency(graph.adj, partition)
+        return materialize(near.select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), F.col("w").cast("float").alias("w")))
+
+    def of_hubs() -> DataFrame:
+        ids = graph.vertices.select("idx", "id")
+        met = paths.hub_graph(graph.adj, hub_set.select("idx").distinct(), config.k_hop)
+        named = met.join(ids.withColumnsRenamed({"idx": "src", "id": "src_id"}), "src").join(ids.withColumnsRenamed({"idx": "dst", "id": "dst_id"}), "dst")
+        return materialize(named.select("src_id", "dst_id", F.col("dst").alias("dst_idx"), F.col("w").cast("float").alias("w")))
+
+    # none waits for another: their jobs share the executors
+    with ThreadPoolExecutor(3) as pool:
+        nodes, near, hub_edges = (pool.submit(f) for f in (of_nodes, of_clusters, of_hubs))
+        assignments, clusters = nodes.result()
+        return {"assignments": assignments, "clusters": clusters, "cluster_edges": near.result(), "hub_edges": hub_edges.result()}
 
 
 @contextmanager
@@ -152,7 +165,7 @@ def build(
     with _phase(spark, seconds, "hubs"):
         hub_set = hubs.choose(graph, config)
     with _phase(spark, seconds, "tables"):
-        made = {name: materialize(df) for name, df in _tables(graph, found, hub_set, config, regions).items()}
+        made = _tables(graph, found, hub_set, config, regions)
     stats = BuildStats(made["assignments"].count(), made["clusters"].count(), regions.select("region").distinct().count(), hub_set.count(), seconds)
     if path is None:
         return Index(spark, made), stats
