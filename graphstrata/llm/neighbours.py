@@ -8,7 +8,7 @@ fitted to the vectors: for a bounded sample of queries, whose true neighbours ar
 up among all vectors, it is the choice that finds the wanted share of them and visits
 the fewest vectors.
 
-Buckets hold ids and a code of one byte for each component. In a bucket the codes are
+Buckets hold ids and a code of two bytes for each component. In a bucket the codes are
 compared; what may be among the nearest, as far as the codes can tell, is ranked by its
 exact cosine, for which alone the vectors themselves are joined.
 """
@@ -30,12 +30,12 @@ from graphstrata.llm.skew import join_counted
 from graphstrata.runtime import materialize
 
 #: Tables, width of a slot in units of a projection's deviation, most buckets visited of a table, and the share of neighbours to be found.
-TABLES, WIDTH, MOST_PROBES, RECALL = 6, 2.0, 400, 0.94
-#: Queries and vectors of the sample that the choice is fitted on, and the directions to choose from.
-SAMPLE_QUERIES, SAMPLE_VECTORS, DIRECTIONS = 64, 4096, tuple(range(3, 33))
+TABLES, WIDTH, MOST_PROBES, RECALL = 4, 2.0, 600, 0.95
+#: Queries and vectors of the sample that the choice is fitted on, those of them that give a query's first bound, and the directions to choose from.
+SAMPLE_QUERIES, SAMPLE_VECTORS, BOUND_VECTORS, DIRECTIONS = 64, 4096, 512, tuple(range(3, 33))
 _SEED = 20240229
 _HOT_BUCKET = 128
-_STEPS = 127
+_STEPS = 32767
 _MET = "query_id long, vec_id long, low double, high double"
 
 
@@ -102,9 +102,9 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def codes(unit: np.ndarray) -> list[bytes]:
-    """A float, the length of a step, then a signed byte of steps for each component."""
+    """A float, the length of a step, then two bytes of steps for each component."""
     step = np.abs(unit).max(axis=1).astype(np.float32) / np.float32(_STEPS)
-    steps = np.clip(np.rint(unit / step[:, None]), -_STEPS, _STEPS).astype(np.int8)
+    steps = np.clip(np.rint(unit / step[:, None]), -_STEPS, _STEPS).astype("<i2")
     return [s.tobytes() + row.tobytes() for s, row in zip(step, steps, strict=True)]
 
 
@@ -121,9 +121,9 @@ def _decoded(raw: list[bytes]) -> list[Coded]:
     out = []
     for n in np.unique(size):
         rows = np.flatnonzero(size == n)
-        m = np.frombuffer(b"".join([raw[i] for i in rows]), np.int8).reshape(len(rows), n)
-        step = np.ascontiguousarray(m[:, :4]).view(np.float32)
-        out.append(Coded(rows, m[:, 4:].astype(np.float32) * step, step[:, 0] * np.float32(math.sqrt(n - 4) / 2)))
+        m = np.frombuffer(b"".join([raw[i] for i in rows]), np.uint8).reshape(len(rows), n)
+        step, steps = np.ascontiguousarray(m[:, :4]).view("<f4"), np.ascontiguousarray(m[:, 4:]).view("<i2")
+        out.append(Coded(rows, steps.astype(np.float32) * step, step[:, 0] * np.float32(math.sqrt(steps.shape[1]) / 2)))
     return out
 
 
@@ -216,7 +216,7 @@ def _brute(queries: list[tuple[int, list[float]]], k: int):
 
 
 def choose(usable: DataFrame, queries: DataFrame, k: int) -> tuple[Choice, list[bytes], list[int]]:
-    """The choice fitted to the vectors, and codes and ids of the sampled vectors.
+    """The choice fitted to the vectors, and codes and ids of some sampled vectors.
 
     The sample is bounded: so many queries and vectors, drawn by a hash of their id. The
     neighbours of the sampled queries are looked up among all vectors.
@@ -234,6 +234,7 @@ def choose(usable: DataFrame, queries: DataFrame, k: int) -> tuple[Choice, list[
     if not asked or not same or not near:
         return Choice(TABLES, DIRECTIONS[0], WIDTH, MOST_PROBES), [], []
     choice, _, _ = fit(_unit(np.array([v for _, v in asked])), np.array([r["v"] for r in near]), np.array([place[r["query_id"]] for r in near]), _unit(np.array(same)), usable.count())
+    some = some[:BOUND_VECTORS]
     return choice, [codes(_unit(np.array([v])))[0] for _, v in some], [i for i, _ in some]
 
 
