@@ -43,7 +43,8 @@ _WORDS = frozenset(
     " aside cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended"
     " recommendations comment comments disqus reply replies respond pagination pager widget toolbar topbar masthead skip".split()
 )
-# Words that say nothing of their own in a compound ("related-posts", "site-footer"); with any other word it names something else ("related-work").
+# Of these, words that a compound may use of an article's own parts ("related-work"): they count only among words that say nothing of their own.
+_WEAK = frozenset("aside related recommended recommendations social share sharing skip login overlay widget reply replies respond".split())
 _PLAIN = frozenset(
     "site main page top bottom left right box block list area section container wrapper wrap inner outer link links post posts article articles story stories item items form button buttons"
     " bar col column row header title text unit slot sticky fixed primary secondary global panel group holder thread media icons the to us my and in on".split()
@@ -52,7 +53,7 @@ _PLAIN = frozenset(
 _LAYOUT = frozenset("has no not with without open closed free enabled disabled target story".split())
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: What densities inside a named subtree count; characters of a story that are told in spite of its name; density of an ancestor that belongs to the content.
-_DOUBT, _STORY, _WIDER = 0.25, 200, 1 / 3
+_DOUBT, _STORY, _WIDER = 0.1, 200, 1 / 3
 _HOLDS = frozenset("article main".split())
 _PARAGRAPH, _NO_PARAGRAPH = frozenset(["p"]), _BLOCK - {"p"}
 #: Elements whose start ends an open element of the same group below the given boundary.
@@ -98,7 +99,7 @@ def _named(tag: str, attributes: dict[str, str]) -> bool:
         return False
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         parts = {p.lower() for p in _PART.findall(name)}
-        if parts & _WORDS and parts <= _WORDS | _PLAIN and not parts & _LAYOUT:
+        if (parts & _WORDS - _WEAK or parts & _WEAK and parts <= _WORDS | _PLAIN) and not parts & _LAYOUT:
             return True
     return False
 

@@ -62,7 +62,7 @@ def test_names_alone_drop_no_story(hint, story):
     assert html.main_text(page).split("\n") == re.findall(r"<p>(.*?)</p>", STORY)
 
 
-@pytest.mark.parametrize("hint", ["class=comments", "id=share", "class='newsletter signup'", "class='site-sidebar'"])
+@pytest.mark.parametrize("hint", ["class=comments", "id=share", "class='newsletter signup'", "class='site-sidebar'", "class=reader-comments", "class='js-ad x2'", "id=cookieNotice", "class='related posts'"])
 def test_small_named_parts_of_an_article_are_dropped(hint):
     page = f"<article>{STORY}<div {hint}><p>Sign up here and <a href=x>share</a> with friends</p></div></article>"
     assert html.main_text(page).split("\n") == re.findall(r"<p>(.*?)</p>", STORY)
