@@ -105,7 +105,16 @@ class Similar:
     limit: int
 
 
-def _tables(graph: Graph, partition: DataFrame, hub_set: DataFrame, config: IndexConfig, regions: DataFrame) -> dict[str, DataFrame]:
+def _hubs(graph: Graph, config: IndexConfig) -> tuple[DataFrame, DataFrame]:
+    """The hubs, and the edges of their graph by id."""
+    hub_set = hubs.choose(graph, config)
+    ids = graph.vertices.select("idx", "id")
+    met = paths.hub_graph(graph.adj, hub_set.select("idx").distinct(), config.k_hop)
+    named = met.join(ids.withColumnsRenamed({"idx": "src", "id": "src_id"}), "src").join(ids.withColumnsRenamed({"idx": "dst", "id": "dst_id"}), "dst")
+    return hub_set, materialize(named.select("src_id", "dst_id", F.col("dst").alias("dst_idx"), F.col("w").cast("float").alias("w")))
+
+
+def _tables(graph: Graph, partition: DataFrame, hub_set: DataFrame, regions: DataFrame) -> dict[str, DataFrame]:
     flags = hub_set.select("idx").distinct().withColumn("hub", F.lit(True))
     placed = graph.vertices.select("idx", "id", "label").join(partition, "idx").join(flags, "idx", "left")
     placed = placed.select("id", "idx", F.col("community").cast("int").alias("cluster"), F.coalesce("hub", F.lit(False)).alias("is_hub"), "label")
@@ -119,17 +128,10 @@ def _tables(graph: Graph, partition: DataFrame, hub_set: DataFrame, config: Inde
         near = community.cluster_adjacency(graph.adj, partition)
         return materialize(near.select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), F.col("w").cast("float").alias("w")))
 
-    def of_hubs() -> DataFrame:
-        ids = graph.vertices.select("idx", "id")
-        met = paths.hub_graph(graph.adj, hub_set.select("idx").distinct(), config.k_hop)
-        named = met.join(ids.withColumnsRenamed({"idx": "src", "id": "src_id"}), "src").join(ids.withColumnsRenamed({"idx": "dst", "id": "dst_id"}), "dst")
-        return materialize(named.select("src_id", "dst_id", F.col("dst").alias("dst_idx"), F.col("w").cast("float").alias("w")))
-
-    # none waits for another: their jobs share the executors
-    with ThreadPoolExecutor(3) as pool:
-        nodes, near, hub_edges = (pool.submit(f) for f in (of_nodes, of_clusters, of_hubs))
+    with ThreadPoolExecutor(2) as pool:
+        nodes, near = pool.submit(of_nodes), pool.submit(of_clusters)
         assignments, clusters = nodes.result()
-        return {"assignments": assignments, "clusters": clusters, "cluster_edges": near.result(), "hub_edges": hub_edges.result()}
+        return {"assignments": assignments, "clusters": clusters, "cluster_edges": near.result()}
 
 
 @contextmanager
@@ -155,17 +157,19 @@ def build(
     spark, seconds = spark or nodes.sparkSession, {}
     with _phase(spark, seconds, "graph"):
         graph = Graph.from_frames(nodes, edges)
-    with _phase(spark, seconds, "clusters"):
-        if partition is None:
-            found = community.leiden(graph, config.seed)
-        else:
-            found = materialize(community.renumber(graph.vertices.select("idx", "id").join(partition, "id").select("idx", "community")))
-    with _phase(spark, seconds, "regions"):
-        regions = materialize(community.regions(graph.adj, found, config.seed))
-    with _phase(spark, seconds, "hubs"):
-        hub_set = hubs.choose(graph, config)
+    with ThreadPoolExecutor(1) as pool:
+        met = pool.submit(_hubs, graph, config)  # beside the communities: neither waits for the other
+        with _phase(spark, seconds, "clusters"):
+            if partition is None:
+                found = community.leiden(graph, config.seed)
+            else:
+                found = materialize(community.renumber(graph.vertices.select("idx", "id").join(partition, "id").select("idx", "community")))
+        with _phase(spark, seconds, "regions"):
+            regions = materialize(community.regions(graph.adj, found, config.seed))
+        with _phase(spark, seconds, "hubs"):
+            hub_set, hub_edges = met.result()
     with _phase(spark, seconds, "tables"):
-        made = _tables(graph, found, hub_set, config, regions)
+        made = {**_tables(graph, found, hub_set, regions), "hub_edges": hub_edges}
     stats = BuildStats(made["assignments"].count(), made["clusters"].count(), regions.select("region").distinct().count(), hub_set.count(), seconds)
     if path is None:
         return Index(spark, made), stats
@@ -181,10 +185,16 @@ def commit(spark: SparkSession, path: str, tables: dict[str, DataFrame], config:
     """
     folder, name = _Folder(spark, path), f"snapshots/{time.time_ns()}"
     folders = {table: list(old) for table, old in (kept or {}).items()}
-    for table, df in tables.items():
+
+    def write(table: str, df: DataFrame) -> None:
         if table == "assignments":  # clustered, so that a cluster's members are read from few files
             df = df.repartitionByRange("cluster").sortWithinPartitions("cluster", "id")
         df.write.parquet(f"{folder.path}/{name}/{table}")
+
+    with ThreadPoolExecutor(len(TABLES)) as pool:
+        for done in [pool.submit(write, *t) for t in tables.items()]:
+            done.result()
+    for table in tables:
         folders.setdefault(table, []).append(f"{name}/{table}")
     if not isinstance(config, dict):
         config = config or IndexConfig()
