@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NO_RANK = 1 << 60
 _SCAN_UP_TO = 96  # parts; above, a scan for each merge would be quadratic
-_CACHED_WORDS = 200_000  # then the cache starts anew: a bound on memory, not on words
+_CACHED_WORDS = 150_000  # of two generations each; words not asked for again go with the older: a bound on memory, not on words
 _CACHED_LENGTH = 64
 
 
@@ -67,6 +67,7 @@ class WordBPE:
         self.ascii_words = re.compile(split.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"), re.ASCII).findall
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "replace")
@@ -115,10 +116,10 @@ class WordBPE:
         return [t for t in ids if t >= 0]
 
     def _word(self, word: str) -> bytes:
-        out = np.array(self.merge(word), "<u4").tobytes()
+        out = self.cache.get(word) or self.older.get(word) or np.array(self.merge(word), "<u4").tobytes()
         if len(word) <= _CACHED_LENGTH:
             if len(self.cache) >= _CACHED_WORDS:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[word] = out
         return out
 
