@@ -163,7 +163,6 @@ def synchronous_moving(adj: DataFrame, initial: DataFrame, seed: int, inner: Dat
 # ---------------------------------------------------------------- one task
 
 
-_ONE = "src long, dst long, w double, community long"
 
 
 def _kernel(seed: int, refined: bool, whole: bool):
