@@ -163,8 +163,6 @@ def synchronous_moving(adj: DataFrame, initial: DataFrame, seed: int, inner: Dat
 # ---------------------------------------------------------------- one task
 
 
-
-
 def _kernel(seed: int, refined: bool, whole: bool):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         src, dst = table.column("src").to_numpy(), table.column("dst").to_numpy()
