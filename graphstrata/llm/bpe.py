@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NO_RANK = 1 << 60
 _SCAN_UP_TO = 96  # parts; above, a scan for each merge would be quadratic
-_CACHED_WORDS = 150_000  # of two generations each; words not asked for again go with the older: a bound on memory, not on words
+_CACHED_WORDS = 60_000  # of two generations each; words not asked for again go with the older: a bound on memory, not on words
 _CACHED_LENGTH = 64
 
 
