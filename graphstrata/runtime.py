@@ -31,17 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
+def materialize(df: DataFrame, *partition_by: str, large_rows: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The result has no lineage but its files, so a lost executor costs a re-read
-    and no plan above it is computed twice.
+    and no plan above it is computed twice. ``large_rows``: rows of megabytes, of which
+    a writer holds one row group's bytes and not a hundred rows, and a reader few.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     for paths in _recording:
         paths.append(path)
     writer = df.write.mode("error").option("compression", "zstd").option("parquet.block.size", _ROW_GROUP)
+    if large_rows:
+        writer = writer.option("parquet.block.size", _ROW_GROUP // 2).option("parquet.page.size.row.check.min", 1)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
