@@ -15,8 +15,11 @@ _HOMES = {
     "op8_pii": "pii",
     "op9_neighbours": "neighbours",
     "op10_lines": "lines",
+    "op11_classifier": "classifier",
+    "op12_merkle": "merkle",
+    "op13_search": "search",
 }
-_WITH_SQL = {"op3_host_rules": "quality", "op5_near_duplicates": "jaccard", "op10_lines": "lines"}
+_WITH_SQL = {"op3_host_rules": "quality", "op5_near_duplicates": "jaccard", "op10_lines": "lines", "op12_merkle": "merkle", "op13_search": "search"}
 
 
 def queries() -> dict:
