@@ -50,6 +50,14 @@ class DuplicateNodeError(GraphIndexError):
     pass
 
 
+class DuplicateEdgeError(GraphIndexError):
+    pass
+
+
+class ConflictError(GraphIndexError):
+    """Another writer's snapshot came first."""
+
+
 def new_id() -> str:
     """A time-ordered UUID of version 7, in canonical text."""
     raw = bytearray((time.time_ns() // 1_000_000).to_bytes(6, "big") + os.urandom(10))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -17,60 +16,27 @@ from graphstrata.model import (
     FORMAT_VERSION,
     BuildStats,
     ClusterDrift,
-    CorruptionError,
     DriftReport,
     DuplicateNodeError,
     HubKind,
     IndexConfig,
     MaintenancePolicy,
     MaintenanceReport,
-    UnsupportedFormatError,
 )
 from graphstrata.operators import community, hubs, paths
 from graphstrata.operators.graph import Graph
 from graphstrata.operators.indexing import dense_index
+from graphstrata.operators.joins import join_lookup, small
+from graphstrata.operators.placement import place
+from graphstrata.plans.store import Store
 from graphstrata.runtime import materialize
 from graphstrata.sources.frames import GraphSource
 
 TABLES = ("assignments", "clusters", "cluster_edges", "hub_edges")
-#: Rows of an insert batch that are folded in order on the driver at a time.
-ORDERED_INSERTS = 100_000
 #: Folders of assignments that inserts may leave before they are written as one.
 MOST_FOLDERS = 32
 
 
-class _Folder:
-    """A folder on any file system that Spark reaches."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.jvm, self.path = spark.sparkContext._jvm, path.rstrip("/")
-        self.fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _at(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def exists(self, name: str) -> bool:
-        return self.fs.exists(self._at(name))
-
-    def read(self, name: str) -> str:
-        stream = self.fs.open(self._at(name))
-        try:
-            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-        finally:
-            stream.close()
-
-    def write(self, name: str, text: str) -> None:
-        """Whole or not at all: written beside, then renamed over."""
-        beside = self._at(f".{name.replace('/', '_')}.{time.time_ns()}")
-        stream = self.fs.create(beside, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        options = self.jvm.org.apache.hadoop.fs.Options.Rename
-        chosen = self.jvm.java.lang.reflect.Array.newInstance(options.OVERWRITE.getClass(), 1)
-        chosen[0] = options.OVERWRITE
-        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri()).rename(self.fs.makeQualified(beside), self.fs.makeQualified(self._at(name)), chosen)
-
-
 @dataclass(frozen=True)
 class QueryStats:
     clusters_visited: int
@@ -177,30 +143,22 @@ def build(
         return commit(spark, path, made, config), stats
 
 
-def commit(spark: SparkSession, path: str, tables: dict[str, DataFrame], config: IndexConfig | dict | None = None, kept: dict[str, list[str]] | None = None) -> Index:
-    """Write a snapshot, then point CURRENT at it: readers see the old one or the new one whole.
+_ANY = object()
+
+
+def commit(spark: SparkSession, path: str, tables: dict[str, DataFrame], config: IndexConfig | dict | None = None, kept: dict[str, list[str]] | None = None, parent: object = _ANY) -> Index:
+    """Write a snapshot: readers see the old one or the new one whole.
 
     A snapshot names the folders that each table is read from: those just written, after
-    the ones ``kept`` from snapshots before, which no commit changes.
+    the ones ``kept`` from snapshots before. ``parent`` is the snapshot that the tables
+    were made from, and must still be the newest; without it the new one replaces whatever is there.
     """
-    folder, name = _Folder(spark, path), f"snapshots/{time.time_ns()}"
-    folders = {table: list(old) for table, old in (kept or {}).items()}
-
-    def write(table: str, df: DataFrame) -> None:
-        if table == "assignments":  # clustered, so that a cluster's members are read from few files
-            df = df.repartitionByRange("cluster").sortWithinPartitions("cluster", "id")
-        df.write.parquet(f"{folder.path}/{name}/{table}")
-
-    with ThreadPoolExecutor(len(TABLES)) as pool:
-        for done in [pool.submit(write, *t) for t in tables.items()]:
-            done.result()
-    for table in tables:
-        folders.setdefault(table, []).append(f"{name}/{table}")
+    store = Store(spark, path)
     if not isinstance(config, dict):
         config = config or IndexConfig()
         config = {"hub_fraction": config.hub_fraction, "hubs": config.hubs.value, "samples": config.samples, "k_hop": config.k_hop}
-    folder.write(f"{name}/_meta.json", json.dumps({"format_version": FORMAT_VERSION, "config": config, "folders": folders}))
-    folder.write("CURRENT", name)
+    # a cluster's members are read from few files
+    store.commit(tables, store.head() if parent is _ANY else parent, {"config": config}, kept, {"assignments": ("cluster", ["cluster", "id"])})
     return Index.open(spark, path)
 
 
@@ -214,19 +172,13 @@ class Index:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
-        folder = _Folder(spark, path)
-        if not folder.exists("CURRENT"):
+        store = Store(spark, path)
+        name = store.head()
+        if name is None:
             return cls.empty(spark, path)
-        name = folder.read("CURRENT").strip()
-        try:
-            meta = json.loads(folder.read(f"{name}/_meta.json"))
-            version = meta["format_version"]
-        except Exception as e:
-            raise CorruptionError(f"the snapshot {name!r} has no readable _meta.json") from e
-        if version != FORMAT_VERSION:
-            raise UnsupportedFormatError(f"format {version}; this version reads {FORMAT_VERSION}")
-        folders = meta.get("folders") or {t: [f"{name}/{t}"] for t in TABLES}
-        return cls(spark, {t: spark.read.parquet(*(f"{folder.path}/{f}" for f in folders[t])) for t in TABLES}, path, {**meta, "folders": folders})
+        meta = store.meta(name)
+        meta["folders"] = meta.get("folders") or {t: [f"{name}/{t}"] for t in TABLES}
+        return cls(spark, {t: store.table(meta, t) for t in TABLES}, path, meta)
 
     @classmethod
     def empty(cls, spark: SparkSession, path: str | None = None) -> Index:
@@ -298,9 +250,13 @@ class Index:
 
     def same_cluster(self, seeds: DataFrame | Iterable[str]) -> DataFrame:
         """(seed, rank, id): all members of each seed's cluster, itself included; unknown seeds have no rows."""
-        placed = self._seeds(seeds).join(self.assignments.select(F.col("id").alias("seed"), "cluster"), "seed")
-        members = placed.join(self.assignments.select("id", "cluster"), "cluster")
-        return members.select("seed", F.row_number().over(Window.partitionBy("seed").orderBy("id")).alias("rank"), "id")
+        placed = materialize(self._seeds(seeds).join(self.assignments.select(F.col("id").alias("seed"), "cluster"), "seed"))
+        wanted = self.assignments.select("id", "cluster").join(small(placed.select("cluster").distinct()), "cluster", "left_semi")
+        # members are numbered once for all of a cluster's seeds, by ranges, so that a cluster of a third of all nodes is spread
+        numbered = dense_index(wanted, "cluster", "id", name="place")
+        first = numbered.groupBy("cluster").agg(F.min("place").alias("first"))
+        ranked = join_lookup(numbered, first, "cluster", "place", "inner").select("cluster", (F.col("place") - F.col("first") + 1).cast("int").alias("rank"), "id")
+        return ranked.join(placed, "cluster").select("seed", "rank", "id")
 
     def _plan(self, seeds: DataFrame | Iterable[str], limit: int) -> tuple[DataFrame, DataFrame]:
         """Hops (seed, hop, cluster, fresh, own) by which clusters come in, own cluster at hop 0, and the seeds' own figures."""
@@ -413,9 +369,9 @@ class Index:
 
         A node goes to the cluster that most of its known seeds are in (a seed named twice
         votes twice; the lowest id wins ties), or else to a new one. In order of ``seq``,
-        later rows may name earlier ones as seeds; this order is kept by a fold over blocks
-        of ORDERED_INSERTS rows, one after another. With ``order_insensitive`` all rows are
-        placed at once, and don't see one another. Batches may have any size.
+        later rows may name earlier ones as seeds, and are placed after them, in waves.
+        With ``order_insensitive`` all rows are placed at once, and don't see one another.
+        Batches may have any size.
         """
         new = materialize(new if "seq" in new.columns else new.withColumn("seq", F.monotonically_increasing_id()))
         again = new.join(self.assignments.select("id"), "id", "left_semi").select("id").unionByName(new.groupBy("id").count().filter("count > 1").select("id")).take(1)
@@ -429,35 +385,9 @@ class Index:
             fresh = alone.select("id", (F.lit(self.next_cluster_id()) + F.col("n")).cast("int").alias("cluster"))
             chosen = placed.filter(F.col("cluster").isNotNull()).select("id", "cluster").unionByName(fresh)
         else:
-            chosen = self._folded(new)
+            chosen = place(new, self.assignments.select("id", "cluster"), self.next_cluster_id()).select("id", "cluster")
         return self._with_rows(materialize(chosen.join(new.select("id", "seq"), "id")))
 
-    def _folded(self, new: DataFrame) -> DataFrame:
-        """(id, cluster) in the order of seq: a block at a time, over the index and the blocks before it."""
-        numbered = materialize(dense_index(new.select("id", "seeds", "seq"), "seq", "id", name="n"))
-        rows, fresh = numbered.count(), self.next_cluster_id()
-        placed = self.spark.createDataFrame([], "id string, cluster int")
-        for first in range(0, rows, ORDERED_INSERTS):
-            block = numbered.filter((F.col("n") >= first) & (F.col("n") < first + ORDERED_INSERTS))
-            there = self.assignments.select("id", "cluster").unionByName(placed).withColumnRenamed("id", "seed")
-            known = {r["seed"]: r["cluster"] for r in block.select(F.explode("seeds").alias("seed")).distinct().join(there, "seed").collect()}
-            out = []
-            for r in block.orderBy("n").select("id", "seeds").collect():
-                tally: dict[int, int] = {}
-                for s in r["seeds"] or []:
-                    c = known.get(s)
-                    if c is not None:
-                        tally[c] = tally.get(c, 0) + 1
-                if tally:
-                    cluster = min(tally, key=lambda c: (-tally[c], c))
-                else:
-                    cluster, fresh = fresh, fresh + 1
-                known[r["id"]] = cluster
-                out.append((r["id"], cluster))
-            done = self.spark.createDataFrame(out, "id string, cluster int")
-            placed = placed.unionByName(done if rows <= ORDERED_INSERTS else materialize(done))
-        return placed
-
     def _with_rows(self, chosen: DataFrame) -> tuple[Index, DataFrame]:
         top = self.assignments.agg(F.coalesce(F.max("idx"), F.lit(-1))).first()[0]
         numbered = dense_index(chosen.select("id", "cluster", "seq"), "seq", "id", name="n")
@@ -478,8 +408,8 @@ class Index:
             return Index(self.spark, {**self.tables, "assignments": every, "clusters": clusters})
         folders = self.meta.get("folders")
         if folders is None or len(folders["assignments"]) >= MOST_FOLDERS:
-            return commit(self.spark, self.path, {**self.tables, "assignments": every, "clusters": clusters}, self.meta.get("config"))
-        return commit(self.spark, self.path, {"assignments": rows, "clusters": clusters}, self.meta.get("config"), {t: f for t, f in folders.items() if t != "clusters"})
+            return commit(self.spark, self.path, {**self.tables, "assignments": every, "clusters": clusters}, self.meta.get("config"), parent=self.meta.get("name"))
+        return commit(self.spark, self.path, {"assignments": rows, "clusters": clusters}, self.meta.get("config"), {t: f for t, f in folders.items() if t != "clusters"}, self.meta.get("name"))
 
     def insert_node(self, node_id: str, seeds: list[str]) -> tuple[Index, int]:
         row = self.spark.createDataFrame([(node_id, list(seeds), 0)], "id string, seeds array<string>, seq long")

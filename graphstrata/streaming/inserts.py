@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from graphstrata.plans.index import Index
+from graphstrata.runtime import materialize
 
 
 def stream_inserts(spark: SparkSession, index_path: str, arrivals: DataFrame, checkpoint: str, order_insensitive: bool = False, available_now: bool = True) -> StreamingQuery:
     """Insert a stream of (id, seeds[, seq]) into the index at a path, a snapshot for each micro-batch.
 
-    A batch that is run again after a failure finds its nodes in place and leaves them out.
+    Without ``seq``, rows are numbered as they come before anything shuffles them. Of rows
+    that share an id the first stays. A batch that is run again after a failure finds its
+    nodes in place and leaves them out.
     """
 
     def one(batch: DataFrame, number: int) -> None:
         index = Index.open(spark, index_path)
-        fresh = batch.dropDuplicates(["id"]).join(index.assignments.select("id"), "id", "left_anti")
+        numbered = materialize(batch.select("id", "seeds", F.col("seq") if "seq" in batch.columns else F.monotonically_increasing_id().alias("seq")))
+        first = numbered.groupBy("id").agg(F.min_by("seeds", "seq").alias("seeds"), F.min("seq").alias("seq"))
+        fresh = materialize(first.join(index.assignments.select("id"), "id", "left_anti"))
         if fresh.limit(1).count():
             index.insert(fresh, order_insensitive)
 

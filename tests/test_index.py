@@ -74,8 +74,7 @@ def test_snapshots(spark, tmp_path):
         Index.open(spark, path)
 
 
-def test_ordered_inserts_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr("graphstrata.plans.index.ORDERED_INSERTS", 3)
+def test_ordered_inserts_see_what_came_before(spark):
     index, _ = build(pair_source(spark, *TWO_TRIANGLES))
     where = {r["id"]: r["cluster"] for r in index.assignments.collect()}
     rows = [("a", ["0000"], 0), ("b", ["c"], 1), ("c", ["none"], 2), ("d", ["c", "b", "c"], 3), ("e", ["0005", "a"], 4), ("f", None, 5), ("g", ["f", "d", "e"], 6), ("h", ["i"], 7), ("i", ["h", "a", "h"], 8), ("j", ["i", "g"], 9)]
