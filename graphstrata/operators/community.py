@@ -190,10 +190,10 @@ def _fits(nodes: DataFrame, adj: DataFrame) -> bool:
     return nodes.limit(KERNEL_NODES + 1).count() <= KERNEL_NODES and adj.limit(KERNEL_ROWS + 1).count() <= KERNEL_ROWS
 
 
-def _cluster(graph: Graph, seed: int, refined: bool, use_kernel: bool) -> DataFrame:
-    """Labels for the graph's nodes: rounds level by level while these are large, then one task for what is left."""
-    adj, initial, spent = graph.adj, singletons(graph.vertices), []
-    place = materialize(graph.vertices.select(F.col("idx").alias("node"), F.col("idx")))
+def cluster_from(adj: DataFrame, initial: DataFrame, seed: int = 42, refined: bool = True, use_kernel: bool = True) -> DataFrame:
+    """Labels for the nodes of ``initial`` (idx, community), from these communities on: rounds level by level while levels are large, then one task for what is left."""
+    spent: list[DataFrame] = []
+    place = materialize(initial.select(F.col("idx").alias("node"), F.col("idx")))
     for level in range(_LEVELS):
         if use_kernel and _fits(initial, adj):
             found = _in_one_task(initial, adj, seed + 2 * level, refined, False)
@@ -234,11 +234,11 @@ def leiden(graph: Graph, seed: int = 42, use_kernel: bool = True) -> DataFrame:
     """Communities of high modularity; each is made connected at the end."""
     if use_kernel and _fits(graph.vertices, graph.adj):
         return _in_one_task(singletons(graph.vertices), graph.adj, seed, True, True).select("idx", F.col("community").cast("int").alias("community"))
-    return _connected(graph, _cluster(graph, seed, True, use_kernel))
+    return _connected(graph, cluster_from(graph.adj, singletons(graph.vertices), seed, True, use_kernel))
 
 
 def louvain(graph: Graph, seed: int = 42, use_kernel: bool = True) -> DataFrame:
-    return materialize(renumber(_cluster(graph, seed, False, use_kernel)))
+    return materialize(renumber(cluster_from(graph.adj, singletons(graph.vertices), seed, False, use_kernel)))
 
 
 def regions(graph_adj: DataFrame, partition: DataFrame, seed: int = 42, use_kernel: bool = True) -> DataFrame:
@@ -283,5 +283,5 @@ def majority(votes: DataFrame, by: str, cluster: str) -> DataFrame:
 
 
 __all__ = [
-    "best_moves", "buckets", "cluster_adjacency", "clusters_by_region", "coarsen", "community_count", "community_of", "leiden", "louvain", "majority", "modularity", "modularity_row", "region_count", "region_of_cluster", "regions", "renumber", "singletons", "synchronous_moving",
+    "best_moves", "buckets", "cluster_adjacency", "cluster_from", "clusters_by_region", "coarsen", "community_count", "community_of", "leiden", "louvain", "majority", "modularity", "modularity_row", "region_count", "region_of_cluster", "regions", "renumber", "singletons", "synchronous_moving",
 ]
