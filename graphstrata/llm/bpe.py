@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphstrata.llm.batches import bounded_batches
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NO_RANK = 1 << 60
 _SCAN_UP_TO = 96  # parts; above, a scan for each merge would be quadratic
@@ -216,8 +218,9 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and the digests of the ids and of the text decoded from them, one row for each row of ``docs``.
 
     A null text counts as empty; a null doc_id stays null; an empty table gives an empty
-    result. No shuffle: every row is handled where it is read.
+    result. No shuffle: every row is handled where it is read. A very long text is a batch of its own.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_digests(path), SCHEMA)
 
 

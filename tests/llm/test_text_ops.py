@@ -535,3 +535,66 @@ def test_a_repeated_row_repeats_its_text(spark):
 
 def test_one_row_is_no_repeat(spark):
     assert chunks.repeated_spans(spark.createDataFrame([Row(doc_id=1, text="ab " * 500)])).count() == 0
+
+
+def held_by_another(docs, rows):
+    """Every reported span is the text of one other document, word for word."""
+    for r in rows:
+        part = docs[r["doc_id"]][r["span_begin"] : r["span_end"]]
+        assert len(part) >= chunks.LEAST_SPAN and any(part in t for i, t in docs.items() if i != r["doc_id"])
+
+
+def test_overlapping_stretches_of_many_documents_are_no_passage(spark):
+    rng = np.random.default_rng(21)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9))) for _ in range(4000)]
+    base = [words[i] for i in rng.permutation(4000)[:400]]
+    docs = {0: " ".join(base)}
+    for k in range(78):
+        other = [words[i] for i in rng.integers(0, 4000, 60)]
+        docs[1 + k] = " ".join(other[:30] + base[5 * k : 5 * k + 15] + other[30:])
+    rows = chunks.repeated_spans(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    held_by_another(docs, rows)
+    assert all(r["span_end"] - r["span_begin"] <= max(len(" ".join(base[i : i + 15])) for i in range(386)) + 2 for r in rows)
+
+
+def test_passages_against_plain_search(spark, monkeypatch):
+    """Chained, nested and repeated passages: what is told is held by one other document, and what several hold is told up to the ends."""
+    rng = np.random.default_rng(22)
+    words = ["".join(rng.choice(list("abcdefghijklmnopé"), rng.integers(2, 8))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    shared = [text(int(n)) for n in rng.integers(40, 160, 12)]
+    docs, has = {}, {}
+    for i in range(60):
+        own = [int(x) for x in rng.permutation(12)[: int(rng.integers(0, 4))]]
+        docs[i] = " ".join([text(int(rng.integers(5, 60))), *(f"{shared[p]} {text(int(rng.integers(0, 20)))}" for p in own)])
+        has[i] = own
+    docs[60] = shared[0] + " " + shared[1]  # next to one another here only
+    has[60] = [0, 1]
+    found = {}
+    rows = chunks.repeated_spans(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(7)).collect()
+    held_by_another(docs, rows)
+    for r in rows:
+        found.setdefault(r["doc_id"], []).append((r["span_begin"], r["span_end"]))
+    assert set(found) == {i for i, own in has.items() if own}
+    met = whole = 0
+    for i, own in has.items():
+        for p in own:
+            if sum(p in x for x in has.values()) > 1:
+                at = docs[i].index(shared[p])
+                covered = set().union(*(range(a, b) for a, b in found[i])) & set(range(at, at + len(shared[p])))
+                met, whole = met + len(covered), whole + len(shared[p])
+                assert len(covered) >= len(shared[p]) - 200  # a chunk at the end may be long
+    assert met > 0.8 * whole
+    spans = sorted((i, *s) for i, x in found.items() for s in x)
+    assert not any(a[0] == b[0] and a != b and a[1] <= b[1] and b[2] <= a[2] for a in spans for b in spans)
+
+
+def test_passages_of_no_and_of_very_long_documents(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, copies string, h1 string")
+    assert chunks.repeated_spans(empty).collect() == []
+    rng = np.random.default_rng(23)
+    long = " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(150_000))
+    docs = {1: long, 2: "x" * 50 + long[400_000:700_000], 3: "nothing of it"}
+    rows = chunks.repeated_spans(spark.createDataFrame([(i, t, "mine", "mine") for i, t in docs.items()], "doc_id long, text string, copies string, h1 string")).collect()
+    held_by_another(docs, rows)
+    assert {r["doc_id"] for r in rows} == {1, 2} and all(r["span_end"] - r["span_begin"] > 299_000 for r in rows)
