@@ -22,11 +22,13 @@ def bfs(adj: DataFrame, sources: DataFrame, max_depth: int | None = None, target
     All sources advance in one job for each depth. With ``targets`` (source, target), a
     source stops once its targets are reached. With ``last_into`` (idx), the last hop of
     ``max_depth`` goes into these nodes only. Only the frontier is joined to the
-    neighbours; each depth is written to the shared folder before the next.
+    neighbours; each depth is written to the shared folder before the next. As adjacency
+    is symmetric, a neighbour lies no farther back than the depth before, and only the last
+    two depths are looked at to tell what is new.
     """
     near = simple(adj)
     reached = materialize(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("dist")).distinct())
-    frontier, depth = reached, 0
+    frontier, before, depth = reached, reached.limit(0), 0
     while max_depth is None or depth < max_depth:
         depth += 1
         if targets is not None:
@@ -35,13 +37,69 @@ def bfs(adj: DataFrame, sources: DataFrame, max_depth: int | None = None, target
         if depth == max_depth and last_into is not None:
             near = near.join(last_into.select(F.col("idx").alias("dst")), "dst", "left_semi")
         stepped = frontier.join(near, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
-        frontier = materialize(stepped.join(reached, ["source", "node"], "left_anti").withColumn("dist", F.lit(depth)))
+        last = frontier.select("source", "node").unionByName(before.select("source", "node"))
+        frontier, before = materialize(stepped.join(last, ["source", "node"], "left_anti").withColumn("dist", F.lit(depth))), frontier
         if not frontier.limit(1).count():
             break
         reached = reached.unionByName(frontier)
     return reached
 
 
+def _nothing_open(df: DataFrame) -> bool:
+    return not df.limit(1).count()
+
+
+def connect(adj: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, step, node): a shortest path for each row of ``pairs`` (src, dst), both ends included.
+
+    Pairs without a path, or with an end that is not among ``nodes`` (idx), have no rows.
+    Searches start at both ends and meet: in each round every pair goes on at the side
+    whose frontier is the smaller. The first round in which sides meet gives a shortest
+    path; it leads over the smallest node that they meet in, and from there both ways over
+    the smallest nodes that reached each one.
+    """
+    near = simple(adj)
+    known = pairs.select("src", "dst").distinct().join(nodes.withColumnRenamed("idx", "src"), "src", "left_semi").join(nodes.withColumnRenamed("idx", "dst"), "dst", "left_semi")
+    asked = materialize(known.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    starts = asked.select("a", "b", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("node")), F.struct(F.lit(1).alias("side"), F.col("b").alias("node")))).alias("s"))
+    frontier = materialize(starts.select("a", "b", "s.side", "s.node", F.lit(None).cast("long").alias("pred"), F.lit(0).alias("depth")))
+    reached, met = frontier, materialize(asked.filter("a = b").select("a", "b", F.col("a").alias("node")))
+    open_ = materialize(asked.filter("a != b"))
+    while not _nothing_open(open_):
+        sizes = frontier.join(open_, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.sum((F.col("side") == 0).cast("long")).alias("n"), F.sum((F.col("side") == 1).cast("long")).alias("m"))
+        # a side without a frontier has seen all it can: no path
+        turns = sizes.filter((F.col("n") > 0) & (F.col("m") > 0)).select("a", "b", F.when(F.col("n") <= F.col("m"), 0).otherwise(1).alias("side"))
+        turns = materialize(turns)
+        moving = frontier.join(turns, ["a", "b", "side"], "left_semi")
+        offers = moving.join(near, F.col("node") == F.col("src")).groupBy("a", "b", "side", F.col("dst").alias("node")).agg(F.min("src").alias("pred"), (F.min("depth") + 1).alias("depth"))
+        fresh = materialize(offers.join(reached.select("a", "b", "side", "node"), ["a", "b", "side", "node"], "left_anti").select("a", "b", "side", "node", "pred", "depth"))
+        other = reached.select("a", "b", (1 - F.col("side")).alias("side"), "node")
+        now = materialize(fresh.join(other, ["a", "b", "side", "node"], "left_semi").groupBy("a", "b").agg(F.min("node").alias("node")))
+        met = met.unionByName(now)
+        waiting = frontier.join(turns.select("a", "b", (1 - F.col("side")).alias("side")), ["a", "b", "side"], "left_semi")
+        open_ = materialize(turns.select("a", "b").join(now, ["a", "b"], "left_anti"))
+        reached = reached.unionByName(fresh)
+        frontier = materialize(waiting.unionByName(fresh).join(open_, ["a", "b"], "left_semi"))
+    return _paths(met, reached)
+
+
+def _paths(met: DataFrame, reached: DataFrame) -> DataFrame:
+    """Rows of paths from where sides met, back to both ends: side 0's depths count from the start, side 1's to the end."""
+    held = materialize(reached.join(met.select("a", "b"), ["a", "b"], "left_semi"))
+    at = met.join(held, ["a", "b", "node"]).select("a", "b", "side", "node", "pred", "depth")
+    at = materialize(at)
+    length = at.groupBy("a", "b").agg(F.sum("depth").alias("length"))
+    rows = at
+    while True:
+        back = at.filter("pred IS NOT NULL").select("a", "b", "side", F.col("pred").alias("node"))
+        at = materialize(back.join(held, ["a", "b", "side", "node"]).select("a", "b", "side", "node", "pred", "depth"))
+        if _nothing_open(at):
+            break
+        rows = rows.unionByName(at)
+    step = F.when(F.col("side") == 0, F.col("depth")).otherwise(F.col("length") - F.col("depth")).cast("int")
+    return rows.join(length, ["a", "b"]).select(F.col("a").alias("src"), F.col("b").alias("dst"), step.alias("step"), "node").distinct()
+
+
 def distances(adj: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst, dist) for each row of ``pairs``; null where unreachable, or an end is not among ``nodes`` (idx)."""
     known = pairs.join(nodes.withColumnRenamed("idx", "src"), "src", "left_semi").join(nodes.withColumnRenamed("idx", "dst"), "dst", "left_semi")

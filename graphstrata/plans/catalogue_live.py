@@ -1,13 +1,16 @@
-"""Queries on graphs that change, each with its SQL."""
+"""Queries on graphs that change, and of patterns and paths in graphs, each with its SQL."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphstrata.operators import paths, patterns
+from graphstrata.operators.graph import Graph
+from graphstrata.operators.patterns import Hop
 from graphstrata.plans.live import LiveGraph, Threshold
 from graphstrata.runtime import materialize, shared_dir
 from graphstrata.sources import tables
@@ -196,3 +199,76 @@ def cluster_heirs(spark, d):
     asked = live.intervals().select("cluster", F.col("valid_from").alias("since"), F.coalesce(F.col("valid_to") - 1, F.lit(39)).alias("until"))
     every = asked.select("cluster", F.explode(F.expr("filter(array(10L, 20L, 30L), t -> t >= since AND t <= until)")).alias("at"))
     return live.resolve(every).select("cluster", F.col("at").alias("moment"), "now", F.round("share", 9).alias("share"))
+
+
+# ---------------------------------------------------------------- patterns and paths
+
+
+_LOCAL = """SELECT DISTINCT c_custkey AS customer, s_suppkey AS supplier, c_nationkey AS nation
+FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey"""
+
+
+def _trade(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of customers, suppliers and nations: who bought of whom, and who is where."""
+    customer, orders, line, supplier, nation = (tables.table(spark, d, t) for t in ("customer", "orders", "lineitem", "supplier", "nation"))
+    named = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    nodes = customer.select(named("customer", "c_custkey").alias("id"), F.lit("customer").alias("kind"))
+    nodes = nodes.union(supplier.select(named("supplier", "s_suppkey"), F.lit("supplier"))).union(nation.select(named("nation", "n_nationkey"), F.lit("nation")))
+    bought = orders.join(line, F.col("o_orderkey") == F.col("l_orderkey")).select(named("customer", "o_custkey").alias("src"), named("supplier", "l_suppkey").alias("dst"), F.lit("bought").alias("kind"))
+    return nodes, bought.union(customer.select(named("customer", "c_custkey"), named("nation", "c_nationkey"), F.lit("in"))).union(supplier.select(named("supplier", "s_suppkey"), named("nation", "s_nationkey"), F.lit("in")))
+
+
+def _numbers(found: DataFrame) -> DataFrame:
+    return found.select(*(F.substring_index(c, ":", -1).cast(kind).alias(c) for c, kind in (("customer", "long"), ("supplier", "long"), ("nation", "int"))))
+
+
+@query(_LOCAL)
+def pattern_local_supply(spark, d):
+    """Customers, suppliers that supplied them, and the nation of both: a triangle of three kinds of edges."""
+    pattern = [Hop("customer", "supplier", "bought"), Hop("customer", "nation", "in"), Hop("supplier", "nation", "in")]
+    return _numbers(patterns.match(*_trade(spark, d), pattern, {"customer": "customer", "supplier": "supplier", "nation": "nation"}))
+
+
+@query(_LOCAL)
+def pattern_triangles(spark, d):
+    """The same of the graph without kinds: all of its triangles."""
+    nodes, edges = _trade(spark, d)
+    g = Graph.from_frames(nodes, edges.distinct())
+    ids = g.vertices.select("idx", "id")
+    found = patterns.triangles(g.adj).select(F.monotonically_increasing_id().alias("t"), F.explode(F.array("a", "b", "c")).alias("idx"))
+    named = materialize(found).join(ids, "idx").groupBy("t")
+    return _numbers(named.agg(*(F.max(F.when(F.col("id").startswith(f"{kind}:"), F.col("id"))).alias(kind) for kind in ("customer", "supplier", "nation"))))
+
+
+def _by_part(spark: SparkSession, d: str) -> Graph:
+    source = tables.supplier_parts(spark, d)
+    return Graph.from_frames(source.nodes(), source.edges())
+
+
+@query("""WITH e AS (SELECT DISTINCT 'part:' || l_partkey AS p, 'supplier:' || l_suppkey AS s FROM lineitem),
+pairs AS (SELECT x.s AS a, y.s AS b, count(*) AS k FROM e x JOIN e y USING (p) WHERE x.s < y.s GROUP BY 1, 2)
+SELECT CAST(coalesce(sum(k * (k - 1) // 2), 0) AS BIGINT) AS squares, CAST(0 AS BIGINT) AS triangles FROM pairs""")
+def pattern_squares(spark, d):
+    """Two parts and two suppliers that supply both: how many, and no triangles, as parts meet suppliers only."""
+    g = _by_part(spark, d)
+    n = patterns.squares_by_corner(g.adj).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("squares"))
+    return n.withColumn("triangles", F.lit(patterns.triangles(g.adj).count()).cast("long"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY c_custkey) AS i FROM customer JOIN nation ON n_nationkey = c_nationkey),
+p AS (SELECT x.k AS a, y.k AS b, x.n AS m, y.n AS n, x.r AS r FROM c x JOIN c y ON x.r = y.r AND y.i = x.i + 1)
+SELECT a, b, CAST(step AS INT) AS step, id FROM (
+  SELECT a, b, 0 AS step, 'customer:' || a AS id FROM p UNION ALL SELECT a, b, 1, 'nation:' || m FROM p UNION ALL SELECT a, b, 2, 'region:' || r FROM p WHERE m <> n
+  UNION ALL SELECT a, b, 3, 'nation:' || n FROM p WHERE m <> n UNION ALL SELECT a, b, CASE WHEN m = n THEN 2 ELSE 4 END, 'customer:' || b FROM p)""")
+def connect_customers(spark, d):
+    """The path between each customer and the next of its region, searched from both ends."""
+    source = tables.fk_tree(spark, d)
+    g = Graph.from_frames(source.nodes(), source.edges())
+    c = tables.table(spark, d, "customer").join(tables.table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "n_regionkey")
+    further = Window.partitionBy("n_regionkey").orderBy("c_custkey")
+    pairs = c.withColumn("b", F.lead("c_custkey").over(further)).filter("b IS NOT NULL").select(F.col("c_custkey").alias("a"), "b")
+    names = g.vertices.select("idx", "id")
+    customers = names.filter(F.col("id").startswith("customer:")).select("idx", F.substring_index("id", ":", -1).cast("long").alias("k"))
+    asked = materialize(pairs.join(customers.withColumnsRenamed({"idx": "src", "k": "a"}), "a").join(customers.withColumnsRenamed({"idx": "dst", "k": "b"}), "b"))
+    found = paths.connect(g.adj, asked.select("src", "dst"), names.select("idx"))
+    return found.join(asked, ["src", "dst"]).join(names, found["node"] == names["idx"]).select("a", "b", "step", "id")
