@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphstrata.operators.community import cluster_adjacency
 from graphstrata.operators.indexing import dense_index
 from graphstrata.runtime import materialize
 
@@ -45,6 +46,25 @@ def bfs(adj: DataFrame, sources: DataFrame, max_depth: int | None = None, target
     return reached
 
 
+def route(adj: DataFrame, partition: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, dst, parts, member_count, global_dist, routed_dist) for pairs (src, dst): a search on two levels.
+
+    ``partition``: (idx, community). First the path of communities from that of src to that
+    of dst is looked for in the graph of communities, all pairs of them at once; then the
+    way from node to node, inside of these communities only. routed_dist is null where that
+    finds none, and global_dist is what a search of everything finds. Pairs that nothing
+    joins have no rows.
+    """
+    upper = materialize(cluster_adjacency(adj, partition))
+    part = partition.select("idx", F.col("community").cast("long").alias("c"))
+    asked = materialize(pairs.select("src", "dst").distinct().join(part.withColumnsRenamed({"idx": "src", "c": "p"}), "src").join(part.withColumnsRenamed({"idx": "dst", "c": "q"}), "dst"))
+    ways = connect(upper, asked.select(F.col("p").alias("src"), F.col("q").alias("dst")), part.select(F.col("c").alias("idx")).distinct())
+    whole = ways.groupBy(F.col("src").alias("p"), F.col("dst").alias("q")).agg(F.array_sort(F.collect_list(F.struct("step", "node"))).alias("w"))
+    planned = asked.join(whole, ["p", "q"]).select("src", "dst", F.col("w.node").alias("clusters"))
+    found = evaluate_corridors(adj, partition.select("idx", F.col("community").cast("long").alias("community")), planned)
+    return found.withColumnsRenamed({"clusters": "parts", "corridor_dist": "routed_dist"})
+
+
 def _nothing_open(df: DataFrame) -> bool:
     return not df.limit(1).count()
 

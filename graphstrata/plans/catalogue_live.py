@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphstrata.operators import paths, patterns
 from graphstrata.operators.graph import Graph
 from graphstrata.operators.patterns import Hop
+from graphstrata.plans.index import Index
 from graphstrata.plans.live import LiveGraph, Threshold
 from graphstrata.runtime import materialize, shared_dir
 from graphstrata.sources import tables
@@ -235,8 +236,8 @@ def pattern_triangles(spark, d):
     nodes, edges = _trade(spark, d)
     g = Graph.from_frames(nodes, edges.distinct())
     ids = g.vertices.select("idx", "id")
-    found = patterns.triangles(g.adj).select(F.monotonically_increasing_id().alias("t"), F.explode(F.array("a", "b", "c")).alias("idx"))
-    named = materialize(found).join(ids, "idx").groupBy("t")
+    found = materialize(patterns.triangles(g.adj).withColumn("t", F.monotonically_increasing_id()))
+    named = found.select("t", F.explode(F.array("a", "b", "c")).alias("idx")).join(ids, "idx").groupBy("t")
     return _numbers(named.agg(*(F.max(F.when(F.col("id").startswith(f"{kind}:"), F.col("id"))).alias(kind) for kind in ("customer", "supplier", "nation"))))
 
 
@@ -264,11 +265,68 @@ def connect_customers(spark, d):
     """The path between each customer and the next of its region, searched from both ends."""
     source = tables.fk_tree(spark, d)
     g = Graph.from_frames(source.nodes(), source.edges())
+    names, asked = g.vertices.select("idx", "id"), _next_customers(spark, d, g)
+    found = paths.connect(g.adj, asked.select("src", "dst"), names.select("idx"))
+    return found.join(asked, ["src", "dst"]).join(names, found["node"] == names["idx"]).select("a", "b", "step", "id")
+
+
+def _next_customers(spark: SparkSession, d: str, g: Graph) -> DataFrame:
+    """(a, b, src, dst): each customer and the next of its region, by number and by idx."""
     c = tables.table(spark, d, "customer").join(tables.table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "n_regionkey")
     further = Window.partitionBy("n_regionkey").orderBy("c_custkey")
     pairs = c.withColumn("b", F.lead("c_custkey").over(further)).filter("b IS NOT NULL").select(F.col("c_custkey").alias("a"), "b")
     names = g.vertices.select("idx", "id")
     customers = names.filter(F.col("id").startswith("customer:")).select("idx", F.substring_index("id", ":", -1).cast("long").alias("k"))
-    asked = materialize(pairs.join(customers.withColumnsRenamed({"idx": "src", "k": "a"}), "a").join(customers.withColumnsRenamed({"idx": "dst", "k": "b"}), "b"))
-    found = paths.connect(g.adj, asked.select("src", "dst"), names.select("idx"))
-    return found.join(asked, ["src", "dst"]).join(names, found["node"] == names["idx"]).select("a", "b", "step", "id")
+    return materialize(pairs.join(customers.withColumnsRenamed({"idx": "src", "k": "a"}), "a").join(customers.withColumnsRenamed({"idx": "dst", "k": "b"}), "b"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY c_custkey) AS i FROM customer JOIN nation ON n_nationkey = c_nationkey),
+size AS (SELECT n_nationkey AS n, 1 + (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS m FROM nation)
+SELECT x.k AS a, y.k AS b, CAST(CASE WHEN x.n = y.n THEN 1 ELSE 3 END AS INT) AS parts, CAST(CASE WHEN x.n = y.n THEN s.m ELSE s.m + t.m + 1 END AS BIGINT) AS members, CAST(CASE WHEN x.n = y.n THEN 2 ELSE 4 END AS INT) AS dist, true AS exact
+FROM c x JOIN c y ON x.r = y.r AND y.i = x.i + 1 JOIN size s ON s.n = x.n JOIN size t ON t.n = y.n""")
+def route_customers(spark, d):
+    """Customers by way of their nations and region: nodes of three communities at most are searched."""
+    source = tables.fk_tree(spark, d)
+    g = Graph.from_frames(source.nodes(), source.edges())
+    asked = _next_customers(spark, d, g)
+    place = F.split("id", ":")
+    c, s = (tables.table(spark, d, t) for t in ("customer", "supplier"))
+    nations = c.select(F.concat(F.lit("customer:"), "c_custkey").alias("id"), F.col("c_nationkey").alias("n")).union(s.select(F.concat(F.lit("supplier:"), "s_suppkey"), "s_nationkey"))
+    own = F.when(F.col("id").startswith("region:"), 1000 + place[1].cast("long")).when(F.col("id").startswith("nation:"), place[1].cast("long")).otherwise(F.col("n"))
+    part = materialize(g.vertices.select("idx", "id").join(nations, "id", "left").select("idx", own.cast("long").alias("community")))
+    found = paths.route(g.adj, part, asked.select("src", "dst")).join(asked, ["src", "dst"])
+    return found.select("a", "b", F.size("parts").alias("parts"), F.col("member_count").alias("members"), F.col("routed_dist").alias("dist"), F.col("routed_dist").eqNullSafe(F.col("global_dist")).alias("exact"))
+
+
+#: A graph of hubs, regions and nations, that each walk from itself on.
+_WALK = """
+hubs AS (SELECT 'region:' || r_regionkey AS id FROM region UNION ALL SELECT 'nation:' || n_nationkey FROM nation),
+near AS (SELECT 'nation:' || n_nationkey AS hub, 'region:' || n_regionkey AS further, 1 AS hops FROM nation UNION ALL SELECT 'region:' || n_regionkey, 'nation:' || n_nationkey, 1 FROM nation),
+q0 AS (SELECT id AS seed, id AS hub, 0 AS cost FROM hubs)"""
+
+
+def _walk_sql(steps: int, queue: int) -> str:
+    out, seen = _WALK, []
+    for k in range(steps + 1):
+        out += f", p{k} AS (SELECT seed, hub, cost, {k} AS step FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY cost, hub) AS r FROM q{k}) WHERE r = 1)"
+        seen.append(f"SELECT seed, hub FROM p{k}")
+        visited = " UNION ALL ".join(seen)
+        out += f""", q{k + 1} AS (SELECT seed, hub, cost FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY cost, hub) AS r FROM (
+  SELECT seed, hub, min(cost) AS cost FROM (SELECT * FROM q{k} UNION ALL SELECT seed, further, cost + hops FROM p{k} JOIN near USING (hub)) WHERE (seed, hub) NOT IN ({visited}) GROUP BY 1, 2)) WHERE r <= {queue})"""
+    ends = " UNION ALL ".join(f"SELECT seed, step, hub, cost FROM p{k}" for k in range(steps + 1))
+    return f"WITH {out} SELECT seed, CAST(step AS INT) AS step, hub, CAST(cost AS BIGINT) AS cost FROM ({ends})"
+
+
+@query(_walk_sql(4, 6))
+def greedy_walk(spark, d):
+    """From each region and nation over four more hubs, six waiting at most: to the second hop and beyond."""
+    source = tables.fk_tree(spark, d)
+    g = Graph.from_frames(source.nodes(), source.edges())
+    names = g.vertices.select("idx", "id")
+    hub_set = materialize(names.filter(F.col("id").startswith("region:") | F.col("id").startswith("nation:")))
+    met = paths.hub_graph(g.adj, hub_set.select("idx"), 1)
+    edges = met.join(names.withColumnsRenamed({"idx": "src", "id": "src_id"}), "src").join(names.withColumnsRenamed({"idx": "dst", "id": "dst_id"}), "dst")
+    assignments = names.join(hub_set.select("idx", F.lit(True).alias("h")), "idx", "left").select("id", "idx", F.lit(0).alias("cluster"), F.lit(0).alias("region"), F.coalesce("h", F.lit(False)).alias("is_hub"), F.lit(None).cast("string").alias("label"))
+    clusters = assignments.groupBy("cluster", "region").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("is_hub").cast("long")).alias("hub_count")).withColumns({"generation": F.lit(0).cast("long"), "delta_inserts": F.lit(0).cast("long")})
+    index = Index(spark, {"assignments": materialize(assignments), "clusters": clusters, "cluster_edges": spark.createDataFrame([], "src int, dst int, w float"), "hub_edges": materialize(edges.select("src_id", "dst_id", F.col("dst").alias("dst_idx"), F.col("w").cast("float").alias("w")))})
+    return index.walk(hub_set.select(F.col("id").alias("seed")), 4, 6)

@@ -306,6 +306,51 @@ class Index:
         both = own.select("seed").join(sums, "seed", "left").fillna(0, ["h", "c", "d"])
         return both.select("seed", (F.lit(1) + F.col("c")).alias("clusters_visited"), F.col("h").alias("hubs_visited"), (F.lit(1) + F.col("d")).alias("distinct_clusters"))
 
+    def walk(self, seeds: DataFrame | Iterable[str], steps: int, queue: int = 32) -> DataFrame:
+        """(seed, step, hub, cost): the hubs that each seed's search visits, nearest first, step 0 being its entry.
+
+        All seeds walk at once. In a step each visits the hub of its queue that is nearest to
+        the entry along edges of the hub graph, an edge being as long as its hops, the lower
+        id first, and puts that one's neighbours into the queue, of which the ``queue``
+        nearest stay. No hub is visited twice; a seed whose queue is empty has come to the
+        end. Seeds without an entry hub have no rows.
+        """
+        own, _ = self._plan(seeds, 1)
+        near = self.hub_edges.select(F.col("src_id").alias("hub"), F.col("dst_id").alias("further"), F.round(1.0 / F.col("w")).cast("long").alias("hops"))
+        waiting = materialize(own.filter("entry IS NOT NULL").select("seed", F.col("entry").alias("hub"), F.lit(0).cast("long").alias("cost")))
+        order = Window.partitionBy("seed").orderBy("cost", "hub")
+        visited: list[DataFrame] = []
+        for step in range(steps + 1):
+            ranked = waiting.withColumn("place", F.row_number().over(order))
+            now = materialize(ranked.filter("place = 1").select("seed", "hub", "cost", F.lit(step).alias("step")))
+            visited.append(now)
+            if step == steps or not now.limit(1).count():
+                break
+            seen = visited[0]
+            for more in visited[1:]:
+                seen = seen.unionByName(more)
+            offers = now.join(near, "hub").select("seed", F.col("further").alias("hub"), (F.col("cost") + F.col("hops")).alias("cost"))
+            kept = ranked.filter("place > 1").select("seed", "hub", "cost").unionByName(offers).groupBy("seed", "hub").agg(F.min("cost").alias("cost"))
+            kept = kept.join(seen.select("seed", "hub"), ["seed", "hub"], "left_anti").withColumn("place", F.row_number().over(order))
+            waiting = materialize(kept.filter(F.col("place") <= queue).select("seed", "hub", "cost"))
+        out = visited[0]
+        for more in visited[1:]:
+            out = out.unionByName(more)
+        return out.select("seed", "step", "hub", "cost")
+
+    def similar_by_walk(self, seeds: DataFrame | Iterable[str], limit: int, steps: int, queue: int = 32) -> DataFrame:
+        """(seed, rank, id) as ``similar``, over the hubs of a walk in place of the entry's neighbours alone."""
+        own, _ = self._plan(seeds, limit)
+        where = self.assignments.select(F.col("id").alias("hub"), "cluster")
+        met = self.walk(seeds, steps, queue).join(where, "hub").select("seed", "cluster", (F.col("step") + 1).alias("hop"))
+        every = own.select("seed", F.col("own").alias("cluster"), F.lit(0).alias("hop")).unionByName(met).groupBy("seed", "cluster").agg(F.min("hop").alias("hop"))
+        wanted = materialize(every)
+        some = Window.partitionBy("cluster").orderBy("id")
+        members = self.assignments.select("id", "cluster").join(small(wanted.select("cluster").distinct()), "cluster", "left_semi")
+        members = members.withColumn("n", F.row_number().over(some)).filter(F.col("n") <= limit + 1).select("id", "cluster")
+        rank = F.row_number().over(Window.partitionBy("seed").orderBy("hop", "id"))
+        return wanted.join(members, "cluster").filter(F.col("id") != F.col("seed")).withColumn("rank", rank).filter(F.col("rank") <= limit).select("seed", "rank", "id")
+
     def _named(self, found: DataFrame, seeds: DataFrame) -> DataFrame:
         names = self.assignments.select("id", "label")
         return found.join(names, "id", "left").join(seeds, "seed").select(F.col("seed_label").alias("seed"), "rank", F.coalesce("label", "id").alias("label"))

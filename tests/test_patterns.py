@@ -5,8 +5,12 @@ from itertools import combinations, permutations, product
 
 import pytest
 
+from graphstrata.model import HubKind, IndexConfig
 from graphstrata.operators import paths, patterns
 from graphstrata.operators.patterns import Hop
+from graphstrata.plans.index import build
+from graphstrata.sources.frames import pair_source
+from tests.shapes import blocks, graph, partition, path
 
 
 def some_graph(n, m, seed):
@@ -101,3 +105,29 @@ def test_connecting_paths_are_shortest(spark):
     assert {p: len(x) - 1 for p, x in found.items()} == {p: d for p, d in want.items() if d is not None}
     for (a, b), way in found.items():
         assert way[0] == a and way[-1] == b and all(y in near[x] for x, y in zip(way, way[1:], strict=False))
+
+
+def test_routes_are_nearly_always_shortest(spark):
+    n, pairs = blocks(119, 7, 0.4, 0.06, 11)
+    pairs = [(a, b) for a, b in pairs if (a - b) % 7 in (0, 1, 6)]  # blocks in a ring
+    g = graph(spark, (n, pairs))
+    pick = random.Random(3)
+    asked = {(pick.randrange(n), pick.randrange(n)) for _ in range(60)}
+    rows = paths.route(g.adj, partition(spark, [i % 7 for i in range(n)]), spark.createDataFrame(sorted(asked), "src long, dst long")).collect()
+    assert {(r["src"], r["dst"]) for r in rows} == asked
+    assert all(r["parts"][0] == r["src"] % 7 and r["parts"][-1] == r["dst"] % 7 and (r["routed_dist"] is None or r["routed_dist"] >= r["global_dist"]) for r in rows)
+    assert sum(r["routed_dist"] == r["global_dist"] for r in rows) >= 0.9 * len(rows)
+
+
+def test_a_walk_goes_beyond_the_entry_s_neighbours(spark):
+    """A path of nodes in fours, each node a hub that sees one hop: one hop from the entry is the next cluster, a walk goes on."""
+    names = [f"{i:04d}" for i in range(20)]
+    where = spark.createDataFrame([(x, i // 4) for i, x in enumerate(names)], "id string, community int")
+    index, _ = build(pair_source(spark, *path(20)), IndexConfig(hub_fraction=1.0, hubs=HubKind.DEGREE, k_hop=1), where)
+    walked = [(r["step"], r["hub"], r["cost"]) for r in index.walk(["0003"], 5).orderBy("step").collect()]
+    assert walked == [(0, "0003", 0), (1, "0002", 1), (2, "0004", 1), (3, "0001", 2), (4, "0005", 2), (5, "0000", 3)]
+    assert [r["hub"] for r in index.walk(["0000"], 30, queue=1).orderBy("step").collect()] == names
+    near = {r["id"] for r in index.similar(["0003"], 50).collect()}
+    far = [r["id"] for r in index.similar_by_walk(["0003"], 50, 19).orderBy("rank").collect()]
+    assert near == set(names[:8]) - {"0003"} and far == names[:3] + names[4:]
+    assert index.walk(["none"], 3).count() == 0
