@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -43,22 +44,22 @@ _WORDS = frozenset(
     " aside cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended"
     " recommendations comment comments disqus reply replies respond pagination pager widget toolbar topbar masthead skip".split()
 )
-# Of these, words that a compound may use of an article's own parts ("related-work"): they count only among words that say nothing of their own.
-_WEAK = frozenset("aside related recommended recommendations social share sharing skip login overlay widget reply replies respond".split())
+# Words that say nothing of their own. A compound with any other word names that, and no boilerplate ("related-work", "notice-board", "menu-of-the-day").
 _PLAIN = frozenset(
     "site main page top bottom left right box block list area section container wrapper wrap inner outer link links post posts article articles story stories item items form button buttons"
-    " bar col column row header title text unit slot sticky fixed primary secondary global panel group holder thread media icons the to us my and in on".split()
+    " bar col column row header title text unit slot sticky fixed primary secondary global panel group holder thread media icons the to us my and in on reader readers user users visitor visitors guest guests blog news web mail email js".split()
 )
 # Words that make a compound name a page's layout or state ("has-sidebar", "comments-open"), not a part of it.
 _LAYOUT = frozenset("has no not with without open closed free enabled disabled target story".split())
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: What densities inside a named subtree count; characters of a story that are told in spite of its name; density of an ancestor that belongs to the content.
 _DOUBT, _STORY, _WIDER = 0.1, 200, 1 / 3
-_HOLDS = frozenset("article main".split())
-_PARAGRAPH, _NO_PARAGRAPH = frozenset(["p"]), _BLOCK - {"p"}
+_HOLDS = ("article", "main")
+#: Dropped elements that are words of their sentence inside of a paragraph.
+_IN_LINE = frozenset("button label".split())
 #: Elements whose start ends an open element of the same group below the given boundary.
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
-_CLOSES = {k: (frozenset(names.split()), frozenset(edge)) for k, (names, edge) in _CLOSES.items()}
+_CLOSES = {k: (tuple(names.split()), edge) for k, (names, edge) in _CLOSES.items()}
 
 
 class Node:
@@ -99,23 +100,68 @@ def _named(tag: str, attributes: dict[str, str]) -> bool:
         return False
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         parts = {p.lower() for p in _PART.findall(name)}
-        if (parts & _WORDS - _WEAK or parts & _WEAK and parts <= _WORDS | _PLAIN) and not parts & _LAYOUT:
+        if parts & _WORDS and not parts & _LAYOUT and all(p in _WORDS or p in _PLAIN or len(p) <= 2 for p in parts):
             return True
     return False
 
 
+class _Open:
+    """The open elements, and how deep those of each name and the innermost blocks are: what a tag ends is found without climbing."""
+
+    def __init__(self, root: Node):
+        self.path, self.by_name, self.blocks, self.solid = [root], {}, [], []
+
+    @property
+    def now(self) -> Node:
+        return self.path[-1]
+
+    def push(self, node: Node) -> None:
+        depth = len(self.path)
+        self.path.append(node)
+        self.by_name.setdefault(node.tag, []).append(depth)
+        if node.tag in _BLOCK:
+            self.blocks.append(depth)
+            if node.tag != "p":
+                self.solid.append(depth)
+
+    def cut(self, depth: int) -> None:
+        """End all elements from this depth on."""
+        while len(self.path) > depth:
+            tag = self.path.pop().tag
+            self.by_name[tag].pop()
+            if tag in _BLOCK:
+                self.blocks.pop()
+                if tag != "p":
+                    self.solid.pop()
+
+    def innermost(self, tag: str) -> int:
+        """The depth of the innermost open element of this name, 0 if there is none. An inline end tag doesn't reach out of its block."""
+        depth = (self.by_name.get(tag) or (0,))[-1]
+        return 0 if depth and tag not in _BLOCK and self.blocks and self.blocks[-1] > depth else depth
+
+    def end(self, names: tuple[str, ...], edge: int) -> None:
+        """End the outermost element of these names that is deeper than ``edge``."""
+        found = [held[i] for held in map(self.by_name.get, names) if held and (i := bisect_right(held, edge)) < len(held)]
+        if found:
+            self.cut(min(found))
+
+    def deepest(self, names: tuple[str, ...]) -> int:
+        return max((held[-1] for held in map(self.by_name.get, names) if held), default=0)
+
+
 def parse(html: str) -> Node:
     """The body as a tree without boilerplate; items are strings and elements in page order."""
-    root = now = Node("body", None)
+    root = Node("body", None)
+    stack = _Open(root)
     skip: str | None = None  # inside a dropped element of this name, so deep
-    depth = articles = 0
+    depth = 0
     at = 0
     find = _TOKEN.search
     while True:
         m = find(html, at)
         text = html[at : m.start() if m else len(html)]
         if text and skip is None:
-            now.items.append(unescape(text) if "&" in text else text)
+            stack.now.items.append(unescape(text) if "&" in text else text)
         if m is None:
             return root
         at = m.end()
@@ -137,56 +183,32 @@ def parse(html: str) -> Node:
                 skip = None
             continue
         if ends:
-            if tag == "br" or tag == "p" and not _open(now, "p"):
-                now.items.append(Node("br", now))
+            if tag == "br" or tag == "p" and not stack.innermost("p"):
+                stack.now.items.append(Node("br", stack.now))
             elif tag not in ("body", "html"):
-                node = _open(now, tag)
-                if node is not None:
-                    while now is not node:
-                        articles -= now.tag in _HOLDS
-                        now = now.parent
-                    articles -= now.tag in _HOLDS
-                    now = now.parent
+                found = stack.innermost(tag)
+                if found:
+                    stack.cut(found)
             continue
         if tag in ("html", "body"):
             continue
         if tag in _BLOCK and tag != "br":
-            now = _close(now, _PARAGRAPH, _NO_PARAGRAPH)
+            stack.end(("p",), stack.solid[-1] if stack.solid else 0)
         if tag in _CLOSES:
-            now = _close(now, *_CLOSES[tag])
+            names, edge = _CLOSES[tag]
+            stack.end(names, stack.deepest(edge))
         attributes = _attributes(m[3])
-        if _boilerplate(tag, attributes, articles > 0):
+        in_line = tag in _IN_LINE and stack.blocks and stack.path[stack.blocks[-1]].tag == "p"  # words of a sentence
+        if not in_line and _boilerplate(tag, attributes, stack.deepest(_HOLDS) > 0):
             if tag not in _VOID and not m[3].endswith("/"):
                 skip, depth = tag, 1
-            now.items.append(Node("br", now))
+            stack.now.items.append(Node("br", stack.now))
             continue
-        node = Node(tag, now)
-        node.named = _named(tag, attributes)
-        now.items.append(node)
+        node = Node(tag, stack.now)
+        node.named = not in_line and _named(tag, attributes)
+        stack.now.items.append(node)
         if tag not in _VOID and not m[3].endswith("/"):
-            articles += tag in _HOLDS
-            now = node
-
-
-def _open(now: Node, tag: str) -> Node | None:
-    """The innermost open element of this name. An inline end tag doesn't reach out of its block."""
-    while now.parent is not None:
-        if now.tag == tag:
-            return now
-        if tag not in _BLOCK and now.tag in _BLOCK:
-            return None
-        now = now.parent
-    return None
-
-
-def _close(now: Node, names: frozenset[str], edge: frozenset[str]) -> Node:
-    """Where a new element goes, when open ones of these names end at its start."""
-    node = now
-    while node.parent is not None and node.tag not in edge:
-        if node.tag in names:
-            now = node.parent
-        node = node.parent
-    return now
+            stack.push(node)
 
 
 def _elements(root: Node) -> list[Node]:

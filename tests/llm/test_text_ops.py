@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -598,3 +599,32 @@ def test_passages_of_no_and_of_very_long_documents(spark):
     rows = chunks.repeated_spans(spark.createDataFrame([(i, t, "mine", "mine") for i, t in docs.items()], "doc_id long, text string, copies string, h1 string")).collect()
     held_by_another(docs, rows)
     assert {r["doc_id"] for r in rows} == {1, 2} and all(r["span_end"] - r["span_begin"] > 299_000 for r in rows)
+
+
+@pytest.mark.parametrize("name", ["related-work", "notice-board", "comment-on-law", "menu-of-the-day", "promotion-history"])
+@pytest.mark.parametrize("frame", ["<p class={0}>{1}</p>", "<div class={0}><p>{1}</p></div>"])
+def test_compounds_that_name_something_else_drop_nothing(name, frame):
+    more = "This paragraph belongs to the story and has words enough to be told with all the others."
+    assert more in html.main_text(f"<body><div>{STORY}{frame.format(name, more)}</div></body>").split("\n")
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "sidebar", "cookie-notice", "td-footer-bar", "related-posts", "advert-box"])
+def test_names_of_boilerplate_still_drop_it(name):
+    other = "".join(f"<p>Words of somebody else, number {i}, which are no part of it at all.</p>" for i in range(3))
+    assert "somebody" not in html.main_text(f"<body><div>{STORY}<div class={name}>{other}</div></div></body>")
+
+
+def test_buttons_and_labels_of_a_sentence_stay():
+    page = f"<article>{STORY}<p>Press <button>Enter</button> or <label>this</label> now.</p><button>Buy</button><label>Name</label></article>"
+    assert html.main_text(page).split("\n")[-1] == "Press Enter or this now."
+
+
+@pytest.mark.parametrize("shape", ["<span>{0}</b>{1}", "<i>{0}<p>a{1}", "<li>a{0}<li>b{1}", "<div>{0}</i>{1}", "<ul><li>{0}<td>x{1}"])
+def test_open_elements_are_never_climbed(shape):
+    first, second = re.fullmatch(r"(.*)\{0\}(.*)\{1\}", shape).groups()
+    took = []
+    for n in (5_000, 40_000):
+        began = time.perf_counter()
+        html.main_text(first * n + second * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0] + 0.5
