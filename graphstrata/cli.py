@@ -45,8 +45,8 @@ def _info(spark: SparkSession, args: argparse.Namespace) -> list[str]:
 
 def _clusters(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     index = Index.open(spark, args.index)
-    chosen = index.clusters.filter(F.col("size") >= args.min_size).orderBy("cluster").limit(args.limit)
-    named = index.assignments.groupBy("cluster").agg(F.array_sort(F.collect_list(F.coalesce("label", "id"))).alias("names"))
+    chosen = F.broadcast(index.clusters.filter(F.col("size") >= args.min_size).orderBy("cluster").limit(args.limit))  # what is shown
+    named = index.assignments.join(chosen.select("cluster"), "cluster", "left_semi").groupBy("cluster").agg(F.array_sort(F.collect_list(F.coalesce("label", "id"))).alias("names"))
     rows = chosen.join(named, "cluster").orderBy("cluster").collect()
     return [f"{r['cluster']}: {r['size']} nodes, {r['hub_count']} hubs: {', '.join(r['names'])}" for r in rows]
 
