@@ -681,10 +681,10 @@ def gml_edges(spark, d):
     nation = F.col("c_nationkey") + 1_000_000_000
     nodes = c.select(F.col("c_custkey").cast("long").alias("k")).union(c.select(nation.cast("long")).distinct()).select(F.concat(F.lit("  node [ id "), F.col("k").cast("string"), F.lit(" label \"x\" ]")).alias("line"), F.lit(0).alias("kind"))
     edges = c.select(F.concat(F.lit("  edge [ source "), F.col("c_custkey").cast("string"), F.lit(" target "), nation.cast("string"), F.lit(" ]")).alias("line"), F.lit(1).alias("kind"))
-    # a GML document is one text: nodes come before the edges that name them
-    body = nodes.union(edges).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    path = _text(body.select(F.concat(F.lit("# customers\ngraph [\n  directed 0\n"), "body", F.lit("\n]"))))
-    return gml.from_path(spark, path).edges().select("src", "dst")
+    # one long document: sorted pieces go through one writer a line at a time, and are read in blocks
+    ends = spark.createDataFrame([("# customers\ngraph [\n  directed 0", -1), ("]", 2)], "line string, kind int")
+    path = _text(nodes.union(edges).union(ends).orderBy("kind", "line").select("line").coalesce(1))
+    return gml.from_path(spark, path, block_bytes=256 << 10).edges().select("src", "dst")
 
 
 @query("SELECT DISTINCT CAST(least(l_partkey, l_suppkey) AS VARCHAR) AS src, CAST(greatest(l_partkey, l_suppkey) AS VARCHAR) AS dst FROM lineitem")

@@ -1,9 +1,8 @@
-"""GML files. A document is parsed as one piece, each in its own task."""
+"""GML files as graphs. A document is parsed as one piece in its own task, a long one in blocks."""
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,111 +11,21 @@ from pyspark.sql import functions as F
 
 from graphstrata.model import DanglingEdgeError, GmlParseError
 from graphstrata.runtime import materialize
+from graphstrata.sources import formats, gml_blocks
 from graphstrata.sources.frames import FrameSource
+from graphstrata.sources.gml_text import rows
 
-_SKIP = re.compile(r"(?:\s+|#[^\n]*)*")
-_TOKEN = re.compile(r'(?P<open>\[)|(?P<close>\])|(?P<word>[A-Za-z_]\w*)|(?P<number>[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|"(?P<text>[^"]*)"')
-_FACTS = "file string, fact string, a string, b string, seq long, error string, line int"
-
-
-class _Reader:
-    """Tokens of a document with their lines, and the nested lists that they form."""
-
-    def __init__(self, text: str):
-        self.text, self.at, self.line = text, 0, 1
-
-    def fail(self, message: str) -> GmlParseError:
-        return GmlParseError(message, self.line)
-
-    def next(self) -> tuple[str, object] | None:
-        gap = _SKIP.match(self.text, self.at)
-        self.line += self.text.count("\n", self.at, gap.end())
-        self.at = gap.end()
-        if self.at == len(self.text):
-            return None
-        m = _TOKEN.match(self.text, self.at)
-        if m is None:
-            raise self.fail("unterminated string" if self.text[self.at] == '"' else f"unexpected character {self.text[self.at]!r}")
-        self.at = m.end()
-        kind = m.lastgroup
-        value: object = m[kind]
-        if kind == "number":
-            value = int(m[kind]) if re.fullmatch(r"[+-]?\d+", m[kind]) else float(m[kind])
-        if kind == "text":
-            self.line += m[0].count("\n")
-        return kind, value
-
-    def items(self, top: bool) -> Iterator[tuple[str, object, int]]:
-        """Key, value and line until the list ends. A list is read before the key after it is asked for."""
-        while True:
-            token = self.next()
-            if token is None or token[0] == "close":
-                if (token is None) != top:
-                    raise self.fail("unexpected end of file" if token is None else "unexpected ]")
-                return
-            if token[0] != "word":
-                raise self.fail(f"expected a key, found {token[1]!r}")
-            line, value = self.line, self.next()
-            if value is None or value[0] in ("close", "word"):
-                raise self.fail(f"{token[1]} has no value")
-            yield str(token[1]), list(self.items(False)) if value[0] == "open" else value[1], line
-
-
-def _whole(items: list, key: str) -> int | None:
-    return next((v for k, v, _ in items if k == key and type(v) is int), None)
-
-
-def parse(text: str) -> Iterator[tuple[str, str, str | None]]:
-    """("node", id, None) and ("edge", source, target) of the graph, ids with a number for each time that they are declared."""
-    reader = _Reader(text)
-    graphs = [v for k, v, _ in reader.items(True) if k == "graph"]
-    if not graphs or not isinstance(graphs[0], list):
-        raise reader.fail("no graph")
-    times: dict[int, int] = {}
-
-    def name(i: int) -> str:
-        return f"{i}" if times[i] == 1 else f"{i}#{times[i]}"
-
-    for key, value, line in graphs[0]:
-        if key not in ("node", "edge"):
-            continue
-        if not isinstance(value, list):
-            raise GmlParseError(f"{key} is not a list", line)
-        if key == "node":
-            i = _whole(value, "id")
-            if i is None:
-                raise GmlParseError("node without id", line)
-            times[i] = times.get(i, 0) + 1
-            yield "node", name(i), None
-            continue
-        ends = [_whole(value, k) for k in ("source", "target")]
-        for end, k in zip(ends, ("source", "target"), strict=True):
-            if end is None:
-                raise GmlParseError(f"edge without {k}", line)
-            if end not in times:
-                raise DanglingEdgeError(str(end), line)
-        yield "edge", name(ends[0]), name(ends[1])
+FACTS = "file string, fact string, a string, b string, seq long, error string, line int"
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["file", "fact", "a", "b", "seq", "error", "line"]
     for batch in batches:
         for file, text in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True):
-            rows: list[tuple] = []
-            try:
-                for fact, a, b in parse(text):
-                    rows.append((file, fact, a, b, len(rows), None, None))
-            except (GmlParseError, DanglingEdgeError) as e:
-                given = {"dangling": e.node_id} if isinstance(e, DanglingEdgeError) else {"message": str(e)}
-                rows.append((file, "error", None, None, len(rows), json.dumps(given), e.line))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            types = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            yield formats.batch(rows(file, text), formats.GML_COLUMNS[:-1])
 
 
-def _source(docs: DataFrame, node_kind: str, edge_kind: str) -> FrameSource:
-    facts = materialize(docs.mapInArrow(_facts, _FACTS))
-    wrong = facts.filter(F.col("fact") == "error").select("error", "line").take(1)
+def _source(facts: DataFrame, node_kind: str, edge_kind: str) -> FrameSource:
+    wrong = facts.filter(F.col("fact") == "error").orderBy("file", "seq").select("error", "line").take(1)
     if wrong:
         given = json.loads(wrong[0]["error"])
         if "dangling" in given:
@@ -134,11 +43,20 @@ def _source(docs: DataFrame, node_kind: str, edge_kind: str) -> FrameSource:
 
 
 def from_text(spark: SparkSession, text: str, node_kind: str = "node", edge_kind: str = "edge") -> FrameSource:
-    return _source(spark.createDataFrame([("", text)], "file string, value string"), node_kind, edge_kind)
-
-
-def from_path(spark: SparkSession, path: str, node_kind: str = "node", edge_kind: str = "edge", many: bool = False) -> FrameSource:
-    """One document, or with ``many`` all under a path, whose ids then carry the file's name."""
-    read = spark.read.text(path, wholetext=True)
-    file = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1) if many else F.lit("")
-    return _source(read.select(file.alias("file"), "value"), node_kind, edge_kind)
+    docs = spark.createDataFrame([("", text)], "file string, value string")
+    return _source(materialize(docs.mapInArrow(_facts, FACTS)), node_kind, edge_kind)
+
+
+def from_path(spark: SparkSession, path: str, node_kind: str = "node", edge_kind: str = "edge", many: bool = False, block_bytes: int = formats.BLOCK_BYTES) -> FrameSource:
+    """One document, or with ``many`` all under a path, whose ids then carry the file's name.
+
+    Documents of more than ``block_bytes`` are read in blocks, each in a task of its own;
+    the seq of what is in them is its place in bytes.
+    """
+    cuts = gml_blocks.cuts(spark, path, block_bytes)
+    formats.register(spark)
+    read = spark.read.format("gml").option("cuts", json.dumps(cuts)).option("blockBytes", block_bytes).load(path)
+    file = F.element_at(F.split(F.col("file"), "/"), -1) if many else F.lit("")
+    if not cuts:
+        return _source(materialize(read.withColumn("file", file).drop("part")), node_kind, edge_kind)
+    return _source(materialize(gml_blocks.named(materialize(read)).withColumn("file", file)), node_kind, edge_kind)
