@@ -15,6 +15,7 @@ from graphstrata.plans.index import Index
 from graphstrata.plans.live import LiveGraph, Threshold
 from graphstrata.runtime import materialize, shared_dir
 from graphstrata.sources import tables
+from graphstrata.streaming.counts import counts_now, stream_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -330,3 +331,21 @@ def greedy_walk(spark, d):
     clusters = assignments.groupBy("cluster", "region").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("is_hub").cast("long")).alias("hub_count")).withColumns({"generation": F.lit(0).cast("long"), "delta_inserts": F.lit(0).cast("long")})
     index = Index(spark, {"assignments": materialize(assignments), "clusters": clusters, "cluster_edges": spark.createDataFrame([], "src int, dst int, w float"), "hub_edges": materialize(edges.select("src_id", "dst_id", F.col("dst").alias("dst_idx"), F.col("w").cast("float").alias("w")))})
     return index.walk(hub_set.select(F.col("id").alias("seed")), 4, 6)
+
+
+# ---------------------------------------------------------------- state of a stream
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS cluster, CAST(count(*) AS BIGINT) AS inserts, CAST(sum(o_orderkey % 5) AS BIGINT) AS votes, CAST(min(o_orderkey) AS BIGINT) AS first_seq, CAST(max(o_orderkey) AS BIGINT) AS last_seq FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
+def streamed_counts(spark, d):
+    """Orders arrive in their customers' nations, those on a Monday once more, by a stream that stops midway and goes on from its checkpoint."""
+    orders, customer = tables.table(spark, d, "orders"), tables.table(spark, d, "customer")
+    placed = orders.join(customer, F.col("c_custkey") == F.col("o_custkey")).select(
+        F.concat(F.lit("order:"), "o_orderkey").alias("id"), F.col("c_nationkey").cast("long").alias("cluster"), (F.col("o_orderkey") % 5).cast("long").alias("votes"), F.col("o_orderkey").cast("long").alias("seq"), F.weekday(F.to_date("o_orderdate")).alias("day")
+    )
+    folder, out, state = _path(spark), _path(spark), _path(spark)
+    for part in (F.col("day") < 4, (F.col("day") >= 4) | (F.col("day") == 0)):
+        placed.filter(part).drop("day").write.mode("append").parquet(folder)
+        rows = spark.readStream.schema("id string, cluster long, votes long, seq long").parquet(folder)
+        stream_counts(spark, rows, out, state).awaitTermination()
+    return counts_now(spark, out)
