@@ -41,11 +41,26 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def _class_of(name: str) -> str:
+    """The library's characters of a class, as ranges to stand between brackets."""
+    from tokenizers import Regex, pre_tokenizers
+
+    others = pre_tokenizers.Split(Regex(f"[^{name}]+"), "removed")
+    ranges: list[list[int]] = []
+    for lo in [*range(0, 0xD800, 0x800), *range(0xE000, 0x110000, 0x800)]:  # all but the surrogates
+        for _, (a, b) in others.pre_tokenize_str("".join(map(chr, range(lo, lo + 0x800)))):
+            if ranges and ranges[-1][1] == lo + a:
+                ranges[-1][1] = lo + b
+            else:
+                ranges.append([lo + a, lo + b])
+    return "".join([f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in ranges])
+
+
 class WordBPE:
     """Reads the vocabulary file; ``encode`` and ``decode`` follow its normaliser, splitter and merges.
 
-    Letters and numbers are those of the installed Unicode tables; characters added to
-    Unicode after version 15.1 may be split otherwise than by other libraries.
+    Letters, numbers and small letters are those of the installed Unicode tables; texts with
+    characters that these don't know go by those of the tokenizers library, asked once a process.
     """
 
     def __init__(self, path: str):
@@ -66,6 +81,7 @@ class WordBPE:
         self.final = [vocab[c + end] for c in letters]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split).findall
+        self.path, self.split, self.seen, self.library = path, split, set(), None
         self.ascii_words = re.compile(split.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"), re.ASCII).findall
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.cache: dict[str, bytes] = {}
@@ -125,9 +141,30 @@ class WordBPE:
             self.cache[word] = out
         return out
 
+    def _newer(self, text: str) -> bool:
+        """Whether a text has a character that the installed tables don't know."""
+        unseen = set(text) - self.seen
+        if any(unicodedata.category(c) == "Cn" for c in unseen):
+            return True
+        self.seen |= unseen
+        return False
+
+    def _library_words(self, text: str) -> list[str]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            pattern = self.split
+            for name in (r"\p{L}", r"\p{N}", r"\s"):
+                pattern = pattern.replace(name, _class_of(name))
+            self.library = Tokenizer.from_file(self.path).normalizer.normalize_str, re.compile(pattern).findall
+        normal, words = self.library
+        return words(normal(text))
+
     def _plain(self, text: str) -> bytes:
         if text.isascii():
             words = self.ascii_words(text.lower())
+        elif self._newer(text):
+            words = self._library_words(text)
         else:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # the file lowers letter by letter: no final sigma
             words = self.words(text.lower())

@@ -94,7 +94,7 @@ _OPEN, _CLOSE = r"[\[({<]{1,2}\s{0,3}", r"\s{0,3}[\])}>]{1,2}"
 _BRACKETED = re.compile(rf"(?i)\s{{0,3}}{_OPEN}(?:(?P<at>{_AT_WORD})|(?P<dot>{_DOT_WORD})){_CLOSE}\s{{0,3}}")
 # A written address lies around its "at": a chain of parts before it, a chain of labels after it, dots or worded dots between.
 # White space is looked at from where it begins only, and a chain never leaves the stretch between two "at", so a text is read twice at most.
-_AT = re.compile(r"(?i)(?<!\s)\s*@\s*|(?<!\s)\s+at\s+")
+_AT = re.compile(r"(?i)(?<!\s)\s*@\s*|(?<!\s)\s+(?:at|(?P<sign>arroba|arobase|klammeraffe))\s+")
 _DOT_BEFORE = re.compile(r"(?i)(?:\A|\s)(?:dot|punkt|punto|point)\Z")  # what follows is an ending, as in "firma punkt at"
 _DOT = re.compile(rf"(?i)\.|\s+(?P<word>{_DOT_WORD})\s+")
 _LOCAL_CHAIN = re.compile(rf"(?i)(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\s+{_DOT_WORD}\s+)[A-Za-z0-9_%+-]+)*")
@@ -105,10 +105,10 @@ _LONG_ENDS = frozenset("com net org edu gov mil int info biz name pro app dev on
 _WORD_ENDS = frozenset("am as at be by do go in is it me my no so to us we".split())
 _NO_ENDS = frozenset("an ah eh he if of oh ok on or up".split())
 _ARTICLES = frozenset("the a an this that these each every any some which what one my your his her our their its no dot point".split())
-_BEFORE_AT = frozenset("look looks looked looking stare stared staring gaze gazed point points pointed aim aimed arrive arrived meet met meets stay stayed stop stopped is are was were be been".split())
+_BEFORE_AT = frozenset("look looks looked looking stare stared staring gaze gazed point points pointed aim aimed arrive arrived works worked meet met meets me us him her them it stay stayed stop stopped is are was were be been".split())
 _DIGIT_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _MIXED = re.compile(rf"\b(?:{_DIGIT_WORD})(?:[\s,-]{{1,3}}|\s*(?:\.|dot|point|punkt|punto)\s*)(?:{_DIGIT_WORD}|[0-9])|[0-9](?:[\s,-]{{1,3}}|\s*(?:\.|dot|point|punkt|punto)\s*)(?:{_DIGIT_WORD})\b|[0-9]\s*(?:dot|point|punkt|punto)\s*[0-9]")
-_AT_GATE, _DOT_GATE = re.compile(r"@|\sat\s"), re.compile(rf"\s{_DOT_WORD}\s")
+_AT_GATE, _DOT_GATE = re.compile(r"@|\s(?:at|arroba|arobase|klammeraffe)\s"), re.compile(rf"\s{_DOT_WORD}\s")
 _DIGIT_RUN = re.compile(rf"(?i)(?<!\w)(?:plus\s+)?(?:{_DIGIT_WORD}|[0-9]+)(?:(?:[\s,-]{{1,3}}|\s*(?:\.|dot|point|punkt|punto)\s*)(?:{_DIGIT_WORD}|[0-9]+)(?!\w))+")
 _IN_RUN = re.compile(rf"(?i)(?P<plus>plus\s+)|(?P<word>{_DIGIT_WORD})|(?P<dot>\s*(?:\.|dot|point|punkt|punto)\s*)|(?P<gap>[\s,-]{{1,3}})|(?P<digit>[0-9])")
 #: Digits spelled out that make a run a disguise whatever it gives; with fewer, or worded dots, it must give an identifier.
@@ -191,15 +191,16 @@ def _ending(end: str, first: str, dot: str, local: str, at_sign: bool, parts: bo
     end, first = end.lower(), first.lower()
     if not end.isalpha() or len(end) < 2 or end in _NO_ENDS or _DOT.fullmatch(f" {end} "):
         return 0
+    known = end in _LONG_ENDS or len(end) == 2
+    if at_sign:
+        return 1 + (known and end not in _WORD_ENDS)
+    if local.lower() in _BEFORE_AT and not parts:
+        return 0
     if end in _LONG_ENDS or len(end) == 2 and end not in _WORD_ENDS:
         return 2
-    if at_sign:
-        return 1
     if first in _ARTICLES or dot == "point" and not parts:
         return 0
-    if len(end) == 2:
-        return 2
-    return int(parts or dot == "dot" and local.lower() not in _BEFORE_AT)
+    return 2 if known else int(parts)
 
 
 def _addresses(text: str) -> Iterator[tuple[int, int, list[Piece]]]:
@@ -225,7 +226,7 @@ def _addresses(text: str) -> Iterator[tuple[int, int, list[Piece]]]:
             stop = edges[1][k]
             if dots[k - 1]["word"] is None or k == len(dots) and (text[stop : stop + 1].isalnum() or text[stop : stop + 1] == "_"):
                 continue
-            fit = _ending(labels[k], labels[0], dots[k - 1]["word"].lower(), local[0], "@" in at[0], bool(parts))
+            fit = _ending(labels[k], labels[0], dots[k - 1]["word"].lower(), local[0], "@" in at[0] or at["sign"] is not None, bool(parts))
             if fit and not taken or fit == 2:
                 taken = k
             if fit == 2:

@@ -628,3 +628,25 @@ def test_open_elements_are_never_climbed(shape):
         html.main_text(first * n + second * n)
         took.append(time.perf_counter() - began)
     assert took[1] < 24 * took[0] + 0.5
+
+
+def test_bpe_of_every_code_point():
+    """Characters newer than the installed tables are lowered, composed and split as by the library."""
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path()
+    own, library = bpe.WordBPE(path), Tokenizer.from_file(path)
+    for lo in [*range(0, 0xD800, 0x800), *range(0xE000, 0x110000, 0x800)]:
+        text = " ".join([f"a{chr(c)}b 1{chr(c)}2" for c in range(lo, lo + 0x800)])
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(lo)
+
+
+@pytest.mark.parametrize(
+    "text, many",
+    [
+        ("Nothing at all dot the end", 0), ("meet me at school dot it was fun", 0), ("We arrived at hotel dot com last year", 0), ("she works at company dot in the city", 0),
+        ("maria arroba correo punto es", 1), ("jean arobase free point fr", 1), ("post klammeraffe firma punkt de", 1), ("anna at example dot com", 1), ("jo at firma punkt at", 1), ("j dot doe at shop dot example", 1),
+    ],
+)
+def test_pii_of_prose_and_of_other_words_for_at(text, many):
+    assert len(pii.hidden_spans(text, pii.plain_spans(text))) == many
