@@ -189,7 +189,7 @@ def _digits(m: re.Match) -> list[Piece] | None:
 def _ending(end: str, first: str, dot: str, local: str, at_sign: bool, parts: bool) -> int:
     """How well a label ends a written address: 2 surely, 1 by its form alone, 0 not."""
     end, first = end.lower(), first.lower()
-    if not end.isalpha() or len(end) < 2 or end in _NO_ENDS or _DOT.fullmatch(f" {end} "):
+    if not end.isalpha() or len(end) < 2 or end in _NO_ENDS or end in _ARTICLES or _DOT.fullmatch(f" {end} "):
         return 0
     known = end in _LONG_ENDS or len(end) == 2
     if at_sign:
@@ -200,7 +200,7 @@ def _ending(end: str, first: str, dot: str, local: str, at_sign: bool, parts: bo
         return 2
     if first in _ARTICLES or dot == "point" and not parts:
         return 0
-    return 2 if known else int(parts)
+    return 2 if known else int(parts or dot == "dot")
 
 
 def _addresses(text: str) -> Iterator[tuple[int, int, list[Piece]]]:
