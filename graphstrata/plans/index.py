@@ -72,12 +72,11 @@ class Similar:
 
 
 def _hubs(graph: Graph, config: IndexConfig) -> tuple[DataFrame, DataFrame]:
-    """The hubs, and the edges of their graph by id."""
+    """The hubs, and the edges of their graph by id, which are put together as they are read."""
     hub_set = hubs.choose(graph, config)
-    ids = graph.vertices.select("idx", "id")
-    met = paths.hub_graph(graph.adj, hub_set.select("idx").distinct(), config.k_hop)
-    named = met.join(ids.withColumnsRenamed({"idx": "src", "id": "src_id"}), "src").join(ids.withColumnsRenamed({"idx": "dst", "id": "dst_id"}), "dst")
-    return hub_set, materialize(named.select("src_id", "dst_id", F.col("dst").alias("dst_idx"), F.col("w").cast("float").alias("w")))
+    named = graph.vertices.select("idx", "id").join(hub_set.select("idx").distinct(), "idx", "left_semi")
+    met = paths.hub_graph(graph.adj, named, config.k_hop)
+    return hub_set, met.select("src_id", "dst_id", F.col("dst").alias("dst_idx"), F.col("w").cast("float").alias("w"))
 
 
 def _tables(graph: Graph, partition: DataFrame, hub_set: DataFrame, regions: DataFrame) -> dict[str, DataFrame]:
@@ -265,11 +264,13 @@ class Index:
         first_hub = a.filter("is_hub").groupBy(F.col("cluster").alias("own")).agg(F.min("id").alias("hub"))
         own = own.join(first_hub, "own", "left").join(self.clusters.select(F.col("cluster").alias("own"), F.col("size").alias("own_size")), "own")
         own = own.select("seed", "own", "own_size", F.when(F.col("is_hub"), F.col("seed")).otherwise(F.col("hub")).alias("entry"))
+        own = materialize(own)
+        wanting = own.filter(F.col("own_size") - 1 < limit)
         target = a.select(F.col("id").alias("dst_id"), "cluster")
-        # the order of an entry's hubs doesn't depend on the seed: it is numbered once for each hub
+        # the order of an entry's hubs doesn't depend on the seed: it is numbered once for each hub that some seed goes on from
         order = Window.partitionBy("src_id").orderBy(F.desc("w"), "dst_idx")
-        hops = self.hub_edges.withColumn("hop", F.row_number().over(order)).join(target, "dst_id").select(F.col("src_id").alias("entry"), "hop", "cluster")
-        wanting = own.filter(F.col("own_size") - 1 < limit)
+        edges = self.hub_edges.join(small(wanting.select(F.col("entry").alias("src_id")).distinct()), "src_id", "left_semi")
+        hops = edges.withColumn("hop", F.row_number().over(order)).join(target, "dst_id").select(F.col("src_id").alias("entry"), "hop", "cluster")
         reached = wanting.join(hops, "entry").select("seed", "own", "own_size", "hop", "cluster")
         return own, reached
 
@@ -281,15 +282,16 @@ class Index:
         first = reached.filter(F.col("cluster") != F.col("own")).groupBy("seed", "cluster").agg(F.min("hop").alias("hop"))
         sized = first.join(self.clusters.select("cluster", "size"), "cluster").join(own.select("seed", "own_size"), "seed")
         before = F.coalesce(F.sum("size").over(Window.partitionBy("seed").orderBy("hop").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("own_size") - 1
-        needed = sized.withColumn("before", before).filter(F.col("before") < limit).select("seed", "cluster", "hop")
-        clusters = own.select("seed", F.col("own").alias("cluster"), F.lit(0).alias("hop")).unionByName(needed)
+        needed = sized.withColumn("before", before).filter(F.col("before") < limit).select("seed", "cluster", "before", F.lit(False).alias("home"))
+        clusters = own.select("seed", F.col("own").alias("cluster"), F.lit(0).cast("long").alias("before"), F.lit(True).alias("home")).unionByName(needed)
         # of a cluster that is wanted no more than limit + 1 members can be wanted by anyone
         some = Window.partitionBy("cluster").orderBy("id")
         wanted = self.assignments.select("id", "cluster").join(clusters.select("cluster").distinct(), "cluster", "left_semi")
-        members = wanted.withColumn("n", F.row_number().over(some)).filter(F.col("n") <= limit + 1).select("id", "cluster")
-        found = clusters.join(members, "cluster").filter(F.col("id") != F.col("seed"))
-        rank = F.row_number().over(Window.partitionBy("seed").orderBy("hop", "id"))
-        return found.withColumn("rank", rank).filter(F.col("rank") <= limit).select("seed", "rank", "id")
+        members = materialize(wanted.withColumn("n", F.row_number().over(some)).filter(F.col("n") <= limit + 1).select("id", "cluster", "n"))
+        found = clusters.join(small(members), "cluster").filter(F.col("id") != F.col("seed"))
+        # a member's rank follows from its place in its cluster and the sizes before, as the seed only stands in its own
+        rank = F.col("before") + F.col("n") - F.when(F.col("home") & (F.col("seed") < F.col("id")), 1).otherwise(0)
+        return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= limit).select("seed", "rank", "id")
 
     def similar_stats(self, seeds: DataFrame | Iterable[str], limit: int) -> DataFrame:
         """(seed, clusters_visited, hubs_visited, distinct_clusters) of ``similar``. Clusters count each time that a hub leads to them, as they are drained anew."""

@@ -4,8 +4,11 @@ import os
 
 import pytest
 
+from graphstrata.model import HubKind, IndexConfig
 from graphstrata.operators import paths
+from graphstrata.plans.index import build
 from graphstrata.runtime import recorded
+from graphstrata.sources.frames import FrameSource
 from tests.shapes import graph
 
 N = 120
@@ -51,3 +54,17 @@ def test_two_nodes_alone_hang_on_nothing(spark):
     g = graph(spark, (2, [(0, 1)]))
     assert [r["dist"] for r in paths.distances(g.adj, spark.createDataFrame([(0, 1)], "src long, dst long"), g.vertices.select("idx")).collect()] == [1]
     assert paths.hub_graph(g.adj, g.vertices.select("idx"), 1).count() == 2
+
+
+def test_hub_edges_are_put_together_as_they_are_read(spark):
+    n, edges = double_star()
+    nodes = spark.createDataFrame([(str(i), "n", str(i), i) for i in range(n)], "id string, kind string, label string, seq long")
+    source = FrameSource(nodes, spark.createDataFrame([(f"{a}-{b}", str(a), str(b), "e") for a, b in edges], "id string, src string, dst string, kind string"))
+    halves = spark.createDataFrame([(str(i), i % 2) for i in range(n)], "id string, community int")
+    with recorded() as folders:
+        index, _ = build(source, IndexConfig(hub_fraction=1.0, hubs=HubKind.DEGREE, k_hop=3), halves)
+        assert index.labels.count() == n
+        ranked = index.similar(index.assignments.selectExpr("id AS seed"), 5).filter("seed = '2'").orderBy("rank").collect()
+    assert [r["id"] for r in ranked] == sorted(str(i) for i in range(0, n, 2) if i != 2)[:5]
+    assert index.hub_edges.count() == n * (n - 1)
+    assert written(spark, folders) < 40 * n
