@@ -3,10 +3,12 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphstrata.model import HubKind, IndexConfig
 from graphstrata.operators import paths
 from graphstrata.plans.index import build
+from graphstrata.plans.live import LiveGraph
 from graphstrata.runtime import recorded
 from graphstrata.sources.frames import FrameSource
 from tests.shapes import graph
@@ -68,3 +70,11 @@ def test_hub_edges_are_put_together_as_they_are_read(spark):
     assert [r["id"] for r in ranked] == sorted(str(i) for i in range(0, n, 2) if i != 2)[:5]
     assert index.hub_edges.count() == n * (n - 1)
     assert written(spark, folders) < 40 * n
+
+
+def test_figures_of_a_cluster_are_made_once(spark, tmp_path):
+    rows = spark.createDataFrame([(f"n{i:03}", i % 2) for i in range(N)], "id string, cluster int")
+    edges = spark.createDataFrame([("e", "n000", "n002")], "id string, src string, dst string")
+    live = LiveGraph.create(spark, str(tmp_path / "live"), rows.select("id"), edges, rows, at=1)
+    found = live.same_cluster_figures_as_of(rows.select(F.col("id").alias("seed"), F.lit(1).cast("long").alias("at")), F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    assert {(r["seed"], r["n"], r["first"]) for r in found.collect()} == {(f"n{i:03}", N // 2, f"n{i % 2:03}") for i in range(N)}
