@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphstrata.model import HubKind, IndexConfig
-from graphstrata.operators import paths
+from graphstrata.operators import community, paths
 from graphstrata.plans.index import build
 from graphstrata.plans.live import LiveGraph
 from graphstrata.runtime import recorded
@@ -72,6 +72,18 @@ def test_hub_edges_are_put_together_as_they_are_read(spark):
     assert written(spark, folders) < 40 * n
 
 
+def test_large_stars_settle_before_the_first_round(spark, monkeypatch):
+    monkeypatch.setattr(community, "_ROUNDS", 1)
+    monkeypatch.setattr(community, "_LEVELS", 1)
+    n, edges = 5 * 9 + 4, [(c, 5 + 8 * c + i) for c in range(5) for i in range(8)] + [(45, 46), (47, 48), (48, 48)]
+    found = community.leiden(graph(spark, (n, edges)), use_kernel=False).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r["community"], set()).add(r["idx"])
+    assert sorted(map(min, groups.values())) == [0, 1, 2, 3, 4, 45, 47]
+    assert groups[0] == {0, *range(5, 13)} and {45, 46} in groups.values() and {47, 48} in groups.values()
+
+
 def test_figures_of_a_cluster_are_made_once(spark, tmp_path):
     rows = spark.createDataFrame([(f"n{i:03}", i % 2) for i in range(N)], "id string, cluster int")
     edges = spark.createDataFrame([("e", "n000", "n002")], "id string, src string, dst string")
