@@ -124,3 +124,51 @@ def test_partition_and_region_accessors(spark):
     r = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "cluster int, region int")
     assert (community.region_of_cluster(r, 2), community.region_of_cluster(r, 7), community.region_count(r)) == (1, None, 2)
     assert {x["region"]: x["clusters"] for x in community.clusters_by_region(r).collect()} == {0: [0, 1], 1: [2]}
+
+
+def plain_betweenness(n, edges, sources):
+    near = [sorted({b for a, b in edges if a == u} | {a for a, b in edges if b == u}) for u in range(n)]
+    score = [0.0] * n
+    for s in sources:
+        dist, sigma, order = {s: 0}, {s: 1.0}, [s]
+        for u in order:
+            for v in near[u]:
+                if v not in dist:
+                    dist[v], sigma[v] = dist[u] + 1, 0.0
+                    order.append(v)
+                if dist[v] == dist[u] + 1:
+                    sigma[v] += sigma[u]
+        delta = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for u in near[v]:
+                if dist[u] == dist[v] - 1:
+                    delta[u] += sigma[u] / sigma[v] * (1 + delta[v])
+            if v != s:
+                score[v] += delta[v]
+    return score
+
+
+#: Users 0 to 11 of types 12 to 14, in classes; a tail; a pair alone; a node alone.
+MIXED = 21, [(u, 12 + t) for u in range(12) for t in range(3) if (u % 4 + 1) >> t & 1] + [(0, 15), (15, 16), (16, 17), (18, 19)]
+
+
+@pytest.mark.parametrize("arrays", [True, False])
+@pytest.mark.parametrize("samples", [99, 5])
+def test_betweenness_of_twins_is_that_of_each(spark, arrays, samples):
+    n, edges = MIXED
+    got = {r["idx"]: r["score"] for r in centrality.betweenness(graph(spark, MIXED), samples, 7, use_arrays=arrays).collect()}
+    expected = [x * n / min(samples, n) for x in plain_betweenness(n, edges, centrality.pick_sources(n, samples, 7))]
+    assert [got[i] for i in range(n)] == pytest.approx(expected)
+
+
+def test_twins_are_searched_from_once(spark, monkeypatch):
+    g, searched = graph(spark, (2003, [(u, 2000 + t) for u in range(2000) for t in range(3)])), []
+    monkeypatch.setattr(centrality, "_by_arrays", lambda near, classes: searched.append(classes.count()) or classes.selectExpr("idx", "0.0D AS score"))
+    centrality.betweenness(g, 1 << 20)
+    assert searched == [2]
+
+
+def test_many_samples_are_not_drawn_on_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(centrality, "DRAWN", 3)
+    found = [r["idx"] for r in centrality._chosen(graph(spark, star(40)).vertices, 41, 10, 7).collect()]
+    assert len(found) == len(set(found)) == 10 and set(found) <= set(range(41))
