@@ -1,6 +1,7 @@
 """Rows written on the way grow with the graph, not with its square."""
 
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from graphstrata.model import HubKind, IndexConfig
 from graphstrata.operators import community, paths
 from graphstrata.plans.index import build
 from graphstrata.plans.live import LiveGraph
-from graphstrata.runtime import recorded
+from graphstrata.runtime import recorded, shared_dir
 from graphstrata.sources.frames import FrameSource
 from tests.shapes import graph
 
@@ -104,3 +105,22 @@ def test_shared_groups_are_coarsened_without_pairs(spark):
         found = community.coarsen_shared(members, part).collect()
     assert {(r["src"], r["dst"]): r["w"] for r in found} == want
     assert written(spark, folders) == 6
+
+
+def test_large_stars_that_drifted_settle_before_the_first_round(spark, monkeypatch):
+    for name, value in (("KERNEL_NODES", 0), ("_ROUNDS", 1), ("_LEVELS", 1)):
+        monkeypatch.setattr(community, name, value)
+    hubs, leaves = [f"c{c}" for c in range(4)], [(f"o{i}", f"c{i % 4}") for i in range(24)]
+    nodes = spark.createDataFrame([(n, None, i) for i, n in enumerate(hubs + [o for o, _ in leaves])], "id string, label string, seq long")
+    edges = spark.createDataFrame([(f"{o}>{c}", o, c) for o, c in leaves], "id string, src string, dst string")
+    where = spark.createDataFrame([(h, i) for i, h in enumerate(hubs)] + [(o, int(c[1])) for o, c in leaves], "id string, cluster int")
+    live = LiveGraph.create(spark, f"{shared_dir(spark)}/live/{uuid.uuid4().hex}", nodes, edges, where)
+    come, gone = spark.createDataFrame([("o0>>c1", "o0", "c1"), ("o2>>c3", "o2", "c3")], "id string, src string, dst string"), spark.createDataFrame([("o0>c0",), ("o2>c2",)], "id string")
+    after = live.change(come, gone).recluster(spark.createDataFrame([(c,) for c in range(4)], "cluster int"))
+    groups = {}
+    for r in after.partition().join(after.nodes(), "idx").collect():
+        groups.setdefault(r["cluster"], set()).add(r["id"])
+    expected = {h: {h} for h in hubs}
+    for o, c in leaves:
+        expected[{"o0": "c1", "o2": "c3"}.get(o, c)].add(o)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
