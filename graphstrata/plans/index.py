@@ -27,7 +27,7 @@ from graphstrata.operators import community, hubs, paths
 from graphstrata.operators.graph import Graph
 from graphstrata.operators.indexing import dense_index
 from graphstrata.operators.joins import join_lookup, small
-from graphstrata.operators.placement import place
+from graphstrata.operators.placement import place, winners
 from graphstrata.plans.store import Store
 from graphstrata.runtime import materialize
 from graphstrata.sources.frames import GraphSource
@@ -425,28 +425,31 @@ class Index:
         if again:
             raise DuplicateNodeError(f"node {again[0]['id']} is already there")
         if order_insensitive:
-            votes = new.select("id", "seq", F.explode("seeds").alias("seed")).join(self.assignments.select(F.col("id").alias("seed"), "cluster"), "seed")
-            won = community.majority(votes, "id", "cluster")
-            placed = new.select("id", "seq").join(won, "id", "left")
-            alone = dense_index(placed.filter(F.col("cluster").isNull()).select("id", "seq"), "seq", "id", name="n")
-            fresh = alone.select("id", (F.lit(self.next_cluster_id()) + F.col("n")).cast("int").alias("cluster"))
-            chosen = placed.filter(F.col("cluster").isNotNull()).select("id", "cluster").unionByName(fresh)
+            numbered = dense_index(new.select("id", "seeds", "seq"), "seq", "id", name="n")
+            votes = numbered.select("n", F.explode("seeds").alias("seed")).join(self.assignments.select(F.col("id").alias("seed"), "cluster"), "seed")
+            won = winners(votes.select("n", "cluster", F.lit(1).alias("k")))
+            placed = materialize(numbered.select("id", "n").join(won, "n", "left").select("id", "n", "cluster"))
+            alone = dense_index(placed.filter(F.col("cluster").isNull()).select("id", "n"), "n", name="place")
+            fresh = alone.select("id", "n", (F.lit(self.next_cluster_id()) + F.col("place")).cast("int").alias("cluster"))
+            chosen = placed.filter(F.col("cluster").isNotNull()).unionByName(fresh)
         else:
-            chosen = place(new, self.assignments.select("id", "cluster"), self.next_cluster_id()).select("id", "cluster")
-        return self._with_rows(materialize(chosen.join(new.select("id", "seq"), "id")))
+            chosen = place(new, self.assignments.select("id", "cluster"), self.next_cluster_id())
+        return self._with_rows(chosen)
 
     def _with_rows(self, chosen: DataFrame) -> tuple[Index, DataFrame]:
+        """``chosen``: (id, n, cluster), n being the place of a row among the new ones."""
         top = self.assignments.agg(F.coalesce(F.max("idx"), F.lit(-1))).first()[0]
-        numbered = dense_index(chosen.select("id", "cluster", "seq"), "seq", "id", name="n")
-        rows = numbered.join(self._region_of_new(), "cluster", "left").select(
+        # a cluster may take a third of all rows, so they don't meet by its number
+        placed = join_lookup(chosen, materialize(self._region_of_new()), "cluster", "n")
+        rows = materialize(placed.select(
             "id", (F.lit(top + 1) + F.col("n")).alias("idx"), "cluster", F.coalesce("region", F.lit(0)).alias("region"), F.lit(False).alias("is_hub"), F.lit(None).cast("string").alias("label")
-        )
+        ))
         added = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("added"), F.min("region").alias("new_region"))
         clusters = self.clusters.join(added, "cluster", "full").select(
             "cluster", F.coalesce("region", "new_region").alias("region"), (F.coalesce("size", F.lit(0)) + F.coalesce("added", F.lit(0))).alias("size"), F.coalesce("hub_count", F.lit(0)).alias("hub_count"),
             F.coalesce("generation", F.lit(0)).alias("generation"), (F.coalesce("delta_inserts", F.lit(0)) + F.coalesce("added", F.lit(0))).alias("delta_inserts"),
         )
-        return self._grown(materialize(rows), materialize(clusters)), chosen.select("id", "cluster")
+        return self._grown(rows, materialize(clusters)), rows.select("id", "cluster")
 
     def _grown(self, rows: DataFrame, clusters: DataFrame) -> Index:
         """The index with more rows. On disk only these and the clusters are written; the rest is read from where it lies, until there are MOST_FOLDERS of rows, which are then made one."""

@@ -124,3 +124,18 @@ def test_large_stars_that_drifted_settle_before_the_first_round(spark, monkeypat
     for o, c in leaves:
         expected[{"o0": "c1", "o2": "c3"}.get(o, c)].add(o)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_arrivals_are_numbered_once_and_write_no_names_that_nobody_has(spark):
+    rows = [(f"n{i:03}", i % 2) for i in range(10)]
+    nodes = spark.createDataFrame([(a, "n", a, i) for i, (a, _) in enumerate(rows)], "id string, kind string, label string, seq long")
+    source = FrameSource(nodes, spark.createDataFrame([("e", "n000", "n002", "e")], "id string, src string, dst string, kind string"))
+    index, _ = build(source, IndexConfig(hub_fraction=1.0, hubs=HubKind.DEGREE), spark.createDataFrame(rows, "id string, community int"))
+    there = {r["id"]: r["cluster"] for r in index.assignments.collect()}
+    come = [(f"a{i:03}", [f"n{i % 10:03}"] + [f"none{j}" for j in range(9)], i) for i in range(N)]
+    with recorded() as folders:
+        after, placed = index.insert(spark.createDataFrame(come, "id string, seeds array<string>, seq long"))
+        found = {r["id"]: r["cluster"] for r in placed.collect()}
+    assert found == {a: there[s[0]] for a, s, _ in come}
+    assert [r["id"] for r in after.assignments.orderBy("idx").collect()][10:] == [a for a, _, _ in come]
+    assert written(spark, folders) < 8 * N
