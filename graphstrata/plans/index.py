@@ -26,8 +26,8 @@ from graphstrata.model import (
 from graphstrata.operators import community, hubs, paths
 from graphstrata.operators.graph import Graph
 from graphstrata.operators.indexing import dense_index
-from graphstrata.operators.joins import join_lookup, small
-from graphstrata.operators.placement import place, winners
+from graphstrata.operators.joins import BROADCAST_ROWS, join_lookup, large, small
+from graphstrata.operators.placement import place, settle
 from graphstrata.plans.store import Store
 from graphstrata.runtime import materialize
 from graphstrata.sources.frames import GraphSource
@@ -126,9 +126,9 @@ def build(
         met = pool.submit(_hubs, graph, config)  # beside the communities: neither waits for the other
         with _phase(spark, seconds, "clusters"):
             if partition is None:
-                found = community.leiden(graph, config.seed)
+                found = large(community.leiden(graph, config.seed))
             else:
-                found = materialize(community.renumber(graph.vertices.select("idx", "id").join(partition, "id").select("idx", "community")))
+                found = large(materialize(community.renumber(graph.vertices.select("idx", "id").join(large(partition), "id").select("idx", "community"))))
         with _phase(spark, seconds, "regions"):
             regions = materialize(community.regions(graph.adj, found, config.seed))
         with _phase(spark, seconds, "hubs"):
@@ -421,17 +421,16 @@ class Index:
         Batches may have any size.
         """
         new = materialize(new if "seq" in new.columns else new.withColumn("seq", F.monotonically_increasing_id()))
-        again = new.join(self.assignments.select("id"), "id", "left_semi").select("id").unionByName(new.groupBy("id").count().filter("count > 1").select("id")).take(1)
+        names, taken = new.select("id"), self.assignments.select("id")
+        if names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            taken = taken.join(F.broadcast(names), "id", "left_semi")
+        again = taken.unionByName(names).groupBy("id").count().filter("count > 1").take(1)
         if again:
             raise DuplicateNodeError(f"node {again[0]['id']} is already there")
         if order_insensitive:
             numbered = dense_index(new.select("id", "seeds", "seq"), "seq", "id", name="n")
             votes = numbered.select("n", F.explode("seeds").alias("seed")).join(self.assignments.select(F.col("id").alias("seed"), "cluster"), "seed")
-            won = winners(votes.select("n", "cluster", F.lit(1).alias("k")))
-            placed = materialize(numbered.select("id", "n").join(won, "n", "left").select("id", "n", "cluster"))
-            alone = dense_index(placed.filter(F.col("cluster").isNull()).select("id", "n"), "n", name="place")
-            fresh = alone.select("id", "n", (F.lit(self.next_cluster_id()) + F.col("place")).cast("int").alias("cluster"))
-            chosen = placed.filter(F.col("cluster").isNotNull()).unionByName(fresh)
+            chosen = settle(numbered.select("id", "n"), votes.select("n", "cluster", F.lit(1).alias("k")), self.next_cluster_id())
         else:
             chosen = place(new, self.assignments.select("id", "cluster"), self.next_cluster_id())
         return self._with_rows(chosen)

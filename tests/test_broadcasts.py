@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from graphstrata.operators import community
+from graphstrata.operators import community, paths
 from graphstrata.operators.joins import join_lookup, large, small
 from graphstrata.runtime import materialize
 
@@ -29,3 +29,12 @@ def test_lookups_counted_as_long_are_merged(spark):
     assert "BroadcastHashJoin" in planned(long.join(small(short), "id"))
     assert "Broadcast" not in planned(join_lookup(long, long.withColumnRenamed("v", "u"), "id", "v"))
     assert join_lookup(long, long.withColumnRenamed("v", "u"), "id", "v").filter("u = v").count() == N
+
+
+def test_long_pendants_are_merged(spark, monkeypatch):
+    near = materialize(spark.range(N).selectExpr("id AS src", "id + 1 AS dst"))
+    hanging = materialize(spark.range(N).selectExpr("id * 3 AS node", "id * 3 + 1 AS up"))
+    monkeypatch.setattr(paths, "materialize", lambda df: df)
+    rest = paths.without(near, hanging)
+    assert "Broadcast" not in planned(rest)
+    assert rest.count() == N // 3

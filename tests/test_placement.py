@@ -5,8 +5,9 @@ import random
 import pytest
 
 from graphstrata.model import ConflictError
-from graphstrata.operators.placement import place
+from graphstrata.operators.placement import place, winners
 from graphstrata.plans.index import Index, build
+from graphstrata.runtime import materialize, recorded
 from graphstrata.sources.frames import pair_source
 from graphstrata.streaming.inserts import stream_inserts
 from tests.shapes import TWO_TRIANGLES
@@ -70,3 +71,25 @@ def test_a_stream_keeps_order_and_the_first_of_an_id(spark, tmp_path):
     index = Index.open(spark, path)
     found = {r["id"]: r["cluster"] for r in index.assignments.filter("length(id) = 1").collect()}
     assert found == {"a": 0, "b": 0, "c": 0, "d": 2, "e": 2}
+
+
+def test_votes_are_hashed_and_not_sorted(spark):
+    rows = [(n, c, k) for n in range(40) for c, k in [(n % 7, 2), (3, 1), (2**31 - 1, 3 - n % 3), (n % 5, 1), (0, n % 2)]]
+    votes = materialize(spark.createDataFrame(rows, "n long, cluster int, k long"))
+    sums = {}
+    for n, c, k in rows:
+        sums.setdefault(n, {}).setdefault(c, 0)
+        sums[n][c] += k
+    found = winners(votes)
+    assert found.schema["cluster"].dataType == votes.schema["cluster"].dataType
+    assert {r["n"]: r["cluster"] for r in found.collect()} == {n: min(s, key=lambda c: (-s[c], c)) for n, s in sums.items()}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_arrivals_that_wait_for_none_are_written_thrice(spark):
+    n = 300
+    rows = [(f"n{i:03}", [f"o{i % 20}"] if i % 3 else ["x"]) for i in range(n)]
+    with recorded() as folders:
+        assert placed(spark, rows) == fold(rows)
+    # numbered, with their seeds' clusters, and placed; those without a vote are numbered once more, and names are few
+    assert sum(spark.read.parquet(f).count() for f in folders) <= 3 * n + 2 * len(THERE) + 1
