@@ -144,10 +144,10 @@ def _chosen(vertices: DataFrame, n: int, samples: int, seed: int) -> DataFrame:
     return dense_index(vertices.select("idx", F.xxhash64("idx", F.lit(seed)).alias("h")), "h", "idx", name="place").filter(F.col("place") < samples).select("idx")
 
 
-def betweenness(graph: Graph, samples: int, seed: int = 42, use_arrays: bool = True) -> DataFrame:
-    """(idx, score) over ordered pairs, not halved, times n/samples where sampled; every node has a row."""
+def betweenness(graph: Graph, samples: int | None = None, seed: int = 42, use_arrays: bool = True) -> DataFrame:
+    """(idx, score) over ordered pairs, not halved; every node has a row. Each node is a source, or ``samples`` of them are, and scores are times n/samples then."""
     n = graph.node_count()
-    samples = min(samples, n)
+    samples = n if samples is None else min(samples, n)
     if samples <= 0:
         return graph.vertices.select("idx", F.lit(0.0).alias("score"))
     near = materialize(simple(graph.adj))

@@ -33,7 +33,7 @@ def from_degree_threshold(graph: Graph, least: float) -> DataFrame:
     return graph.vertices.filter(F.col("degree") >= least).select("idx")
 
 
-def from_centrality(graph: Graph, samples: int, fraction: float, seed: int = 42) -> DataFrame:
+def from_centrality(graph: Graph, samples: int | None, fraction: float, seed: int = 42) -> DataFrame:
     return _top(betweenness(graph, samples, seed), _size(graph.node_count(), fraction))
 
 

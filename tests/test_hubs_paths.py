@@ -172,3 +172,12 @@ def test_many_samples_are_not_drawn_on_the_driver(spark, monkeypatch):
     monkeypatch.setattr(centrality, "DRAWN", 3)
     found = [r["idx"] for r in centrality._chosen(graph(spark, star(40)).vertices, 41, 10, 7).collect()]
     assert len(found) == len(set(found)) == 10 and set(found) <= set(range(41))
+
+
+def test_exact_betweenness_of_a_million_nodes_is_not_sampled(spark, tmp_path):
+    """Users of one type each but for one of both: users lie on the one's paths only, and types on those of their own users."""
+    half = (1 << 19) + 1
+    spark.range(2 * half + 1).selectExpr("id AS user_id", f"explode(IF(id = {2 * half}, array('a', 'b'), IF(id < {half}, array('a'), array('b')))) AS event_type").write.parquet(f"{tmp_path}/events.parquet")
+    found = {r["id"]: r["score"] for r in catalogue.betweenness_exact(spark, str(tmp_path)).filter("score > 0").collect()}
+    own = 2 * half * (half + 2) + half * (half - 1)  # ways between a type's users and all beyond, and among them
+    assert found == {"type:a": own, "type:b": own, f"user:{2 * half}": 2 * (half + 1) ** 2}
