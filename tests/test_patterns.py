@@ -33,6 +33,22 @@ def test_triangles_and_squares(spark, seed):
     assert sum(r["n"] for r in patterns.squares_by_corner(adj).collect()) == squares
 
 
+@pytest.mark.parametrize(("listed", "ways"), [(2_000, 7), (3, 1 << 22), (3, 7)], ids=["dealt out", "hubs", "both"])
+def test_squares_of_long_lists(spark, monkeypatch, listed, ways):
+    adj = adjacency(spark, some_graph(18, 45, 1))
+    want = sorted(map(tuple, patterns.squares_by_corner(adj).collect()))
+    monkeypatch.setattr(patterns, "LISTED", listed)
+    monkeypatch.setattr(patterns, "WAYS", ways)
+    assert sorted(map(tuple, patterns.squares_by_corner(adj).collect())) == want
+
+
+def test_no_third_nodes_are_proposed_where_no_path_leads_up(spark):
+    """Parts of twenty suppliers each: wedges at parts would be ten times the pairs."""
+    adj = adjacency(spark, {(1000 + p, 2000 + (p + s) % 40) for p in range(400) for s in range(20)})
+    proposed = []
+    assert patterns.triangles(adj, proposed).count() == 0 and sum(proposed) == 0
+
+
 KINDS = {f"{k}{i}": k for k, n in (("u", 8), ("v", 6), ("w", 5)) for i in range(n)}
 
 
